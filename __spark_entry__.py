@@ -8,6 +8,7 @@ both sides so that summation-order noise does not break the value hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servicepulse import constants as K
-from servicepulse.operators.classify import enrich
-from servicepulse.plans import goals
+from servicepulse.functions import columns as C
+from servicepulse.operators import resolution, standardise as S
+from servicepulse.operators.classify import classify, enrich
+from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
+from servicepulse.session import ensure_checkpoint_dir
+from servicepulse.sources import files
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -48,9 +53,157 @@ def entry(spark: SparkSession) -> DataFrame:
     return _round(goals.priority_goals(_enriched(spark, FLAGSHIP_SF)))
 
 
+DETAIL_TYPE = "Graffiti"
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from_tables(spark, sf_dir)
+
+
+def _std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.standardise(_raw(spark, sf_dir))
+
+
+def _grouped(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the session's (shared) checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/inputs/{what}-{uuid.uuid4().hex}"
+
+
+def q_src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV source end to end: the request table written as CSV files, read
+    back with header + type inference, enriched; category counts."""
+    path = _scratch(spark, "csv")
+    _raw(spark, sf_dir).write.option("header", "true").csv(path)
+    df = files.read_csv_dir(spark, path)
+    return M.category_counts(enrich(df, as_of=AS_OF))
+
+
+def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature-collection source end to end: the request table written as
+    paged feature-collection JSON (dates as epoch milliseconds, coordinates
+    as geometry), flattened, enriched; category counts."""
+    path = _scratch(spark, "features")
+    raw = _raw(spark, sf_dir)
+    attrs = [c for c in raw.columns if c not in ("latitude", "longitude")]
+    millis = {c: F.unix_millis(F.col(c).cast("timestamp")) for c in ("CREATED_DATE", "CLOSED_DATE")}
+    feature = F.struct(
+        F.struct(*[(millis[c] if c in millis else F.col(c)).alias(c) for c in attrs]).alias("attributes"),
+        F.struct(C.to_double(F.col("longitude")).alias("x"), C.to_double(F.col("latitude")).alias("y")).alias("geometry"),
+    )
+    # Pages of at most 1000 consecutive rows of one input partition.
+    page = F.floor(F.monotonically_increasing_id() / 1000)
+    pages = raw.select(page.alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features"))
+    pages.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
+    df = files.read_features(spark, path, multi_line=False)
+    return M.category_counts(enrich(df, as_of=AS_OF))
+
+
+def q_limit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 1000 request records in a stable order."""
+    return files.limit_records(_raw(spark, sf_dir), K.DEFAULT_RECORD_LIMIT)
+
+
+def q_coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date coercion of text dates written the way a 311 CSV export writes them."""
+    raw = _raw(spark, sf_dir)
+    fmt = "MM/dd/yyyy hh:mm:ss a"
+    text = raw.withColumns({c: F.date_format(c, fmt) for c in ("CREATED_DATE", "CLOSED_DATE")})
+    return S.coerce_dates(text).select("SR_ID", "CREATED_DATE", "CLOSED_DATE")
+
+
+def q_infer_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority inferred from an emergency flag column (no priority column)."""
+    return _grouped(S.standardise(requests_from_tables(spark, sf_dir, emergency_flag=True)), K.PRIORITY_COL)
+
+
+def q_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.to_json_lines(M.overall_metrics(_enriched(spark, sf_dir)))
+
+
+def _std_q(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(fn(_std(spark, sf_dir)))
+
+    return run
+
+
+def _detail(fn):
+    return lambda df: fn(df, DETAIL_TYPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # sources
+        "src_csv": q_src_csv,
+        "src_features": q_src_features,
+        "limit_records": q_limit_records,
+        "preview_rows": _q(I.preview_rows),
+        "payload_json": q_payload_json,
+        # standardise
+        "coerce_dates": q_coerce_dates,
+        "infer_priority": q_infer_priority,
+        "canon_priority": _std_q(lambda d: _grouped(d, "SR_PRIORITY", K.PRIORITY_COL)),
+        "canon_method": _std_q(lambda d: _grouped(d, "METHOD_RAW", K.METHOD_COL)),
+        "valid_coords": _std_q(lambda d: _grouped(d, K.VALID_COORDS_COL)),
+        "drop_empty": _std_q(lambda d: d.agg(F.count(F.lit(1)).alias("rows"))),
+        "standardise": _std_q(lambda d: d),
+        # resolution time, targets, classification
+        "resolution_hours": _std_q(lambda d: resolution.with_resolution(d, AS_OF).select(
+            "SR_ID", "CREATED_DATE", "CLOSED_DATE", K.HOURS_COL, K.RESOLVED_COL)),
+        "ticket_age": _std_q(lambda d: resolution.ticket_age(d, AS_OF).select("SR_ID", "CREATED_DATE", K.AGE_COL)),
+        "target_hours": _std_q(lambda d: _grouped(classify(resolution.with_resolution(d, AS_OF)), "SR_TYPE", K.TARGET_COL)),
+        "performance_category": _q(lambda d: _grouped(d, K.CATEGORY_COL, K.RESOLVED_COL)),
+        "enrich": _q(lambda d: d),
+        # summary metrics
+        "overall_metrics": _q(M.overall_metrics),
+        "status_counts": _q(M.status_counts),
+        "category_counts": _q(M.category_counts),
+        "type_profile": _q(M.type_profile),
+        "type_category_counts": _q(M.type_category_counts),
+        "zip_profile": _q(M.zip_profile),
+        "monthly_counts": _q(M.monthly_counts),
+        "monthly_performance": _q(M.monthly_performance),
+        # goal reports
         "priority_goals": _q(goals.priority_goals),
+        "method_goals": _q(goals.method_goals),
+        "priority_by_method": _q(goals.priority_by_method),
+        "performance_over_time": _q(goals.performance_over_time),
+        # insight statistics
+        "type_detail": _q(_detail(I.type_detail)),
+        "type_detail_categories": _q(_detail(I.type_detail_categories)),
+        "type_detail_zips": _q(_detail(I.type_detail_zips)),
+        "type_detail_months": _q(_detail(I.type_detail_months)),
+        "top_zips": _q(I.top_zips),
+        "zip_performance": _q(I.zip_performance),
+        "top_types_by_zip": _q(I.top_types_by_zip),
+        "month_of_year_volume": _q(I.month_of_year_volume),
+        "season_volume": _q(I.season_volume),
+        "top_types_by_season": _q(I.top_types_by_season),
+        "season_performance": _q(I.season_performance),
+        "compare_priority": _q(I.compare_priority),
+        "compare_type": _q(I.compare_type),
+        "compare_zip": _q(I.compare_zip),
+        "compare_zip_types": _q(I.compare_zip_types),
+        "compare_method": _q(I.compare_method),
+        "dataset_shape": _q(I.dataset_shape),
+        "numeric_profile": _q(I.numeric_profile),
+        "categorical_profile": _q(I.categorical_profile),
+        # report tables
+        "priority_distribution": _q(R.priority_distribution),
+        "priority_by_type": _q(R.priority_by_type),
+        "method_distribution": _q(R.method_distribution),
+        "performance_by_method": _q(R.performance_by_method),
+        "priority_performance": _q(R.priority_performance),
+        "map_points": _q(R.map_points),
+        "type_priority_grid": _q(R.type_priority_grid),
+        "method_priority_share": _q(R.method_priority_share),
+        "method_priority_met": _q(R.method_priority_met),
+        "monthly_table": _q(goals.monthly_table),
+        "top_types": _q(R.top_types),
     }
 
 
@@ -140,21 +293,228 @@ def _sql(body: str, doubles: tuple[str, ...] = (), emergency_flag: bool = False)
     return f"SELECT * REPLACE ({repl}) FROM ({inner}) AS q"
 
 
-_MET = "CAST(count_if(COALESCE(performance_ratio <= 1.1, false)) AS DOUBLE)"
+MEETS = "COALESCE(performance_ratio <= 1.1, false)"
+_MET = f"CAST(count_if({MEETS}) AS DOUBLE)"
 _GOAL_DOUBLES = ("avg_resolution_hours", "median_resolution_hours", "target_met_pct", "avg_performance_ratio")
+_SEASON = ("CASE WHEN month(CREATED_DATE) BETWEEN 1 AND 3 THEN 'Winter' WHEN month(CREATED_DATE) BETWEEN 4 AND 6 THEN 'Spring' "
+           "WHEN month(CREATED_DATE) BETWEEN 7 AND 9 THEN 'Summer' WHEN month(CREATED_DATE) BETWEEN 10 AND 12 THEN 'Fall' END")
+
+
+def _pct(num: str, den: str) -> str:
+    return f"CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100.0 END"
 
 
 def _goal_sql(key: str) -> str:
     return f"""SELECT {key}, CAST(count(*) AS BIGINT) AS total_requests, avg(resolution_hours) AS avg_resolution_hours,
   median(resolution_hours) AS median_resolution_hours,
-  CAST(count_if(COALESCE(performance_ratio <= 1.1, false)) AS BIGINT) AS target_met_count,
-  {_MET} / CAST(count(*) AS DOUBLE) * 100.0 AS target_met_pct,
+  CAST(count_if({MEETS}) AS BIGINT) AS target_met_count,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct,
   avg(performance_ratio) AS avg_performance_ratio,
-  CASE WHEN {_MET} / CAST(count(*) AS DOUBLE) * 100.0 >= 80 THEN 'Meeting Goal' ELSE 'Not Meeting Goal' END AS goal_status
+  CASE WHEN {_pct(f"count_if({MEETS})", "count(*)")} >= 80 THEN 'Meeting Goal' ELSE 'Not Meeting Goal' END AS goal_status
 FROM enr WHERE {key} IS NOT NULL GROUP BY {key}"""
 
 
+def _counts_sql(keys: str, where: str = "", src: str = "enr", name: str = "count") -> str:
+    w = f" WHERE {where}" if where else ""
+    return f"SELECT {keys}, CAST(count(*) AS BIGINT) AS {name} FROM {src}{w} GROUP BY ALL"
+
+
+def _profile_sql(key: str, with_target: bool, k: int) -> str:
+    target = "max(target_hours) AS target_hours," if with_target else ""
+    return f"""SELECT {key}, CAST(count(*) AS BIGINT) AS count,
+  avg(CASE WHEN is_resolved THEN resolution_hours END) AS avg_resolution_hours,
+  {_pct("count_if(is_resolved)", "count(*)")} AS resolution_rate, {target}
+  COALESCE({_pct(f"count_if({MEETS} AND is_resolved)", "count_if(is_resolved)")}, 0.0) AS percent_meeting_target
+FROM enr WHERE {key} IS NOT NULL GROUP BY {key} ORDER BY count DESC, {key} ASC NULLS FIRST LIMIT {k}"""
+
+
+def _top_in_top_sql(group: str, key: str, k_groups: int, k_keys: int) -> str:
+    return f""", pairs AS (SELECT {group}, {key}, count(*) AS c FROM enr WHERE {group} IS NOT NULL GROUP BY ALL),
+topg AS (SELECT {group} FROM pairs GROUP BY {group} ORDER BY sum(c) DESC, {group} ASC NULLS FIRST LIMIT {k_groups}),
+ranked AS (SELECT {group}, {key}, c, row_number() OVER (PARTITION BY {group} ORDER BY c DESC, {key} ASC NULLS FIRST) AS r
+           FROM pairs WHERE {key} IS NOT NULL AND {group} IN (SELECT {group} FROM topg))
+--
+SELECT {group}, {key}, CAST(c AS BIGINT) AS count, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= {k_keys}"""
+
+
+def _compare_sql(key: str, k: int | None) -> str:
+    lim = f" ORDER BY count DESC, {key} ASC NULLS FIRST LIMIT {k}" if k else ""
+    return f""", agg AS (SELECT {key}, count(*) AS count, avg(resolution_hours) AS avg_resolution_hours,
+  median(resolution_hours) AS median_resolution_hours, {_pct("count_if(is_resolved)", "count(*)")} AS resolution_rate,
+  avg(performance_ratio) AS avg_performance_ratio, {_pct(f"count_if({MEETS})", "count(*)")} AS percent_meeting_target
+  FROM enr GROUP BY {key}),
+shares AS (SELECT *, {_pct("count", "sum(count) OVER ()")} AS percent_of_total FROM agg)
+--
+SELECT {key}, CAST(count AS BIGINT) AS count, percent_of_total, avg_resolution_hours, median_resolution_hours, resolution_rate,
+  avg_performance_ratio, percent_meeting_target FROM shares WHERE {key} IS NOT NULL{lim}"""
+
+
+_CMP_DOUBLES = ("percent_of_total", "avg_resolution_hours", "median_resolution_hours", "resolution_rate",
+                "avg_performance_ratio", "percent_meeting_target")
+_RAW_COLS = ("SR_ID", "SR_TYPE", "SR_PRIORITY", "METHOD_RAW", "STATUS", "ZIP_CODE", "CREATED_DATE", "CLOSED_DATE", "latitude", "longitude")
+_ENR_COLS = _RAW_COLS + ("PRIORITY", "METHOD_RECEIVED", "has_valid_coords", "resolution_hours", "is_resolved",
+                         "hours_since_creation", "target_hours", "performance_ratio", "performance_category")
+_ENR_DOUBLES = ("latitude", "longitude", "resolution_hours", "hours_since_creation", "performance_ratio")
+_PRIO_VALUES = "(VALUES ('HIGH'), ('MEDIUM'), ('NORMAL'), ('LOW')) t(PRIORITY)"
+
+
+def _order_all(cols) -> str:
+    return ", ".join(f"{c} ASC NULLS FIRST" for c in cols)
+
+
 def oracle_sql() -> dict[str, str]:
+    d = DETAIL_TYPE
+    sel = f"SR_TYPE = '{d}'"
+    cat_counts = _counts_sql("performance_category", "performance_category IS NOT NULL")
+    top_types = "SELECT SR_TYPE FROM enr WHERE SR_TYPE IS NOT NULL GROUP BY SR_TYPE ORDER BY count(*) DESC, SR_TYPE ASC LIMIT {k}"
     return {
+        # sources
+        "src_csv": _sql(cat_counts),
+        "src_features": _sql(cat_counts),
+        "limit_records": _sql(f"SELECT * FROM raw ORDER BY {_order_all(_RAW_COLS)} LIMIT {K.DEFAULT_RECORD_LIMIT}"),
+        "preview_rows": _sql(f"SELECT * FROM enr ORDER BY {_order_all(_ENR_COLS)} LIMIT {K.PREVIEW_ROWS}", _ENR_DOUBLES),
+        # standardise
+        "coerce_dates": _sql("SELECT SR_ID, CREATED_DATE, CLOSED_DATE FROM raw"),
+        "infer_priority": _sql(_counts_sql("PRIORITY", src="std"), emergency_flag=True),
+        "canon_priority": _sql(_counts_sql("SR_PRIORITY, PRIORITY", src="std")),
+        "canon_method": _sql(_counts_sql("METHOD_RAW, METHOD_RECEIVED", src="std")),
+        "valid_coords": _sql(_counts_sql("has_valid_coords", src="std")),
+        "drop_empty": _sql("SELECT CAST(count(*) AS BIGINT) AS rows FROM std"),
+        "standardise": _sql("SELECT * FROM std", ("latitude", "longitude")),
+        # resolution time, targets, classification
+        "resolution_hours": _sql("SELECT SR_ID, CREATED_DATE, CLOSED_DATE, resolution_hours, is_resolved FROM res", ("resolution_hours",)),
+        "ticket_age": _sql("SELECT SR_ID, CREATED_DATE, hours_since_creation FROM res", ("hours_since_creation",)),
+        "target_hours": _sql(_counts_sql("SR_TYPE, target_hours", src="res")),
+        "performance_category": _sql(_counts_sql("performance_category, is_resolved")),
+        "enrich": _sql("SELECT * FROM enr", _ENR_DOUBLES),
+        # summary metrics
+        "overall_metrics": _sql(f"""SELECT CAST(count(*) AS BIGINT) AS total_requests,
+  CAST(count_if(is_resolved) AS BIGINT) AS resolved_requests,
+  {_pct("count_if(is_resolved)", "count(*)")} AS resolution_rate,
+  COALESCE({_pct(f"count_if({MEETS} AND is_resolved)", "count_if(is_resolved)")}, 0.0) AS percent_meeting_target,
+  avg(CASE WHEN is_resolved THEN resolution_hours END) AS avg_resolution_hours,
+  median(CASE WHEN is_resolved THEN resolution_hours END) AS median_resolution_hours FROM enr""",
+            ("resolution_rate", "percent_meeting_target", "avg_resolution_hours", "median_resolution_hours")),
+        "status_counts": _sql(_counts_sql("STATUS", "STATUS IS NOT NULL")),
+        "category_counts": _sql(cat_counts),
+        "type_profile": _sql(_profile_sql("SR_TYPE", True, K.TOP_TYPES), ("avg_resolution_hours", "resolution_rate", "percent_meeting_target")),
+        "type_category_counts": _sql(f""", top AS ({top_types.format(k=K.TOP_TYPES)})
+--
+{_counts_sql("SR_TYPE, performance_category", "SR_TYPE IN (SELECT SR_TYPE FROM top) AND performance_category IS NOT NULL")}"""),
+        "zip_profile": _sql(_profile_sql("ZIP_CODE", False, K.TOP_ZIPS), ("avg_resolution_hours", "resolution_rate", "percent_meeting_target")),
+        "monthly_counts": _sql("SELECT strftime(CREATED_DATE, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS count FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY ALL"),
+        "monthly_performance": _sql("SELECT strftime(CREATED_DATE, '%Y-%m') AS month, avg(performance_ratio) AS avg_performance_ratio FROM enr "
+                                    "WHERE is_resolved AND CREATED_DATE IS NOT NULL GROUP BY ALL", ("avg_performance_ratio",)),
+        # goal reports
         "priority_goals": _sql(_goal_sql("PRIORITY"), _GOAL_DOUBLES),
+        "method_goals": _sql(_goal_sql("METHOD_RECEIVED"), _GOAL_DOUBLES),
+        "priority_by_method": _sql(f""", agg AS (SELECT METHOD_RECEIVED, PRIORITY, count(*) AS c, avg(performance_ratio) AS avg_performance_ratio,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct FROM enr WHERE METHOD_RECEIVED IS NOT NULL AND PRIORITY IS NOT NULL GROUP BY ALL)
+--
+SELECT METHOD_RECEIVED, PRIORITY, CAST(c AS BIGINT) AS count, CAST(sum(c) OVER (PARTITION BY METHOD_RECEIVED) AS BIGINT) AS count_total,
+  {_pct("c", "sum(c) OVER (PARTITION BY METHOD_RECEIVED)")} AS percentage, avg_performance_ratio, target_met_pct FROM agg""",
+            ("percentage", "avg_performance_ratio", "target_met_pct")),
+        "performance_over_time": _sql(f"""SELECT strftime(date_trunc('month', CREATED_DATE), '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS request_count,
+  avg(resolution_hours) AS avg_resolution_hours, median(resolution_hours) AS median_resolution_hours,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct, {_pct("count_if(PRIORITY = 'HIGH')", "count(*)")} AS high_priority_pct,
+  date_trunc('month', CREATED_DATE) AS month_date
+FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY date_trunc('month', CREATED_DATE)""",
+            ("avg_resolution_hours", "median_resolution_hours", "target_met_pct", "high_priority_pct")),
+        # insight statistics
+        "type_detail": _sql(f"""SELECT '{d}' AS request_type, CAST(count_if({sel}) AS BIGINT) AS count,
+  {_pct(f"count_if({sel})", "count(*)")} AS percent_of_total,
+  CAST(count_if({sel} AND is_resolved) AS BIGINT) AS resolved_count,
+  {_pct(f"count_if({sel} AND is_resolved)", f"count_if({sel})")} AS resolution_rate,
+  avg(CASE WHEN {sel} AND is_resolved THEN resolution_hours END) AS avg_resolution_hours,
+  median(CASE WHEN {sel} AND is_resolved THEN resolution_hours END) AS median_resolution_hours,
+  max(CASE WHEN {sel} THEN target_hours END) AS target_hours,
+  {_pct(f"count_if({sel} AND is_resolved AND {MEETS})", f"count_if({sel} AND is_resolved)")} AS percent_meeting_target
+FROM enr HAVING count_if({sel}) > 0""",
+            ("percent_of_total", "resolution_rate", "avg_resolution_hours", "median_resolution_hours", "percent_meeting_target")),
+        "type_detail_categories": _sql(_counts_sql("performance_category", f"{sel} AND performance_category IS NOT NULL")),
+        "type_detail_zips": _sql(_counts_sql("ZIP_CODE", f"{sel} AND ZIP_CODE IS NOT NULL") + f" ORDER BY count DESC, ZIP_CODE LIMIT {K.TOP_ZIPS_PER_TYPE}"),
+        "type_detail_months": _sql(f"SELECT strftime(CREATED_DATE, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS count FROM enr WHERE {sel} AND CREATED_DATE IS NOT NULL GROUP BY ALL"),
+        "top_zips": _sql(_counts_sql("ZIP_CODE", "ZIP_CODE IS NOT NULL") + f" ORDER BY count DESC, ZIP_CODE LIMIT {K.TOP_ZIPS}"),
+        "zip_performance": _sql(f"""SELECT ZIP_CODE, avg_performance_ratio, percent_meeting_target FROM (
+  SELECT ZIP_CODE, count(*) AS c, count_if(is_resolved) AS r, avg(CASE WHEN is_resolved THEN performance_ratio END) AS avg_performance_ratio,
+    {_pct(f"count_if({MEETS} AND is_resolved)", "count_if(is_resolved)")} AS percent_meeting_target
+  FROM enr WHERE ZIP_CODE IS NOT NULL GROUP BY ZIP_CODE ORDER BY c DESC, ZIP_CODE LIMIT {K.TOP_ZIPS}) WHERE r > 0""",
+            ("avg_performance_ratio", "percent_meeting_target")),
+        "top_types_by_zip": _sql(_top_in_top_sql("ZIP_CODE", "SR_TYPE", K.TOP_ZIPS, K.TOP_TYPES_PER_ZIP)),
+        "month_of_year_volume": _sql("SELECT CAST(month(CREATED_DATE) AS INTEGER) AS month, CAST(count(*) AS BIGINT) AS count FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY ALL"),
+        "season_volume": _sql(f""", s AS (SELECT {_SEASON} AS season FROM enr WHERE CREATED_DATE IS NOT NULL),
+seasons AS (SELECT * FROM (VALUES ('Winter'), ('Spring'), ('Summer'), ('Fall')) t(season))
+--
+SELECT seasons.season AS season, CAST(count(s.season) AS BIGINT) AS count FROM seasons LEFT JOIN s ON s.season = seasons.season GROUP BY seasons.season"""),
+        "top_types_by_season": _sql(f""", s AS (SELECT {_SEASON} AS season, SR_TYPE FROM enr WHERE CREATED_DATE IS NOT NULL),
+pairs AS (SELECT season, SR_TYPE, count(*) AS c FROM s WHERE SR_TYPE IS NOT NULL AND season IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY c DESC, SR_TYPE ASC NULLS FIRST) AS r FROM pairs)
+--
+SELECT season, SR_TYPE, CAST(c AS BIGINT) AS count, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= {K.TOP_TYPES_PER_SEASON}"""),
+        "season_performance": _sql(f"""SELECT {_SEASON} AS season, avg(performance_ratio) AS avg_performance_ratio,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS percent_meeting_target
+FROM enr WHERE is_resolved AND CREATED_DATE IS NOT NULL GROUP BY ALL""", ("avg_performance_ratio", "percent_meeting_target")),
+        "compare_priority": _sql(_compare_sql("PRIORITY", None), _CMP_DOUBLES),
+        "compare_type": _sql(_compare_sql("SR_TYPE", K.TOP_TYPES), _CMP_DOUBLES),
+        "compare_zip": _sql(_compare_sql("ZIP_CODE", K.TOP_ZIPS), _CMP_DOUBLES),
+        "compare_zip_types": _sql(_top_in_top_sql("ZIP_CODE", "SR_TYPE", K.TOP_ZIPS, K.TOP_TYPES_PER_COMPARED_ZIP)),
+        "compare_method": _sql(_compare_sql("METHOD_RECEIVED", None), _CMP_DOUBLES),
+        "dataset_shape": _sql(f"SELECT CAST(count(*) AS BIGINT) AS rows, {len(_ENR_COLS)} AS columns, '{','.join(_ENR_COLS)}' AS column_list FROM enr"),
+        "numeric_profile": _sql(""", st AS (SELECT * FROM (SELECT CAST(SR_ID AS DOUBLE) AS SR_ID, latitude, longitude, resolution_hours,
+  hours_since_creation, CAST(target_hours AS DOUBLE) AS target_hours, performance_ratio FROM enr)
+  UNPIVOT INCLUDE NULLS (value FOR column_name IN (SR_ID, latitude, longitude, resolution_hours, hours_since_creation,
+  target_hours, performance_ratio)))
+--
+SELECT column_name, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max FROM st GROUP BY column_name""",
+            ("mean", "median", "min", "max")),
+        "categorical_profile": _sql(f""", st AS (SELECT * FROM (SELECT SR_TYPE, SR_PRIORITY, METHOD_RAW, STATUS, ZIP_CODE FROM enr)
+  UNPIVOT INCLUDE NULLS (value FOR column_name IN (SR_TYPE, SR_PRIORITY, METHOD_RAW, STATUS, ZIP_CODE))),
+pairs AS (SELECT column_name, value, count(*) AS c FROM st WHERE value IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY c DESC, value ASC NULLS FIRST) AS r FROM pairs)
+--
+SELECT column_name, value, CAST(c AS BIGINT) AS count, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= {K.PROFILE_TOP_VALUES}"""),
+        # report tables
+        "priority_distribution": _sql("SELECT PRIORITY AS Priority, CAST(count(*) AS BIGINT) AS Count FROM enr WHERE PRIORITY IS NOT NULL GROUP BY ALL"),
+        "priority_by_type": _sql(f""", pairs AS (SELECT SR_TYPE, PRIORITY, count(*) AS c FROM enr WHERE SR_TYPE IS NOT NULL AND PRIORITY IS NOT NULL GROUP BY ALL),
+top AS (SELECT SR_TYPE FROM pairs GROUP BY SR_TYPE ORDER BY sum(c) DESC, SR_TYPE ASC LIMIT {K.CROSSTAB_TYPES}),
+prios AS (SELECT DISTINCT PRIORITY FROM pairs WHERE SR_TYPE IN (SELECT SR_TYPE FROM top)),
+grid AS (SELECT top.SR_TYPE, prios.PRIORITY FROM top CROSS JOIN prios)
+--
+SELECT grid.SR_TYPE, grid.PRIORITY AS Priority, CAST(COALESCE(pairs.c, 0) AS BIGINT) AS Count
+FROM grid LEFT JOIN pairs ON grid.SR_TYPE = pairs.SR_TYPE AND grid.PRIORITY = pairs.PRIORITY"""),
+        "method_distribution": _sql("SELECT METHOD_RECEIVED AS Method, CAST(count(*) AS BIGINT) AS Count FROM enr WHERE METHOD_RECEIVED IS NOT NULL GROUP BY ALL"),
+        "performance_by_method": _sql(f"""SELECT METHOD_RECEIVED AS Method, avg(performance_ratio) AS mean_performance_ratio,
+  median(performance_ratio) AS median_performance_ratio, CAST(count(performance_ratio) AS BIGINT) AS Count
+FROM enr GROUP BY METHOD_RECEIVED HAVING count(performance_ratio) > {K.MIN_METHOD_COUNT}""",
+            ("mean_performance_ratio", "median_performance_ratio")),
+        "priority_performance": _sql(f"""SELECT PRIORITY, avg(performance_ratio) AS avg_performance, median(performance_ratio) AS median_performance,
+  avg(resolution_hours) AS avg_resolution_hours, median(resolution_hours) AS median_resolution_hours, CAST(count(*) AS BIGINT) AS count,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct, round({_pct(f"count_if({MEETS})", "count(*)")}, 1) AS performance_score
+FROM enr GROUP BY PRIORITY""",
+            ("avg_performance", "median_performance", "avg_resolution_hours", "median_resolution_hours", "target_met_pct", "performance_score")),
+        "type_priority_grid": _sql(f""", top AS ({top_types.format(k=K.GRID_TYPES)}),
+prios AS (SELECT * FROM {_PRIO_VALUES}),
+agg AS (SELECT SR_TYPE, PRIORITY, avg(performance_ratio) AS avg_perf, median(performance_ratio) AS median_perf,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met, count(performance_ratio) AS c
+  FROM enr WHERE SR_TYPE IN (SELECT SR_TYPE FROM top) GROUP BY ALL)
+--
+SELECT top.SR_TYPE, prios.PRIORITY, agg.avg_perf, agg.median_perf, agg.target_met, CAST(COALESCE(agg.c, 0) AS BIGINT) AS count
+FROM top CROSS JOIN prios LEFT JOIN agg ON agg.SR_TYPE = top.SR_TYPE AND agg.PRIORITY = prios.PRIORITY""",
+            ("avg_perf", "median_perf", "target_met")),
+        "method_priority_share": _sql(f""", agg AS (SELECT METHOD_RECEIVED, count(*) AS n, count_if(PRIORITY = 'HIGH') AS h, count_if(PRIORITY = 'MEDIUM') AS m,
+  count_if(PRIORITY = 'NORMAL') AS nm, count_if(PRIORITY = 'LOW') AS l FROM enr
+  WHERE METHOD_RECEIVED IS NOT NULL AND PRIORITY IS NOT NULL GROUP BY ALL)
+--
+SELECT METHOD_RECEIVED, 'HIGH' AS PRIORITY, {_pct("h", "n")} AS Percentage FROM agg
+UNION ALL SELECT METHOD_RECEIVED, 'MEDIUM', {_pct("m", "n")} FROM agg
+UNION ALL SELECT METHOD_RECEIVED, 'NORMAL', {_pct("nm", "n")} FROM agg
+UNION ALL SELECT METHOD_RECEIVED, 'LOW', {_pct("l", "n")} FROM agg""", ("Percentage",)),
+        "method_priority_met": _sql(f"""SELECT METHOD_RECEIVED, PRIORITY, {_pct(f"count_if({MEETS})", "count(*)")} AS Percent_Meeting_Target
+FROM enr WHERE is_resolved AND METHOD_RECEIVED IS NOT NULL AND PRIORITY IS NOT NULL GROUP BY ALL""", ("Percent_Meeting_Target",)),
+        "monthly_table": _sql(f"""SELECT strftime(date_trunc('month', CREATED_DATE), '%b %Y') AS month, CAST(count(*) AS BIGINT) AS request_count,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct, avg(resolution_hours) AS avg_resolution_hours,
+  {_pct("count_if(PRIORITY = 'HIGH')", "count(*)")} AS high_priority_pct
+FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY date_trunc('month', CREATED_DATE)""",
+            ("target_met_pct", "avg_resolution_hours", "high_priority_pct")),
+        "top_types": _sql(_counts_sql("SR_TYPE", "SR_TYPE IS NOT NULL") + f" ORDER BY count DESC, SR_TYPE LIMIT {K.TOP_TYPES}"),
     }
