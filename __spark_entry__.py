@@ -8,7 +8,6 @@ both sides so that summation-order noise does not break the value hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from servicepulse.functions import columns as C
 from servicepulse.operators import resolution, standardise as S
 from servicepulse.operators.classify import classify, enrich
 from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
-from servicepulse.session import ensure_checkpoint_dir
+from servicepulse.session import scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
 
@@ -70,7 +69,7 @@ def _grouped(df: DataFrame, *keys: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder under the session's (shared) checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/inputs/{what}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"input-{what}")
 
 
 def q_src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

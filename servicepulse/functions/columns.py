@@ -77,7 +77,8 @@ def canon_method(raw: Column, keep_email: bool = False, rules=None) -> Column:
         out = F.lit(_settled_label(label, i, rules, keep_email))
         expr = F.when(u.contains(key), out) if expr is None else expr.when(u.contains(key), out)
     fallback = F.when(u.isin(*labels), u).otherwise(F.lit(K.UNKNOWN_METHOD))
-    return expr.otherwise(fallback)
+    # coalesce makes the result provably non-null for the optimizer.
+    return F.coalesce(expr.otherwise(fallback), F.lit(K.UNKNOWN_METHOD))
 
 
 def to_double(c: Column) -> Column:

@@ -6,7 +6,8 @@ a large share of a 100 TB table that map is unbounded.  This operator gives
 the same exact result (linear interpolation between the two middle values,
 as pandas/DuckDB ``median``) with bounded per-task state:
 
-1. per group: count, min, max (plain partial aggregates);
+1. per group: count, min, max (plain partial aggregates -- usually computed
+   inside the caller's own report aggregate, see ``median_stats``);
 2. while a group has more than ``finish_at`` candidate rows, build a
    ``bins``-bucket equal-width histogram over its candidate range
    (``groupBy(group, bin)`` -- the hot group is spread over ``bins`` keys and
@@ -16,19 +17,20 @@ as pandas/DuckDB ``median``) with bounded per-task state:
    with a running sum inside each group (at most ``finish_at`` rows per
    group), and pick the two middle values.
 
-The small per-group state is checkpointed every round (lineage cut, and the
-state survives executor loss).  Several value columns are handled in one
-pass by stacking them under a measure key.
+The per-group state of each narrowing round is written to the shared
+checkpoint folder (lineage cut; the state survives executor loss).  Several
+value columns are handled in one pass by stacking them under a measure key.
 """
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence, Union
+from typing import Mapping, Optional, Sequence, Union
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
+from .topk import without_null_keys
 
 _M, _V = "__measure", "__value"
 _G = "__all"
@@ -36,6 +38,45 @@ _G = "__all"
 # Broadcast the per-group state only below this many groups (each state row
 # is a few numbers plus the key), otherwise use a shuffle join.
 BROADCAST_MAX_GROUPS = 200_000
+DEFAULT_BINS = 4096
+DEFAULT_FINISH_AT = 500_000
+
+
+def _col(v: Union[str, Column]) -> Column:
+    return F.col(f"`{v}`") if isinstance(v, str) else v
+
+
+def _clean(c: Column) -> Column:
+    """Double value with NaN treated as missing (as pandas does)."""
+    d = c.cast("double")
+    return F.when(~F.isnan(d), d)
+
+
+def stat_names(i: int) -> tuple[str, str, str]:
+    return f"__med{i}_n", f"__med{i}_lo", f"__med{i}_hi"
+
+
+def median_stats(values: Mapping[str, Union[str, Column]]) -> list[Column]:
+    """Aggregate columns (count, min, max per measure) to add to the caller's
+    own ``groupBy(...).agg(...)`` so the median needs no extra pass for them."""
+    out = []
+    for i, v in enumerate(values.values()):
+        x = _clean(_col(v))
+        n, lo, hi = stat_names(i)
+        out += [F.count(x).alias(n), F.min(x).alias(lo), F.max(x).alias(hi)]
+    return out
+
+
+def stats_from_aggregate(agg: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long (keys, measure, n, lo, hi) table from the ``median_stats``
+    columns of a per-group aggregate."""
+    gkeys = list(keys) if keys else [_G]
+    key_cols = [F.col(f"`{k}`") for k in keys] if keys else [F.lit(0).alias(_G)]
+    entries = []
+    for i, name in enumerate(names):
+        n, lo, hi = stat_names(i)
+        entries.append(F.struct(F.lit(name).alias(_M), F.col(n).alias("n"), F.col(lo).alias("lo"), F.col(hi).alias("hi")))
+    return agg.select(*key_cols, F.explode(F.array(*entries)).alias("s")).select(*gkeys, "s.*")
 
 
 def _state_join(data: DataFrame, state: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
@@ -48,50 +89,50 @@ def grouped_medians(
     keys: Sequence[str],
     values: Mapping[str, Union[str, Column]],
     *,
-    bins: int = 4096,
-    finish_at: int = 200_000,
+    stats: Optional[DataFrame] = None,
+    bins: int = DEFAULT_BINS,
+    finish_at: int = DEFAULT_FINISH_AT,
     max_rounds: int = 12,
 ) -> DataFrame:
     """Exact median of each value column per group.
 
     Returns one row per group with at least one non-null value of some
     measure: ``keys`` + one double column per entry of ``values``.  Rows
-    whose key has a NULL are ignored, as pandas ``groupby`` does.
+    whose key has a NULL are ignored, as pandas ``groupby`` does.  ``stats``
+    (from ``stats_from_aggregate`` over a materialized aggregate) supplies
+    count/min/max per group and measure; groups absent from it get no
+    median.  Without it they are computed here (one extra pass).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = list(keys)
     names = list(values)
     gkeys = keys if keys else [_G]
     cols = [F.col(f"`{k}`") for k in keys] if keys else [F.lit(0).alias(_G)]
-    vals = [(F.col(f"`{v}`") if isinstance(v, str) else v).cast("double").alias(n) for n, v in values.items()]
-    wide = df.select(*cols, *vals)
-    for k in keys:
-        wide = wide.where(F.col(f"`{k}`").isNotNull())
-    long = wide.unpivot(gkeys, names, _M, _V).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
+    vals = [_clean(_col(v)).alias(n) for n, v in values.items()]
+    wide = without_null_keys(df.select(*cols, *vals), keys)
+    long = wide.unpivot(gkeys, names, _M, _V).where(F.col(_V).isNotNull())
     G = gkeys + [_M]
 
-    state = (
-        long.groupBy(*G)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi"))
-        .select(
-            *G,
-            F.floor((F.col("n") - 1) / 2).alias("k1"),
-            F.ceil((F.col("n") - 1) / 2).alias("k2"),
-            "lo",
-            "hi",
-            F.lit(0).cast("long").alias("below"),
-            F.col("n").alias("cand"),
+    if stats is None:
+        stats = materialize(
+            long.groupBy(*G).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi")),
+            "median-stats",
         )
-        .checkpoint()
+    state = stats.where(F.col("n") > 0).select(
+        *G,
+        F.floor((F.col("n") - 1) / 2).alias("k1"),
+        F.ceil((F.col("n") - 1) / 2).alias("k2"),
+        "lo",
+        "hi",
+        F.lit(0).cast("long").alias("below"),
+        F.col("n").cast("long").alias("cand"),
     )
     done = (F.col("cand") <= finish_at) | (F.col("lo") == F.col("hi"))
-    n_groups = state.count()
+    n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~done)).first()
 
     for _ in range(max_rounds):
-        open_groups = state.where(~done)
-        if open_groups.isEmpty():
+        if not n_open:
             break
+        open_groups = state.where(~done)
         rng = F.col("hi") - F.col("lo")
         binned = (
             _state_join(long, open_groups, G, n_groups)
@@ -110,7 +151,8 @@ def grouped_medians(
             F.min("before").alias("below"),
             F.sum("c").alias("cand"),
         )
-        state = state.where(done).unionByName(narrowed.select(*state.columns)).checkpoint()
+        state = materialize(state.where(done).unionByName(narrowed.select(*state.columns)), "median-state")
+        n_open = state.where(~done).count()
 
     cand = _state_join(long, state, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
     counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.count(F.lit(1)).alias("c"))

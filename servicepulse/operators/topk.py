@@ -23,14 +23,27 @@ def order_desc_then_key(count_col: str, keys: Sequence[str]) -> list[Column]:
     return [F.col(count_col).desc()] + [F.col(f"`{k}`").asc_nulls_first() for k in keys]
 
 
+def without_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drop rows with a NULL in any of ``keys`` (pandas groupby semantics).
+
+    Only columns the schema marks nullable are tested: a filter on a
+    provably non-null derived column would otherwise be rewritten by the
+    optimizer into a large inferred predicate on the scan.
+    """
+    nullable = {f.name: f.nullable for f in df.schema.fields}
+    for k in keys:
+        if nullable.get(k, True):
+            df = df.where(F.col(f"`{k}`").isNotNull())
+    return df
+
+
 def counts(df: DataFrame, keys: Sequence[str], name: str = COUNT, drop_null_keys: bool = True) -> DataFrame:
     """Row count per key combination (pandas ``value_counts``/``size``).
 
     Rows with a NULL key are dropped first, as pandas does by default.
     """
     if drop_null_keys:
-        for k in keys:
-            df = df.where(F.col(f"`{k}`").isNotNull())
+        df = without_null_keys(df, keys)
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(name))
 
 

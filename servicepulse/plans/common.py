@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
-from ..operators.median import grouped_medians
+from ..operators.median import grouped_medians, median_stats, stat_names, stats_from_aggregate
 from ..roles import Roles, resolve_roles
+from ..session import materialize
 
 _ALL = "__all"
 
@@ -48,13 +49,25 @@ def created_ts(df: DataFrame) -> Column:
 
 
 def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: Mapping[str, Union[str, Column]]) -> DataFrame:
-    """Left-join exact medians of ``values`` (computed on ``df``) onto the
-    per-group table ``agg``; both sides hold one row per group."""
-    med = grouped_medians(df, keys, values)
+    """Add exact medians of ``values`` (computed on the rows of ``df``) to the
+    per-group table ``agg``.
+
+    ``agg`` must carry ``median_stats(values)`` among its aggregates: the
+    report's own pass then also yields each group's count/min/max, and the
+    median needs only its finishing pass over the rows.  ``agg`` is written
+    once to the checkpoint folder (it decides which groups -- e.g. a top-k --
+    get a median, so it must not be recomputed differently).
+    """
+    names = list(values)
+    agg = materialize(agg, "report")
+    med = grouped_medians(df, keys, values, stats=stats_from_aggregate(agg, keys, names))
+    stat_cols = [c for i in range(len(names)) for c in stat_names(i)]
     if keys:
-        return agg.join(med, on=list(keys), how="left")
-    one = agg.withColumn(_ALL, F.lit(0))
-    return one.join(med.withColumn(_ALL, F.lit(0)), on=_ALL, how="left").drop(_ALL)
+        out = agg.join(med, on=list(keys), how="left")
+    else:
+        one = agg.withColumn(_ALL, F.lit(0))
+        out = one.join(med.withColumn(_ALL, F.lit(0)), on=_ALL, how="left").drop(_ALL)
+    return out.drop(*stat_cols)
 
 
 def share_of_total(agg: DataFrame, count_col: str, out: str = "percent_of_total", total_col: Optional[str] = None) -> DataFrame:

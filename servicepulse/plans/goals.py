@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
+from ..operators import topk as TK
+from ..operators.median import median_stats
 from .common import attach_medians, created_ts, hours, order_by_priority, ratio, require_columns
 
 
 def _goal_table(df: DataFrame, key: str) -> DataFrame:
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+    meds = {"median_resolution_hours": hours()}
+    agg = TK.without_null_keys(df, [key]).groupBy(key).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.avg(K.HOURS_COL).alias("avg_resolution_hours"),
         A.met_count(ratio()).alias("target_met_count"),
         A.met_pct(ratio()).alias("target_met_pct"),
         F.avg(K.RATIO_COL).alias("avg_performance_ratio"),
+        *median_stats(meds),
     )
-    out = attach_medians(agg, df, [key], {"median_resolution_hours": K.HOURS_COL})
+    out = attach_medians(agg, df, [key], meds)
     return out.select(
         key,
         "total_requests",
@@ -54,7 +58,7 @@ def priority_by_method(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("count")]
     if K.RATIO_COL in df.columns:
         aggs += [F.avg(K.RATIO_COL).alias("avg_performance_ratio"), A.met_pct(ratio()).alias("target_met_pct")]
-    agg = df.where(F.col(K.METHOD_COL).isNotNull() & F.col(K.PRIORITY_COL).isNotNull()).groupBy(*keys).agg(*aggs)
+    agg = TK.without_null_keys(df, keys).groupBy(*keys).agg(*aggs)
     total = F.sum("count").over(Window.partitionBy(K.METHOD_COL))
     out = agg.withColumn("count_total", total).withColumn("percentage", A.pct(F.col("count"), F.col("count_total")))
     cols = [*keys, "count", "count_total", "percentage"] + (["avg_performance_ratio", "target_met_pct"] if K.RATIO_COL in df.columns else [])
@@ -65,6 +69,7 @@ def performance_over_time(df: DataFrame) -> DataFrame:
     """Per created month: volume, mean/median hours, met %, HIGH share %."""
     ts = created_ts(df)
     with_month = df.withColumn("__month_date", C.month_start(ts)).where(F.col("__month_date").isNotNull())
+    meds = {"median_resolution_hours": hours()}
     aggs = [
         F.count(F.lit(1)).alias("request_count"),
         F.avg(K.HOURS_COL).alias("avg_resolution_hours"),
@@ -72,8 +77,8 @@ def performance_over_time(df: DataFrame) -> DataFrame:
     ]
     if K.PRIORITY_COL in df.columns:
         aggs.append(A.rate(F.col(K.PRIORITY_COL) == F.lit("HIGH")).alias("high_priority_pct"))
-    agg = with_month.groupBy("__month_date").agg(*aggs)
-    out = attach_medians(agg, with_month, ["__month_date"], {"median_resolution_hours": K.HOURS_COL})
+    agg = with_month.groupBy("__month_date").agg(*aggs, *median_stats(meds))
+    out = attach_medians(agg, with_month, ["__month_date"], meds)
     cols = ["request_count", "avg_resolution_hours", "median_resolution_hours", "target_met_pct"]
     if K.PRIORITY_COL in df.columns:
         cols.append("high_priority_pct")

@@ -18,7 +18,7 @@ from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
-from ..operators.median import grouped_medians
+from ..operators.median import median_stats
 from .common import attach_medians, created_ts, hours, ratio, resolved, roles_of, share_of_total, type_col, zip_col
 from .metrics import performance_metrics
 
@@ -34,6 +34,7 @@ def type_detail(df: DataFrame, request_type: str) -> DataFrame:
     t = type_col(df)
     sel = C.qcol(t) == F.lit(request_type)
     sel_res = sel & resolved()
+    meds = {"median_resolution_hours": F.when(sel_res, hours())}
     base = df.agg(
         F.count_if(sel).alias("count"),
         F.count(F.lit(1)).alias("__total"),
@@ -41,8 +42,9 @@ def type_detail(df: DataFrame, request_type: str) -> DataFrame:
         A.avg_where(hours(), sel_res).alias("avg_resolution_hours"),
         F.max(F.when(sel, F.col(K.TARGET_COL))).alias("target_hours"),
         A.met_count(ratio(), sel_res).alias("__met"),
+        *median_stats(meds),
     ).where(F.col("count") > 0)
-    out = attach_medians(base, df.where(sel_res), [], {"median_resolution_hours": K.HOURS_COL})
+    out = attach_medians(base, df, [], meds)
     return out.select(
         F.lit(request_type).alias("request_type"),
         "count",
@@ -84,7 +86,7 @@ def zip_performance(df: DataFrame, k: int = K.TOP_ZIPS) -> DataFrame:
     """Mean ratio and met % over resolved rows for the top-k zips by volume;
     zips without a resolved row are left out.  One aggregate, then top-k."""
     z = zip_col(df)
-    agg = df.where(C.qcol(z).isNotNull()).groupBy(C.qcol(z)).agg(
+    agg = TK.without_null_keys(df, [z]).groupBy(C.qcol(z)).agg(
         F.count(F.lit(1)).alias("count"),
         F.count_if(resolved()).alias("__resolved"),
         A.avg_where(ratio(), resolved()).alias("avg_performance_ratio"),
@@ -98,10 +100,10 @@ def _top_keys_within_top_groups(df: DataFrame, group: str, key: str, k_groups: i
     the top ``k_groups`` groups.  One pass over the rows: the group totals
     are summed from the aggregated pairs (rows with a NULL key still count
     towards their group's volume)."""
-    pairs = TK.counts(df.where(C.qcol(group).isNotNull()), [group, key], drop_null_keys=False)
+    pairs = TK.counts(TK.without_null_keys(df, [group]), [group, key], drop_null_keys=False)
     totals = pairs.groupBy(group).agg(F.sum("count").alias("count"))
     top = TK.top_k(totals, group, k_groups)
-    kept = TK.semi_join_small(pairs.where(C.qcol(key).isNotNull()), top, [group])
+    kept = TK.semi_join_small(TK.without_null_keys(pairs, [key]), top, [group])
     return TK.top_k_per_group(kept, group, key, k_keys)
 
 
@@ -152,21 +154,21 @@ def season_performance(df: DataFrame) -> DataFrame:
 def _compare(df: DataFrame, key: str, k: Optional[int] = None) -> DataFrame:
     """Per key: count, share of all rows, mean/median hours, resolution
     rate, mean ratio, met % -- all rows.  With ``k`` only the top-k keys by
-    volume are kept (the share still uses every row as denominator)."""
+    volume are kept (the share still uses every row as denominator); the
+    median's finishing pass then only keeps rows of those groups."""
+    meds = {"median_resolution_hours": hours()}
     agg = df.groupBy(C.qcol(key)).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(K.HOURS_COL).alias("avg_resolution_hours"),
         A.rate(resolved()).alias("resolution_rate"),
         F.avg(K.RATIO_COL).alias("avg_performance_ratio"),
         A.met_pct(ratio()).alias("percent_meeting_target"),
+        *median_stats(meds),
     )
-    agg = share_of_total(agg, "count").where(C.qcol(key).isNotNull())
+    agg = TK.without_null_keys(share_of_total(agg, "count"), [key])
     if k is not None:
         agg = TK.top_k(agg, key, k)
-        med_input = TK.semi_join_small(df, agg, [key])
-    else:
-        med_input = df
-    out = attach_medians(agg, med_input, [key], {"median_resolution_hours": K.HOURS_COL})
+    out = attach_medians(agg, df, [key], meds)
     return out.select(
         key, "count", "percent_of_total", "avg_resolution_hours", "median_resolution_hours", "resolution_rate",
         "avg_performance_ratio", "percent_meeting_target",
@@ -221,11 +223,11 @@ def numeric_profile(df: DataFrame, max_columns: int = K.PROFILE_NUMERIC_COLUMNS)
     if not cols:
         raise ValueError("no numeric column")
     stacked = df.select(*[C.qcol(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
+    meds = {"median": "value"}
     stats = stacked.groupBy("column_name").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), *median_stats(meds)
     )
-    med = grouped_medians(stacked, ["column_name"], {"median": "value"})
-    return stats.join(med, "column_name", "left").select("column_name", "mean", "median", "min", "max")
+    return attach_medians(stats, stacked, ["column_name"], meds).select("column_name", "mean", "median", "min", "max")
 
 
 def categorical_profile(df: DataFrame, max_columns: int = K.PROFILE_CATEGORICAL_COLUMNS, k: int = K.PROFILE_TOP_VALUES) -> DataFrame:

@@ -14,19 +14,22 @@ from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as T
+from ..operators.median import median_stats
 from .common import attach_medians, created_ts, hours, ratio, resolved, roles_of, type_col, zip_col
 
 
 def overall_metrics(df: DataFrame) -> DataFrame:
     """One row: totals, resolution rate, met % / mean / median over resolved."""
+    meds = {"median_resolution_hours": F.when(resolved(), hours())}
     base = df.agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(resolved()).alias("resolved_requests"),
         A.rate(resolved()).alias("resolution_rate"),
         A.met_pct(ratio(), resolved(), empty_value=0.0).alias("percent_meeting_target"),
         A.avg_where(hours(), resolved()).alias("avg_resolution_hours"),
+        *median_stats(meds),
     )
-    return attach_medians(base, df.where(resolved()), [], {"median_resolution_hours": K.HOURS_COL})
+    return attach_medians(base, df, [], meds)
 
 
 def status_counts(df: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def _profile(df: DataFrame, key: str, with_target: bool) -> DataFrame:
     if with_target:
         aggs.append(F.max(K.TARGET_COL).alias("target_hours"))
     aggs.append(A.met_pct(ratio(), resolved(), empty_value=0.0).alias("percent_meeting_target"))
-    return df.where(C.qcol(key).isNotNull()).groupBy(C.qcol(key)).agg(*aggs)
+    return T.without_null_keys(df, [key]).groupBy(C.qcol(key)).agg(*aggs)
 
 
 def type_profile(df: DataFrame, k: int = K.TOP_TYPES) -> DataFrame:

@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
+from ..operators.median import median_stats
 from .common import attach_medians, order_by_priority, ratio, require_columns, resolved, type_col
 
 _PRIOS = list(K.PRIORITY_ORDER)
@@ -58,10 +59,12 @@ def performance_by_method(df: DataFrame, min_count: int = K.MIN_METHOD_COUNT) ->
     """Mean/median ratio and non-null ratio count per method; methods with
     more than ``min_count`` ratios only; by count desc."""
     require_columns(df, K.METHOD_COL, K.RATIO_COL)
-    agg = df.groupBy(K.METHOD_COL).agg(F.avg(K.RATIO_COL).alias("mean_performance_ratio"), F.count(K.RATIO_COL).alias("Count"))
+    meds = {"median_performance_ratio": ratio()}
+    agg = TK.without_null_keys(df, [K.METHOD_COL]).groupBy(K.METHOD_COL).agg(
+        F.avg(K.RATIO_COL).alias("mean_performance_ratio"), F.count(K.RATIO_COL).alias("Count"), *median_stats(meds)
+    )
     agg = agg.where(F.col("Count") > min_count)
-    med_input = TK.semi_join_small(df, agg, [K.METHOD_COL])
-    out = attach_medians(agg, med_input, [K.METHOD_COL], {"median_performance_ratio": K.RATIO_COL})
+    out = attach_medians(agg, df, [K.METHOD_COL], meds)
     return out.select(
         F.col(K.METHOD_COL).alias("Method"), "mean_performance_ratio", "median_performance_ratio", "Count"
     ).orderBy(F.col("Count").desc(), F.col("Method"))
@@ -71,13 +74,15 @@ def priority_performance(df: DataFrame) -> DataFrame:
     """Per priority: mean/median ratio and hours, count, met %, and the
     displayed score (met % at one decimal)."""
     require_columns(df, K.PRIORITY_COL, K.RATIO_COL)
-    agg = df.groupBy(K.PRIORITY_COL).agg(
+    meds = {"median_performance": ratio(), "median_resolution_hours": F.col(K.HOURS_COL)}
+    agg = TK.without_null_keys(df, [K.PRIORITY_COL]).groupBy(K.PRIORITY_COL).agg(
         F.avg(K.RATIO_COL).alias("avg_performance"),
         F.avg(K.HOURS_COL).alias("avg_resolution_hours"),
         F.count(F.lit(1)).alias("count"),
         A.met_pct(ratio()).alias("target_met_pct"),
+        *median_stats(meds),
     )
-    out = attach_medians(agg, df, [K.PRIORITY_COL], {"median_performance": K.RATIO_COL, "median_resolution_hours": K.HOURS_COL})
+    out = attach_medians(agg, df, [K.PRIORITY_COL], meds)
     return order_by_priority(out.select(
         K.PRIORITY_COL, "avg_performance", "median_performance", "avg_resolution_hours", "median_resolution_hours",
         "count", "target_met_pct", F.round("target_met_pct", 1).alias("performance_score"),
@@ -110,10 +115,12 @@ def type_priority_grid(df: DataFrame, k: int = K.GRID_TYPES) -> DataFrame:
     top = TK.top_k(TK.counts(df, [t]), t, k)
     rows = TK.semi_join_small(df, top, [t]).where(F.col(K.PRIORITY_COL).isin(*_PRIOS))
     cell = [t, K.PRIORITY_COL]
+    meds = {"median_perf": ratio()}
     agg = rows.groupBy(*cell).agg(
-        F.avg(K.RATIO_COL).alias("avg_perf"), A.met_pct(ratio()).alias("target_met"), F.count(K.RATIO_COL).alias("count")
+        F.avg(K.RATIO_COL).alias("avg_perf"), A.met_pct(ratio()).alias("target_met"), F.count(K.RATIO_COL).alias("count"),
+        *median_stats(meds),
     )
-    agg = attach_medians(agg, rows, cell, {"median_perf": K.RATIO_COL})
+    agg = attach_medians(agg, rows, cell, meds)
     grid = top.select(t, F.explode(F.array(*[F.lit(p) for p in _PRIOS])).alias(K.PRIORITY_COL))
     out = grid.join(agg, on=cell, how="left")
     return out.select(
@@ -125,7 +132,7 @@ def method_priority_share(df: DataFrame) -> DataFrame:
     """Row-normalised method x priority crosstab in %, all four priorities
     (missing as 0), long form, methods by HIGH share desc."""
     require_columns(df, K.METHOD_COL, K.PRIORITY_COL)
-    rows = df.where(F.col(K.METHOD_COL).isNotNull() & F.col(K.PRIORITY_COL).isNotNull())
+    rows = TK.without_null_keys(df, [K.METHOD_COL, K.PRIORITY_COL])
     # One aggregate: the row total (over every priority value present) and
     # the count of each of the four priorities.
     wide = rows.groupBy(K.METHOD_COL).agg(
@@ -140,7 +147,7 @@ def method_priority_share(df: DataFrame) -> DataFrame:
 def method_priority_met(df: DataFrame) -> DataFrame:
     """Met % per observed (method, priority) pair over resolved rows."""
     require_columns(df, K.METHOD_COL, K.PRIORITY_COL, K.RATIO_COL)
-    rows = df.where(resolved() & F.col(K.METHOD_COL).isNotNull() & F.col(K.PRIORITY_COL).isNotNull())
+    rows = TK.without_null_keys(df.where(resolved()), [K.METHOD_COL, K.PRIORITY_COL])
     out = rows.groupBy(K.METHOD_COL, K.PRIORITY_COL).agg(A.met_pct(ratio()).alias("Percent_Meeting_Target"))
     return out.orderBy(K.METHOD_COL, C.priority_rank(F.col(K.PRIORITY_COL)))
 
