@@ -13,6 +13,9 @@ as pandas/DuckDB ``median``) with bounded per-task state:
    (``groupBy(group, bin)`` -- the hot group is spread over ``bins`` keys and
    pre-aggregated map-side), keep only the bucket(s) holding the middle
    ranks and shrink the range to their real min/max;
+   When the two middle ranks fall in two different buckets they are the
+   lower bucket's max and the upper bucket's min, and the group is done;
+   a range of one value is done as well;
 3. finish: collapse the remaining candidates to (value, count), rank them
    with a running sum inside each group (at most ``finish_at`` rows per
    group), and pick the two middle values.
@@ -117,6 +120,9 @@ def grouped_medians(
             long.groupBy(*G).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi")),
             "median-stats",
         )
+    # State per (group, measure): target ranks k1 <= k2, candidate value
+    # range [lo, hi] holding ``cand`` rows with ``below`` rows under it, and
+    # the two middle values v1/v2 once they are known.
     state = stats.where(F.col("n") > 0).select(
         *G,
         F.floor((F.col("n") - 1) / 2).alias("k1"),
@@ -125,8 +131,11 @@ def grouped_medians(
         "hi",
         F.lit(0).cast("long").alias("below"),
         F.col("n").cast("long").alias("cand"),
+        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v1"),
+        F.when(F.col("lo") == F.col("hi"), F.col("hi")).alias("v2"),
     )
-    done = (F.col("cand") <= finish_at) | (F.col("lo") == F.col("hi"))
+    known = F.col("v1").isNotNull()
+    done = known | (F.col("cand") <= finish_at)
     n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~done)).first()
 
     for _ in range(max_rounds):
@@ -135,7 +144,7 @@ def grouped_medians(
         open_groups = state.where(~done)
         rng = F.col("hi") - F.col("lo")
         binned = (
-            _state_join(long, open_groups, G, n_groups)
+            _state_join(long, open_groups.drop("v1", "v2"), G, n_groups)
             .where(F.col(_V).between(F.col("lo"), F.col("hi")))
             .withColumn("bin", F.least(F.floor((F.col(_V) - F.col("lo")) / rng * bins), F.lit(bins - 1)).cast("int"))
         )
@@ -150,19 +159,30 @@ def grouped_medians(
             F.max("bmax").alias("hi"),
             F.min("before").alias("below"),
             F.sum("c").alias("cand"),
+            F.count(F.lit(1)).alias("nbins"),
+            F.min_by("bmax", "bin").alias("a_max"),
+            F.max_by("bmin", "bin").alias("b_min"),
         )
-        state = materialize(state.where(done).unionByName(narrowed.select(*state.columns)), "median-state")
+        # Two bins picked: k1 is the last rank of the lower bin and k2 the
+        # first rank of the upper one, so the middle values are known.
+        narrowed = narrowed.select(
+            *G, "k1", "k2", "lo", "hi", "below", "cand",
+            F.when(F.col("nbins") == 2, F.col("a_max")).when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v1"),
+            F.when(F.col("nbins") == 2, F.col("b_min")).when(F.col("lo") == F.col("hi"), F.col("hi")).alias("v2"),
+        )
+        state = materialize(state.where(done).unionByName(narrowed), "median-state")
         n_open = state.where(~done).count()
 
-    cand = _state_join(long, state, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
+    todo = state.where(~known).drop("v1", "v2")
+    cand = _state_join(long, todo, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
     counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*G).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
     lo_v = F.max(F.when((F.col("start") <= F.col("k1")) & (F.col("k1") < F.col("end")), F.col(_V)))
     hi_v = F.max(F.when((F.col("start") <= F.col("k2")) & (F.col("k2") < F.col("end")), F.col(_V)))
-    med = ranked.groupBy(*G).agg(lo_v.alias("v1"), hi_v.alias("v2")).select(
-        *G, (F.col("v1") + (F.col("v2") - F.col("v1")) * F.lit(0.5)).alias("__median")
-    )
+    finished = ranked.groupBy(*G).agg(lo_v.alias("v1"), hi_v.alias("v2"))
+    both = state.where(known).select(*G, "v1", "v2").unionByName(finished)
+    med = both.select(*G, (F.col("v1") + (F.col("v2") - F.col("v1")) * F.lit(0.5)).alias("__median"))
     out = med.groupBy(*gkeys).pivot(_M, names).agg(F.first("__median"))
     return out.drop(_G) if not keys else out
 

@@ -14,9 +14,6 @@ from ..operators.median import grouped_medians, median_stats, stat_names, stats_
 from ..roles import Roles, resolve_roles
 from ..session import materialize
 
-_ALL = "__all"
-
-
 def roles_of(df: DataFrame) -> Roles:
     return resolve_roles(df.columns)
 
@@ -63,11 +60,17 @@ def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: M
     med = grouped_medians(df, keys, values, stats=stats_from_aggregate(agg, keys, names))
     stat_cols = [c for i in range(len(names)) for c in stat_names(i)]
     if keys:
-        out = agg.join(med, on=list(keys), how="left")
-    else:
-        one = agg.withColumn(_ALL, F.lit(0))
-        out = one.join(med.withColumn(_ALL, F.lit(0)), on=_ALL, how="left").drop(_ALL)
-    return out.drop(*stat_cols)
+        return agg.join(med, on=list(keys), how="left").drop(*stat_cols)
+    # No key: both sides hold at most one row.  Combine them with a union and
+    # a global aggregate instead of a (constant-key) join.
+    base = agg.drop(*stat_cols)
+    types = dict(base.dtypes)
+    left = base.select("*", *[F.lit(None).cast("double").alias(n) for n in names], F.lit(1).alias("__from_agg"))
+    right = med.select(*[F.lit(None).cast(types[c]).alias(c) for c in base.columns], *names, F.lit(None).cast("int").alias("__from_agg"))
+    both = left.unionByName(right)
+    cols = base.columns + names
+    out = both.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in cols], F.count("__from_agg").alias("__n"))
+    return out.where(F.col("__n") > 0).drop("__n")
 
 
 def share_of_total(agg: DataFrame, count_col: str, out: str = "percent_of_total", total_col: Optional[str] = None) -> DataFrame:

@@ -33,16 +33,30 @@ def _case_by_index(idx: Column, labels) -> Column:
     return expr
 
 
+# Read schemas of the two tables (FIXTURES.md §4): no inference pass.
+LINEITEM_SCHEMA = (
+    "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ"
+)
+ORDERS_SCHEMA = (
+    "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+    "o_orderpriority STRING"
+)
+
+
 def requests_from_tables(spark: SparkSession, sf_dir: str, emergency_flag: bool = False) -> DataFrame:
     """Ticket table over ``lineitem`` joined to ``orders`` (whole tables).
 
     With ``emergency_flag`` the table carries an ``IS_EMERGENCY`` yes/no
     column instead of ``SR_PRIORITY`` (to exercise priority inference).
+    The join is an equi-join on the order key; Spark picks broadcast or
+    shuffle from the table sizes (at scale both are fact tables).
     """
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    li = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate"
     )
-    od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+    od = spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     is_open = (F.col("l_linestatus") == "O") & (F.col("l_orderkey") % 3 == 0)
     prio = None
