@@ -31,10 +31,9 @@ def canon_priority(raw: Column, mapping: Optional[dict] = None) -> Column:
     """
     mapping = mapping or K.PRIORITY_MAP
     u = F.upper(as_text(raw))
-    expr = None
-    for key, val in mapping.items():
-        expr = (F.when(u == F.lit(key), F.lit(val))) if expr is None else expr.when(u == F.lit(key), F.lit(val))
-    return expr.otherwise(F.lit(K.DEFAULT_PRIORITY))
+    # One lookup in a literal map (compact generated code) instead of a CASE.
+    lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.coalesce(F.try_element_at(lookup, u), F.lit(K.DEFAULT_PRIORITY))
 
 
 def infer_priority(flags: Sequence[Column]) -> Column:

@@ -183,7 +183,7 @@ def grouped_medians(
     finished = ranked.groupBy(*G).agg(lo_v.alias("v1"), hi_v.alias("v2"))
     both = state.where(known).select(*G, "v1", "v2").unionByName(finished)
     med = both.select(*G, (F.col("v1") + (F.col("v2") - F.col("v1")) * F.lit(0.5)).alias("__median"))
-    out = med.groupBy(*gkeys).pivot(_M, names).agg(F.first("__median"))
+    out = med.groupBy(*gkeys).agg(*[F.max(F.when(F.col(_M) == F.lit(n), F.col("__median"))).alias(n) for n in names])
     return out.drop(_G) if not keys else out
 
 

@@ -135,8 +135,10 @@ def standardise(
         out.append(col)
     out.append(priority_column(roles, priority_map).alias(K.PRIORITY_COL))
     out.append(method_column(roles, keep_email).alias(K.METHOD_COL))
+    df = df.select(*out)
     if coords:
-        lat = C.to_double(C.qcol(roles.latitude))
-        lon = C.to_double(C.qcol(roles.longitude))
-        out.append(C.valid_coords(lat, lon, box).alias(K.VALID_COORDS_COL))
-    return df.select(*out)
+        # A second projection over the converted coordinates: each text
+        # value is parsed once per row, not once per comparison.
+        lat, lon = C.qcol(roles.latitude), C.qcol(roles.longitude)
+        df = df.withColumn(K.VALID_COORDS_COL, C.valid_coords(lat, lon, box))
+    return df

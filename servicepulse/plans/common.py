@@ -73,17 +73,17 @@ def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: M
     return out.where(F.col("__n") > 0).drop("__n")
 
 
-def share_of_total(agg: DataFrame, count_col: str, out: str = "percent_of_total", total_col: Optional[str] = None) -> DataFrame:
+def share_of_total(agg: DataFrame, count_col: str, out: str = "percent_of_total") -> DataFrame:
     """Percentage of each group's count in the sum over all groups.
 
     ``agg`` is an aggregated table (one row per group, NULL-key group
-    included so the denominator counts every row); the window without a
-    partition runs over those per-group rows only.
+    included so the denominator counts every row).  It is written once to
+    the checkpoint folder; the total is one scalar summed from it, so no
+    step gathers the groups into a single task.
     """
-    total = F.sum(F.col(count_col)).over(Window.partitionBy())
-    tot_name = total_col or "__total"
-    res = agg.withColumn(tot_name, total).withColumn(out, A.pct(F.col(count_col), F.col(tot_name)))
-    return res if total_col else res.drop(tot_name)
+    agg = materialize(agg, "groups")
+    total = agg.agg(F.sum(F.col(count_col))).first()[0] or 0
+    return agg.withColumn(out, A.pct(F.col(count_col), F.lit(total).cast("long")))
 
 
 def order_by_priority(df: DataFrame, *extra: Column, col: str = K.PRIORITY_COL) -> DataFrame:

@@ -26,11 +26,10 @@ METHOD_BY_SUPP_MOD11 = (
 
 
 def _case_by_index(idx: Column, labels) -> Column:
-    expr = None
-    for i, lab in enumerate(labels):
-        val = F.lit(lab).cast("string")
-        expr = F.when(idx == i, val) if expr is None else expr.when(idx == i, val)
-    return expr
+    """Label at position ``idx`` (0-based) of a fixed list, by one lookup in
+    a literal array rather than a CASE per position."""
+    arr = F.array(*[F.lit(lab).cast("string") for lab in labels])
+    return F.try_element_at(arr, (idx + 1).cast("int"))
 
 
 # Read schemas of the two tables (FIXTURES.md §4): no inference pass.
