@@ -42,7 +42,9 @@ _G = "__all"
 # is a few numbers plus the key), otherwise use a shuffle join.
 BROADCAST_MAX_GROUPS = 200_000
 DEFAULT_BINS = 4096
-DEFAULT_FINISH_AT = 500_000
+# At most this many candidate rows per group reach the final ranking window
+# (one task per group; the window buffer spills beyond memory).
+DEFAULT_FINISH_AT = 1_000_000
 
 
 def _col(v: Union[str, Column]) -> Column:

@@ -20,11 +20,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# The enrichment fuses many CASE expressions into one whole-stage-codegen
-# method; HotSpot does not JIT-compile methods above 8000 bytes of bytecode
-# unless told to, and the stage would then run interpreted (about 2x slower
-# here).  On a cluster pass the same flag in spark.executor.extraJavaOptions.
-JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+# Optional JVM options for the local JVM (empty by default).  For very wide
+# fused projections on long-running executors, "-XX:-DontCompileHugeMethods"
+# lets HotSpot JIT-compile generated methods above 8000 bytes; on short local
+# queries it costs more compile time than it saves.
+JVM_OPTIONS = os.environ.get("SERVICEPULSE_JVM_OPTIONS", "")
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "servicepulse", extra: dict | None = None) -> SparkSession:
@@ -33,8 +33,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("SERVICEPULSE_DRIVER_MEMORY", "16g")
-    conf["spark.driver.extraJavaOptions"] = JVM_OPTIONS
-    conf["spark.executor.extraJavaOptions"] = JVM_OPTIONS
+    if JVM_OPTIONS:
+        conf["spark.driver.extraJavaOptions"] = JVM_OPTIONS
+        conf["spark.executor.extraJavaOptions"] = JVM_OPTIONS
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
