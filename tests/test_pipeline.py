@@ -110,3 +110,20 @@ def test_payload_json_nulls(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), "x")], "a double, b string")
     out = [r.json for r in to_json_lines(df).collect()]
     assert out == ['{"a":1.0,"b":null}', '{"a":null,"b":"x"}']
+
+
+def test_analyze_returns_enriched_and_metrics(spark):
+    from servicepulse import analyze
+    raw = requests_from_tables(spark, SF001)
+    enriched, m = analyze(raw, as_of=AS_OF)
+    assert K.CATEGORY_COL in enriched.columns
+    assert {"overall", "performance_categories", "status_counts", "request_types", "zipcode_metrics",
+            "monthly_counts", "monthly_performance"} <= set(m)
+    assert m["overall"].first().total_requests == 6000
+
+
+def test_payload_sections(enriched001):
+    from servicepulse.plans.payload import payload
+    out = payload({"overall": metrics.overall_metrics(enriched001), "categories": metrics.category_counts(enriched001)})
+    sections = [r.section for r in out.collect()]
+    assert sections.count("overall") == 1 and sections.count("categories") == 8
