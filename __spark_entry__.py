@@ -88,7 +88,7 @@ def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "features")
     raw = _raw(spark, sf_dir)
     attrs = [c for c in raw.columns if c not in ("latitude", "longitude")]
-    millis = {c: F.unix_millis(F.col(c).cast("timestamp")) for c in ("CREATED_DATE", "CLOSED_DATE")}
+    millis = {c: C.ntz_to_epoch_millis(F.col(c)) for c in ("CREATED_DATE", "CLOSED_DATE")}
     feature = F.struct(
         F.struct(*[(millis[c] if c in millis else F.col(c)).alias(c) for c in attrs]).alias("attributes"),
         F.struct(C.to_double(F.col("longitude")).alias("x"), C.to_double(F.col("latitude")).alias("y")).alias("geometry"),

@@ -149,6 +149,20 @@ def season_rank(season_col: Column) -> Column:
     return expr.otherwise(F.lit(len(K.SEASONS)))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_millis_to_ntz(ms: Column) -> Column:
+    """Epoch milliseconds as a zone-less timestamp (UTC wall clock), by
+    timestamp arithmetic -- independent of the session time zone."""
+    return F.timestamp_add("MILLISECOND", ms.cast("long"), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+def ntz_to_epoch_millis(ts: Column) -> Column:
+    """Inverse of ``epoch_millis_to_ntz`` (zone-independent)."""
+    return F.timestamp_diff("MILLISECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)
+
+
 def month_label(ts: Column) -> Column:
     """Calendar month of a timestamp as ``yyyy-MM`` (NULL stays NULL)."""
     return F.date_format(ts, "yyyy-MM")

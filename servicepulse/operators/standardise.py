@@ -60,7 +60,7 @@ def coerce_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] = DEFA
         parsed += [F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
         return F.coalesce(*parsed)
     if isinstance(dtype, (T.LongType, T.IntegerType)) and epoch_millis:
-        return F.timestamp_millis(c.cast("long")).cast("timestamp_ntz")
+        return C.epoch_millis_to_ntz(c)
     return c
 
 

@@ -46,22 +46,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint directory for ``DataFrame.checkpoint``.
+    """Checkpoint directory (shared folder) for lineage cuts.
 
     Uses the directory the session already has, else ``spark.checkpoint.dir``
     from the configuration.  Only a local-mode session (tests, laptop) gets a
     fresh temporary directory; on a cluster an unset directory is an error,
     because a machine-local folder would not survive executor loss.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
+        if sc is None:
+            return configured
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (needed to cut lineage reliably)")
     path = tempfile.mkdtemp(prefix="servicepulse-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
