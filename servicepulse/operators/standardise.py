@@ -2,8 +2,8 @@
 empty rows and missing request types.
 
 Every step is a per-row native expression over the resolved column roles;
-the whole transform is a single projection (plus one filter), so it fuses
-into the scan's whole-stage-codegen stage and never shuffles.
+the transform is a filter and two projections, which fuse into the scan's
+whole-stage-codegen stage and never shuffle.
 """
 
 from __future__ import annotations

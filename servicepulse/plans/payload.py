@@ -31,6 +31,15 @@ def to_json_lines(df: DataFrame, name: str = "json") -> DataFrame:
     return clean.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in clean.columns]), {"ignoreNullFields": "false"}).alias(name))
 
 
+def count_map(long: DataFrame, key: str, name_col: str, count_col: str = "count", out: str = "counts") -> DataFrame:
+    """Nested form of a (key, name, count) table: one row per key with a
+    ``{name: count}`` map, as the summary payload nests category counts
+    inside each request type.  Each map gathers the distinct names of one
+    key (e.g. the eight categories), never raw rows."""
+    entries = F.collect_list(F.struct(F.col(f"`{name_col}`").cast("string").alias("k"), F.col(f"`{count_col}`").alias("v")))
+    return long.where(F.col(f"`{name_col}`").isNotNull()).groupBy(key).agg(F.map_from_entries(entries).alias(out))
+
+
 def payload(tables: dict[str, DataFrame]) -> DataFrame:
     """(section, json) rows for a dict of result tables."""
     parts = [to_json_lines(df).select(F.lit(section).alias("section"), "json") for section, df in tables.items()]

@@ -127,3 +127,20 @@ def test_payload_sections(enriched001):
     out = payload({"overall": metrics.overall_metrics(enriched001), "categories": metrics.category_counts(enriched001)})
     sections = [r.section for r in out.collect()]
     assert sections.count("overall") == 1 and sections.count("categories") == 8
+
+
+def test_crosstab_drops_absent_priority_and_share_fills_zero(spark):
+    rows = [("Pothole", "1"), ("Pothole", "1"), ("Tree", "2"), ("Tree", "1")]
+    df = enrich(spark.createDataFrame(rows, "SR_TYPE string, SR_PRIORITY string"), as_of="2025-01-01")
+    ct = {(r.SR_TYPE, r.Priority): r.Count for r in reports.priority_by_type(df).collect()}
+    # only HIGH and MEDIUM occur, so only those columns exist (zeros filled)
+    assert ct == {("Pothole", "HIGH"): 2, ("Pothole", "MEDIUM"): 0, ("Tree", "HIGH"): 1, ("Tree", "MEDIUM"): 1}
+    share = {(r.METHOD_RECEIVED, r.PRIORITY): r.Percentage for r in reports.method_priority_share(df).collect()}
+    assert share == {("UNKNOWN", "HIGH"): 75.0, ("UNKNOWN", "MEDIUM"): 25.0, ("UNKNOWN", "NORMAL"): 0.0, ("UNKNOWN", "LOW"): 0.0}
+
+
+def test_count_map(enriched001):
+    from servicepulse.plans.payload import count_map
+    nested = count_map(metrics.type_category_counts(enriched001), "SR_TYPE", K.CATEGORY_COL).collect()
+    assert len(nested) == 10
+    assert all(sum(r.counts.values()) > 0 for r in nested)
