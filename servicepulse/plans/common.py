@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Optional, Sequence, Union
+from typing import Mapping, Sequence, Union
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
-from ..operators.median import grouped_medians, median_stats, stat_names, stats_from_aggregate
+from ..operators.median import grouped_medians, stat_names, stats_from_aggregate
+from ..operators.standardise import coerce_timestamp
 from ..roles import Roles, resolve_roles
 from ..session import materialize
 
+
 def roles_of(df: DataFrame) -> Roles:
     return resolve_roles(df.columns)
 
@@ -42,7 +44,8 @@ def created_ts(df: DataFrame) -> Column:
     r = roles_of(df)
     if r.created is None:
         raise ValueError("no creation-date column")
-    return C.qcol(r.created).cast("timestamp_ntz")
+    dtype = df.schema[r.created].dataType
+    return coerce_timestamp(C.qcol(r.created), dtype, epoch_millis=True)
 
 
 def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: Mapping[str, Union[str, Column]]) -> DataFrame:

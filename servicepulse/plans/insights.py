@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
 from ..operators.median import median_stats
-from .common import attach_medians, created_ts, hours, ratio, resolved, roles_of, share_of_total, type_col, zip_col
+from .common import attach_medians, created_ts, hours, ratio, resolved, share_of_total, type_col, zip_col
 from .metrics import performance_metrics
 
 # ------------------------------------------------------------ request type

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from servicepulse import constants as K
 from servicepulse.functions import columns as C
-from servicepulse.operators.standardise import standardise, coerce_dates
+from servicepulse.operators.standardise import standardise
 from servicepulse.operators.resolution import with_resolution
 from servicepulse.operators.classify import classify
 from servicepulse.roles import resolve_roles
