@@ -22,6 +22,7 @@ from servicepulse.plans import goals, insights as I, metrics as M, payload, repo
 from servicepulse.session import scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
+from servicepulse.streaming import stream
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 DIGITS = 6
@@ -101,6 +102,20 @@ def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.category_counts(enrich(df, as_of=AS_OF))
 
 
+def q_stream_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured Streaming end to end: the request table lands as Parquet
+    files in a folder, is read as a file stream, enriched row by row and
+    appended to a Parquet sink (exactly-once, checkpointed); the landed
+    table is then counted per category."""
+    src, out = _scratch(spark, "stream-in"), _scratch(spark, "stream-out")
+    raw = _raw(spark, sf_dir)
+    raw.write.parquet(src)
+    s = stream.read_ticket_stream(spark, src, raw.schema, fmt="parquet")
+    q = stream.start(stream.enrich_stream(s, as_of=AS_OF), out, fmt="parquet", available_now=True)
+    q.awaitTermination()
+    return M.category_counts(spark.read.parquet(out))
+
+
 def q_limit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 1000 request records in a stable order."""
     return files.limit_records(_raw(spark, sf_dir), K.DEFAULT_RECORD_LIMIT)
@@ -140,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "src_csv": q_src_csv,
         "src_features": q_src_features,
         "limit_records": q_limit_records,
+        "stream_category_counts": q_stream_category_counts,
         "preview_rows": _q(I.preview_rows),
         "payload_json": q_payload_json,
         # standardise
@@ -370,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         # sources
         "src_csv": _sql(cat_counts),
         "src_features": _sql(cat_counts),
+        "stream_category_counts": _sql(cat_counts),
         "limit_records": _sql(f"SELECT * FROM raw ORDER BY {_order_all(_RAW_COLS)} LIMIT {K.DEFAULT_RECORD_LIMIT}"),
         "preview_rows": _sql(f"SELECT * FROM enr ORDER BY {_order_all(_ENR_COLS)} LIMIT {K.PREVIEW_ROWS}", _ENR_DOUBLES),
         # standardise
