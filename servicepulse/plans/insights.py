@@ -21,6 +21,7 @@ from ..operators import topk as TK
 from ..operators.median import median_stats
 from .common import attach_medians, created_ts, hours, ratio, resolved, share_of_total, type_col, zip_col
 from .metrics import performance_metrics
+from ..session import materialize
 
 # ------------------------------------------------------------ request type
 
@@ -97,10 +98,11 @@ def zip_performance(df: DataFrame, k: int = K.TOP_ZIPS) -> DataFrame:
 
 def _top_keys_within_top_groups(df: DataFrame, group: str, key: str, k_groups: int, k_keys: int) -> DataFrame:
     """(group, key, count, rank) for the top ``k_keys`` keys inside each of
-    the top ``k_groups`` groups.  One pass over the rows: the group totals
-    are summed from the aggregated pairs (rows with a NULL key still count
-    towards their group's volume)."""
-    pairs = TK.counts(TK.without_null_keys(df, [group]), [group, key], drop_null_keys=False)
+    the top ``k_groups`` groups.  One pass over the rows: the aggregated
+    pairs are written once and both the group totals (rows with a NULL key
+    still count towards their group's volume) and the per-group top-k read
+    that small table."""
+    pairs = materialize(TK.counts(TK.without_null_keys(df, [group]), [group, key], drop_null_keys=False), "pairs")
     totals = pairs.groupBy(group).agg(F.sum("count").alias("count"))
     top = TK.top_k(totals, group, k_groups)
     kept = TK.semi_join_small(TK.without_null_keys(pairs, [key]), top, [group])

@@ -15,6 +15,7 @@ from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as T
 from ..operators.median import median_stats
+from ..session import materialize
 from .common import attach_medians, created_ts, hours, ratio, resolved, roles_of, type_col, zip_col
 
 
@@ -64,8 +65,9 @@ def type_profile(df: DataFrame, k: int = K.TOP_TYPES) -> DataFrame:
 def type_category_counts(df: DataFrame, k: int = K.TOP_TYPES) -> DataFrame:
     """Category counts inside each of the top-k request types."""
     t = type_col(df)
-    per = T.counts(df, [t, K.CATEGORY_COL])
-    # Type totals come from the aggregated pairs: one pass over the rows.
+    # The aggregated pairs are written once; the type totals and the result
+    # both read them (one pass over the rows).
+    per = materialize(T.counts(df, [t, K.CATEGORY_COL]), "pairs")
     top = T.top_k(per.groupBy(t).agg(F.sum("count").alias("count")), t, k)
     return T.semi_join_small(per, top, [t])
 

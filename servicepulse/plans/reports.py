@@ -17,6 +17,7 @@ from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
 from ..operators.median import median_stats
+from ..session import materialize
 from .common import attach_medians, order_by_priority, ratio, require_columns, resolved, type_col
 
 _PRIOS = list(K.PRIORITY_ORDER)
@@ -46,7 +47,7 @@ def priority_by_type(df: DataFrame, k: int = K.CROSSTAB_TYPES) -> DataFrame:
     """
     require_columns(df, K.PRIORITY_COL)
     t = type_col(df)
-    pairs = TK.counts(df, [t, K.PRIORITY_COL])
+    pairs = materialize(TK.counts(df, [t, K.PRIORITY_COL]), "pairs")  # one pass, read twice
     top = TK.top_k(pairs.groupBy(t).agg(F.sum("count").alias("count")), t, k)
     kept = TK.semi_join_small(pairs, top, [t])
     wide = kept.groupBy(t).pivot(K.PRIORITY_COL, _PRIOS).agg(F.sum("count")).na.fill(0, _PRIOS)
@@ -112,15 +113,21 @@ def type_priority_grid(df: DataFrame, k: int = K.GRID_TYPES) -> DataFrame:
     ratio, met % and non-null ratio count; empty cells count 0, others NULL."""
     require_columns(df, K.PRIORITY_COL, K.RATIO_COL)
     t = type_col(df)
-    top = TK.top_k(TK.counts(df, [t]), t, k)
-    rows = TK.semi_join_small(df, top, [t]).where(F.col(K.PRIORITY_COL).isin(*_PRIOS))
     cell = [t, K.PRIORITY_COL]
     meds = {"median_perf": ratio()}
-    agg = rows.groupBy(*cell).agg(
-        F.avg(K.RATIO_COL).alias("avg_perf"), A.met_pct(ratio()).alias("target_met"), F.count(K.RATIO_COL).alias("count"),
-        *median_stats(meds),
+    # One pass: every (type, priority) cell with its row count and median
+    # stats, written once; the top-k types are ranked from those cells.
+    cells = materialize(
+        TK.without_null_keys(df, [t]).groupBy(*cell).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            F.avg(K.RATIO_COL).alias("avg_perf"), A.met_pct(ratio()).alias("target_met"),
+            F.count(K.RATIO_COL).alias("count"), *median_stats(meds),
+        ),
+        "cells",
     )
-    agg = attach_medians(agg, rows, cell, meds)
+    top = TK.top_k(cells.groupBy(t).agg(F.sum("__rows").alias("count")), t, k)
+    agg = TK.semi_join_small(cells, top, [t]).where(F.col(K.PRIORITY_COL).isin(*_PRIOS)).drop("__rows")
+    agg = attach_medians(agg, df, cell, meds)
     grid = top.select(t, F.explode(F.array(*[F.lit(p) for p in _PRIOS])).alias(K.PRIORITY_COL))
     out = grid.join(agg, on=cell, how="left")
     return out.select(
