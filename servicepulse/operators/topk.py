@@ -58,7 +58,29 @@ def top_k_per_group(agg: DataFrame, group: str | Sequence[str], key: str, k: int
     return agg.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keep rows of ``df`` whose key is in ``small`` -- a top-k result whose
-    size is bounded by k, so it is broadcast."""
-    return df.join(F.broadcast(small.select(*keys).distinct()), on=list(keys), how="left_semi")
+# Largest key set broadcast for a semi-join; larger sets use a shuffle join.
+BROADCAST_MAX_KEYS = 100_000
+
+
+def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """Keep rows of ``df`` whose key is in ``small``.
+
+    ``small`` is a top-k result: its size is bounded by k.  It is broadcast
+    when that bound (``max_rows``, read from the plan's limit when not
+    given) is at most ``BROADCAST_MAX_KEYS``; otherwise a shuffle semi-join
+    is used.
+    """
+    bound = max_rows if max_rows is not None else _limit_of(small)
+    side = small.select(*keys).distinct()
+    if bound is not None and bound <= BROADCAST_MAX_KEYS:
+        side = F.broadcast(side)
+    return df.join(side, on=list(keys), how="left_semi")
+
+
+def _limit_of(df: DataFrame) -> int | None:
+    """Row bound of a DataFrame whose plan ends in a limit (None if unknown)."""
+    try:
+        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+        return int(bound.get()) if bound.isDefined() else None
+    except Exception:
+        return None

@@ -35,3 +35,24 @@ def test_no_inferred_predicate_on_nonnull_keys(spark, enriched001):
     from servicepulse.plans import goals
     plan = _plan(goals.priority_by_method(enriched001))
     assert "Condition : (CASE" not in plan and "isnotnull(CASE" not in plan.replace(" ", "")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_single_raw_scan_per_plan(spark, name):
+    """No final plan reads the fact table twice (aggregates read twice are
+    written once and read back)."""
+    if name in ("src_csv", "src_features", "stream_category_counts"):
+        pytest.skip("reads its own landed files")
+    plan = _plan(E.queries()[name](spark, SF001))
+    assert plan.count("lineitem.parquet") <= 1, name
+
+
+def test_top_k_semi_join_is_broadcast_when_bounded(spark):
+    from servicepulse.operators import topk as TK
+    df = spark.range(1000).selectExpr("id % 50 AS k", "id")
+    counts = TK.counts(df, ["k"])
+    small = TK.semi_join_small(df, TK.top_k(counts, "k", 3), ["k"])
+    assert "BroadcastHashJoin" in _plan(small)
+    assert TK._limit_of(TK.top_k(counts, "k", 3)) == 3
+    assert TK._limit_of(TK.top_k(counts, "k", 10_000_000)) == 10_000_000  # above the bound: no hint
+    assert TK._limit_of(counts) is None
