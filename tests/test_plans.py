@@ -54,5 +54,11 @@ def test_top_k_semi_join_is_broadcast_when_bounded(spark):
     small = TK.semi_join_small(df, TK.top_k(counts, "k", 3), ["k"])
     assert "BroadcastHashJoin" in _plan(small)
     assert TK._limit_of(TK.top_k(counts, "k", 3)) == 3
-    assert TK._limit_of(TK.top_k(counts, "k", 10_000_000)) == 10_000_000  # above the bound: no hint
-    assert TK._limit_of(counts) is None
+
+
+def test_top_k_bound_read_from_plan(enriched001):
+    from servicepulse.operators import topk as TK
+    counts = TK.counts(enriched001, ["SR_TYPE"])
+    assert TK._limit_of(counts) is None  # unbounded: never broadcast by hint
+    assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10_000_000)) == 10_000_000  # above the bound: shuffle join
+    assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10)) == 10
