@@ -19,13 +19,14 @@ from ..functions import columns as C
 from ..roles import Roles, resolve_roles
 
 # Formats tried, in order, for text date columns after the plain ISO cast.
+# Single-letter fields accept both padded and unpadded values (1/5 and 01/05).
 DEFAULT_DATE_FORMATS: tuple[str, ...] = (
-    "MM/dd/yyyy hh:mm:ss a",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "yyyy/M/d H:mm:ss",
+    "yyyy/M/d",
 )
 
 

@@ -92,6 +92,16 @@ def test_dates_and_resolution(spark):
     assert out[6][K.HOURS_COL] == 6.0
 
 
+def test_us_style_dates_padded_or_not(spark):
+    from servicepulse.operators.standardise import coerce_timestamp
+    from pyspark.sql import types as T
+    vals = ["01/15/2024 10:30:00 AM", "1/5/2024 3:04:00 PM", "1/5/2024", "12/31/2023 23:59", "2024/1/5 07:00:00", "junk"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r.t for r in df.select(coerce_timestamp(F.col("s"), T.StringType()).alias("t")).collect()]
+    assert got == [dt.datetime(2024, 1, 15, 10, 30), dt.datetime(2024, 1, 5, 15, 4), dt.datetime(2024, 1, 5),
+                   dt.datetime(2023, 12, 31, 23, 59), dt.datetime(2024, 1, 5, 7, 0), None]
+
+
 def test_missing_date_columns(spark):
     df = spark.createDataFrame([(1,)], "x int")
     out = with_resolution(df)
