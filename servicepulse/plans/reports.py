@@ -95,6 +95,7 @@ def map_points(df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMP
     exactly ``n``.  The sample keeps the ``n`` rows with the smallest seeded
     hash of their content -- a top-n, so each task keeps at most ``n`` rows,
     and the choice does not depend on partitioning.  Ordered HIGH..LOW."""
+    require_columns(df, "latitude", "longitude")
     if K.VALID_COORDS_COL in df.columns:
         pts = df.where(F.col(K.VALID_COORDS_COL))
     else:

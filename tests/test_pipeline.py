@@ -144,3 +144,11 @@ def test_count_map(enriched001):
     nested = count_map(metrics.type_category_counts(enriched001), "SR_TYPE", K.CATEGORY_COL).collect()
     assert len(nested) == 10
     assert all(sum(r.counts.values()) > 0 for r in nested)
+
+
+def test_reports_on_frame_without_roles_raise_clear_errors(spark):
+    e = enrich(files.read_csv(spark, CARS))
+    for fn in (reports.map_points, metrics.zip_profile, insights.season_volume, metrics.status_counts):
+        with pytest.raises(ValueError):
+            fn(e)
+    assert insights.numeric_profile(e).count() == 10  # first ten numeric columns, booleans excluded
