@@ -48,7 +48,9 @@ def created_ts(df: DataFrame) -> Column:
     return coerce_timestamp(C.qcol(r.created), dtype, epoch_millis=True)
 
 
-def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: Mapping[str, Union[str, Column]]) -> DataFrame:
+def attach_medians(
+    agg: DataFrame, df: DataFrame, keys: Sequence[str], values: Mapping[str, Union[str, Column]], *, written: bool = False
+) -> DataFrame:
     """Add exact medians of ``values`` (computed on the rows of ``df``) to the
     per-group table ``agg``.
 
@@ -56,10 +58,13 @@ def attach_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], values: M
     report's own pass then also yields each group's count/min/max, and the
     median needs only its finishing pass over the rows.  ``agg`` is written
     once to the checkpoint folder (it decides which groups -- e.g. a top-k --
-    get a median, so it must not be recomputed differently).
+    get a median, so it must not be recomputed differently).  ``written``:
+    ``agg`` is already a deterministic function of a written table (e.g. a
+    key-ordered top-k over it), so it is not written again.
     """
     names = list(values)
-    agg = materialize(agg, "report")
+    if not written:
+        agg = materialize(agg, "report")
     med = grouped_medians(df, keys, values, stats=stats_from_aggregate(agg, keys, names))
     stat_cols = [c for i in range(len(names)) for c in stat_names(i)]
     if keys:

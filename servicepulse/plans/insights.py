@@ -169,8 +169,8 @@ def _compare(df: DataFrame, key: str, k: Optional[int] = None) -> DataFrame:
     )
     agg = TK.without_null_keys(share_of_total(agg, "count"), [key])
     if k is not None:
-        agg = TK.top_k(agg, key, k)
-    out = attach_medians(agg, df, [key], meds)
+        agg = TK.top_k(agg, key, k)  # total order (count desc, key): deterministic over the written table
+    out = attach_medians(agg, df, [key], meds, written=True)
     return out.select(
         key, "count", "percent_of_total", "avg_resolution_hours", "median_resolution_hours", "resolution_rate",
         "avg_performance_ratio", "percent_meeting_target",

@@ -128,7 +128,7 @@ def type_priority_grid(df: DataFrame, k: int = K.GRID_TYPES) -> DataFrame:
     )
     top = TK.top_k(cells.groupBy(t).agg(F.sum("__rows").alias("count")), t, k)
     agg = TK.semi_join_small(cells, top, [t]).where(F.col(K.PRIORITY_COL).isin(*_PRIOS)).drop("__rows")
-    agg = attach_medians(agg, df, cell, meds)
+    agg = attach_medians(agg, df, cell, meds, written=True)  # cells are written; top-k over them is deterministic
     grid = top.select(t, F.explode(F.array(*[F.lit(p) for p in _PRIOS])).alias(K.PRIORITY_COL))
     out = grid.join(agg, on=cell, how="left")
     return out.select(
