@@ -65,10 +65,8 @@ def main(argv: Optional[Sequence[str]] = None, spark: Optional[SparkSession] = N
     args = p.parse_args(argv)
 
     if spark is None:
-        builder = SparkSession.builder.appName("servicepulse")
-        if not SparkSession.getActiveSession():
-            builder = builder.master("local[*]")
-        spark = builder.getOrCreate()
+        # The submitted master when run by spark-submit, local[*] otherwise.
+        spark = SparkSession.builder.appName("servicepulse").getOrCreate()
     enriched = enrich(_load(spark, args.input, args.format), as_of=args.as_of)
     if args.persist:
         enriched = enriched.persist()
