@@ -52,6 +52,30 @@ def top_k(agg: DataFrame, key: str | Sequence[str], k: int, count_col: str = COU
     return agg.orderBy(*order_desc_then_key(count_col, keys)).limit(k)
 
 
+# Up to this n a plain orderBy().limit(n) is used: every input partition
+# sends at most n rows to the final merge.
+DIRECT_TOP_N = 100
+# Number of intermediate groups of the two-level top-n.
+TOP_N_FAN_IN = 512
+
+
+def top_n(df: DataFrame, order: Sequence[Column], n: int, fan_in: int = TOP_N_FAN_IN) -> DataFrame:
+    """The first ``n`` rows of ``df`` in ``order`` (a total order), exactly.
+
+    For small ``n`` this is ``orderBy().limit()``.  For larger ``n`` a plain
+    top-n would funnel ``n`` rows from every input partition into one task;
+    instead each input partition is assigned to one of ``fan_in`` groups,
+    ``row_number() <= n`` per group runs as WindowGroupLimit before and
+    after the shuffle, and only ``fan_in * n`` rows reach the final merge.
+    """
+    if n <= DIRECT_TOP_N:
+        return df.orderBy(*order).limit(n)
+    grp = df.withColumn("__grp", F.spark_partition_id() % F.lit(fan_in))
+    w = Window.partitionBy("__grp").orderBy(*order)
+    cand = grp.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn", "__grp")
+    return cand.orderBy(*order).limit(n)
+
+
 def top_k_per_group(agg: DataFrame, group: str | Sequence[str], key: str, k: int, count_col: str = COUNT, rank_col: str = "rank") -> DataFrame:
     groups = [group] if isinstance(group, str) else list(group)
     w = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(*order_desc_then_key(count_col, [key]))

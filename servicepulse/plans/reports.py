@@ -93,8 +93,9 @@ def priority_performance(df: DataFrame) -> DataFrame:
 def map_points(df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMPLE_SEED, id_cols: Optional[list[str]] = None) -> DataFrame:
     """Rows with valid coordinates; when more than ``n``, a seeded sample of
     exactly ``n``.  The sample keeps the ``n`` rows with the smallest seeded
-    hash of their content -- a top-n, so each task keeps at most ``n`` rows,
-    and the choice does not depend on partitioning.  Ordered HIGH..LOW."""
+    hash of their content (two-level top-n: bounded per task and at the
+    final merge), and the choice does not depend on partitioning.  Ordered
+    HIGH..LOW."""
     require_columns(df, "latitude", "longitude")
     if K.VALID_COORDS_COL in df.columns:
         pts = df.where(F.col(K.VALID_COORDS_COL))
@@ -103,7 +104,7 @@ def map_points(df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMP
         pts = df.where(C.valid_coords(lat, lon))
     cols = id_cols or [c for c in df.columns]
     h = F.xxhash64(F.lit(seed), *[C.qcol(c) for c in cols])
-    sample = pts.withColumn("__h", h).orderBy("__h").limit(n).drop("__h")
+    sample = TK.top_n(pts.withColumn("__h", h), [F.col("__h")], n).drop("__h")
     if K.PRIORITY_COL in sample.columns:
         sample = order_by_priority(sample)
     return sample

@@ -62,3 +62,14 @@ def test_top_k_bound_read_from_plan(enriched001):
     assert TK._limit_of(counts) is None  # unbounded: never broadcast by hint
     assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10_000_000)) == 10_000_000  # above the bound: shuffle join
     assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10)) == 10
+
+
+def test_two_level_top_n_matches_global(spark):
+    from pyspark.sql import functions as F
+    from servicepulse.operators import topk as TK
+    df = spark.range(0, 50000, 1, 12).select("id", F.xxhash64(F.lit(7), "id").alias("h"))
+    order = [F.col("h"), F.col("id")]
+    got = TK.top_n(df, order, 500, fan_in=5)
+    plan = _plan(got)
+    assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+    assert [r.id for r in got.collect()] == [r.id for r in df.orderBy(*order).limit(500).collect()]
