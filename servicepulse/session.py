@@ -76,11 +76,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+SCRATCH_SUBDIR = "tables"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's (shared) checkpoint directory."""
     import uuid
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch_tables(spark: SparkSession) -> bool:
+    """Delete the intermediate tables this library wrote under the session's
+    checkpoint directory.  Call it once the results that depend on them have
+    been written or collected (DataFrames built earlier read those tables).
+    Uses the Hadoop FileSystem of the folder, so it works on any shared
+    store; returns whether anything was deleted."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
 
 
 def materialize(df, name: str = "state"):
