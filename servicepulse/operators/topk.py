@@ -68,7 +68,10 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, fan_in: int = TOP_N_FA
     ``row_number() <= n`` per group runs as WindowGroupLimit before and
     after the shuffle, and only ``fan_in * n`` rows reach the final merge.
     """
-    if n <= DIRECT_TOP_N:
+    if n <= DIRECT_TOP_N or n > _window_group_limit_threshold(df):
+        # Beyond the optimizer's WindowGroupLimit threshold a per-group limit
+        # would not be pushed below the shuffle; TakeOrdered then merges the
+        # per-partition top-n with O(n) memory instead.
         return df.orderBy(*order).limit(n)
     grp = df.withColumn("__grp", F.spark_partition_id() % F.lit(fan_in))
     w = Window.partitionBy("__grp").orderBy(*order)
@@ -76,6 +79,13 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, fan_in: int = TOP_N_FA
     return cand.orderBy(*order).limit(n)
 
 
+def _window_group_limit_threshold(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    except Exception:
+        return 1000
+
+
 def top_k_per_group(agg: DataFrame, group: str | Sequence[str], key: str, k: int, count_col: str = COUNT, rank_col: str = "rank") -> DataFrame:
     groups = [group] if isinstance(group, str) else list(group)
     w = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(*order_desc_then_key(count_col, [key]))

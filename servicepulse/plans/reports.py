@@ -90,12 +90,18 @@ def priority_performance(df: DataFrame) -> DataFrame:
     ))
 
 
-def map_points(df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMPLE_SEED, id_cols: Optional[list[str]] = None) -> DataFrame:
+def map_points(
+    df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMPLE_SEED, id_cols: Optional[list[str]] = None,
+    oversample: float = 4.0,
+) -> DataFrame:
     """Rows with valid coordinates; when more than ``n``, a seeded sample of
-    exactly ``n``.  The sample keeps the ``n`` rows with the smallest seeded
-    hash of their content (two-level top-n: bounded per task and at the
-    final merge), and the choice does not depend on partitioning.  Ordered
-    HIGH..LOW."""
+    exactly ``n``: the ``n`` rows with the smallest seeded 64-bit hash of
+    their content, so the choice does not depend on partitioning.
+
+    The hash is uniform, so with ``N`` points the rows below a cutoff that
+    keeps about ``4n`` of them are written once (widened if fewer than ``n``
+    pass) and the exact top-``n`` is taken from that small set: no task and
+    no merge step grows with the input.  Ordered HIGH..LOW."""
     require_columns(df, "latitude", "longitude")
     if K.VALID_COORDS_COL in df.columns:
         pts = df.where(F.col(K.VALID_COORDS_COL))
@@ -103,8 +109,20 @@ def map_points(df: DataFrame, n: int = K.MAP_SAMPLE_SIZE, seed: int = K.MAP_SAMP
         lat, lon = C.to_double(C.qcol("latitude")), C.to_double(C.qcol("longitude"))
         pts = df.where(C.valid_coords(lat, lon))
     cols = id_cols or [c for c in df.columns]
-    h = F.xxhash64(F.lit(seed), *[C.qcol(c) for c in cols])
-    sample = TK.top_n(pts.withColumn("__h", h), [F.col("__h")], n).drop("__h")
+    hashed = pts.withColumn("__h", F.xxhash64(F.lit(seed), *[C.qcol(c) for c in cols]))
+    total = pts.count()
+    if total <= n:
+        sample = hashed.drop("__h")
+    else:
+        frac = min(1.0, oversample * n / total)
+        while True:
+            cut = -(2**63) + int(frac * 2**64)
+            kept = hashed if cut >= 2**63 - 1 else hashed.where(F.col("__h") < F.lit(cut))
+            cand = materialize(kept, "sample")
+            if frac >= 1.0 or cand.count() >= n:
+                break
+            frac = min(1.0, frac * 4)
+        sample = cand.orderBy(F.col("__h")).limit(n).drop("__h")
     if K.PRIORITY_COL in sample.columns:
         sample = order_by_priority(sample)
     return sample

@@ -152,3 +152,13 @@ def test_reports_on_frame_without_roles_raise_clear_errors(spark):
         with pytest.raises(ValueError):
             fn(e)
     assert insights.numeric_profile(e).count() == 10  # first ten numeric columns, booleans excluded
+
+
+@pytest.mark.parametrize("oversample", [4.0, 0.5])
+def test_map_points_equals_brute_force(enriched001, oversample):
+    n = 200
+    got = sorted(r.SR_ID for r in reports.map_points(enriched001, n=n, oversample=oversample).collect())
+    cols = [F.col(f"`{c}`") for c in enriched001.columns]
+    brute = (enriched001.where(F.col(K.VALID_COORDS_COL)).withColumn("h", F.xxhash64(F.lit(K.MAP_SAMPLE_SEED), *cols))
+             .orderBy("h").limit(n))
+    assert got == sorted(r.SR_ID for r in brute.collect())
