@@ -9,7 +9,8 @@ as pandas/DuckDB ``median``) with bounded per-task state:
 1. per group: count, min, max (plain partial aggregates -- usually computed
    inside the caller's own report aggregate, see ``median_stats``);
 2. while a group has more than ``finish_at`` candidate rows, build a
-   ``bins``-bucket equal-width histogram over its candidate range
+   ``bins``-bucket histogram over its candidate range (first round on a
+   sign*log1p scale for heavy tails, then equal width)
    (``groupBy(group, bin)`` -- the hot group is spread over ``bins`` keys and
    pre-aggregated map-side), keep only the bucket(s) holding the middle
    ranks and shrink the range to their real min/max;
@@ -84,6 +85,25 @@ def stats_from_aggregate(agg: DataFrame, keys: Sequence[str], names: Sequence[st
     return agg.select(*key_cols, F.explode(F.array(*entries)).alias("s")).select(*gkeys, "s.*")
 
 
+def _log_scale(c: Column) -> Column:
+    """sign(v) * log1p(|v|): monotone, spreads heavy-tailed values."""
+    return F.signum(c) * F.log1p(F.abs(c))
+
+
+def _bin(v: Column, lo: Column, hi: Column, bins: int, log_scale: bool) -> Column:
+    """Bucket of ``v`` in [lo, hi]; non-decreasing in ``v`` (required for the
+    rank bookkeeping).  The log scale falls back to equal width when it
+    cannot separate lo and hi."""
+    linear = F.floor((v - lo) / (hi - lo) * bins)
+    if log_scale:
+        tl, th = _log_scale(lo), _log_scale(hi)
+        logged = F.floor((_log_scale(v) - tl) / (th - tl) * bins)
+        raw = F.when(th > tl, logged).otherwise(linear)
+    else:
+        raw = linear
+    return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
 def _state_join(data: DataFrame, state: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
     side = F.broadcast(state) if n_groups <= BROADCAST_MAX_GROUPS else state
     return data.join(side, on=list(keys), how="inner")
@@ -140,15 +160,16 @@ def grouped_medians(
     done = known | (F.col("cand") <= finish_at)
     n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~done)).first()
 
-    for _ in range(max_rounds):
+    for round_no in range(max_rounds):
         if not n_open:
             break
         open_groups = state.where(~done)
-        rng = F.col("hi") - F.col("lo")
+        # First round on a log scale (heavy tails land in fewer, finer
+        # buckets around the bulk), later rounds equal width.
         binned = (
             _state_join(long, open_groups.drop("v1", "v2"), G, n_groups)
             .where(F.col(_V).between(F.col("lo"), F.col("hi")))
-            .withColumn("bin", F.least(F.floor((F.col(_V) - F.col("lo")) / rng * bins), F.lit(bins - 1)).cast("int"))
+            .withColumn("bin", _bin(F.col(_V), F.col("lo"), F.col("hi"), bins, log_scale=round_no == 0))
         )
         hist = binned.groupBy(*G, "bin", "k1", "k2", "below").agg(
             F.count(F.lit(1)).alias("c"), F.min(_V).alias("bmin"), F.max(_V).alias("bmax")
