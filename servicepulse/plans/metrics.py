@@ -96,8 +96,9 @@ def monthly_performance(df: DataFrame) -> DataFrame:
 def performance_metrics(df: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of the summary, by name.
 
-    The tables are lazy except for the exact median, whose narrowing rounds
-    run while ``overall`` is built.
+    Building them runs the jobs that write small intermediate tables (the
+    ``overall`` aggregate for its exact median, the type/category pairs);
+    everything else stays lazy until the caller's action.
     """
     out = {
         "overall": overall_metrics(df),
