@@ -2,6 +2,9 @@
 
 * ``top_k`` -> ``orderBy(...).limit(k)``: planned as TakeOrderedAndProject,
   each task keeps only k rows.
+* ``top_n`` -> for larger n, a two-level top-n (per-partition groups with
+  WindowGroupLimit before and after the shuffle) so the final merge stays
+  bounded;
 * ``top_k_per_group`` -> ``row_number() <= k`` over a window partitioned by
   the group; Spark plans it with WindowGroupLimit, which trims every task to
   k rows per group before the shuffle.  It is always applied to an already

@@ -1,8 +1,10 @@
 """Tables behind the charts: distributions, crosstabs, grids, map points.
 
-Crosstabs are ``pivot`` on the four fixed priority labels (no distinct
-job), zero-filled and unpivoted back to long form; the complete grid is
-built by exploding the fixed labels onto the top-k keys (no cross join).
+Crosstabs are conditional counts or a ``pivot`` on the four fixed priority
+labels (no distinct-values job), zero-filled and unpivoted back to long
+form; the complete grid is built by exploding the fixed labels onto the
+top-k keys (no cross join).  The map sample is an exact top-n over a
+seeded hash after a hash-cutoff prefilter.
 """
 
 from __future__ import annotations
