@@ -29,10 +29,8 @@ def classify(df: DataFrame, targets=None, request_type: Optional[str] = None) ->
         df = df.withColumn(tcol, F.lit(K.UNKNOWN_TYPE))
     target = C.target_hours(C.qcol(tcol), targets)
     ratio = F.col(K.HOURS_COL) / F.col(K.TARGET_COL)
-    return (
-        df.withColumn(K.TARGET_COL, target)
-        .withColumn(K.RATIO_COL, ratio)
-        .withColumn(K.CATEGORY_COL, C.performance_category(F.col(K.RATIO_COL), F.col(K.RESOLVED_COL)))
+    return df.withColumn(K.TARGET_COL, target).withColumns(
+        {K.RATIO_COL: ratio, K.CATEGORY_COL: C.performance_category(ratio, F.col(K.RESOLVED_COL))}
     )
 
 
