@@ -98,7 +98,8 @@ def map_points(
 ) -> DataFrame:
     """Rows with valid coordinates; when more than ``n``, a seeded sample of
     exactly ``n``: the ``n`` rows with the smallest seeded 64-bit hash of
-    their content, so the choice does not depend on partitioning.
+    their own (non-derived) columns, so the choice does not depend on
+    partitioning.
 
     The hash is uniform, so with ``N`` points the rows below a cutoff that
     keeps about ``4n`` of them are written once (widened if fewer than ``n``
@@ -110,7 +111,9 @@ def map_points(
     else:
         lat, lon = C.to_double(C.qcol("latitude")), C.to_double(C.qcol("longitude"))
         pts = df.where(C.valid_coords(lat, lon))
-    cols = id_cols or [c for c in df.columns]
+    # The ticket's own columns identify a row; the derived columns are
+    # functions of them, so they add nothing but hashing cost.
+    cols = id_cols or [c for c in df.columns if c not in K.ADDED_COLUMNS]
     hashed = pts.withColumn("__h", F.xxhash64(F.lit(seed), *[C.qcol(c) for c in cols]))
     total = pts.count()
     if total <= n:
