@@ -104,9 +104,21 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int, log_scale: bool) -> Colum
     return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+# Salts per group when the state is too large to broadcast: a hot group's
+# rows are then spread over this many join tasks.
+JOIN_SALTS = 32
+
+
 def _state_join(data: DataFrame, state: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
-    side = F.broadcast(state) if n_groups <= BROADCAST_MAX_GROUPS else state
-    return data.join(side, on=list(keys), how="inner")
+    """Attach each row's group state.  Broadcast while the number of groups
+    is below the bound; otherwise a salted shuffle join: every state row is
+    replicated over ``JOIN_SALTS`` salts and every data row takes a salt
+    from the hash of its value (deterministic, so retries agree)."""
+    if n_groups <= BROADCAST_MAX_GROUPS:
+        return data.join(F.broadcast(state), on=list(keys), how="inner")
+    salted_state = state.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    salted_data = data.withColumn("__salt", F.pmod(F.xxhash64(F.col(_V)), F.lit(JOIN_SALTS)).cast("int"))
+    return salted_data.join(salted_state, on=list(keys) + ["__salt"], how="inner").drop("__salt")
 
 
 def grouped_medians(

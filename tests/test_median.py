@@ -69,3 +69,15 @@ def test_forced_rounds_on_adapter_data_match_builtin(spark):
     for p in want:
         for k in vals:
             assert got[p][k] == pytest.approx(want[p][k], rel=1e-12, abs=1e-9), (p, k)
+
+
+def test_salted_state_join_for_many_groups(spark, monkeypatch):
+    import servicepulse.operators.median as M
+    monkeypatch.setattr(M, "BROADCAST_MAX_GROUPS", 1)  # force the salted shuffle join
+    rows = [("hot" if i % 3 else f"g{i % 7}", float((i * 37) % 101)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in M.grouped_medians(df, ["g"], {"m": "v"}, finish_at=50, bins=8).collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert got == pytest.approx(want)
+    plan = M.grouped_medians(df, ["g"], {"m": "v"})._jdf.queryExecution().executedPlan().toString()
+    assert "__salt" in plan
