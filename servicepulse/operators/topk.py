@@ -95,8 +95,10 @@ def top_k_per_group(agg: DataFrame, group: str | Sequence[str], key: str, k: int
     return agg.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-# Largest key set broadcast for a semi-join; larger sets use a shuffle join.
+# Largest key set broadcast for a semi-join; larger sets use a salted
+# shuffle join.
 BROADCAST_MAX_KEYS = 100_000
+SEMI_JOIN_SALTS = 32
 
 
 def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
@@ -104,14 +106,18 @@ def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_ro
 
     ``small`` is a top-k result: its size is bounded by k.  It is broadcast
     when that bound (``max_rows``, read from the plan's limit when not
-    given) is at most ``BROADCAST_MAX_KEYS``; otherwise a shuffle semi-join
-    is used.
+    given) is at most ``BROADCAST_MAX_KEYS``; otherwise a salted shuffle
+    semi-join is used.
     """
     bound = max_rows if max_rows is not None else _limit_of(small)
     side = small.select(*keys).distinct()
     if bound is not None and bound <= BROADCAST_MAX_KEYS:
-        side = F.broadcast(side)
-    return df.join(side, on=list(keys), how="left_semi")
+        return df.join(F.broadcast(side), on=list(keys), how="left_semi")
+    # Salted shuffle semi-join: a hot key's rows spread over SEMI_JOIN_SALTS
+    # tasks (the salt is a hash of the whole row, so retries agree).
+    salted_side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SEMI_JOIN_SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SEMI_JOIN_SALTS)).cast("int")
+    return df.withColumn("__salt", salt).join(salted_side, on=list(keys) + ["__salt"], how="left_semi").drop("__salt")
 
 
 def _limit_of(df: DataFrame) -> int | None:

@@ -73,3 +73,12 @@ def test_two_level_top_n_matches_global(spark):
     plan = _plan(got)
     assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
     assert [r.id for r in got.collect()] == [r.id for r in df.orderBy(*order).limit(500).collect()]
+
+
+def test_salted_semi_join_above_bound(spark):
+    from servicepulse.operators import topk as TK
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 11 AS STRING) END AS k", "id")
+    small = spark.createDataFrame([("hot",), ("4",)], "k string")
+    got = sorted(r.id for r in TK.semi_join_small(df, small, ["k"], max_rows=10_000_000).collect())
+    want = sorted(r.id for r in df.where("k IN ('hot', '4')").collect())
+    assert got == want
