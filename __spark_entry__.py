@@ -121,11 +121,22 @@ def q_limit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.limit_records(_raw(spark, sf_dir), K.DEFAULT_RECORD_LIMIT)
 
 
+def _us_text(ts) -> "Column":
+    """``MM/dd/yyyy hh:mm:ss AM`` text of a zone-less timestamp, built from its
+    date and its ISO text so no session time zone is involved."""
+    iso = ts.cast("string")
+    hour = F.substring(iso, 12, 2).cast("int")
+    h12 = F.pmod(hour + F.lit(11), F.lit(12)) + F.lit(1)
+    return F.format_string(
+        "%s %02d:%s:%s %s", F.date_format(ts.cast("date"), "MM/dd/yyyy"), h12, F.substring(iso, 15, 2),
+        F.substring(iso, 18, 2), F.when(hour < 12, F.lit("AM")).otherwise(F.lit("PM")),
+    )
+
+
 def q_coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date coercion of text dates written the way a 311 CSV export writes them."""
     raw = _raw(spark, sf_dir)
-    fmt = "MM/dd/yyyy hh:mm:ss a"
-    text = raw.withColumns({c: F.date_format(c, fmt) for c in ("CREATED_DATE", "CLOSED_DATE")})
+    text = raw.withColumns({c: _us_text(F.col(c)) for c in ("CREATED_DATE", "CLOSED_DATE")})
     return S.coerce_dates(text).select("SR_ID", "CREATED_DATE", "CLOSED_DATE")
 
 

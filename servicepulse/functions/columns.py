@@ -93,9 +93,20 @@ def valid_coords(lat: Column, lon: Column, box=None) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def micros_between(start: Column, end: Column) -> Column:
+    """Exact microseconds from ``start`` to ``end``.
+
+    Zone-less timestamps are subtracted as an interval (wall-clock
+    arithmetic): ``timestamp_diff`` would pass through the session time zone
+    and lose an hour across a DST gap.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * F.lit(1000000)).cast("long")
+
+
 def hours_between(start: Column, end: Column) -> Column:
     """Fractional hours from ``start`` to ``end`` (negative when end < start)."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3.6e9)
+    return micros_between(start, end) / F.lit(3.6e9)
 
 
 def target_hours(request_type: Column, targets=None, default: int = K.DEFAULT_TARGET_HOURS) -> Column:
@@ -158,18 +169,30 @@ def epoch_millis_to_ntz(ms: Column) -> Column:
     return F.timestamp_add("MILLISECOND", ms.cast("long"), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
+def parse_ntz(text: Column, fmt: str) -> Column:
+    """Parse text with a datetime pattern into a zone-less timestamp, NULL
+    when it does not parse.  The text is read with an explicit +0000 offset
+    and rebuilt by wall-clock arithmetic from the epoch, so local times that
+    do not exist in the session time zone (DST gaps) are kept as written."""
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
 def ntz_to_epoch_millis(ts: Column) -> Column:
     """Inverse of ``epoch_millis_to_ntz`` (zone-independent)."""
-    return F.timestamp_diff("MILLISECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)
+    micros = micros_between(F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)
+    return F.floor(micros.cast("decimal(20,0)") / F.lit(1000)).cast("long")
 
 
 def month_label(ts: Column) -> Column:
-    """Calendar month of a timestamp as ``yyyy-MM`` (NULL stays NULL)."""
-    return F.date_format(ts, "yyyy-MM")
+    """Calendar month of a timestamp as ``yyyy-MM`` (NULL stays NULL).
+    Formatted from the date, so the session time zone plays no part."""
+    return F.date_format(ts.cast("date"), "yyyy-MM")
 
 
 def month_start(ts: Column) -> Column:
-    return F.date_trunc("month", ts).cast("timestamp_ntz")
+    """First instant of the month, zone-less (via the date, zone-independent)."""
+    return F.trunc(ts.cast("date"), "month").cast("timestamp_ntz")
 
 
 def goal_status(met_pct: Column) -> Column:

@@ -91,4 +91,4 @@ def monthly_table(df: DataFrame) -> DataFrame:
     """Display table of the monthly metrics, month written as ``Mon yyyy``."""
     m = performance_over_time(df)
     cols = [c for c in ("request_count", "target_met_pct", "avg_resolution_hours", "high_priority_pct") if c in m.columns]
-    return m.select(F.date_format("month_date", "MMM yyyy").alias("month"), *cols, "month_date").orderBy("month_date").drop("month_date")
+    return m.select(F.date_format(F.col("month_date").cast("date"), "MMM yyyy").alias("month"), *cols, "month_date").orderBy("month_date").drop("month_date")

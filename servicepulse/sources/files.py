@@ -26,17 +26,21 @@ def read_csv(
     """CSV with a header row; blank fields read as NULL.
 
     Types are inferred unless ``schema`` is given -- on large inputs pass a
-    schema (or a ``sampling_ratio`` < 1) to avoid the extra inference pass.
-    A directory path reads every ``*.csv`` file in it.
+    schema (or a ``sampling_ratio`` < 1) to make the inference pass cheap.
+    Columns inferred as timestamps are kept as text (as pandas does), so
+    the date coercion parses them without the session time zone.  A
+    directory path reads every ``*.csv`` file in it.
     """
     reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", "true").option("samplingRatio", str(sampling_ratio))
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.csv(path)
+    if schema is None:
+        inferred = reader.option("inferSchema", "true").option("samplingRatio", str(sampling_ratio)).csv(path).schema
+        schema = T.StructType([
+            T.StructField(f.name, T.StringType(), True) if isinstance(f.dataType, T.TimestampType) else f
+            for f in inferred.fields
+        ])
+    return reader.schema(schema).csv(path)
 
 
 def read_csv_dir(spark: SparkSession, directory: str, **kw) -> DataFrame:

@@ -156,3 +156,20 @@ def test_type_fill_and_classify_without_type(spark):
     df2 = spark.createDataFrame([(1,)], "x int")
     r2 = classify(with_resolution(df2)).first()
     assert r2.SR_TYPE == "UNKNOWN" and r2[K.CATEGORY_COL] == "Unknown"
+
+
+def test_dst_gap_wall_clock_kept(spark):
+    """Zone-less arithmetic and parsing ignore the session zone, including a
+    local midnight that does not exist there (Sao Paulo, 1999-10-03)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        from servicepulse.operators.standardise import coerce_timestamp
+        from pyspark.sql import types as T
+        df = spark.createDataFrame([("10/03/1999 12:00:00 AM", "1999-10-04 00:00:00")], "a string, b string")
+        a = coerce_timestamp(F.col("a"), T.StringType())
+        b = coerce_timestamp(F.col("b"), T.StringType())
+        r = df.select(a.alias("a"), C.hours_between(a, b).alias("h"), C.ntz_to_epoch_millis(a).alias("ms")).first()
+        assert r.a == dt.datetime(1999, 10, 3, 0, 0) and r.h == 24.0 and r.ms == 938908800000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
