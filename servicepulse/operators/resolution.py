@@ -43,9 +43,14 @@ def with_resolution(df: DataFrame, as_of: AsOf = None, created: Optional[str] =
     closed_c = coerce_timestamp(C.qcol(roles.closed), types[roles.closed], epoch_millis=True)
     now = as_of_column(as_of)
     resolved = closed_c.isNotNull()
-    age = C.hours_between(created_c, now)
-    hours = F.when(resolved, C.hours_between(created_c, closed_c)).otherwise(age)
-    return df.withColumns({K.HOURS_COL: hours, K.RESOLVED_COL: resolved, K.AGE_COL: age})
+    # Age first, in its own projection, so the open-ticket branch reuses it
+    # instead of repeating the date arithmetic.
+    df = df.withColumn(K.AGE_COL, C.hours_between(created_c, now))
+    hours = F.when(resolved, C.hours_between(created_c, closed_c)).otherwise(F.col(K.AGE_COL))
+    out = df.withColumns({K.HOURS_COL: hours, K.RESOLVED_COL: resolved})
+    cols = [c for c in out.columns if c != K.AGE_COL]
+    # Column order as before: ..., resolution_hours, is_resolved, hours_since_creation.
+    return out.select(*[C.qcol(c) for c in cols], F.col(K.AGE_COL))
 
 
 def ticket_age(df: DataFrame, as_of: AsOf = None) -> DataFrame:
