@@ -162,3 +162,23 @@ def test_map_points_equals_brute_force(enriched001, oversample):
     brute = (enriched001.where(F.col(K.VALID_COORDS_COL)).withColumn("h", F.xxhash64(F.lit(K.MAP_SAMPLE_SEED), *cols))
              .orderBy("h").limit(n))
     assert got == sorted(r.SR_ID for r in brute.collect())
+
+
+@pytest.mark.parametrize("kind,expected", [
+    ("performance", {"overall", "performance_categories"}),
+    ("improvement", {"overall", "request_types"}),
+    ("geographic", {"top_zipcodes_by_volume", "zipcode_performance", "top_request_types_by_zipcode"}),
+    ("comparative_priority", {"categories"}),
+    ("comparative_method", {"categories"}),
+    ("comparative_geographic", {"categories", "top_request_types"}),
+])
+def test_insight_selector_every_kind(enriched001, kind, expected):
+    tables = insights.insight_tables(enriched001, kind=kind)
+    assert expected <= set(tables)
+    for name in expected:
+        assert tables[name].count() > 0, (kind, name)
+
+
+def test_insight_default_set(enriched001):
+    tables = insights.insight_tables(enriched001)
+    assert {"overall", "top_zipcodes_by_volume", "seasonal_volumes"} <= set(tables)
