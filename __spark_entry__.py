@@ -24,6 +24,12 @@ from servicepulse.sources import files
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
 from servicepulse.streaming import stream
 
+try:  # the text-corpus operators are optional
+    import corpus_pipeline
+    from servicepulse.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 DIGITS = 6
 
@@ -161,6 +167,13 @@ def _detail(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = _request_queries()
+    if llm_queries is not None:
+        out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return out
+
+
+def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources
         "src_csv": q_src_csv,
@@ -389,6 +402,15 @@ def _order_all(cols) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _request_oracles()
+    if llm_queries is not None:
+        out |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
+
+
+def _request_oracles() -> dict[str, str]:
     d = DETAIL_TYPE
     sel = f"SR_TYPE = '{d}'"
     cat_counts = _counts_sql("performance_category", "performance_category IS NOT NULL")
