@@ -76,10 +76,11 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array], int], dict], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """``mapInArrow`` for a function from one batch's columns to a dict of output columns.
+def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array], object], dict], schema: str, setup: Callable[[], object] | None = None, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` for a function from some rows' columns to a dict of output columns.
 
-    ``setup`` runs once per task; its result is passed on to ``fn``.
+    ``setup`` runs once per task; its result is passed on to ``fn``, which gets
+    at most ``rows`` rows at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -88,8 +89,8 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array], int], dict], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
                 out = fn({n: b.column(i) for i, n in enumerate(b.schema.names)}, state)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=False) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 

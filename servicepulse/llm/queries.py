@@ -5,17 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicepulse.llm import near_dup
+from servicepulse.llm import ann, decontaminate, html_text, near_dup, neural_lm, pieces, pii, quality, sharding, toxicity
 from servicepulse.llm.common import read
 
+SHARDS, SEED = 40, 20_240_501
+
+
+def tokenizer_path() -> str:
+    """The installed public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a conditional random field over its words."""
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document by anchor expansion."""
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by an additive model with pairwise interactions."""
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 0.8 on sets of 2-word shingles."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {
-    "op4_near_dup": op4_near_dup,
-}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to 40 shards by a two-pass external shuffle; a digest of the written table."""
+    return sharding.digest(sharding.write_shards(read(spark, sf_dir, "documents"), SHARDS, SEED))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents at 0.8 on five-word shingles."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by differencing with its nearest pages."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document and their decoding, as digests."""
+    return pieces.encode(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer_path(), "doc_id")
+
+
+def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a log-bilinear model and under word counts."""
+    return neural_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality, op4_near_dup, op5_sharding, op6_decontamination, op7_html, op8_sentencepiece, op9_neural_lm, op10_ann)}
 
 ORACLES: dict[str, str] = {}
