@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejects documents that the quality model scores below 0.3; texts without words score 0 and go too."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     gam = quality.train(docs, labels, id_fold(F.col("doc_id"), 5) != 0)
-    return quality.score(docs, gam, *docs.columns).where(F.col("score") >= 0.3).select(*docs.columns)
+    return quality.score(docs, gam, *docs.columns, name="__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

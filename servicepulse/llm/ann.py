@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from servicepulse.llm.common import map_arrow
 from servicepulse.session import materialize
 
 #: Bound of the sample for rotations and radius, and share of its true neighbours the radius must reach.
@@ -185,7 +186,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             table = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).orderBy("vec_id").toArrow()
             if table.num_rows:
                 shared = spark.sparkContext.broadcast((coder, table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist())))
-                found = found.unionByName(materialize(classes.where(F.size("embedding") == dim).mapInArrow(_searcher(shared, k), result), "ann-found"))
+                found = found.unionByName(materialize(map_arrow(classes.where(F.size("embedding") == dim), _searcher(shared, k), result), "ann-found"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

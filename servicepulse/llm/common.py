@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from servicepulse.session import materialize
 
 U = np.uint64
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -76,6 +78,14 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver found it."""
+    env = df.sparkSession.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array], object], dict], schema: str, setup: Callable[[], object] | None = None, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` for a function from some rows' columns to a dict of output columns.
 
@@ -94,7 +104,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, pa.Array], object], dict]
                 out = fn({n: b.column(i) for i, n in enumerate(b.schema.names)}, state)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=False) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import broadcast_rows
+from servicepulse.llm.common import broadcast_rows, map_arrow
 from servicepulse.session import materialize
 
 #: Pages of a host that are ordered together; larger hosts are dealt into several such groups.
@@ -246,4 +246,4 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     sizes = materialize(src.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts")), "html-hosts")
     dealt = src.join(broadcast_rows(sizes, BROADCAST_HOSTS), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))).drop("parts")
     dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "html")
-    return dealt.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(dealt, _extract, "page_id long, url string, text string, n_chars long")

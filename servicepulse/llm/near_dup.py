@@ -8,14 +8,19 @@ Prefixes start at ``DEPTH`` values, where a pair of similarity 0.8 misses all
 ``TREES`` trees with probability 5e-8, and a region is read deeper only where
 it is crowded and holds classes that are not yet linked.  Candidates are
 
-1. the neighbour at the head of the region (its smallest id), first the one a
-   class meets in most trees, then all others;
-2. all pairs of a region of up to ``CROWD`` classes that are still in
-   different components; a more crowded region is split by the next ``DEPTH``
-   values of its order and its parts are treated likewise, down to equal
-   signatures.
-
-Each candidate pair is confirmed on the full shingle sets.
+1. the neighbour at the head of a class's region (its smallest id), in the
+   tree whose head it meets most often;
+2. in every region that then still holds several components: each class
+   outside the region's largest component with all classes of other
+   components, if no more than ``CROWD`` are outside.  A more crowded region is
+   split by the next ``DEPTH`` values of its order and its parts are treated
+   likewise, heads first, down to equal signatures.
+
+Pairs whose signatures agree in fewer than ``LEAST_EQUAL`` values are no
+candidates; every other is confirmed on the full shingle sets.  Within a
+region the sets are compared by what they hold more or less than a common
+pivot, which for near copies is little: two sets differ in exactly what is in
+one of the two differences and not in the other.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import U, WordHashes, components, broadcast_rows, map_batches, mix64, shingle_hashes, text_bytes, words_of
+from servicepulse.llm.common import U, WordHashes, broadcast_rows, components, map_arrow, map_batches, mix64, shingle_hashes, text_bytes, words_of
 from servicepulse.session import materialize
 
 TREES, DEPTH = 32, 4
 WIDTH = TREES * DEPTH
-CROWD = 48
-#: A pair of similarity 0.8 agrees in fewer of 128 values with probability below 1e-8.
-LEAST_EQUAL = 75
+#: Classes outside the largest component that a region may have, and classes of a region compared in one task.
+CROWD, SPLIT = 512, 4096
+#: A pair of similarity 0.8 agrees in fewer of 128 values with probability below 1e-6.
+LEAST_EQUAL = 78
 #: Ids (8 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 _BLOCK = 4096
@@ -101,20 +107,22 @@ class _Links:
         return df.join(self.labels.select(F.col("node").alias(col), F.col("label").alias("_l")), col, "left").withColumn(out, F.coalesce("_l", col)).drop("_l")
 
     def confirm(self, pairs: DataFrame, name: str) -> None:
-        """Take (a, b) pairs, confirm those whose sets are similar, merge their components."""
-        pairs = self.label(self.label(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb")
+        """Take (a, b, sure) pairs, confirm those whose sets are similar (sure: known to be), merge their components."""
+        pairs = pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
+        pairs = self.label(self.label(pairs, "a", "la"), "b", "lb").where("la <> lb")
         sig = self.classes.select("id", "n", "sig")
         for c in ("a", "b"):
             pairs = pairs.join(sig.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
             if c == "b":
                 pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
         alike = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        pairs = materialize(pairs.where(alike >= LEAST_EQUAL).select("a", "b", "la", "lb", "na", "nb"), f"neardup-{name}")
+        pairs = materialize(pairs.where(F.col("sure") | (alike >= LEAST_EQUAL)).select("a", "b", "sure", "la", "lb", "na", "nb"), f"neardup-{name}")
+        sure, pairs = pairs.where("sure").select(F.col("la").alias("a"), F.col("lb").alias("b")), pairs.where("not sure")
         for c in ("a", "b"):
             pairs = pairs.join(self.sets.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")), c)
         shared = F.size(F.array_intersect("seta", "setb"))
         links = pairs.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * self.percent).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        links = materialize(links.distinct(), f"neardup-{name}-links")
+        links = materialize(links.unionByName(sure).distinct(), f"neardup-{name}-links")
         self.merge(links, name)
 
     def merge(self, links: DataFrame, name: str) -> None:
@@ -132,6 +140,101 @@ class _Links:
         self.labels = materialize(moved.unionByName(fresh), "neardup-labels")
 
 
+def _pairs(heads: DataFrame) -> DataFrame:
+    return heads.select(F.col("id").alias("a"), F.col("head").alias("b"), F.lit(False).alias("sure"))
+
+
+def _differences(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, pivot, delta: a class's set against that of the component its regions mostly belong to.
+
+    delta is null where it is more than half of the set: such a set is compared whole.
+    """
+    votes = regions.groupBy("id", "main").agg(F.count(F.lit(1)).alias("n"))
+    pivots = votes.groupBy("id").agg(F.max_by("main", F.struct("n", -F.col("main"))).alias("pivot"))
+    both = pivots.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("base")), "pivot")
+    delta = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
+    both = both.select("id", "pivot", F.size("set").alias("own"), delta.alias("delta")).groupBy("id").agg(F.first("pivot").alias("pivot"), F.min_by("delta", "own").alias("delta"), F.min("own").alias("own"))
+    return both.select("id", "pivot", F.when(F.size("delta") * 2 <= F.col("own"), F.col("delta")).alias("delta"))
+
+
+def _candidates(regions: DataFrame, classes: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
+    """(a, b, sure) of different components that share a region and have similar signatures.
+
+    Pairs whose differences from one pivot are known are decided here: those
+    that are similar enough come out as sure, the others not at all.
+
+    The classes outside a region's main component are held in memory, all others
+    stream past them; a large region is dealt over several tasks, each with all
+    that are outside.  A pair that shares several regions is given once, in the
+    first tree.
+    """
+    outside = F.col("label") != F.col("main")
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    own = F.array(F.pmod(F.xxhash64("id"), parts).cast("int"))
+    trees = regions.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("trees"))
+    rows = regions.withColumn("outside", outside).withColumn("part", F.explode(F.when(outside, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
+    rows = rows.join(classes.select("id", "n", "sig"), "id").join(trees, "id").join(_differences(regions, sets), "id", "left")
+    rows = rows.select("key", "part", "outside", "tree", "id", "label", "n", "trees", F.coalesce("pivot", F.lit(0)).alias("pivot"), "delta", "sig")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("outside"), "id")
+
+    def compare(x: dict, y: dict, upper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of positions that are candidates, not given by an earlier tree, and whether they are sure."""
+        i, j = np.nonzero((x["label"][:, None] != y["label"][None]) & (np.minimum(x["n"][:, None], y["n"][None]) * 100 >= np.maximum(x["n"][:, None], y["n"][None]) * percent))
+        if upper:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            same = x["sig"][i] == y["sig"][j]
+            keep = same.sum(axis=1) >= LEAST_EQUAL
+            i, j, same = i[keep], j[keep], same[keep].reshape(-1, TREES, DEPTH).all(axis=2)
+            met = same.copy()
+            for k in range(1, level + 1):
+                met &= np.roll(same, -k, axis=1)
+            open_ = (x["trees"][i][:, None] >> np.arange(TREES)) & 1 == 1
+            first = (met & open_).argmax(axis=1) == x["tree"][i]
+            i, j = i[first], j[first]
+        sure = np.zeros(len(i), bool)
+        known = np.flatnonzero(x["pivot"][i] == y["pivot"][j]) if len(i) else []
+        keep = np.ones(len(i), bool)
+        for k in known:
+            a, b = x["delta"][i[k]], y["delta"][j[k]]
+            if a is not None and b is not None:
+                total = int(x["n"][i[k]] + y["n"][j[k]])
+                shared = (total - len(a ^ b)) // 2
+                sure[k] = keep[k] = shared * 100 >= percent * (total - shared)
+        return i[keep], j[keep], sure[keep]
+
+    def run(batches):
+        held, at = None, None
+        for batch in batches:
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cols = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if n not in ("sig", "delta")}
+            cols["sig"] = batch.column("sig").flatten().to_numpy().reshape(-1, WIDTH)
+            cols["delta"] = np.empty(len(key), object)
+            cols["delta"][:] = [d if d is None else frozenset(d) for d in batch.column("delta").to_pylist()]
+            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cols["outside"][1:] != cols["outside"][:-1])) + 1
+            cuts = [0, *change.tolist(), len(key)]
+            out_a, out_b, out_sure = [], [], []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (key[lo], part[lo]) != at:
+                    held, at = None, (key[lo], part[lo])
+                for k in range(lo, hi, 256):
+                    own = {n: c[k : min(k + 256, hi)] for n, c in cols.items()}
+                    for other, upper in ((held, False), (own, True)) if own["outside"][0] else ((held, False),):
+                        # Pairs of two that are outside stand in every part: the first gives them.
+                        if other is not None and (part[lo] == 0 or not own["outside"][0]):
+                            i, j, sure = compare(own, other, upper)
+                            x, y = own["id"][i], other["id"][j]
+                            out_a.append(np.maximum(x, y))
+                            out_b.append(np.minimum(x, y))
+                            out_sure.append(sure)
+                    if own["outside"][0]:
+                        held = own if held is None else {n: np.concatenate([held[n], own[n]]) for n in held}
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_sure))], names=["a", "b", "sure"])
+
+    return map_arrow(rows, run, "a long, b long, sure boolean")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -162,32 +265,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     met = forest.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("trees"))
     first = met.groupBy("id").agg(F.min_by("head", F.struct(-F.col("trees"), F.col("head"))).alias("head"))
-    links.confirm(first.select(F.col("id").alias("a"), F.col("head").alias("b")), "head")
-    links.confirm(met.select(F.col("id").alias("a"), F.col("head").alias("b")), "heads")
+    links.confirm(_pairs(first), "head")
 
-    regions, level = forest.select("tree", "key", "id", "size"), 0
-    while level < TREES - 1:
-        # Regions that still hold several components.
+    regions, level = forest.select("tree", "key", "id"), 0
+    while True:
+        # Regions that still hold several components, and how many of their classes are outside the largest.
         mixed = links.label(regions, "id", "label")
-        open_ = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        regions = materialize(mixed.join(open_, "key"), "neardup-open")
-        small = regions.where(F.col("size") <= CROWD)
+        sizes = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        shape = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        regions = materialize(mixed.join(shape, "key"), "neardup-open")
         if not regions.limit(1).count():
             break
-        groups = small.groupBy("key").agg(F.collect_list(F.struct("id", "label")).alias("m"))
-        partners = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (y["label"] != x["label"])), lambda y: F.struct(y["id"].alias("a"), x["id"].alias("b"))))
-        links.confirm(groups.select(F.explode(F.flatten(partners)).alias("p")).select("p.a", "p.b"), f"region-{level}")
-        crowded = regions.where(F.col("size") > CROWD).select("tree", "key", "id")
-        if not crowded.limit(1).count():
+        links.confirm(_candidates(regions.where(F.col("outside") <= CROWD), classes, sets, level, percent), f"region-{level}")
+        level += 1
+        crowded = regions.where(F.col("outside") > CROWD).select("tree", "key", "id")
+        if level == TREES or not crowded.limit(1).count():
             break
         # The next values of each order split what is crowded.
-        level += 1
-        by_id = crowded.groupBy("id").agg(F.collect_list(F.struct("tree", "key")).alias("at"))
-        deeper = by_id.join(classes.select("id", "sig"), "id").select("id", "sig", F.explode("at").alias("at")).select("id", "sig", F.col("at.tree").alias("tree"), F.col("at.key").alias("up"))
-        deeper = deeper.select("tree", "id", F.xxhash64("up", rotated(level)).alias("key"))
+        deeper = crowded.join(classes.select("id", "sig"), "id").select("tree", "id", F.xxhash64("key", rotated(level)).alias("key"))
         heads = deeper.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        regions = materialize(deeper.join(heads, "key").select("tree", "key", "id", "head", "size"), "neardup-deeper")
-        links.confirm(regions.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")), f"deeper-{level}")
+        regions = materialize(deeper.join(heads, "key").select("tree", "key", "id", "head"), "neardup-deeper")
+        links.confirm(_pairs(regions.where("id <> head")), f"deeper-{level}")
         regions = regions.drop("head")
 
     # Back to the rows: class by set, then component by class.

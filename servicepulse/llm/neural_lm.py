@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import id_fold, map_batches, text_bytes, words_of
+from servicepulse.llm.common import id_fold, map_arrow, map_batches, text_bytes, words_of
 from servicepulse.session import materialize
 
 #: Words that may be broadcast with their counts (16 bytes each).
@@ -186,7 +186,7 @@ def count_words(train: DataFrame) -> DataFrame:
                 total = more
         yield flush()
 
-    return train.select("raw").mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    return map_arrow(train.select("raw"), run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
 def _head(counts: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def _train(spark, train: DataFrame, head, unigram: np.ndarray, seed: int) -> Mod
             flat = trainer.m.flat.astype(np.float64) * trainer.seen
             yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64())), pa.array([float(trainer.seen)])], names=["p", "n"])
 
-    each = train.select("raw").mapInArrow(run, "p array<double>, n double")
+    each = map_arrow(train.select("raw"), run, "p array<double>, n double")
     # Summed per parameter in Spark: what the driver gets has the model's size.
     mean = each.select(F.posexplode("p").alias("i", "v"), "n").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
     if not mean.num_rows:

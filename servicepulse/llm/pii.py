@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import map_batches
+from servicepulse.llm.common import map_arrow, map_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "link", "account")
@@ -264,4 +264,4 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                 text = pa.array([t and masked(t, find(t, anchors)) for t in b.column(at).to_pylist()], b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([text if j == at else c for j, c in enumerate(b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

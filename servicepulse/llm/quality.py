@@ -189,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Gam | None:
     return fit_gam(x, y, np.where(y == 1, share.get(1, 0) / total / had[1], share.get(0, 0) / total / had[0]))
 
 
-def score(docs: DataFrame, gam: Gam | None, *keep: str) -> DataFrame:
-    """``keep`` columns and score (0 to 1, higher: good) for every row of ``docs`` (text).
+def score(docs: DataFrame, gam: Gam | None, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name`` (0 to 1, higher: good) for every row of ``docs`` (text).
 
     A null, empty or blank text scores 0, any other text 1 if there is no model.
     Long texts are scored whole, repeated rows each for itself.
@@ -198,13 +198,13 @@ def score(docs: DataFrame, gam: Gam | None, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(gam)
 
     def run(cols, _):
-        x = np.array([features(b) for b in cols["_raw"].to_pylist()])
+        x = np.array([features(b) for b in cols["__bytes"].to_pylist()])
         s = shared.value.score(x) if shared.value else np.ones(len(x))
-        return {k: cols[k] for k in keep} | {"_score": pa.array(np.where(x[:, 0] > 0, s, 0.0))}
+        return {k: cols[k] for k in keep} | {"__score": pa.array(np.where(x[:, 0] > 0, s, 0.0))}
 
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", _score double"
-    return map_batches(docs.select(*keep, text_bytes(F.col("text")).alias("_raw")), run, schema).withColumnRenamed("_score", "score")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", __score double"
+    return map_batches(docs.select(*keep, text_bytes(F.col("text")).alias("__bytes")), run, schema).withColumnRenamed("__score", name)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

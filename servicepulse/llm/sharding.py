@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from servicepulse.llm.common import broadcast_rows
+from servicepulse.llm.common import broadcast_rows, map_arrow
 from servicepulse.session import materialize, scratch_path
 
 #: Text bytes of a bucket on average, and buckets whose places may be broadcast.
@@ -97,7 +97,7 @@ def write_shards(docs: DataFrame, shards: int, seed: int, path: str | None = Non
     placed = rows.join(broadcast_rows(places, BROADCAST_BUCKETS), "bucket").select(*docs.columns, "size", "bucket", "place", "order_key")
     out = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "order_key", "doc_id")
     arranged = T.StructType([*[f for f in schema.fields if f.name not in ("slot", "shard")], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    out = out.mapInArrow(lambda batches: _shuffled(batches, seed, n, shards), arranged)
+    out = map_arrow(out, lambda batches: _shuffled(batches, seed, n, shards), arranged)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
