@@ -18,6 +18,7 @@ from servicepulse import constants as K
 from servicepulse.functions import columns as C
 from servicepulse.operators import resolution, standardise as S
 from servicepulse.operators.classify import classify, enrich
+from servicepulse.operators.median import grouped_medians
 from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
 from servicepulse.session import scratch_path
 from servicepulse.sources import files
@@ -152,7 +153,39 @@ def q_infer_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload.to_json_lines(M.overall_metrics(_enriched(spark, sf_dir)))
+    """Type profiles as JSON lines, fractions with four fixed decimals."""
+    return payload.to_json_lines(M.type_profile(_enriched(spark, sf_dir)), decimals=4)
+
+
+def q_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows kept when every seventh ticket has lost all its values."""
+    raw = _raw(spark, sf_dir)
+    holed = raw.select(*[F.when(F.col("SR_ID") % 7 != 0, F.col(c)).alias(c) for c in raw.columns])
+    return S.standardise(S.drop_empty_rows(holed)).agg(F.count(F.lit(1)).alias("rows"), F.count("SR_ID").alias("ids"))
+
+
+_RENAMED = {"CREATED_DATE": "opened_on", "CLOSED_DATE": "done_on", "SR_TYPE": "what", "ZIP_CODE": "area", "STATUS": "state"}
+
+
+def q_role_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zip profile of tickets whose columns have names that no rule finds, with their roles given."""
+    raw = _raw(spark, sf_dir).withColumnsRenamed(_RENAMED)
+    roles = {"created": "opened_on", "closed": "done_on", "request_type": "what", "zip": "area", "status": "state"}
+    return _round(M.zip_profile(enrich(raw, as_of=AS_OF, **roles)))
+
+
+def q_median_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median hours per priority with the narrowing rounds forced (16 buckets, 50 values at the end)."""
+    df = _enriched(spark, sf_dir)
+    return _round(grouped_medians(df, [K.PRIORITY_COL], {"median_hours": F.col(K.HOURS_COL), "median_ratio": F.col(K.RATIO_COL)}, bins=16, finish_at=50))
+
+
+#: Columns that choose the map sample, and its full order (as in the oracle).
+MAP_IDS = ["SR_ID", "SR_TYPE", "SR_PRIORITY", "METHOD_RAW", "STATUS", "ZIP_CODE"]
+
+
+def q_map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(R.map_points(_enriched(spark, sf_dir), id_cols=MAP_IDS))
 
 
 def _std_q(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -188,7 +221,9 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "canon_priority": _std_q(lambda d: _grouped(d, "SR_PRIORITY", K.PRIORITY_COL)),
         "canon_method": _std_q(lambda d: _grouped(d, "METHOD_RAW", K.METHOD_COL)),
         "valid_coords": _std_q(lambda d: _grouped(d, K.VALID_COORDS_COL)),
-        "drop_empty": _std_q(lambda d: d.agg(F.count(F.lit(1)).alias("rows"))),
+        "drop_empty": q_drop_empty,
+        "role_overrides": q_role_overrides,
+        "median_narrowed": q_median_narrowed,
         "standardise": _std_q(lambda d: d),
         # resolution time, targets, classification
         "resolution_hours": _std_q(lambda d: resolution.with_resolution(d, AS_OF).select(
@@ -237,7 +272,7 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "method_distribution": _q(R.method_distribution),
         "performance_by_method": _q(R.performance_by_method),
         "priority_performance": _q(R.priority_performance),
-        "map_points": _q(R.map_points),
+        "map_points": q_map_points,
         "type_priority_grid": _q(R.type_priority_grid),
         "method_priority_share": _q(R.method_priority_share),
         "method_priority_met": _q(R.method_priority_met),
@@ -428,7 +463,22 @@ def _request_oracles() -> dict[str, str]:
         "canon_priority": _sql(_counts_sql("SR_PRIORITY, PRIORITY", src="std")),
         "canon_method": _sql(_counts_sql("METHOD_RAW, METHOD_RECEIVED", src="std")),
         "valid_coords": _sql(_counts_sql("has_valid_coords", src="std")),
-        "drop_empty": _sql("SELECT CAST(count(*) AS BIGINT) AS rows FROM std"),
+        "drop_empty": _sql("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(SR_ID) AS BIGINT) AS ids FROM std WHERE SR_ID % 7 <> 0"),
+        "role_overrides": _sql("SELECT * RENAME (ZIP_CODE AS area) FROM (" + _profile_sql("ZIP_CODE", False, K.TOP_ZIPS) + ")",
+                               ("avg_resolution_hours", "resolution_rate", "percent_meeting_target")),
+        "median_narrowed": _sql("SELECT PRIORITY, median(resolution_hours) AS median_hours, median(performance_ratio) AS median_ratio FROM enr GROUP BY PRIORITY",
+                                ("median_hours", "median_ratio")),
+        "payload_json": _sql("SELECT '{' || " + " || ',' || ".join(
+            f"""'"{c}":' || COALESCE({e}, 'null')""" for c, e in (
+                ("SR_TYPE", "'\"' || SR_TYPE || '\"'"), ("count", 'CAST("count" AS VARCHAR)'),
+                ("avg_resolution_hours", "CAST(CAST(avg_resolution_hours AS DECIMAL(38, 4)) AS VARCHAR)"),
+                ("resolution_rate", "CAST(CAST(resolution_rate AS DECIMAL(38, 4)) AS VARCHAR)"), ("target_hours", "CAST(target_hours AS VARCHAR)"),
+                ("percent_meeting_target", "CAST(CAST(percent_meeting_target AS DECIMAL(38, 4)) AS VARCHAR)"))
+        ) + " || '}' AS json FROM (" + _profile_sql("SR_TYPE", True, K.TOP_TYPES) + ")"),
+        "map_points": _sql("SELECT * FROM enr WHERE has_valid_coords ORDER BY md5(concat_ws('|', '" + str(K.MAP_SAMPLE_SEED) + "', "
+                           + ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in MAP_IDS) + ")), " + _order_all(
+                               ["SR_ID", "SR_TYPE", "SR_PRIORITY", "METHOD_RAW", "STATUS", "ZIP_CODE", "CREATED_DATE", "CLOSED_DATE", "latitude", "longitude"])
+                           + f" LIMIT {K.MAP_SAMPLE_SIZE}", _ENR_DOUBLES),
         "standardise": _sql("SELECT * FROM std", ("latitude", "longitude")),
         # resolution time, targets, classification
         "resolution_hours": _sql("SELECT SR_ID, CREATED_DATE, CLOSED_DATE, resolution_hours, is_resolved FROM res", ("resolution_hours",)),

@@ -20,6 +20,7 @@ from .operators.classify import enrich
 from .plans import goals, reports
 from .plans.insights import insight_tables
 from .plans.payload import to_json_lines
+from .session import scratch_scope
 from .sources import files
 
 
@@ -67,19 +68,21 @@ def main(argv: Optional[Sequence[str]] = None, spark: Optional[SparkSession] = N
     if spark is None:
         # The submitted master when run by spark-submit, local[*] otherwise.
         spark = SparkSession.builder.appName("servicepulse").getOrCreate()
-    enriched = enrich(_load(spark, args.input, args.format), as_of=args.as_of)
-    if args.persist:
-        enriched = enriched.persist()
-    tables = report_tables(enriched, args.kind, args.request_type, args.profile)
-    for name, table in tables.items():
-        target = f"{args.out.rstrip('/')}/{name}"
-        if args.write_format == "json":
-            to_json_lines(table).write.mode("overwrite").text(target)
-        else:
-            table.write.mode("overwrite").parquet(target)
-        print(f"wrote {name} -> {target}")
-    if args.persist:
-        enriched.unpersist()
+    # Intermediate tables are deleted once the report tables are written.
+    with scratch_scope(spark):
+        enriched = enrich(_load(spark, args.input, args.format), as_of=args.as_of)
+        if args.persist:
+            enriched = enriched.persist()
+        tables = report_tables(enriched, args.kind, args.request_type, args.profile)
+        for name, table in tables.items():
+            target = f"{args.out.rstrip('/')}/{name}"
+            if args.write_format == "json":
+                to_json_lines(table).write.mode("overwrite").text(target)
+            else:
+                table.write.mode("overwrite").parquet(target)
+            print(f"wrote {name} -> {target}")
+        if args.persist:
+            enriched.unpersist()
     return 0
 
 

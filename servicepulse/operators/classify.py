@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import columns as C
-from ..roles import resolve_roles
+from ..roles import frame_roles
 from .resolution import AsOf, with_resolution
 from .standardise import standardise
 
 
 def type_column_name(df: DataFrame, override: Optional[str] = None) -> str:
     """Request-type column of ``df`` (the broad keyword rule), or the default."""
-    return override or resolve_roles(df.columns).request_type or K.DEFAULT_TYPE_COL
+    return override or frame_roles(df).request_type or K.DEFAULT_TYPE_COL
 
 
 def classify(df: DataFrame, targets=None, request_type: Optional[str] = None) -> DataFrame:
@@ -35,7 +35,11 @@ def classify(df: DataFrame, targets=None, request_type: Optional[str] = None) ->
 
 
 def enrich(df: DataFrame, as_of: AsOf = None, *, standardised: bool = False, targets=None, **std_options) -> DataFrame:
-    """Standardise (unless already done), add resolution time, classify."""
+    """Standardise (unless already done), add resolution time, classify.
+
+    Role overrides among ``std_options`` hold for all steps and for the reports
+    over the result.
+    """
     if not standardised:
         df = standardise(df, **std_options)
     return classify(with_resolution(df, as_of), targets)

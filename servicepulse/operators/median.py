@@ -13,7 +13,9 @@ as pandas/DuckDB ``median``) with bounded per-task state:
    sign*log1p scale for heavy tails, then equal width)
    (``groupBy(group, bin)`` -- the hot group is spread over ``bins`` keys and
    pre-aggregated map-side), keep only the bucket(s) holding the middle
-   ranks and shrink the range to their real min/max;
+   ranks and shrink the range to their real min/max; the lowest and the
+   highest value always fall in different buckets, so every round shrinks the
+   range, infinite values included, until the group is done;
    When the two middle ranks fall in two different buckets they are the
    lower bucket's max and the upper bucket's min, and the group is done;
    a range of one value is done as well;
@@ -21,8 +23,11 @@ as pandas/DuckDB ``median``) with bounded per-task state:
    with a running sum inside each group (at most ``finish_at`` rows per
    group), and pick the two middle values.
 
-The per-group state of each narrowing round is written to the shared
-checkpoint folder (lineage cut; the state survives executor loss).  Several
+If any group needs narrowing, or there are more groups than may be broadcast,
+the values are collapsed to (group, value, count) and written once; all rounds
+and the finish read that table, so the input is read once whatever the number
+of rounds, and a value that repeats in a hot group is one row.  The state of
+each round is written too (lineage cut; it survives executor loss).  Several
 value columns are handled in one pass by stacking them under a measure key.
 """
 
@@ -94,14 +99,19 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int, log_scale: bool) -> Colum
     """Bucket of ``v`` in [lo, hi]; non-decreasing in ``v`` (required for the
     rank bookkeeping).  The log scale falls back to equal width when it
     cannot separate lo and hi."""
-    linear = F.floor((v - lo) / (hi - lo) * bins)
+    # Halves, so that the width of a finite range is finite.
+    linear = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins)
     if log_scale:
         tl, th = _log_scale(lo), _log_scale(hi)
         logged = F.floor((_log_scale(v) - tl) / (th - tl) * bins)
         raw = F.when(th > tl, logged).otherwise(linear)
     else:
         raw = linear
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
+    inner = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
+    finite = (F.abs(lo) < float("inf")) & (F.abs(hi) < float("inf"))
+    # The ends have the first and the last bucket; beside an infinite end the
+    # rest shares one in between.
+    return F.when(v == hi, F.lit(bins - 1)).when(v == lo, F.lit(0)).when(finite, inner).otherwise(F.lit(bins // 2))
 
 
 # Salts per group when the state is too large to broadcast: a hot group's
@@ -110,10 +120,11 @@ JOIN_SALTS = 32
 
 
 def _state_join(data: DataFrame, state: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
-    """Attach each row's group state.  Broadcast while the number of groups
-    is below the bound; otherwise a salted shuffle join: every state row is
-    replicated over ``JOIN_SALTS`` salts and every data row takes a salt
-    from the hash of its value (deterministic, so retries agree)."""
+    """Attach each (group, value, count) row's group state.  Broadcast while the
+    number of groups is below the bound; otherwise a salted shuffle join: every
+    state row is replicated over ``JOIN_SALTS`` salts and every data row takes
+    a salt from the hash of its value (deterministic, so retries agree; a
+    value occurs once per group)."""
     if n_groups <= BROADCAST_MAX_GROUPS:
         return data.join(F.broadcast(state), on=list(keys), how="inner")
     salted_state = state.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
@@ -129,7 +140,6 @@ def grouped_medians(
     stats: Optional[DataFrame] = None,
     bins: int = DEFAULT_BINS,
     finish_at: int = DEFAULT_FINISH_AT,
-    max_rounds: int = 12,
 ) -> DataFrame:
     """Exact median of each value column per group.
 
@@ -172,9 +182,12 @@ def grouped_medians(
     done = known | (F.col("cand") <= finish_at)
     n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~done)).first()
 
-    for round_no in range(max_rounds):
-        if not n_open:
-            break
+    long = long.withColumn("w", F.lit(1).cast("long"))
+    if n_open or n_groups > BROADCAST_MAX_GROUPS:
+        long = materialize(long.groupBy(*G, _V).agg(F.count(F.lit(1)).alias("w")), "median-values")
+
+    round_no = 0
+    while n_open:
         open_groups = state.where(~done)
         # First round on a log scale (heavy tails land in fewer, finer
         # buckets around the bulk), later rounds equal width.
@@ -183,8 +196,9 @@ def grouped_medians(
             .where(F.col(_V).between(F.col("lo"), F.col("hi")))
             .withColumn("bin", _bin(F.col(_V), F.col("lo"), F.col("hi"), bins, log_scale=round_no == 0))
         )
+        round_no += 1
         hist = binned.groupBy(*G, "bin", "k1", "k2", "below").agg(
-            F.count(F.lit(1)).alias("c"), F.min(_V).alias("bmin"), F.max(_V).alias("bmax")
+            F.sum("w").alias("c"), F.min(_V).alias("bmin"), F.max(_V).alias("bmax")
         )
         w = Window.partitionBy(*G).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
@@ -210,7 +224,7 @@ def grouped_medians(
 
     todo = state.where(~known).drop("v1", "v2")
     cand = _state_join(long, todo, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
-    counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.count(F.lit(1)).alias("c"))
+    counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.sum("w").alias("c"))
     w = Window.partitionBy(*G).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
     lo_v = F.max(F.when((F.col("start") <= F.col("k1")) & (F.col("k1") < F.col("end")), F.col(_V)))

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import columns as C
-from ..roles import resolve_roles
+from ..roles import frame_roles
 from .standardise import coerce_timestamp
 
 AsOf = Union[None, str, _dt.datetime, Column]
 
 
-def as_of_column(as_of: AsOf) -> Column:
-    """Reference instant as a zone-less timestamp; default: the local now."""
+def as_of_column(as_of: AsOf, df: Optional[DataFrame] = None) -> Column:
+    """Reference instant as a zone-less timestamp; default: the local now.
+
+    The clock is read once, here: every job over the frame sees the same
+    instant.  Only a stream takes the time of each micro-batch.
+    """
     if as_of is None:
-        return F.localtimestamp()
+        if df is None or df.isStreaming:
+            return F.localtimestamp()
+        as_of = df.sparkSession.sql("SELECT CAST(localtimestamp() AS STRING)").first()[0]
     if isinstance(as_of, Column):
         return as_of.cast("timestamp_ntz")
     if isinstance(as_of, _dt.datetime):
@@ -35,13 +41,13 @@ def with_resolution(df: DataFrame, as_of: AsOf = None, created: Optional[str] =
     resolution time.  Without both date columns: hours NULL, resolved False,
     and no age column.
     """
-    roles = resolve_roles(df.columns, created=created, closed=closed) if (created or closed) else resolve_roles(df.columns)
+    roles = frame_roles(df, created=created, closed=closed)
     if roles.created is None or roles.closed is None:
         return df.withColumns({K.HOURS_COL: F.lit(None).cast("double"), K.RESOLVED_COL: F.lit(False)})
     types = {f.name: f.dataType for f in df.schema.fields}
     created_c = coerce_timestamp(C.qcol(roles.created), types[roles.created], epoch_millis=True)
     closed_c = coerce_timestamp(C.qcol(roles.closed), types[roles.closed], epoch_millis=True)
-    now = as_of_column(as_of)
+    now = as_of_column(as_of, df)
     resolved = closed_c.isNotNull()
     # Age first, in its own projection, so the open-ticket branch reuses it
     # instead of repeating the date arithmetic.
@@ -55,8 +61,8 @@ def with_resolution(df: DataFrame, as_of: AsOf = None, created: Optional[str] =
 
 def ticket_age(df: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Only the age of every ticket at ``as_of`` (hours, may be negative)."""
-    roles = resolve_roles(df.columns)
+    roles = frame_roles(df)
     roles.require("created")
     types = {f.name: f.dataType for f in df.schema.fields}
     created_c = coerce_timestamp(C.qcol(roles.created), types[roles.created], epoch_millis=True)
-    return df.withColumn(K.AGE_COL, C.hours_between(created_c, as_of_column(as_of)))
+    return df.withColumn(K.AGE_COL, C.hours_between(created_c, as_of_column(as_of, df)))

@@ -1,9 +1,9 @@
-"""Standardise a raw ticket table: dates, priority, method, coordinates,
-empty rows and missing request types.
+"""Standardise a raw ticket table: dates, priority, method, coordinates and
+missing request types.
 
 Every step is a per-row native expression over the resolved column roles;
-the transform is a filter and two projections, which fuse into the scan's
-whole-stage-codegen stage and never shuffle.
+the transform is two projections, which fuse into the scan's whole-stage-codegen
+stage, never shuffle, and let column pruning reach the scan.
 """
 
 from __future__ import annotations
@@ -16,17 +16,33 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import columns as C
-from ..roles import Roles, resolve_roles
+from ..roles import Roles, frame_roles, mark_roles
 
 # Formats tried, in order, for text date columns after the plain ISO cast.
 # Single-letter fields accept both padded and unpadded values (1/5 and 01/05).
 DEFAULT_DATE_FORMATS: tuple[str, ...] = (
     "M/d/yyyy h:mm:ss a",
     "M/d/yyyy H:mm:ss",
+    "M/d/yyyy h:mm a",
     "M/d/yyyy H:mm",
     "M/d/yyyy",
+    "M-d-yyyy h:mm:ss a",
+    "M-d-yyyy h:mm a",
+    "M-d-yyyy H:mm:ss",
+    "M-d-yyyy H:mm",
+    "M-d-yyyy",
     "yyyy/M/d H:mm:ss",
+    "yyyy/M/d H:mm",
     "yyyy/M/d",
+    "yyyy-M-d h:mm:ss a",
+    "yyyy-M-d h:mm a",
+    "yyyy-M-d H:mm",
+    "MMM d, yyyy h:mm a",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d-MMM-yyyy H:mm:ss",
+    "d-MMM-yyyy",
 )
 
 
@@ -49,7 +65,8 @@ def coerce_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] = DEFA
     * timestamp_ntz: unchanged;  timestamp / date: cast (wall clock kept);
     * text: ISO cast (an explicit offset is dropped, the written wall clock
       kept), then each format in ``formats``;
-    * integers: epoch milliseconds when ``epoch_millis`` (feature JSON dates),
+    * numbers: epoch milliseconds when ``epoch_millis`` (feature JSON dates; a
+      fraction of a millisecond is cut off, NaN and out-of-range are NULL),
       otherwise left alone.
     """
     if isinstance(dtype, T.TimestampNTZType):
@@ -62,17 +79,19 @@ def coerce_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] = DEFA
         return F.coalesce(*parsed)
     if isinstance(dtype, (T.LongType, T.IntegerType)) and epoch_millis:
         return C.epoch_millis_to_ntz(c)
+    if isinstance(dtype, (T.ShortType, T.ByteType, T.FloatType, T.DoubleType, T.DecimalType)) and epoch_millis:
+        return C.epoch_millis_to_ntz(F.when(F.abs(c.cast("double")) < 2.0**53, c).try_cast("long"))
     return c
 
 
 def coerce_dates(df: DataFrame, roles: Optional[Roles] = None, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
     """Coerce every date/time-named column to ``timestamp_ntz``.
 
-    Only text, date and timestamp columns are rewritten, plus integer columns
+    Only text, date and timestamp columns are rewritten, plus numeric columns
     holding the created/closed role (read as epoch milliseconds); other
     numeric ``*time*`` columns (durations) are left alone.
     """
-    roles = roles or resolve_roles(df.columns)
+    roles = roles or frame_roles(df)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     role_dates = {roles.created, roles.closed}
     out = []
@@ -100,6 +119,16 @@ def method_column(roles: Roles, keep_email: bool = False) -> Column:
     return C.canon_method(C.qcol(roles.method), keep_email=keep_email)
 
 
+def drop_empty_rows(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
+    """Drop rows whose ``columns`` (default: all) are all NULL.
+
+    A step of its own, for input that has such rows: it must read every column
+    it tests, so it is not part of :func:`standardise`.
+    """
+    names = list(df.columns if columns is None else columns)
+    return df.na.drop(how="all", subset=names) if names else df
+
+
 def standardise(
     df: DataFrame,
     *,
@@ -112,17 +141,15 @@ def standardise(
     """Full standardisation step.
 
     Adds ``PRIORITY``, ``METHOD_RECEIVED`` and (when both coordinate columns
-    exist) ``has_valid_coords``; coerces date columns and coordinates; drops
-    rows whose input columns are all NULL; fills a missing request type with
-    ``UNKNOWN``.
+    exist) ``has_valid_coords``; coerces date columns and coordinates; fills a
+    missing request type with ``UNKNOWN``.  ``role_overrides`` (created=...,
+    request_type=..., ...) name the column of a role; later steps and reports
+    find them again.
     """
+    renamed = {c: f"raw_{c}" for c in df.columns if c.lower() in {n.lower() for n in K.ADDED_COLUMNS}}
     df = rename_clashing(df)
-    input_cols = list(df.columns)
-    if input_cols:
-        # Intended meaning of dropping all-empty rows: decide on the input
-        # columns, before the always-filled canonical columns exist.
-        df = df.na.drop(how="all", subset=input_cols)
-    roles = resolve_roles(df.columns, **role_overrides)
+    given = {k: renamed.get(v, v) for k, v in role_overrides.items() if v is not None}
+    roles = frame_roles(df, **given)
     df = coerce_dates(df, roles, date_formats)
 
     coords = roles.latitude is not None and roles.longitude is not None
@@ -142,4 +169,4 @@ def standardise(
         # value is parsed once per row, not once per comparison.
         lat, lon = C.qcol(roles.latitude), C.qcol(roles.longitude)
         df = df.withColumn(K.VALID_COORDS_COL, C.valid_coords(lat, lon, box))
-    return df
+    return mark_roles(df, roles, given)

@@ -12,12 +12,12 @@ from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators.median import grouped_medians, stat_names, stats_from_aggregate
 from ..operators.standardise import coerce_timestamp
-from ..roles import Roles, resolve_roles
+from ..roles import Roles, frame_roles
 from ..session import materialize
 
 
 def roles_of(df: DataFrame) -> Roles:
-    return resolve_roles(df.columns)
+    return frame_roles(df)
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -48,6 +48,17 @@ def created_ts(df: DataFrame) -> Column:
     return coerce_timestamp(C.qcol(r.created), dtype, epoch_millis=True)
 
 
+def report_base(df: DataFrame) -> DataFrame:
+    """The columns that the summary, geographic and seasonal tables use, written
+    once to the checkpoint folder: a set of tables then reads the raw input a
+    single time and a few narrow columns after that."""
+    r = roles_of(df)
+    roles = [c for c in (r.request_type, r.zip, r.status, r.created) if c is not None]
+    derived = [K.PRIORITY_COL, K.METHOD_COL, K.HOURS_COL, K.RESOLVED_COL, K.TARGET_COL, K.RATIO_COL, K.CATEGORY_COL]
+    names = dict.fromkeys([*roles, *[c for c in derived if c in df.columns]])
+    return materialize(df.select(*[C.qcol(c) for c in names]), "report-base")
+
+
 def attach_medians(
     agg: DataFrame, df: DataFrame, keys: Sequence[str], values: Mapping[str, Union[str, Column]], *, written: bool = False
 ) -> DataFrame:

@@ -65,11 +65,9 @@ def priority_by_method(df: DataFrame) -> DataFrame:
     return out.select(*cols).orderBy(F.col(K.METHOD_COL), C.priority_rank(F.col(K.PRIORITY_COL)))
 
 
-def performance_over_time(df: DataFrame) -> DataFrame:
-    """Per created month: volume, mean/median hours, met %, HIGH share %."""
-    ts = created_ts(df)
-    with_month = df.withColumn("__month_date", C.month_start(ts)).where(F.col("__month_date").isNotNull())
-    meds = {"median_resolution_hours": hours()}
+def _months(df: DataFrame) -> tuple[DataFrame, list]:
+    """Rows with their created month, and the monthly aggregates but the median."""
+    with_month = df.withColumn("__month_date", C.month_start(created_ts(df))).where(F.col("__month_date").isNotNull())
     aggs = [
         F.count(F.lit(1)).alias("request_count"),
         F.avg(K.HOURS_COL).alias("avg_resolution_hours"),
@@ -77,6 +75,13 @@ def performance_over_time(df: DataFrame) -> DataFrame:
     ]
     if K.PRIORITY_COL in df.columns:
         aggs.append(A.rate(F.col(K.PRIORITY_COL) == F.lit("HIGH")).alias("high_priority_pct"))
+    return with_month, aggs
+
+
+def performance_over_time(df: DataFrame) -> DataFrame:
+    """Per created month: volume, mean/median hours, met %, HIGH share %."""
+    with_month, aggs = _months(df)
+    meds = {"median_resolution_hours": hours()}
     agg = with_month.groupBy("__month_date").agg(*aggs, *median_stats(meds))
     out = attach_medians(agg, with_month, ["__month_date"], meds)
     cols = ["request_count", "avg_resolution_hours", "median_resolution_hours", "target_met_pct"]
@@ -89,6 +94,7 @@ def performance_over_time(df: DataFrame) -> DataFrame:
 
 def monthly_table(df: DataFrame) -> DataFrame:
     """Display table of the monthly metrics, month written as ``Mon yyyy``."""
-    m = performance_over_time(df)
+    with_month, aggs = _months(df)
+    m = with_month.groupBy(F.col("__month_date").alias("month_date")).agg(*aggs)
     cols = [c for c in ("request_count", "target_met_pct", "avg_resolution_hours", "high_priority_pct") if c in m.columns]
     return m.select(F.date_format(F.col("month_date").cast("date"), "MMM yyyy").alias("month"), *cols, "month_date").orderBy("month_date").drop("month_date")

@@ -19,8 +19,8 @@ from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
 from ..operators.median import median_stats
-from .common import attach_medians, created_ts, hours, ratio, resolved, share_of_total, type_col, zip_col
-from .metrics import performance_metrics
+from .common import attach_medians, created_ts, hours, ratio, report_base, resolved, share_of_total, type_col, zip_col
+from .metrics import _summary, performance_metrics
 from ..session import materialize
 
 # ------------------------------------------------------------ request type
@@ -45,7 +45,8 @@ def type_detail(df: DataFrame, request_type: str) -> DataFrame:
         A.met_count(ratio(), sel_res).alias("__met"),
         *median_stats(meds),
     ).where(F.col("count") > 0)
-    out = attach_medians(base, df, [], meds)
+    # The finishing pass reads the type's resolved rows only.
+    out = attach_medians(base, df.where(sel_res), [], {"median_resolution_hours": hours()})
     return out.select(
         F.lit(request_type).alias("request_type"),
         "count",
@@ -219,16 +220,19 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, max_columns: int = K.PROFILE_NUMERIC_COLUMNS) -> DataFrame:
     """Mean, median, min, max of the first numeric columns (booleans are not
-    numeric), one row per column.  The columns are stacked into
-    (column_name, value) so one aggregate and one median pass cover all."""
+    numeric), one row per column.  One wide aggregate holds the statistics of
+    all columns; rows are stacked into (column_name, value) for the median only."""
     cols = numeric_columns(df)[:max_columns]
     if not cols:
         raise ValueError("no numeric column")
     stacked = df.select(*[C.qcol(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
     meds = {"median": "value"}
-    stats = stacked.groupBy("column_name").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), *median_stats(meds)
-    )
+    wide = []
+    for c in cols:
+        value = C.qcol(c).cast("double")
+        own = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *median_stats({"median": value})]
+        wide.append(F.struct(F.lit(c).alias("column_name"), *own).alias(f"s{len(wide)}"))
+    stats = df.agg(*wide).select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("s.*")
     return attach_medians(stats, stacked, ["column_name"], meds).select("column_name", "mean", "median", "min", "max")
 
 
@@ -254,6 +258,16 @@ KINDS = ("performance", "geographic", "seasonal", "improvement", "comparative_pr
          "comparative_geographic", "comparative_method")
 
 
+def _geographic(df: DataFrame) -> dict[str, DataFrame]:
+    return {"top_zipcodes_by_volume": top_zips(df), "zipcode_performance": zip_performance(df),
+            "top_request_types_by_zipcode": top_types_by_zip(df)}
+
+
+def _seasonal(df: DataFrame) -> dict[str, DataFrame]:
+    return {"monthly_volumes": month_of_year_volume(df), "seasonal_volumes": season_volume(df),
+            "top_request_types_by_season": top_types_by_season(df), "seasonal_performance": season_performance(df)}
+
+
 def insight_tables(
     df: DataFrame,
     kind: Optional[str] = None,
@@ -262,10 +276,10 @@ def insight_tables(
 ) -> dict[str, DataFrame]:
     """Statistics tables for one insight request.
 
-    Precedence: a custom question (dataset profile) > an analysis kind >
-    a request type > the default set (performance, geographic, seasonal,
-    improvement).  ``performance`` and ``improvement`` carry the summary
-    metrics.  The comparison kind is the whole suffix after
+    Precedence: a custom question (dataset profile and the summary metrics) >
+    an analysis kind > a request type > the default set (performance,
+    geographic, seasonal, improvement).  ``performance`` and ``improvement``
+    carry the summary metrics.  The comparison kind is the whole suffix after
     ``comparative_``.
     """
     if custom_question:
@@ -274,16 +288,15 @@ def insight_tables(
             "data_sample": preview_rows(df),
             "numeric_stats": numeric_profile(df),
             "categorical_distributions": categorical_profile(df),
+            **performance_metrics(df),
         }
     if kind:
         if kind in ("performance", "improvement"):
             return performance_metrics(df)
         if kind == "geographic":
-            return {"top_zipcodes_by_volume": top_zips(df), "zipcode_performance": zip_performance(df),
-                    "top_request_types_by_zipcode": top_types_by_zip(df)}
+            return _geographic(report_base(df))
         if kind == "seasonal":
-            return {"monthly_volumes": month_of_year_volume(df), "seasonal_volumes": season_volume(df),
-                    "top_request_types_by_season": top_types_by_season(df), "seasonal_performance": season_performance(df)}
+            return _seasonal(report_base(df))
         if kind.startswith("comparative_"):
             which = kind[len("comparative_"):]
             if which == "priority":
@@ -300,7 +313,5 @@ def insight_tables(
                 "performance_categories": type_detail_categories(df, request_type),
                 "top_zipcodes": type_detail_zips(df, request_type),
                 "monthly_counts": type_detail_months(df, request_type)}
-    out = dict(performance_metrics(df))
-    out.update(insight_tables(df, "geographic"))
-    out.update(insight_tables(df, "seasonal"))
-    return out
+    base = report_base(df)
+    return {**_summary(base), **_geographic(base), **_seasonal(base)}

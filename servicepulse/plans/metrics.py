@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..operators import topk as T
 from ..operators.median import median_stats
 from ..session import materialize
-from .common import attach_medians, created_ts, hours, ratio, resolved, roles_of, type_col, zip_col
+from .common import attach_medians, created_ts, hours, ratio, report_base, resolved, roles_of, type_col, zip_col
 
 
 def overall_metrics(df: DataFrame) -> DataFrame:
@@ -96,10 +96,14 @@ def monthly_performance(df: DataFrame) -> DataFrame:
 def performance_metrics(df: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of the summary, by name.
 
-    Building them runs the jobs that write small intermediate tables (the
-    ``overall`` aggregate for its exact median, the type/category pairs);
-    everything else stays lazy until the caller's action.
+    Building them writes the columns that the tables use (the one pass over
+    the input) and small intermediate tables; everything else stays lazy until
+    the caller's action.
     """
+    return _summary(report_base(df))
+
+
+def _summary(df: DataFrame) -> dict[str, DataFrame]:
     out = {
         "overall": overall_metrics(df),
         "performance_categories": category_counts(df),

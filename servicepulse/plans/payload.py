@@ -8,26 +8,30 @@ group is gathered into one task.
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _clean(df: DataFrame) -> DataFrame:
+def _clean(df: DataFrame, decimals: Optional[int] = None) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
+            c = c if decimals is None else c.try_cast(T.DecimalType(38, decimals))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
-def to_json_lines(df: DataFrame, name: str = "json") -> DataFrame:
-    """One JSON text per row, nulls kept as ``null``."""
-    clean = _clean(df)
+def to_json_lines(df: DataFrame, name: str = "json", decimals: Optional[int] = None) -> DataFrame:
+    """One JSON text per row, nulls kept as ``null``; with ``decimals``
+    fractional numbers are written with that many fixed decimals."""
+    clean = _clean(df, decimals)
     return clean.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in clean.columns]), {"ignoreNullFields": "false"}).alias(name))
 
 

@@ -97,9 +97,10 @@ def map_points(
     oversample: float = 4.0,
 ) -> DataFrame:
     """Rows with valid coordinates; when more than ``n``, a seeded sample of
-    exactly ``n``: the ``n`` rows with the smallest seeded 64-bit hash of
-    their own (non-derived) columns, so the choice does not depend on
-    partitioning.
+    exactly ``n``: the ``n`` rows with the smallest MD5 of the seed and their
+    own (non-derived) columns or ``id_cols`` as text (NULL as empty text), ties
+    by all their own columns, so the choice depends neither on partitioning nor
+    on the engine.
 
     The hash is uniform, so with ``N`` points the rows below a cutoff that
     keeps about ``4n`` of them are written once (widened if fewer than ``n``
@@ -114,20 +115,22 @@ def map_points(
     # The ticket's own columns identify a row; the derived columns are
     # functions of them, so they add nothing but hashing cost.
     cols = id_cols or [c for c in df.columns if c not in K.ADDED_COLUMNS]
-    hashed = pts.withColumn("__h", F.xxhash64(F.lit(seed), *[C.qcol(c) for c in cols]))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(C.qcol(c).cast("string"), F.lit("")) for c in cols])
+    hashed = pts.withColumn("__h", F.md5(text.cast("binary")))
+    own = [c for c in df.columns if c not in K.ADDED_COLUMNS]
     total = pts.count()
     if total <= n:
         sample = hashed.drop("__h")
     else:
         frac = min(1.0, oversample * n / total)
         while True:
-            cut = -(2**63) + int(frac * 2**64)
-            kept = hashed if cut >= 2**63 - 1 else hashed.where(F.col("__h") < F.lit(cut))
+            cut = int(frac * 16**15)
+            kept = hashed if cut >= 16**15 else hashed.where(F.col("__h") < F.lit(f"{cut:015x}"))
             cand = materialize(kept, "sample")
             if frac >= 1.0 or cand.count() >= n:
                 break
             frac = min(1.0, frac * 4)
-        sample = cand.orderBy(F.col("__h")).limit(n).drop("__h")
+        sample = cand.orderBy(F.col("__h"), *[C.qcol(c).asc_nulls_first() for c in own]).limit(n).drop("__h")
     if K.PRIORITY_COL in sample.columns:
         sample = order_by_priority(sample)
     return sample

@@ -3,6 +3,9 @@
 Roles are found by case-insensitive keywords in the column names, first match
 in column order, then an exact-name fallback list.  This is plain Python over
 ``df.columns``: it never triggers a Spark job.
+
+Overridden roles are written into the metadata of their columns (``mark_roles``),
+so every later step finds them again with ``frame_roles``.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Optional, Sequence
 
+from pyspark.sql import DataFrame
+
 # --- fixed values: exact-name fallbacks tried when the keyword rule misses.
 CREATED_FALLBACKS = ("CREATED_DATE", "CREATION_DATE", "OPEN_DATE", "CREATEDATE", "SR_CREATE_DATE", "CreateDate")
 CLOSED_FALLBACKS = ("CLOSED_DATE", "CLOSURE_DATE", "RESOLUTION_DATE", "CLOSEDATE", "SR_CLOSED_DATE", "CloseDate")
@@ -66,5 +71,38 @@ def resolve_roles(columns: Sequence[str], **overrides: Optional[str]) -> Roles:
         latitude="latitude" if "latitude" in cols else None,
         longitude="longitude" if "longitude" in cols else None,
     )
-    known = {k: v for k, v in overrides.items() if k in Roles.__dataclass_fields__}
-    return replace(roles, **known) if known else roles
+    unknown = set(overrides) - SINGLE_ROLES
+    if unknown:
+        raise ValueError(f"unknown column role(s): {', '.join(sorted(unknown))}")
+    known = {k: v for k, v in overrides.items() if v is not None}
+    absent = sorted(v for v in known.values() if v not in cols)
+    if absent:
+        raise ValueError(f"column(s) given for a role do not exist: {', '.join(absent)}")
+    if not known:
+        return roles
+    # A date column given by name is a date column whatever it is called.
+    dates = [known[r] for r in ("created", "closed") if r in known]
+    return replace(roles, **known, date_columns=tuple(dict.fromkeys([*roles.date_columns, *dates])))
+
+
+#: Roles that one column plays; these can be overridden.
+SINGLE_ROLES = frozenset(("priority", "method", "created", "closed", "request_type", "status", "zip", "latitude", "longitude"))
+_ROLE_KEY = "servicepulse.roles"
+
+
+def mark_roles(df: DataFrame, roles: Roles, overrides: Iterable[str]) -> DataFrame:
+    """Note the overridden roles in the metadata of their columns."""
+    noted: dict[str, list[str]] = {}
+    for role in overrides:
+        if getattr(roles, role) is not None:
+            noted.setdefault(getattr(roles, role), []).append(role)
+    for name, played in noted.items():
+        df = df.withMetadata(name, {**df.schema[name].metadata, _ROLE_KEY: sorted(played)})
+    return df
+
+
+def frame_roles(df: DataFrame, **overrides: Optional[str]) -> Roles:
+    """Roles of a frame: the given ones, else those noted by ``mark_roles``, else by name."""
+    noted = {role: f.name for f in df.schema.fields for role in f.metadata.get(_ROLE_KEY, [])}
+    given = {k: v for k, v in overrides.items() if v is not None}
+    return resolve_roles(df.columns, **{**noted, **given})

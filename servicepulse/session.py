@@ -3,8 +3,10 @@ checkpoint directory used to cut lineage."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -79,11 +81,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 SCRATCH_SUBDIR = "tables"
 
 
+_scopes: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's (shared) checkpoint directory."""
-    import uuid
+    within = "/".join([SCRATCH_SUBDIR, *_scopes])
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{within}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder of any store by the session's Hadoop FileSystem."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
+
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}/{name}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Within it, intermediate tables go to a folder of their own, which is
+    deleted at the end: results must have been written or collected by then."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{'/'.join([SCRATCH_SUBDIR, *_scopes])}"
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _delete(spark, folder)
 
 
 def clear_scratch_tables(spark: SparkSession) -> bool:
@@ -92,11 +116,7 @@ def clear_scratch_tables(spark: SparkSession) -> bool:
     been written or collected (DataFrames built earlier read those tables).
     Uses the Hadoop FileSystem of the folder, so it works on any shared
     store; returns whether anything was deleted."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(path) and fs.delete(path, True))
+    return _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}")
 
 
 def materialize(df, name: str = "state"):

@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..operators.classify import enrich
 from ..operators.resolution import AsOf
-from ..session import scratch_path
 
 
 def read_ticket_stream(
@@ -66,10 +65,13 @@ def start(
 ) -> StreamingQuery:
     """Start a streaming query writing to ``sink_path`` (or the in-process
     ``memory`` sink when ``fmt='memory'``).  The query checkpoint lives in the
-    session's shared checkpoint folder unless given."""
-    spark = df.sparkSession
+    sink's own ``_checkpoint`` folder unless given, so a query started again on
+    the same sink goes on where it ended; a sink without a path must name one."""
+    if not checkpoint and not sink_path and fmt != "memory":
+        raise ValueError("a sink without a path needs a checkpoint folder")
     w = df.writeStream.format(fmt).outputMode(output_mode)
-    w = w.option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint"))
+    if checkpoint or sink_path:
+        w = w.option("checkpointLocation", checkpoint or f"{sink_path.rstrip('/')}/_checkpoint")
     if query_name:
         w = w.queryName(query_name)
     if available_now:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from servicepulse import constants as K
 from servicepulse.functions import columns as C
-from servicepulse.operators.standardise import standardise
+from servicepulse.operators.standardise import drop_empty_rows, standardise
 from servicepulse.operators.resolution import with_resolution
 from servicepulse.operators.classify import classify
 from servicepulse.roles import resolve_roles
@@ -40,7 +40,7 @@ def test_infer_priority(spark):
 
 def test_drop_all_empty_rows(spark):
     df = spark.createDataFrame([("yes", None), (None, None), (None, "1")], "IS_EMERGENCY string, URGENT_FLAG string")
-    assert standardise(df).count() == 2
+    assert standardise(df).count() == 3 and standardise(drop_empty_rows(df)).count() == 2
 
 
 def test_canon_method(spark):

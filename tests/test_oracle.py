@@ -20,9 +20,9 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E._request_queries()))
 def test_query_matches_oracle(spark, con, name):
-    res = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF001)
+    res = compare(spark, con, name, E._request_queries()[name], E._request_oracles().get(name), SF001)
     assert res["status"] in ("OK", "rows-only"), res
 
 
