@@ -2,9 +2,10 @@
 
 * ``top_k`` -> ``orderBy(...).limit(k)``: planned as TakeOrderedAndProject,
   each task keeps only k rows.
-* ``top_n`` -> for larger n, a two-level top-n (per-partition groups with
-  WindowGroupLimit before and after the shuffle) so the final merge stays
-  bounded;
+* ``top_n`` -> for larger n, a form whose final merge stays bounded: a
+  two-level top-n (per-partition groups with WindowGroupLimit before and after
+  the shuffle) as far as the optimizer limits groups, else a cut found on a
+  hash sample that leaves little more than n rows;
 * ``top_k_per_group`` -> ``row_number() <= k`` over a window partitioned by
   the group; Spark plans it with WindowGroupLimit, which trims every task to
   k rows per group before the shuffle.  It is always applied to an already
@@ -19,6 +20,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 COUNT = "count"
 
 
@@ -71,17 +74,58 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, fan_in: int = TOP_N_FA
     ``row_number() <= n`` per group runs as WindowGroupLimit before and
     after the shuffle, and only ``fan_in * n`` rows reach the final merge.
     """
-    if n <= DIRECT_TOP_N or n > _window_group_limit_threshold(df):
-        # Beyond the optimizer's WindowGroupLimit threshold a per-group limit
-        # would not be pushed below the shuffle; TakeOrdered then merges the
-        # per-partition top-n with O(n) memory instead.
+    if n <= DIRECT_TOP_N:
         return df.orderBy(*order).limit(n)
+    if n > _window_group_limit_threshold(df):
+        raise ValueError(f"n = {n} is above the optimizer's group limit; use first_rows")
     grp = df.withColumn("__grp", F.spark_partition_id() % F.lit(fan_in))
     w = Window.partitionBy("__grp").orderBy(*order)
     cand = grp.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn", "__grp")
     return cand.orderBy(*order).limit(n)
 
 
+#: One row in so many is in the hash sample of ``first_rows``.
+SAMPLE_ONE_IN = 1024
+
+
+def _up_to(df: DataFrame, keys: Sequence[str], cut) -> Column:
+    """Rows not after ``cut`` in the order of ``keys`` ascending, NULLs first."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    inside = F.lit(True)
+    for k in reversed(keys):
+        c, v = F.col(f"`{k}`"), cut[k]
+        if v is None:
+            inside = c.isNull() & inside
+        else:
+            lit = F.lit(v if isinstance(v, (bool, int, float, str)) else str(v)).cast(types[k])
+            inside = F.coalesce((c < lit) | ((c == lit) & inside), F.lit(True))
+    return inside
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], n: int, one_in: int = SAMPLE_ONE_IN) -> DataFrame:
+    """The first ``n`` rows of ``df`` ordered by ``keys`` ascending, NULLs first, exactly.
+
+    Up to the optimizer's group limit this is ``top_n``.  Beyond it the cut is
+    found first: the top of a hash sample of the rows gives a row that about
+    2n rows do not come after; those are written once (with a later cut if they
+    are fewer than n), and the final merge sees only them.
+    """
+    order = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
+    if n <= _window_group_limit_threshold(df):
+        return top_n(df, order, n)
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    sample = df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(one_in)) == 0)
+    m = -(-2 * n // one_in) + 16
+    while True:
+        top = sample.orderBy(*order).limit(m).collect()
+        if len(top) < m:  # the whole sample: the input is of the order of n
+            return df.orderBy(*order).limit(n)
+        kept = materialize(df.where(_up_to(df, keys, top[-1])), "first-rows")
+        if kept.count() >= n:
+            return kept.orderBy(*order).limit(n)
+        m *= 4
+
+
 def _window_group_limit_threshold(df: DataFrame) -> int:
     try:
         return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..operators.topk import top_n
+from ..operators.topk import first_rows
 
 
 def read_csv(
@@ -84,8 +84,8 @@ def read_features(
 
 def limit_records(df: DataFrame, n: int = K.DEFAULT_RECORD_LIMIT, order_by: Optional[Sequence[str]] = None) -> DataFrame:
     """First ``n`` records; with ``order_by`` (all columns by default) the
-    choice is stable.  Planned as a (two-level) top-n, bounded per task."""
+    choice is stable.  Bounded per task for every ``n`` (``topk.first_rows``)."""
     keys = list(order_by) if order_by is not None else list(df.columns)
     if not keys:
         return df.limit(n)
-    return top_n(df, [F.col(f"`{k}`").asc_nulls_first() for k in keys], n)
+    return first_rows(df, keys, n)

@@ -154,3 +154,14 @@ def test_scratch_scope_deletes_its_tables(spark):
     with scratch_scope(spark):
         path = materialize(spark.range(3), "gone").inputFiles()[0]
     assert not os.path.exists(local_dir(path.replace("file://", "file:")))
+
+
+@pytest.mark.parametrize("one_in", [1024, 16, 3])
+def test_first_rows_beyond_the_group_limit(spark, one_in):
+    from servicepulse.operators import topk
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("a"), F.when(F.col("id") % 5 != 0, (F.col("id") * 37 % 1000).cast("string")).alias("b"),
+        F.timestamp_add("DAY", (F.col("id") % 300).cast("int"), F.lit("2020-01-01").cast("timestamp_ntz")).alias("t"), (F.col("id") * 1.5).alias("d"), "id")
+    keys = ["a", "b", "t", "d", "id"]
+    want = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).limit(5000).collect()
+    assert topk.first_rows(df, keys, 5000, one_in=one_in).collect() == want
