@@ -70,4 +70,31 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality, op4_near_dup, op5_sharding, op6_decontamination, op7_html, op8_sentencepiece, op9_neural_lm, op10_ann)}
 
-ORACLES: dict[str, str] = {}
+_WORDS = """regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+_GRAM = " || ' ' || ".join(["ws[i]", *(f"ws[i + {k}]" for k in range(1, 5))])
+
+ORACLES: dict[str, str] = {
+    "op4_near_dup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE c * 100 >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b.y FROM reach JOIN both_ways AS b ON reach.r = b.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
+    # Items of five words or more (as all of the tables are), windows of their length at every position.
+    "op6_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+dg AS (SELECT doc_id, len(ws) AS words, unnest(list_transform(range(1, len(ws) - 3), lambda i: {{'p': i, 'g': {_GRAM}}})) AS u FROM d WHERE len(ws) >= 5),
+ig AS (SELECT item_id, len(ws) AS n, unnest(list_transform(range(1, len(ws) - 3), lambda i: {_GRAM})) AS g FROM b WHERE len(ws) >= 5),
+ic AS (SELECT item_id, n, g, count(*) AS ci FROM ig GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, n, words, u.p AS p, g FROM dg JOIN ic ON u.g = ic.g),
+win AS (SELECT doc_id, item_id, n, words, g, unnest(range(greatest(1, p - n + 5), p + 1)) AS st FROM hits),
+cw AS (SELECT doc_id, item_id, n, st, g, count(*) AS c FROM win WHERE st <= words - n + 1 GROUP BY ALL),
+sc AS (SELECT doc_id, item_id, cw.n AS n, st, CAST(sum(least(c, ci)) AS BIGINT) AS shared FROM cw JOIN ic USING (item_id, g) GROUP BY ALL),
+ok AS (SELECT *, 2 * (n - 4) - shared AS joint FROM sc WHERE shared * 100 >= 80 * (2 * (n - 4) - shared)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared DESC, st) AS r FROM ok)
+SELECT doc_id, item_id, CAST(st - 1 AS BIGINT) AS first_word, CAST(n AS BIGINT) AS n_words, shared, CAST(joint AS BIGINT) AS joint,
+  CAST(shared AS DOUBLE) / CAST(joint AS DOUBLE) AS similarity FROM best WHERE r = 1""",
+}
