@@ -148,14 +148,12 @@ SEMI_JOIN_SALTS = 32
 def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
     """Keep rows of ``df`` whose key is in ``small``.
 
-    ``small`` is a top-k result: its size is bounded by k.  It is broadcast
-    when that bound (``max_rows``, read from the plan's limit when not
-    given) is at most ``BROADCAST_MAX_KEYS``; otherwise a salted shuffle
-    semi-join is used.
+    ``max_rows`` is the bound of ``small`` (k of a top-k).  Up to
+    ``BROADCAST_MAX_KEYS`` rows it is broadcast; beyond, or without a bound, a
+    salted shuffle semi-join is used.
     """
-    bound = max_rows if max_rows is not None else _limit_of(small)
     side = small.select(*keys).distinct()
-    if bound is not None and bound <= BROADCAST_MAX_KEYS:
+    if max_rows is not None and max_rows <= BROADCAST_MAX_KEYS:
         return df.join(F.broadcast(side), on=list(keys), how="left_semi")
     # Salted shuffle semi-join: a hot key's rows spread over SEMI_JOIN_SALTS
     # tasks (the salt is a hash of the whole row, so retries agree).
@@ -163,11 +161,3 @@ def semi_join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], max_ro
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SEMI_JOIN_SALTS)).cast("int")
     return df.withColumn("__salt", salt).join(salted_side, on=list(keys) + ["__salt"], how="left_semi").drop("__salt")
 
-
-def _limit_of(df: DataFrame) -> int | None:
-    """Row bound of a DataFrame whose plan ends in a limit (None if unknown)."""
-    try:
-        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-        return int(bound.get()) if bound.isDefined() else None
-    except Exception:
-        return None

@@ -106,7 +106,7 @@ def _top_keys_within_top_groups(df: DataFrame, group: str, key: str, k_groups: i
     pairs = materialize(TK.counts(TK.without_null_keys(df, [group]), [group, key], drop_null_keys=False), "pairs")
     totals = pairs.groupBy(group).agg(F.sum("count").alias("count"))
     top = TK.top_k(totals, group, k_groups)
-    kept = TK.semi_join_small(TK.without_null_keys(pairs, [key]), top, [group])
+    kept = TK.semi_join_small(TK.without_null_keys(pairs, [key]), top, [group], max_rows=k_groups)
     return TK.top_k_per_group(kept, group, key, k_keys)
 
 

@@ -69,7 +69,7 @@ def type_category_counts(df: DataFrame, k: int = K.TOP_TYPES) -> DataFrame:
     # both read them (one pass over the rows).
     per = materialize(T.counts(df, [t, K.CATEGORY_COL]), "pairs")
     top = T.top_k(per.groupBy(t).agg(F.sum("count").alias("count")), t, k)
-    return T.semi_join_small(per, top, [t])
+    return T.semi_join_small(per, top, [t], max_rows=k)
 
 
 def zip_profile(df: DataFrame, k: int = K.TOP_ZIPS) -> DataFrame:

@@ -51,7 +51,7 @@ def priority_by_type(df: DataFrame, k: int = K.CROSSTAB_TYPES) -> DataFrame:
     t = type_col(df)
     pairs = materialize(TK.counts(df, [t, K.PRIORITY_COL]), "pairs")  # one pass, read twice
     top = TK.top_k(pairs.groupBy(t).agg(F.sum("count").alias("count")), t, k)
-    kept = TK.semi_join_small(pairs, top, [t])
+    kept = TK.semi_join_small(pairs, top, [t], max_rows=k)
     wide = kept.groupBy(t).pivot(K.PRIORITY_COL, _PRIOS).agg(F.sum("count")).na.fill(0, _PRIOS)
     long = _crosstab_long(wide, [t], "Count").withColumn("Count", F.col("Count").cast("long"))
     present = F.sum("Count").over(Window.partitionBy("Priority"))
@@ -154,7 +154,7 @@ def type_priority_grid(df: DataFrame, k: int = K.GRID_TYPES) -> DataFrame:
         "cells",
     )
     top = TK.top_k(cells.groupBy(t).agg(F.sum("__rows").alias("count")), t, k)
-    agg = TK.semi_join_small(cells, top, [t]).where(F.col(K.PRIORITY_COL).isin(*_PRIOS)).drop("__rows")
+    agg = TK.semi_join_small(cells, top, [t], max_rows=k).where(F.col(K.PRIORITY_COL).isin(*_PRIOS)).drop("__rows")
     agg = attach_medians(agg, df, cell, meds, written=True)  # cells are written; top-k over them is deterministic
     grid = top.select(t, F.explode(F.array(*[F.lit(p) for p in _PRIOS])).alias(K.PRIORITY_COL))
     out = grid.join(agg, on=cell, how="left")

@@ -60,18 +60,9 @@ def test_single_raw_scan_per_plan(spark, name):
 def test_top_k_semi_join_is_broadcast_when_bounded(spark):
     from servicepulse.operators import topk as TK
     df = spark.range(1000).selectExpr("id % 50 AS k", "id")
-    counts = TK.counts(df, ["k"])
-    small = TK.semi_join_small(df, TK.top_k(counts, "k", 3), ["k"])
-    assert "BroadcastHashJoin" in _plan(small)
-    assert TK._limit_of(TK.top_k(counts, "k", 3)) == 3
-
-
-def test_top_k_bound_read_from_plan(enriched001):
-    from servicepulse.operators import topk as TK
-    counts = TK.counts(enriched001, ["SR_TYPE"])
-    assert TK._limit_of(counts) is None  # unbounded: never broadcast by hint
-    assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10_000_000)) == 10_000_000  # above the bound: shuffle join
-    assert TK._limit_of(TK.top_k(counts, "SR_TYPE", 10)) == 10
+    top = TK.top_k(TK.counts(df, ["k"]), "k", 3)
+    assert "BroadcastHashJoin" in _plan(TK.semi_join_small(df, top, ["k"], max_rows=3))
+    assert "__salt" in _plan(TK.semi_join_small(df, top, ["k"]))  # no bound: never broadcast by hint
 
 
 def test_two_level_top_n_matches_global(spark):
