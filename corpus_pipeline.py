@@ -16,11 +16,6 @@ from servicepulse.llm.queries import tokenizer_path
 from servicepulse.session import materialize
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids``; a null id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the quality model scores below 0.3; texts without words score 0 and go too."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -30,12 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest id."""
-    return _without(docs, near_dup.near_duplicates(docs, shingle=5, percent=80).where("not kept"))
+    gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("not kept")
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark item (five-word shingles, 0.8)."""
-    return _without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
+    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

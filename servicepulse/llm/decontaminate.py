@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import U, WordHashes, map_batches, mix64, shingle_hashes, text_bytes, words_of
+from servicepulse.llm.common import U, WordHashes, map_arrow, map_batches, mix64, shingle_hashes, text_bytes, words_of
+from servicepulse.session import materialize
 
 BITS, RADIUS, BLOCK_BITS = 128, 44, 8
 #: Items and bytes of benchmark text that are broadcast at a time.
@@ -147,20 +148,57 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percen
     repeat an id are each searched and each returned; other columns are ignored.
     ``benchmark`` (item_id, text) is broadcast in blocks of bounded size.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes(F.col("text")).alias("raw")).where(F.length("raw") > 0)
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("b")).first()
-    blocks = max(1, -(-size["n"] // ITEMS), -(-(size["b"] or 0) // ITEM_BYTES))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("raw"))
     schema = "doc_id long, item_id long, first_word long, n_words long, shared long, joint long, similarity double"
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(blocks)) == block).collect()
-        index = Benchmark(sorted(((r["item_id"], bytes(r["raw"])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), shingle, percent)
+    for index in _Blocks(benchmark, shingle, percent):
         found = _search(src, docs.sparkSession.sparkContext.broadcast(index), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no benchmark item (as
+    :func:`contaminated` finds them); rows are dropped in place, nothing is shuffled."""
+    at = docs.columns.index("text")
+    blocks = _Blocks(benchmark, shingle, percent)
+    for k, index in enumerate(blocks):
+        docs = map_arrow(docs, _dropper(docs.sparkSession.sparkContext.broadcast(index), at), docs.schema)
+        if k + 1 < len(blocks):
+            docs = materialize(docs, "decontaminated")
+    return docs
+
+
+def _dropper(shared, at: int):
+    def run(batches):
+        words = WordHashes()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                hashes = (words.of(words_of((t or "").encode())) for t in b.column(at).to_pylist())
+                yield b.filter(pa.array([not (len(h) and shared.value.find(h)) for h in hashes]))
+
+    return run
+
+
+class _Blocks:
+    """The benchmark's items in blocks of bounded size, indexed one at a time."""
+
+    def __init__(self, benchmark: DataFrame, shingle: int, percent: int):
+        self.items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes(F.col("text")).alias("raw")).where(F.length("raw") > 0)
+        self.shingle, self.percent = shingle, percent
+        size = self.items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("b")).first()
+        self.n = max(1, -(-size["n"] // ITEMS), -(-(size["b"] or 0) // ITEM_BYTES))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        for block in range(self.n):
+            rows = self.items.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(self.n)) == block).collect()
+            yield Benchmark(sorted(((r["item_id"], bytes(r["raw"])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), self.shingle, self.percent)
+
+
 def _search(src: DataFrame, shared, schema: str) -> DataFrame:
     def run(cols, words):
         bench = shared.value

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +92,8 @@ def write_shards(docs: DataFrame, shards: int, seed: int, path: str | None = Non
     rows = docs.withColumn("size", size).withColumn("order_key", key).withColumn("bucket", F.pmod("order_key", F.lit(buckets)))
     counts = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shard-buckets")
     # One row per bucket, whatever the rows: a running sum over it is small.
-    counts.createOrReplaceTempView("shard_buckets")
-    places = spark.sql("SELECT bucket, sum(n) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) - n AS place FROM shard_buckets")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"))
     placed = rows.join(broadcast_rows(places, BROADCAST_BUCKETS), "bucket").select(*docs.columns, "size", "bucket", "place", "order_key")
     out = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "order_key", "doc_id")
     arranged = T.StructType([*[f for f in schema.fields if f.name not in ("slot", "shard")], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
