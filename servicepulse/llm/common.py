@@ -42,14 +42,14 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered per task up to a fixed number of words."""
+    """Word -> 64-bit hash, remembered per task; the first LIMIT words, mostly the frequent ones, stay."""
 
     LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -6,8 +6,8 @@ is the weighted Jaccard similarity, a shingle weighing as often as it occurs:
 the sum of the smaller over the sum of the larger weights.
 
 A window of similarity ``s`` to an item of as many shingles shares at least
-``2 s / (1 + s)`` of them, so windows with fewer shingles of the benchmark are
-passed over; this loses nothing.  Every other window gets a SimHash fingerprint
+``2 s / (1 + s)`` of them, so windows with fewer shingles of items of their
+length are passed over; this loses nothing.  Every other window gets a SimHash fingerprint
 of ``BITS`` bits, and a multi-index over the items' fingerprints, one table per
 block of ``BLOCK_BITS`` bits, gives all items within ``RADIUS``: a fingerprint
 that near agrees in some block up to the block's pigeonhole share.  Each
@@ -67,6 +67,10 @@ class Benchmark:
         self.bitmap[(self.known >> U(44)).astype(np.int64)] = True
         self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS // 8)
         self.lengths: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.words) == n) for n in sorted(set(self.words))}
+        # Which lengths of items each known shingle belongs to.
+        self.member = np.zeros((len(self.known), len(self.lengths)), bool)
+        for k, items in enumerate(self.lengths.values()):
+            self.member[np.searchsorted(self.known, np.concatenate([sets[i] for i in items])), k] = True
         # Per block of a fingerprint: which items have a value within the block's share of each value.
         blocks = BITS // BLOCK_BITS
         share, more = divmod(RADIUS, blocks)
@@ -109,17 +113,17 @@ class Benchmark:
         if not len(maybe):
             return
         at = np.searchsorted(self.known, s[maybe]).clip(max=len(self.known) - 1)
-        maybe = maybe[self.known[at] == s[maybe]]
-        if not len(maybe):
-            return
-        hit = np.zeros(len(s) + 1, np.int64)
-        hit[maybe + 1] = 1
-        hits = np.cumsum(hit)
-        for n, items in self.lengths.items():
+        known = self.known[at] == s[maybe]
+        maybe, member = maybe[known], self.member[at[known]]
+        totals = member.sum(axis=0)
+        for k, (n, items) in enumerate(self.lengths.items()):
             size = n - self.shingle + 1
-            if size < 1 or n > n_words:
-                continue
             need = -(-2 * self.percent * size // (100 + self.percent))
+            if size < 1 or n > n_words or totals[k] < need:
+                continue
+            hit = np.zeros(len(s) + 1, np.int64)
+            hit[maybe[member[:, k]] + 1] = 1
+            hits = np.cumsum(hit)
             starts = np.flatnonzero(hits[size:] - hits[:-size] >= need)
             # In blocks of windows, so that the sums of signs stay small.
             for lo in range(0, len(starts), 2048):
