@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -24,15 +25,18 @@ from servicepulse.llm.common import map_batches
 MARK = "▁"
 #: A run of spaces or markers and what follows it; or what the text begins with.
 _CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
-_LIMIT = 200_000
+#: Chunks that a task keeps from one batch to the next.
+_LIMIT = 300_000
 
 
 class Codec:
-    """Chunk -> (number of ids, ids joined by commas, decoded text), filled as chunks are met."""
+    """Chunk -> ids joined by commas, filled as chunks are met; ``odd`` holds the
+    decoded text of the chunks that do not decode to themselves."""
 
     def __init__(self, path: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table: dict[str, tuple[int, str, str]] = {}
+        self.table: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.chunked = self._separable()
 
     def _separable(self) -> bool:
@@ -55,23 +59,29 @@ class Codec:
         segmented = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         for c, ids, back in zip(chunks, segmented, self.sp.decode(segmented, num_threads=1)):
             # Nothing is put before an empty text: the chunk of one marker is that piece.
-            self.table[c] = (len(ids), ",".join(map(str, ids)), " " + back) if len(c) > 1 else (1, str(self.sp.piece_to_id(MARK)), " ")
+            self.table[c] = ",".join(map(str, ids)) if len(c) > 1 else str(self.sp.piece_to_id(MARK))
+            if len(c) > 1 and back != c[1:]:
+                self.odd[c] = " " + back
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by commas, and their decoded text."""
-        if len(self.table) > _LIMIT:
-            self.table.clear()
         plain = [bool(t) and self.chunked and MARK not in t and "\x00" not in t for t in texts]
         chunks = [_CHUNK.findall(" " + t) if p else [] for t, p in zip(texts, plain)]
-        table = self.table
-        self._fill(sorted({c for cs in chunks for c in cs if c not in table}))
+        new = sorted(set(chain.from_iterable(chunks)).difference(self.table))
+        self._fill(new)
+        of, odd = self.table.__getitem__, self.odd
         out = []
         for t, p, cs in zip(texts, plain, chunks):
             if p:
-                rows = [table[c] for c in cs]
-                out.append((sum([r[0] for r in rows]), ",".join([r[1] for r in rows]), "".join([r[2] for r in rows])[1:]))
+                ids = ",".join(map(of, cs))
+                back = t if not odd or odd.keys().isdisjoint(cs) else "".join([odd.get(c, c) for c in cs])[1:]
+                out.append((ids.count(",") + 1, ids, back))
             else:
                 out.append(self._whole(t))
+        if len(self.table) > _LIMIT:  # full: the early chunks, which are mostly frequent ones, stay
+            for c in new:
+                del self.table[c]
+                odd.pop(c, None)
         return out
 
 
