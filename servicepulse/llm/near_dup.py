@@ -36,7 +36,7 @@ from servicepulse.session import materialize
 TREES, DEPTH = 32, 4
 WIDTH = TREES * DEPTH
 #: Classes outside the largest component that a region may have, and classes of a region compared in one task.
-CROWD, SPLIT = 512, 4096
+CROWD, SPLIT = 512, 1024
 #: A pair of similarity 0.8 agrees in fewer of 128 values with probability below 1e-6.
 LEAST_EQUAL = 78
 #: Ids (8 bytes each) that may be broadcast; beyond it the join shuffles.
@@ -121,7 +121,7 @@ class _Links:
         for c in ("a", "b"):
             pairs = pairs.join(self.sets.select(F.col("id").alias(c), F.col("set").alias(f"set{c}")), c)
         shared = F.size(F.array_intersect("seta", "setb"))
-        links = pairs.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * self.percent).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        links = pairs.where(shared * 100 >= (F.size("seta") + F.size("setb") - shared) * self.percent).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         links = materialize(links.unionByName(sure).distinct(), f"neardup-{name}-links")
         self.merge(links, name)
 
@@ -153,8 +153,9 @@ def _differences(regions: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = votes.groupBy("id").agg(F.max_by("main", F.struct("n", -F.col("main"))).alias("pivot"))
     both = pivots.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("base")), "pivot")
     delta = F.concat(F.array_except("set", "base"), F.array_except("base", "set"))
-    both = both.select("id", "pivot", F.size("set").alias("own"), delta.alias("delta")).groupBy("id").agg(F.first("pivot").alias("pivot"), F.min_by("delta", "own").alias("delta"), F.min("own").alias("own"))
-    return both.select("id", "pivot", F.when(F.size("delta") * 2 <= F.col("own"), F.col("delta")).alias("delta"))
+    both = both.select("id", "pivot", F.size("set").alias("own"), delta.alias("delta")).groupBy("id").agg(F.first("pivot").alias("pivot"), F.first("delta").alias("delta"), F.min("own").alias("own"), F.count(F.lit(1)).alias("sets"))
+    # An id that repeats with different texts has several sets; it is compared whole too.
+    return both.select("id", "pivot", F.when((F.col("sets") == 1) & (F.size("delta") * 2 <= F.col("own")), F.col("delta")).alias("delta"))
 
 
 def _candidates(regions: DataFrame, classes: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
