@@ -8,9 +8,10 @@ every line is a copy of the page and tells nothing about the template.
 
 What the page itself marks is heeded first.  Navigation, footers, sidebars,
 forms, notices, adverts, reader comments, scripts and styles are not lines at
-all.  Where a page marks its article, the article's lines are the text: lines
-there are kept even if a neighbour shares them (copied articles, shared
-passages), and lines outside are dropped.
+all.  Where a page marks its article, lines outside are dropped, and a line
+inside goes if it aligns through three pages that follow each other and that
+are unlike, i.e. hold less than half of their text in common.  Two pages, or
+pages alike, that share lines are copied articles or passages and keep them.
 """
 
 from __future__ import annotations
@@ -189,21 +190,52 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return {pa_[i] for i, _ in pairs}, {pb[j] for _, j in pairs}
 
 
-def main_text(lines: list[tuple[str, bool]], shared: set[int]) -> str:
+def main_text(lines: list[tuple[str, bool]], shared: set[int], template: set[int] = frozenset()) -> str:
+    """The text of a page, given the lines that a neighbour shares and those that recur over three unlike pages."""
     if any(inside for _, inside in lines):
-        return "\n".join(t for t, inside in lines if inside)
+        return "\n".join(t for i, (t, inside) in enumerate(lines) if inside and i not in template)
     return "\n".join(t for i, (t, _) in enumerate(lines) if i not in shared)
 
 
+class _Page:
+    """A page between its neighbours."""
+
+    def __init__(self, lines: list[tuple[str, bool]]):
+        self.lines, self.texts = lines, [t for t, _ in lines]
+        self.rows: list[tuple] = []
+        self.shared: set[int] = set()
+        self.template: set[int] = set()
+        #: Positions of the lines that align with the page before, and their positions there.
+        self.back: dict[int, int] = {}
+        self.body = {t for t, inside in lines if inside} or set(self.texts)
+        self.weight = sum(map(len, self.body))
+
+    def unlike(self, other: _Page) -> bool:
+        """Whether what both hold is less than half of either's text; more is a copied article."""
+        return 2 * sum(map(len, self.body & other.body)) < min(self.weight, other.weight)
+
+    def follow(self, last: _Page, older: _Page | None) -> None:
+        """Align with the page before; lines that run through three pages, each unlike the others, are template."""
+        mine, other = shared_lines(self.texts, last.texts)
+        self.shared |= mine
+        last.shared |= other
+        self.back = dict(zip(sorted(mine), sorted(other)))
+        through = [(i, j, last.back[j]) for i, j in self.back.items() if j in last.back]
+        if through and self.unlike(last) and self.unlike(older) and last.unlike(older):
+            for page, places in zip((self, last, older), zip(*through)):
+                page.template.update(places)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by group and path in; their texts out.  Only a page and its neighbours are held."""
+    """Pages sorted by group and path in; their texts out.  Only three neighbouring pages are held."""
     done: list[tuple] = []
-    last = None  # group, row, lines, positions shared so far
+    held: list[_Page] = []  # of one group, the last two at most
+    at = None
 
-    def close(page):
-        _, row, lines, shared = page
-        text = main_text(lines, shared)
-        done.append((*row, text, len(text)))
+    def close(page: _Page):
+        for row in page.rows:
+            text = main_text(page.lines, page.shared, page.template)
+            done.append((*row, text, len(text)))
 
     def drain():
         columns = list(zip(*done)) if done else [[]] * 4
@@ -213,19 +245,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             for r in batch.slice(a, 500).to_pylist():
-                lines = lines_of(r["html"] or "")
-                group, page = (r["host"], r["part"]), None
-                page = [group, (r["page_id"], r["url"]), lines, set()]
-                if last is not None:
-                    if last[0] == group:
-                        mine, other = shared_lines([t for t, _ in last[2]], [t for t, _ in lines])
-                        last[3] |= mine
-                        page[3] |= other
-                    close(last)
-                last = page
+                page = _Page(lines_of(r["html"] or ""))
+                page.rows.append((r["page_id"], r["url"]))
+                if at != (r["host"], r["part"]):
+                    for p in held:
+                        close(p)
+                    held, at = [], (r["host"], r["part"])
+                if held:
+                    page.follow(held[-1], held[-2] if len(held) > 1 else None)
+                held.append(page)
+                if len(held) > 2:
+                    close(held.pop(0))
             yield drain()
-    if last is not None:
-        close(last)
+    for p in held:
+        close(p)
     yield drain()
 
 

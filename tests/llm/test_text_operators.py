@@ -290,6 +290,24 @@ def test_template_lines_go(spark):
     assert got[14]["text"] == "shared\nx" and got[15]["n_chars"] == 8
 
 
+def _texts(spark, rows, **more):
+    """page_id -> text of (page_id, url, html) rows."""
+    return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **more).collect()}
+
+
+def test_notice_that_recurs_in_articles_goes(spark):
+    own = lambda i: "".join(f"<p>own {i} {k} of this article</p>" for k in range(4))
+    rows = [(i, f"http://n.example/{i}", f"<div>Site</div><article>{own(i)}<p>All rights reserved</p></article>") for i in range(5)]
+    # Two pages that share a passage, and three copies of an article with a line of their own each, keep what they share.
+    rows += [(10 + i, f"http://p.example/{i}", f"<article>{own(i)}<p>passage</p></article>") for i in range(2)]
+    rows += [(20 + i, f"http://c.example/{i}", f"<article>{own(0)}<p>copy {i}</p></article>") for i in range(3)]
+    got = _texts(spark, rows)
+    lines = lambda i: [f"own {i} {k} of this article" for k in range(4)]
+    assert [got[i].split("\n") for i in range(5)] == [lines(i) for i in range(5)]
+    assert [got[10 + i].split("\n") for i in range(2)] == [[*lines(i), "passage"] for i in range(2)]
+    assert [got[20 + i].split("\n") for i in range(3)] == [[*lines(0), f"copy {i}"] for i in range(3)]
+
+
 def test_pages_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     from html import unescape
