@@ -4,7 +4,9 @@ A page becomes a list of text lines, one per block.  Within a host the pages
 are ordered by URL path, and each is paired with its neighbours in that order:
 the lines of both are aligned by a longest common subsequence, and lines that a
 neighbour shares are template text and are deleted.  A neighbour that shares
-every line is a copy of the page and tells nothing about the template.
+every line is a copy of the page and tells nothing about the template, so
+copies that follow each other count as one page between the nearest pages that
+differ, and each is cleaned alike.
 
 What the page itself marks is heeded first.  Navigation, footers, sidebars,
 forms, notices, adverts, reader comments, scripts and styles are not lines at
@@ -198,7 +200,7 @@ def main_text(lines: list[tuple[str, bool]], shared: set[int], template: set[int
 
 
 class _Page:
-    """A page between its neighbours."""
+    """A page, or copies of it that follow each other, between the neighbours that differ."""
 
     def __init__(self, lines: list[tuple[str, bool]]):
         self.lines, self.texts = lines, [t for t, _ in lines]
@@ -227,15 +229,19 @@ class _Page:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by group and path in; their texts out.  Only three neighbouring pages are held."""
+    """Pages sorted by group and path in; their texts out.  Only three neighbouring pages that differ are held."""
     done: list[tuple] = []
     held: list[_Page] = []  # of one group, the last two at most
     at = None
 
-    def close(page: _Page):
-        for row in page.rows:
-            text = main_text(page.lines, page.shared, page.template)
-            done.append((*row, text, len(text)))
+    def close(page: _Page) -> Iterator[pa.RecordBatch]:
+        texts: dict[tuple, str] = {}
+        for page_id, url, inside in page.rows:
+            if inside not in texts:
+                texts[inside] = main_text(list(zip(page.texts, inside)), page.shared, page.template)
+            done.append((page_id, url, texts[inside], len(texts[inside])))
+            if len(done) >= 500:
+                yield drain()
 
     def drain():
         columns = list(zip(*done)) if done else [[]] * 4
@@ -246,19 +252,24 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, 500):
             for r in batch.slice(a, 500).to_pylist():
                 page = _Page(lines_of(r["html"] or ""))
-                page.rows.append((r["page_id"], r["url"]))
+                row = (r["page_id"], r["url"], tuple(inside for _, inside in page.lines))
                 if at != (r["host"], r["part"]):
                     for p in held:
-                        close(p)
+                        yield from close(p)
                     held, at = [], (r["host"], r["part"])
+                if held and held[-1].texts == page.texts:
+                    same = held[-1].rows[-1][2]
+                    held[-1].rows.append((*row[:2], same if same == row[2] else row[2]))
+                    continue
+                page.rows.append(row)
                 if held:
                     page.follow(held[-1], held[-2] if len(held) > 1 else None)
                 held.append(page)
                 if len(held) > 2:
-                    close(held.pop(0))
+                    yield from close(held.pop(0))
             yield drain()
     for p in held:
-        close(p)
+        yield from close(p)
     yield drain()
 
 

@@ -308,6 +308,14 @@ def test_notice_that_recurs_in_articles_goes(spark):
     assert [got[20 + i].split("\n") for i in range(3)] == [[*lines(0), f"copy {i}"] for i in range(3)]
 
 
+def test_copies_in_a_row_are_cleaned_by_the_pages_that_differ(spark):
+    page = lambda own: f"<div>Site name</div><p>{own} text</p><div>Imprint</div>"
+    rows = [(0, "http://h.example/a", page("first"))] + [(i, f"http://h.example/b?v={i}", page("same")) for i in range(1, 1500)] + [(1500, "http://h.example/c", page("last"))]
+    got = _texts(spark, rows, group=2000)
+    assert len(got) == 1501 and [got[0], got[1500]] == ["first text", "last text"]
+    assert {got[i] for i in range(1, 1500)} == {"same text"}
+
+
 def test_pages_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     from html import unescape
