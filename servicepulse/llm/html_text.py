@@ -18,21 +18,23 @@ pages alike, that share lines are copied articles or passages and keep them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import broadcast_rows, map_arrow
+from servicepulse.llm.common import map_arrow
 from servicepulse.session import materialize
 
-#: Pages of a host that are ordered together; larger hosts are dealt into several such groups.
+#: Pages of a host that are ordered in one task; larger hosts are split into ranges of about that size.
 GROUP = 200
-BROADCAST_HOSTS = 100_000
+#: Ranges of large hosts in all, about; with more pages than GROUP times this the ranges get longer.
+RANGES = 20_000
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -258,10 +260,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield from close(p)
                     held, at = [], (r["host"], r["part"])
                 if held and held[-1].texts == page.texts:
-                    same = held[-1].rows[-1][2]
-                    held[-1].rows.append((*row[:2], same if same == row[2] else row[2]))
+                    if r["own"]:
+                        same = held[-1].rows[-1][2] if held[-1].rows else row[2]
+                        held[-1].rows.append((*row[:2], same if same == row[2] else row[2]))
                     continue
-                page.rows.append(row)
+                if r["own"]:
+                    page.rows.append(row)
                 if held:
                     page.follow(held[-1], held[-2] if len(held) > 1 else None)
                 held.append(page)
@@ -273,21 +277,92 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield drain()
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, part, path, page_id, tie and a digest of the page's lines."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            b = batch.slice(a, 500)
+            digest = [hashlib.blake2b("\n".join(t for t, _ in lines_of(h or "")).encode("utf-8", "surrogatepass"), digest_size=16).digest() for h in b.column("html").to_pylist()]
+            names = [n for n in b.schema.names if n != "html"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(digest, pa.binary())], names=[*names, "digest"])
+
+
+def _borders(ends: list) -> list[tuple]:
+    """(host, path, page_id, tie, parts): the two nearest differing pages before and after every range, and the ranges they are to meet.
+
+    ``ends``: a row (host, part, firsts, lasts) per range in order, with the first
+    and the last three of its runs of equal pages as (path, page_id, tie, digest).
+    """
+    want: dict[tuple, set[int]] = {}
+
+    def walk(rows, near, far):
+        # ``ahead``: the first three runs from the range last seen on.
+        host, ahead = None, []
+        for r in rows:
+            if r["host"] != host:
+                host, ahead = r["host"], []
+            edge = far(r)[0]["digest"]
+            for page in [p for k, p in enumerate(ahead) if k or p["digest"] != edge][:2]:
+                want.setdefault((host, page["path"], page["page_id"], page["tie"]), set()).add(r["part"])
+            joined = []
+            # A range of three runs or more hides what lies behind it.
+            for page in near(r) + (ahead if len(near(r)) < 3 else []):
+                if not joined or joined[-1]["digest"] != page["digest"]:
+                    joined.append(page)
+            ahead = joined[:3]
+
+    walk(ends[::-1], lambda r: r["firsts"], lambda r: r["lasts"][::-1])
+    walk(ends, lambda r: r["lasts"][::-1], lambda r: r["firsts"])
+    return [(*key, sorted(parts)) for key, parts in want.items()]
+
+
+def _split(src: DataFrame, width: int) -> DataFrame:
+    """``src`` with ``part`` and ``own``: hosts of over ``width`` pages in ranges of the page order.
+
+    The ranges start at pages drawn by hash, about one in ``width``.  Each range
+    also gets the two nearest differing pages on either side, with ``own`` false.
+    """
+    spark, key = src.sparkSession, ["path", "page_id", "tie"]
+    large = materialize(src.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > width).select("host"), "html-hosts")
+    if not large.limit(1).count():
+        return src.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
+    drawn = src.join(F.broadcast(large), "host", "left_semi").where(F.pmod(F.xxhash64(F.lit("range"), *key), F.lit(width)) == 0)
+    starts = materialize(drawn.groupBy("host").agg(F.array_sort(F.collect_set(F.struct(*key))).alias("starts")), "html-ranges")
+    part = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.struct(*key))), F.lit(0))
+    placed = src.join(F.broadcast(starts), "host", "left").withColumn("part", F.when(F.col("starts").isNull(), 0).otherwise(part)).drop("starts")
+
+    pages = placed.join(F.broadcast(starts.select("host")), "host", "left_semi").select("host", "part", *key, "html")
+    pages = materialize(map_arrow(pages, _heads, "host string, part int, path string, page_id long, tie long, digest binary"), "html-digests")
+    near = Window.partitionBy("host", "part")
+    order = [F.col(c) for c in key]
+    runs = pages.withColumn("before", F.lag("digest").over(near.orderBy(*order))).where("before is null or before <> digest")
+    runs = runs.withColumn("k", F.row_number().over(near.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(near))
+    few = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("k", *key, "digest"))))
+    ends = runs.groupBy("host", "part").agg(few(F.col("k") <= 3).alias("firsts"), few(F.col("k") > F.col("n") - 3).alias("lasts"))
+    ends = sorted(ends.collect(), key=lambda r: (r["host"], r["part"]))
+    guests = spark.createDataFrame(_borders(ends), "host string, path string, page_id long, tie long, guest array<int>")
+    same = [placed["host"] == guests["host"], placed["path"] == guests["path"], placed["page_id"].eqNullSafe(guests["page_id"]), placed["tie"] == guests["tie"]]
+    met = placed.join(F.broadcast(guests), same, "left").select(*(placed[c] for c in placed.columns), "guest")
+    to = F.concat(F.array(F.struct(F.col("part"), F.lit(True).alias("own"))), F.transform(F.coalesce("guest", F.array().cast("array<int>")), lambda g: F.struct(g.alias("part"), F.lit(False).alias("own"))))
+    return met.withColumn("to", F.explode(to)).select(*src.columns, "to.part", "to.own")
+
+
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
     Null or empty pages have an empty text.  Pages without a URL, or whose URL has
     no host, form one host of their own.  Query and fragment do not count for the
     order; pages of one path follow each other by page_id.  A host of more than
-    ``group`` pages is dealt by hash into groups of about that size, and neighbours
-    are the nearest within a group.  Repeated rows are each returned; other
-    columns are ignored; a page alone in its group has nothing to be compared with.
+    ``group`` pages is split into ranges of that order, each of which also sees
+    the nearest pages of its neighbours, so the result does not depend on
+    ``group``.  Repeated rows are each returned; other columns are ignored; a
+    page alone in its host has nothing to be compared with.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*?)/?(?:[?#].*)?$", 1)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    sizes = materialize(src.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts")), "html-hosts")
-    dealt = src.join(broadcast_rows(sizes, BROADCAST_HOSTS), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))).drop("parts")
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "html")
+    src = src.withColumn("tie", F.xxhash64("url", "html"))
+    dealt = _split(src, max(group, -(-pages.count() // RANGES)))
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "tie", F.desc("own")).drop("path", "tie")
     return map_arrow(dealt, _extract, "page_id long, url string, text string, n_chars long")

@@ -316,6 +316,24 @@ def test_copies_in_a_row_are_cleaned_by_the_pages_that_differ(spark):
     assert {got[i] for i in range(1, 1500)} == {"same text"}
 
 
+def test_large_hosts_give_what_one_range_gives(spark):
+    """Sections with a menu of their own, copies that run over whole ranges, null ids and repeated rows."""
+    rng = random.Random(5)
+    page = lambda menu, own: f"<div>Site</div><div>Menu {menu}</div><p>{own} text</p><p>last words</p>"
+    rows = [(i, f"http://big.example/s{i % 40:02}/{i}", page(i % 40, i)) for i in range(400)]
+    rows += [(1000 + i, f"http://big.example/s20x/y?v={i}", page(20, "copy")) for i in range(200)]
+    rows += [(2000 + i, f"http://big.example/s30x/{i}", f"<article>{''.join(f'<p>{i} {k} own words</p>' for k in range(3))}<p>notice</p></article>") for i in range(60)]
+    rows += [(3000 + i, f"http://small.example/{i}", page(0, i)) for i in range(3)] + [(None, "http://big.example/s05/q", page(5, "none"))] * 2
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda group: sorted(((-1 if r["page_id"] is None else r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(docs, group).collect()))
+    whole = read(10_000)
+    assert len(whole) == len(rows) and read(7) == whole
+    assert {t for i, _, t, _ in whole if 0 <= i < 400} == {f"{i} text" for i in range(400)}
+    assert {t for i, _, t, _ in whole if 1000 <= i < 1200} == {"copy text"}
+    assert not any("notice" in t for i, _, t, _ in whole if i >= 2000)
+
+
 def test_pages_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     from html import unescape
