@@ -319,15 +319,17 @@ def _borders(ends: list) -> list[tuple]:
 def _split(src: DataFrame, width: int) -> DataFrame:
     """``src`` with ``part`` and ``own``: hosts of over ``width`` pages in ranges of the page order.
 
-    The ranges start at pages drawn by hash, about one in ``width``.  Each range
-    also gets the two nearest differing pages on either side, with ``own`` false.
+    Pages are drawn by hash, about 16 in ``width``, and every sixteenth of them in
+    the order starts a range, so that the ranges are of like size.  Each also gets the two nearest differing pages on either side, with ``own`` false.
     """
     spark, key = src.sparkSession, ["path", "page_id", "tie"]
     large = materialize(src.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > width).select("host"), "html-hosts")
     if not large.limit(1).count():
         return src.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
-    drawn = src.join(F.broadcast(large), "host", "left_semi").where(F.pmod(F.xxhash64(F.lit("range"), *key), F.lit(width)) == 0)
-    starts = materialize(drawn.groupBy("host").agg(F.array_sort(F.collect_set(F.struct(*key))).alias("starts")), "html-ranges")
+    step = min(width, 16)
+    drawn = src.join(F.broadcast(large), "host", "left_semi").where(F.pmod(F.xxhash64(F.lit("range"), *key), F.lit(width)) < step)
+    drawn = drawn.groupBy("host").agg(F.array_sort(F.collect_set(F.struct(*key))).alias("drawn"))
+    starts = materialize(drawn.select("host", F.filter("drawn", lambda _, i: i % step == step - 1).alias("starts")), "html-ranges")
     part = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.struct(*key))), F.lit(0))
     placed = src.join(F.broadcast(starts), "host", "left").withColumn("part", F.when(F.col("starts").isNull(), 0).otherwise(part)).drop("starts")
 
