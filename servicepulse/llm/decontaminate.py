@@ -1,12 +1,13 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
 An item of ``L`` words is compared with every window of ``L`` words of every
-document, on their five-word shingles.  The similarity of a window and an item
+document, on their five-word shingles; a document of fewer words is one window
+as a whole.  The similarity of a window and an item
 is the weighted Jaccard similarity, a shingle weighing as often as it occurs:
 the sum of the smaller over the sum of the larger weights.
 
-A window of similarity ``s`` to an item of as many shingles shares at least
-``2 s / (1 + s)`` of them, so windows with fewer shingles of items of their
+A window of ``a`` shingles of similarity ``s`` to an item of ``b`` shares at least
+``s (a + b) / (1 + s)`` of them, so windows with fewer shingles of items of that
 length are passed over; this loses nothing.  Every other window gets a SimHash fingerprint
 of ``BITS`` bits, and a multi-index over the items' fingerprints, one table per
 block of ``BLOCK_BITS`` bits, gives all items within ``RADIUS``: a fingerprint
@@ -97,7 +98,7 @@ class Benchmark:
         """Items found in a text of word hashes ``h``: item -> (shared, joint weight, first word) of its best window."""
         best: dict[int, tuple[int, int, int]] = {}
         if len(h) >= self.shingle:
-            self._windows(shingle_hashes(h, self.shingle), len(h), best)
+            self._windows(shingle_hashes(h, self.shingle), best)
         # Items and windows shorter than a shingle are one shingle as a whole.
         for n, items in self.lengths.items():
             if n < self.shingle and n <= len(h):
@@ -108,7 +109,7 @@ class Benchmark:
                         best[item] = (1, 1, int(at[0]))
         return best
 
-    def _windows(self, s: np.ndarray, n_words: int, best: dict[int, tuple[int, int, int]]) -> None:
+    def _windows(self, s: np.ndarray, best: dict[int, tuple[int, int, int]]) -> None:
         maybe = np.flatnonzero(self.bitmap[(s >> U(44)).astype(np.int64)])
         if not len(maybe):
             return
@@ -118,25 +119,27 @@ class Benchmark:
         totals = member.sum(axis=0)
         for k, (n, items) in enumerate(self.lengths.items()):
             size = n - self.shingle + 1
-            need = -(-2 * self.percent * size // (100 + self.percent))
-            if size < 1 or n > n_words or totals[k] < need:
+            # A text shorter than the item is one window as a whole.
+            width = min(size, len(s))
+            need = -(-self.percent * (size + width) // (100 + self.percent))
+            if size < 1 or need > width or totals[k] < need:
                 continue
             hit = np.zeros(len(s) + 1, np.int64)
             hit[maybe[member[:, k]] + 1] = 1
             hits = np.cumsum(hit)
-            starts = np.flatnonzero(hits[size:] - hits[:-size] >= need)
+            starts = np.flatnonzero(hits[width:] - hits[:-width] >= need)
             # In blocks of windows, so that the sums of signs stay small.
             for lo in range(0, len(starts), 2048):
                 some = starts[lo : lo + 2048]
-                runs = np.split(some, np.flatnonzero(np.diff(some) > size) + 1)
+                runs = np.split(some, np.flatnonzero(np.diff(some) > width) + 1)
                 for run in runs:
                     a = int(run[0])
-                    total = np.zeros((int(run[-1]) - a + size + 1, BITS), np.int32)
-                    np.cumsum(signs(s[a : int(run[-1]) + size]), axis=0, out=total[1:])
-                    prints = fingerprint(total[run - a + size] - total[run - a])
+                    total = np.zeros((int(run[-1]) - a + width + 1, BITS), np.int32)
+                    np.cumsum(signs(s[a : int(run[-1]) + width]), axis=0, out=total[1:])
+                    prints = fingerprint(total[run - a + width] - total[run - a])
                     for w, i in zip(*np.nonzero(self.candidates(prints, items))):
                         item, p = int(items[i]), int(run[w])
-                        shared, joint = self.similarity(item, s[p : p + size])
+                        shared, joint = self.similarity(item, s[p : p + width])
                         if shared * 100 >= self.percent * joint and (item not in best or shared * best[item][1] > best[item][0] * joint):
                             best[item] = (shared, joint, p)
 
@@ -146,7 +149,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percen
     every document for every item that it holds at ``percent`` or more; of equally
     good windows the first.
 
-    Words are A-Z lower-cased and split at white space.  Items of fewer words than
+    ``n_words`` are the words of the window: the item's, or the document's if it
+    has fewer.  Words are A-Z lower-cased and split at white space.  Items of fewer words than
     ``shingle`` are one shingle as a whole.  Items and documents that are null,
     empty or blank match nothing.  Null ids are returned as they are; rows that
     repeat an id are each searched and each returned; other columns are ignored.
@@ -210,7 +214,7 @@ def _search(src: DataFrame, shared, schema: str) -> DataFrame:
         for doc, raw in zip(cols["doc_id"].to_pylist(), cols["raw"].to_pylist()):
             h = words.of(words_of(raw))
             for item, (common, joint, p) in sorted(bench.find(h).items()) if len(h) else ():
-                rows.append((doc, bench.ids[item], p, bench.words[item], common, joint, common / joint))
+                rows.append((doc, bench.ids[item], p, min(bench.words[item], len(h)), common, joint, common / joint))
         names = ("doc_id", "item_id", "first_word", "n_words", "shared", "joint", "similarity")
         return {n: pa.array([r[i] for r in rows], pa.float64() if n == "similarity" else pa.int64()) for i, n in enumerate(names)}
 

@@ -251,6 +251,24 @@ def test_block_tables_find_all_within_radius():
     assert want.any() and (bench.candidates(probe, np.arange(50)) == want).all()
 
 
+def test_documents_shorter_than_an_item(spark):
+    """A document that is an item less some words is compared as a whole; brute force over full sets."""
+    words = [f"q{i}" for i in range(50)]
+    texts = {k: " ".join(words[: 50 - k]) for k in range(16)} | {100 + k: " ".join(words[k:]) for k in range(16)} | {200: " ".join(words[:30] + words[31:]), 201: "q1 q2 q3", 202: " ".join(words[:20] * 2)}
+    grams = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    want = {}
+    for d, t in texts.items():
+        own, item = grams(t.split()), grams(words)
+        shared = (own & item).total()
+        if shared * 100 >= 80 * ((own | item).total()):
+            want[d] = (0, len(t.split()), shared, (own | item).total())
+    assert {3, 9, 103, 200} <= want.keys() and not {10, 15, 201, 202} & want.keys()
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["first_word"], r["n_words"], r["shared"], r["joint"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()} == texts.keys() - want.keys()
+
+
 # ---------------------------------------------------------------- pages
 
 def test_page_lines():
