@@ -269,6 +269,30 @@ def test_documents_shorter_than_an_item(spark):
     assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()} == texts.keys() - want.keys()
 
 
+def test_long_items_beside_repeated_words():
+    """Windows of weighted similarity just above 0.8 whose other shingles are one repeated word."""
+    for trial in range(20):
+        words = [f"t{trial}w{i}" for i in range(204)]
+        bench = decontaminate.Benchmark([(1, " ".join(words).encode())], 5, 80)
+        text = " ".join(["lead", "in", *words[:182], *["again"] * 60])
+        shared, joint, first = bench.find(WordHashes().of(words_of(text.encode())))[0]
+        assert shared * 100 < 81 * joint and {(1, 1): (shared / joint, first)} == best_windows({1: text}, {1: " ".join(words)})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=40), st.integers(1, 40))
+def test_votes_of_sliding_windows(values, width):
+    s, width = shingle_hashes(WordHashes().of([str(v).encode() for v in values]), 1), min(width, len(values))
+    sums = decontaminate.window_sums(s, width)
+    assert len(sums) == len(s) - width + 1
+    for p, total in enumerate(sums):
+        seen, nth = Counter(), []
+        for x in s[p : p + width].tolist():
+            seen[x] += 1
+            nth.append(seen[x])
+        assert (decontaminate.votes(s[p : p + width], np.array(nth)).sum(axis=0) == total).all()
+
+
 # ---------------------------------------------------------------- pages
 
 def test_page_lines():
