@@ -14,7 +14,11 @@ it is crowded and holds classes that are not yet linked.  Candidates are
    outside the region's largest component with all classes of other
    components, if no more than ``CROWD`` are outside.  A more crowded region is
    split by the next ``DEPTH`` values of its order and its parts are treated
-   likewise, heads first, down to equal signatures.
+   likewise, heads first, down to equal signatures;
+3. what that leaves of the crowded regions, without loss: sets of similarity
+   ``s`` share one of their rarest shingles, namely of the first
+   ``n - ceil(s n) + 1`` in an order common to all, so classes that met a crowded
+   region meet again by each of these, unless size or position rule it out.
 
 Pairs whose signatures agree in fewer than ``LEAST_EQUAL`` values are no
 candidates; every other is confirmed on the full shingle sets.  Within a
@@ -42,6 +46,8 @@ LEAST_EQUAL = 78
 #: Ids (8 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 _BLOCK = 4096
+#: Shingles are ordered by how often their bucket occurs.
+BUCKETS = 1 << 20
 
 
 def _seeds() -> np.ndarray:
@@ -236,6 +242,51 @@ def _candidates(regions: DataFrame, classes: DataFrame, sets: DataFrame, level:
     return map_arrow(rows, run, "a long, b long, sure boolean")
 
 
+def _rarest(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, place: the shingles by which a class of ``crowd`` (id) must meet any that is similar.
+
+    Any order common to all classes would do; by bucket counts the rare come first.
+    """
+    own = sets.join(broadcast_rows(crowd, BROADCAST_IDS), "id", "left_semi")
+    bucket = F.col("key").bitwiseAND(BUCKETS - 1).cast("int")
+    counts = own.select(F.explode("set").alias("key")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts["bucket"].to_numpy()] = counts["c"].to_numpy()
+    shared = crowd.sparkSession.sparkContext.broadcast(often)
+
+    def run(cols, often):
+        key, owner, size, place = [], [], [], []
+        for i, s in zip(cols["id"].to_pylist(), cols["set"]):
+            s = np.asarray(s.values)
+            c = often[s & (BUCKETS - 1)]
+            first = len(s) - -(-percent * len(s) // 100) + 1
+            first = np.lexsort((s, c))[:first]
+            at = np.flatnonzero(c[first] > 1)  # what occurs once meets nothing
+            key.append(s[first[at]])
+            place.append(at)
+            owner.append(np.full(len(at), i, np.int64))
+            size.append(np.full(len(at), len(s), np.int64))
+        return {n: pa.array(np.concatenate(x)) for n, x in (("key", key), ("id", owner), ("n", size), ("place", place))}
+
+    return map_batches(own, run, "key long, id long, n long, place long", lambda: shared.value)
+
+
+def _meetings(rarest: DataFrame, links: _Links, percent: int) -> DataFrame:
+    """(a, b, sure) of different components that share one of their rarest shingles; large groups are dealt over several tasks."""
+    rows = materialize(links.label(rarest, "id", "label"), "neardup-rarest")
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    rows = rows.join(shape.select("key", "main", F.ceil(F.col("size") / SPLIT).cast("int").alias("parts")), "key")
+    outer = rows.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    outer = outer.select("key", "part", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "n", "place")))
+    every = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    # Enough must be left of both orders after the first shingle that two share.
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) - 1
+    pairs = every.join(outer, ["key", "part"]).where("label <> label_").where(F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
+    pairs = pairs.where(left * (100 + percent) >= (F.col("n") + F.col("n_")) * percent)
+    return pairs.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b"), F.lit(False).alias("sure"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -268,7 +319,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     first = met.groupBy("id").agg(F.min_by("head", F.struct(-F.col("trees"), F.col("head"))).alias("head"))
     links.confirm(_pairs(first), "head")
 
-    regions, level = forest.select("tree", "key", "id"), 0
+    regions, level, crowd = forest.select("tree", "key", "id"), 0, None
     while True:
         # Regions that still hold several components, and how many of their classes are outside the largest.
         mixed = links.label(regions, "id", "label")
@@ -282,6 +333,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         crowded = regions.where(F.col("outside") > CROWD).select("tree", "key", "id")
         if level == TREES or not crowded.limit(1).count():
             break
+        if crowd is None:
+            crowd = materialize(crowded.select("id").distinct(), "neardup-crowd")
         # The next values of each order split what is crowded.
         deeper = crowded.join(classes.select("id", "sig"), "id").select("tree", "id", F.xxhash64("key", rotated(level)).alias("key"))
         heads = deeper.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -289,6 +342,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         links.confirm(_pairs(regions.where("id <> head")), f"deeper-{level}")
         regions = regions.drop("head")
 
+    if crowd is not None:
+        links.confirm(_meetings(_rarest(crowd, sets, percent), links, percent), "rarest")
+
     # Back to the rows: class by set, then component by class.
     of_class = links.label(classes.select("set_key", "id"), "id", "component_id").select("set_key", "component_id")
     of_doc = named.select("doc_id", "set_key").join(of_class, "set_key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -67,6 +67,22 @@ def test_crowded_groups_lose_no_link(spark):
     assert got == {d: c for d, (_, c) in brute(texts, 2).items()}
 
 
+def test_unlinked_classes_round_one_passage_lose_no_link(spark, monkeypatch):
+    """Over 512 classes that hold one passage and too much of their own to be linked, and others that are linked by it."""
+    import random
+
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(101)]
+    texts = {d: " ".join(passage + [f"o{d}x{i}" for i in range(rng.randrange(1, 61))]) for d in range(1400)}
+    want = brute(texts, 2)
+    alone = sum(d == c for d, (_, c) in want.items())
+    assert 512 < alone < 1300
+    monkeypatch.setattr(near_dup, "CROWD", 8)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 2).collect()}
+    assert got == {d: c for d, (_, c) in want.items()}
+
+
 def test_edge_rows(edge, nothing):
     got = Counter(tuple(r) for r in near_dup.near_duplicates(edge, 5).collect())
     assert got[(2, 6, 1, False)] == 2 and got[(1, 6, 1, True)] == 1 and got[(3, 7, 1, False)] == 1
