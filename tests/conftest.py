@@ -6,8 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+from request_paths import SF001  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,8 +24,3 @@ def enriched001(spark):
     from servicepulse.sources.tables import AS_OF, requests_from_tables
 
     return enrich(requests_from_tables(spark, SF001), as_of=AS_OF)
-
-
-def local_dir(uri: str) -> str:
-    """Local filesystem path of a ``file:`` URI (test helpers write files)."""
-    return uri[len("file:"):] if uri.startswith("file:") else uri

@@ -5,7 +5,7 @@ import os
 from servicepulse.__main__ import main
 from servicepulse.session import scratch_path
 
-from conftest import local_dir
+from request_paths import local_dir
 
 
 def test_cli_writes_tables(spark, capsys):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF001, local_dir
+from request_paths import SF001, local_dir
 from servicepulse import constants as K
 from servicepulse.operators.classify import enrich
 from servicepulse.operators.median import grouped_medians

@@ -59,7 +59,7 @@ def test_median_matches_builtin_on_adapter(spark, enriched001):
 def test_forced_rounds_on_adapter_data_match_builtin(spark):
     from servicepulse.operators.classify import enrich
     from servicepulse.sources.tables import AS_OF, requests_from_tables
-    from conftest import SF01
+    from request_paths import SF01
     e = enrich(requests_from_tables(spark, SF01), as_of=AS_OF)
     vals = {"h": "resolution_hours", "r": "performance_ratio", "id": F.col("SR_ID"), "age": "hours_since_creation"}
     got = {r.PRIORITY: r for r in grouped_medians(e, ["PRIORITY"], vals, finish_at=1000, bins=64).collect()}

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from request_paths import SF001
 from oracle_check import TABLES, compare
 
 

@@ -11,7 +11,7 @@ from servicepulse.plans import goals, insights, metrics, reports
 from servicepulse.sources import files
 from servicepulse.sources.tables import AS_OF, requests_from_tables
 
-from conftest import SF001, SF01
+from request_paths import SF001, SF01
 
 # Expected rows per category (FIXTURES.md §2).
 GOLDEN = {

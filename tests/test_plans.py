@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from request_paths import SF001
 
 
 def _plan(df) -> str:

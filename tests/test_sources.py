@@ -9,7 +9,7 @@ from servicepulse import constants as K
 from servicepulse.operators.classify import enrich
 from servicepulse.session import scratch_path
 
-from conftest import local_dir
+from request_paths import local_dir
 from servicepulse.sources import files
 
 

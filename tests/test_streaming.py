@@ -5,7 +5,7 @@ import os
 from servicepulse import constants as K
 from servicepulse.session import scratch_path
 
-from conftest import local_dir
+from request_paths import local_dir
 from servicepulse.streaming import stream
 
 

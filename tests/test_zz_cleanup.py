@@ -4,7 +4,7 @@ import os
 
 from servicepulse.session import clear_scratch_tables, ensure_checkpoint_dir, materialize
 
-from conftest import local_dir
+from request_paths import local_dir
 
 
 def test_clear_scratch_tables(spark):
