@@ -4,7 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import SF
+from corpus_paths import SF
 
 import corpus_pipeline
 from servicepulse.llm import ann, queries

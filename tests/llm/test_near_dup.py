@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import SF
+from corpus_paths import SF
 
 from servicepulse.llm import near_dup
 

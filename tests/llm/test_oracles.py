@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from corpus_paths import SF
 
 from servicepulse.llm import queries
 

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF
+from corpus_paths import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
