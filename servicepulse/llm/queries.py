@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicepulse.llm import ann, decontaminate, html_text, near_dup, neural_lm, pieces, pii, quality, sharding, toxicity
+from servicepulse.llm import ann, decontaminate, html_text, near_dup, neural_lm, ngram_join, periodic_runs, pieces, pii, quality, sharding, toxicity, whitening
 from servicepulse.llm.common import read
 
 SHARDS, SEED = 40, 20_240_501
@@ -68,12 +68,38 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality, op4_near_dup, op5_sharding, op6_decontamination, op7_html, op8_sentencepiece, op9_neural_lm, op10_ann)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened coordinates on the eight principal components of all."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words (a tenth of the documents made periodic first), as digests."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), periodic_runs.plant_period))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at 0.85 on sets of 4-word shingles."""
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality, op4_near_dup, op5_sharding, op6_decontamination, op7_html, op8_sentencepiece, op9_neural_lm, op10_ann, op11_whitening, op12_periodic_runs, op13_ngram_join)}
 
 _WORDS = """regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 _GRAM = " || ' ' || ".join(["ws[i]", *(f"ws[i + {k}]" for k in range(1, 5))])
 
+_NEXT = " || ' ' || ".join(["ws[i]", *(f"ws[i + {k}]" for k in range(1, 4))])
+
 ORACLES: dict[str, str] = {
+    "op13_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN ws WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: {_NEXT}) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE c * 100 >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b.y FROM reach JOIN both_ways AS b ON reach.r = b.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
     "op4_near_dup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
