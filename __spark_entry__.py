@@ -22,6 +22,7 @@ from servicepulse.operators.median import grouped_medians
 from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
 from servicepulse.session import scratch_path
 from servicepulse.sources import files
+from servicepulse.sources.csv_tables import load_csv
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
 from servicepulse.streaming import stream
 
@@ -89,6 +90,29 @@ def q_src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.category_counts(enrich(df, as_of=AS_OF))
 
 
+def _csv_of_three_headers(spark: SparkSession, sf_dir: str) -> str:
+    """The request table as CSV files of three headers: as it is; reversed, with a column more; sorted, with one less."""
+    path = _scratch(spark, "csv-headers")
+    raw = _raw(spark, sf_dir)
+    third = F.pmod("SR_ID", F.lit(3))
+    shapes = (raw.columns, ["EXTRA", *reversed(raw.columns)], sorted(c for c in raw.columns if c != "STATUS"))
+    for i, columns in enumerate(shapes):
+        raw.where(third == i).withColumn("EXTRA", F.lit("late")).select(*columns).write.mode("append").option("header", "true").csv(path)
+    return path
+
+
+def q_src_csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV folder whose files order their columns differently, have one more or one less; a number column holds some text."""
+    df = files.read_csv_dir(spark, _csv_of_three_headers(spark, sf_dir))
+    return df.groupBy("STATUS", "ZIP_CODE", "SR_TYPE", "EXTRA").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.col("SR_ID").cast("long")).alias("ids"), F.count_if(F.col("latitude") == "bad").alias("bad_latitudes"))
+
+
+def q_csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types found by the one read of such a folder, and the values of each column that are no plain text."""
+    return load_csv(spark, _csv_of_three_headers(spark, sf_dir), "*.csv").report()
+
+
 def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature-collection source end to end: the request table written as
     paged feature-collection JSON (dates as epoch milliseconds, coordinates
@@ -210,6 +234,8 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources
         "src_csv": q_src_csv,
+        "src_csv_headers": q_src_csv_headers,
+        "csv_types": q_csv_types,
         "src_features": q_src_features,
         "limit_records": q_limit_records,
         "stream_category_counts": q_stream_category_counts,
@@ -453,6 +479,17 @@ def _request_oracles() -> dict[str, str]:
     return {
         # sources
         "src_csv": _sql(cat_counts),
+        "src_csv_headers": _sql("""SELECT CASE WHEN SR_ID % 3 = 2 THEN NULL ELSE STATUS END AS STATUS, CAST(ZIP_CODE AS INTEGER) AS ZIP_CODE, SR_TYPE,
+  CASE WHEN SR_ID % 3 = 1 THEN 'late' END AS EXTRA, count(*) AS count, CAST(sum(SR_ID) AS BIGINT) AS ids, count(*) FILTER (latitude = 'bad') AS bad_latitudes
+FROM raw GROUP BY ALL"""),
+        "csv_types": _sql(" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, '{t}' AS type, count({v}) AS filled, count({v}) FILTER ({typed}) AS typed, {odd} AS conflict FROM raw" for c, t, v, typed, odd in (
+                ("SR_ID", "int", "SR_ID", "true", "false"), ("SR_TYPE", "string", "SR_TYPE", "false", "false"),
+                ("SR_PRIORITY", "string", "SR_PRIORITY", "SR_PRIORITY <> 'urgent'", "true"), ("METHOD_RAW", "string", "METHOD_RAW", "false", "false"),
+                ("STATUS", "string", "CASE WHEN SR_ID % 3 <> 2 THEN STATUS END", "false", "false"), ("ZIP_CODE", "int", "ZIP_CODE", "true", "false"),
+                ("CREATED_DATE", "string", "CREATED_DATE", "false", "false"), ("CLOSED_DATE", "string", "CLOSED_DATE", "false", "false"),
+                ("latitude", "string", "latitude", "latitude <> 'bad'", "true"), ("longitude", "double", "longitude", "true", "false"),
+                ("EXTRA", "string", "CASE WHEN SR_ID % 3 = 1 THEN 1 END", "false", "false")))),
         "src_features": _sql(cat_counts),
         "stream_category_counts": _sql(cat_counts),
         "limit_records": _sql(f"SELECT * FROM raw ORDER BY {_order_all(_RAW_COLS)} LIMIT {K.DEFAULT_RECORD_LIMIT}"),

@@ -21,6 +21,7 @@ from .plans import goals, insights, metrics, payload, reports
 from .plans.insights import insight_tables
 from .plans.metrics import performance_metrics
 from .roles import Roles, resolve_roles
+from .sources.csv_tables import load_csv
 from .sources.files import limit_records, read_csv, read_csv_dir, read_features
 
 
@@ -38,6 +39,6 @@ def analyze(df: DataFrame, as_of: AsOf = None, persist: bool = False, **std_opti
 
 __all__ = [
     "AsOf", "Roles", "analyze", "classify", "coerce_dates", "enrich", "goals", "grouped_medians", "insight_tables",
-    "insights", "limit_records", "median_of", "metrics", "payload", "performance_metrics", "read_csv", "read_csv_dir",
+    "insights", "limit_records", "load_csv", "median_of", "metrics", "payload", "performance_metrics", "read_csv", "read_csv_dir",
     "read_features", "reports", "resolve_roles", "standardise", "ticket_age", "with_resolution",
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..operators.topk import first_rows
+from .csv_tables import load_csv
 
 
 def read_csv(
@@ -25,12 +26,15 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; blank fields read as NULL.
 
-    Types are inferred unless ``schema`` is given -- on large inputs pass a
-    schema (or a ``sampling_ratio`` < 1) to make the inference pass cheap.
-    Columns inferred as timestamps are kept as text (as pandas does), so
-    the date coercion parses them without the session time zone.  A
-    directory path reads every ``*.csv`` file in it.
+    Without ``schema`` every file is read by its own header and once only: see
+    ``csv_tables.load_csv``, which also reports columns of mixed values.  Dates with a time are kept as text (as pandas
+    does), so the date coercion parses them without the session time zone.  With a ``schema`` (by
+    position, for files of one header) nothing is inferred; a ``sampling_ratio`` below 1 infers from a sample by
+    Spark's own rules, and later values that do not fit are NULL.
     """
+    if schema is None and sampling_ratio >= 1.0:
+        glob = options.pop("pathGlobFilter", None)
+        return load_csv(spark, path, glob, **options).rows
     reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
     for k, v in options.items():
         reader = reader.option(k, v)
@@ -44,7 +48,7 @@ def read_csv(
 
 
 def read_csv_dir(spark: SparkSession, directory: str, **kw) -> DataFrame:
-    """All ``*.csv`` files of a directory (deterministic, all of them)."""
+    """All ``*.csv`` files of a directory, columns by name: files may order or have them differently."""
     return read_csv(spark, directory, pathGlobFilter="*.csv", **kw)
 
 

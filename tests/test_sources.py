@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from servicepulse import constants as K
@@ -10,7 +11,8 @@ from servicepulse.operators.classify import enrich
 from servicepulse.session import scratch_path
 
 from request_paths import local_dir
-from servicepulse.sources import files
+from servicepulse.sources import csv_tables, files
+from servicepulse.sources.csv_tables import load_csv
 
 
 def _write(path, text):
@@ -47,3 +49,63 @@ def test_csv_directory_reads_all_files(spark):
 def test_limit_records_is_stable(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("x"))
     assert [r.x for r in files.limit_records(df, 3).collect()] == [0, 1, 2]
+
+
+def _csv_folder(spark, name, parts):
+    base = local_dir(scratch_path(spark, name))
+    for f, text in parts.items():
+        _write(os.path.join(base, f), text)
+    return base
+
+
+def test_csv_directory_of_different_headers(spark):
+    base = _csv_folder(spark, "csv-headers", {
+        "a.csv": "SR_ID,STATUS,ZIP\n1,OPEN,33101\n2,CLOSED,\n",
+        "b.csv": "\nzip,SR_ID,Status,EXTRA\n33102,3,OPEN,x\n",
+        "c.csv": '"EXTRA","SR_ID"\n"y, z",4\n',
+        "d.csv": "",
+    })
+    df = files.read_csv_dir(spark, base)
+    assert df.columns == ["SR_ID", "STATUS", "ZIP", "EXTRA"]
+    assert dict(df.dtypes) == {"SR_ID": "int", "STATUS": "string", "ZIP": "int", "EXTRA": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, "OPEN", 33101, None), (2, "CLOSED", None, None), (3, "OPEN", 33102, "x"), (4, None, None, "y, z")]
+
+
+def test_csv_types_of_all_values_in_one_read(spark):
+    head = "whole,long,wide,real,flag,day,late,time,empty,,Dup,dup"
+    lines = [f"{i},{i},{i},{i}.5,true,2024-01-{i + 1:02d},{i},2024-01-01T00:00:00.000Z,,q,1,2" for i in range(28)]
+    lines.append("-5,9999999999,123456789012345678901234567890,1e3,FALSE,2024-02-29,n/a,x,,q,1,b")
+    base = _csv_folder(spark, "csv-types", {"t.csv": "\n".join([head, *lines]) + "\n"})
+    table = load_csv(spark, base)
+    assert table.types == {
+        "whole": "int", "long": "bigint", "wide": "decimal(38,0)", "real": "double", "flag": "boolean", "day": "date", "late": "string", "time": "string",
+        "empty": "string", "_c9": "string", "Dup10": "int", "dup11": "string"}
+    assert table.conflicts() == {"late": 28, "dup11": 28}
+    assert {r["column_name"] for r in table.report().where("conflict").collect()} == {"late", "dup11"}
+    os.remove(os.path.join(base, "t.csv"))  # all of it has been read
+    last = table.rows.where("late = 'n/a'").first()
+    assert (last["whole"], last["long"], str(last["wide"]), last["real"], last["flag"], str(last["day"])) == (-5, 9999999999, "123456789012345678901234567890", 1000.0, False, "2024-02-29")
+    assert table.rows.agg(F.sum("whole")).first()[0] == sum(range(28)) - 5 and table.filled["empty"] == 0
+
+
+def test_csv_of_the_same_arguments_is_not_read_again(spark, monkeypatch):
+    base = _csv_folder(spark, "csv-reuse", {"a.csv": "k,v\n1,x\n2,y\n"})
+    first = load_csv(spark, base, "*.csv")
+    assert first.rows.count() == 2
+    writes = []
+    monkeypatch.setattr(csv_tables, "_write", lambda *a, w=csv_tables._write: (writes.append(1), w(*a))[1])
+    again = load_csv(spark, base, "*.csv")
+    assert not writes and again.types == first.types and sorted(again.rows.collect()) == sorted(first.rows.collect())
+    load_csv(spark, base, "*.csv", sep=";")
+    assert len(writes) == 1
+    _write(os.path.join(base, "a.csv"), "k,v\n1,x\n2,y\n3,late\n")
+    assert load_csv(spark, base, "*.csv").rows.count() == 3 and len(writes) == 2
+    _write(os.path.join(base, "b.csv"), "v,k\nz,text\n")
+    assert load_csv(spark, base, "*.csv").types == {"k": "string", "v": "string"} and len(writes) == 3
+
+
+def test_csv_without_any_header(spark):
+    with pytest.raises(ValueError):
+        load_csv(spark, _csv_folder(spark, "csv-none", {"a.csv": "", "b.csv": "\n"}))
+    only = load_csv(spark, _csv_folder(spark, "csv-head", {"a.csv": "x,y\n"}))
+    assert only.rows.count() == 0 and only.types == {"x": "string", "y": "string"}
