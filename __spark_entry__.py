@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from servicepulse.operators import resolution, standardise as S
 from servicepulse.operators.classify import classify, enrich
 from servicepulse.operators.median import grouped_medians
 from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
-from servicepulse.session import scratch_path
+from servicepulse.session import map_arrow, scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.csv_tables import load_csv
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
@@ -113,18 +114,39 @@ def q_csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_csv(spark, _csv_of_three_headers(spark, sf_dir), "*.csv").report()
 
 
+def _feature_of(raw: DataFrame) -> Column:
+    """A ticket as an element of a feature collection: dates as epoch milliseconds, coordinates as geometry."""
+    attrs = [c for c in raw.columns if c not in ("latitude", "longitude")]
+    millis = {c: C.ntz_to_epoch_millis(F.col(c)) for c in ("CREATED_DATE", "CLOSED_DATE")}
+    return F.struct(
+        F.struct(*[(millis[c] if c in millis else F.col(c)).alias(c) for c in attrs]).alias("attributes"),
+        F.struct(C.to_double(F.col("longitude")).alias("x"), C.to_double(F.col("latitude")).alias("y")).alias("geometry"),
+    )
+
+
+def q_src_features_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large feature documents end to end: each partition of the request table written as one document over
+    many lines, read by byte ranges, enriched; category counts."""
+    path = _scratch(spark, "feature-documents")
+    raw = _raw(spark, sf_dir)
+
+    def document(batches):
+        yield pa.RecordBatch.from_pydict({"value": ['{"fields": [{"attributes": {"SR_ID": 0}}],', '"features": [']})
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": [v + "," for v in b.column(0).to_pylist()]})
+        yield pa.RecordBatch.from_pydict({"value": ["null]}"]})
+
+    map_arrow(raw.select(F.to_json(_feature_of(raw)).alias("value")), document, "value string").write.text(path)
+    return M.category_counts(enrich(files.read_features(spark, path), as_of=AS_OF))
+
+
 def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature-collection source end to end: the request table written as
     paged feature-collection JSON (dates as epoch milliseconds, coordinates
     as geometry), flattened, enriched; category counts."""
     path = _scratch(spark, "features")
     raw = _raw(spark, sf_dir)
-    attrs = [c for c in raw.columns if c not in ("latitude", "longitude")]
-    millis = {c: C.ntz_to_epoch_millis(F.col(c)) for c in ("CREATED_DATE", "CLOSED_DATE")}
-    feature = F.struct(
-        F.struct(*[(millis[c] if c in millis else F.col(c)).alias(c) for c in attrs]).alias("attributes"),
-        F.struct(C.to_double(F.col("longitude")).alias("x"), C.to_double(F.col("latitude")).alias("y")).alias("geometry"),
-    )
+    feature = _feature_of(raw)
     # Pages of at most 1000 consecutive rows of one input partition.
     page = F.floor(F.monotonically_increasing_id() / 1000)
     pages = raw.select(page.alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features"))
@@ -237,6 +259,7 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "src_csv_headers": q_src_csv_headers,
         "csv_types": q_csv_types,
         "src_features": q_src_features,
+        "src_features_document": q_src_features_document,
         "limit_records": q_limit_records,
         "stream_category_counts": q_stream_category_counts,
         "preview_rows": _q(I.preview_rows),
@@ -491,6 +514,7 @@ FROM raw GROUP BY ALL"""),
                 ("latitude", "string", "latitude", "latitude <> 'bad'", "true"), ("longitude", "double", "longitude", "true", "false"),
                 ("EXTRA", "string", "CASE WHEN SR_ID % 3 = 1 THEN 1 END", "false", "false")))),
         "src_features": _sql(cat_counts),
+        "src_features_document": _sql(cat_counts),
         "stream_category_counts": _sql(cat_counts),
         "limit_records": _sql(f"SELECT * FROM raw ORDER BY {_order_all(_RAW_COLS)} LIMIT {K.DEFAULT_RECORD_LIMIT}"),
         "preview_rows": _sql(f"SELECT * FROM enr ORDER BY {_order_all(_ENR_COLS)} LIMIT {K.PREVIEW_ROWS}", _ENR_DOUBLES),

@@ -119,6 +119,15 @@ def clear_scratch_tables(spark: SparkSession) -> bool:
     return _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{SCRATCH_SUBDIR}")
 
 
+def map_arrow(df, fn, schema):
+    """``mapInArrow`` for functions of this package: workers find it where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return df.mapInArrow(fn, schema)
+
+
 def materialize(df, name: str = "state"):
     """Write ``df`` once to the shared checkpoint folder and read it back.
 

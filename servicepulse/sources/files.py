@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..operators.topk import first_rows
 from .csv_tables import load_csv
+from .feature_json import read_split_features
 
 
 def read_csv(
@@ -56,8 +57,11 @@ def flatten_features(doc: DataFrame) -> DataFrame:
     """One row per element of ``features``: the ``attributes`` fields plus
     ``longitude``/``latitude`` from ``geometry.x``/``geometry.y`` when the
     documents carry a geometry."""
-    feats = doc.select(F.explode("features").alias("f"))
-    ftype = doc.schema["features"].dataType.elementType
+    return _flat(doc.select(F.explode("features").alias("f")), doc.schema["features"].dataType.elementType)
+
+
+def _flat(feats: DataFrame, ftype: T.StructType) -> DataFrame:
+    """The columns of elements ``f`` of type ``ftype``."""
     names = ftype.fieldNames()
     cols = [F.col("f.attributes.*")] if "attributes" in names else []
     if "geometry" in names:
@@ -71,15 +75,20 @@ def flatten_features(doc: DataFrame) -> DataFrame:
 
 
 def read_features(
-    spark: SparkSession, path: Union[str, Sequence[str]], schema: Optional[T.StructType] = None, multi_line: bool = True
+    spark: SparkSession, path: Union[str, Sequence[str]], schema: Optional[T.StructType] = None, multi_line: Optional[bool] = None
 ) -> DataFrame:
-    """Feature-collection JSON documents.
+    """Feature-collection JSON documents; ``schema`` is that of a document.
 
-    ``multi_line``: one (pretty-printed) document per file, as a paged API
-    delivers it -- each file is parsed by one task, so a large collection
-    should arrive as many page files, read in parallel.  Otherwise one
-    document per line (JSON Lines of pages), split like any text file.
+    By default documents are cut at the borders of their elements and read by many tasks, whether they come as
+    one large document, as page files or one per line (see ``feature_json``).  ``multi_line`` leaves the reading to Spark's JSON
+    source: true for one document per file, each parsed whole by one task; false for one document per line.
     """
+    if multi_line is None:
+        element = schema["features"].dataType.elementType if schema is not None else None
+        rows = read_split_features(spark, path, element)
+        if not rows.columns:
+            raise ValueError(f"no features in {path}; pass a schema to read documents without any")
+        return _flat(rows.select(F.struct("*").alias("f")), rows.schema)
     reader = spark.read.option("multiLine", "true" if multi_line else "false")
     if schema is not None:
         reader = reader.schema(schema)

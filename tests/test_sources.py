@@ -5,13 +5,14 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from servicepulse import constants as K
 from servicepulse.operators.classify import enrich
 from servicepulse.session import scratch_path
 
 from request_paths import local_dir
-from servicepulse.sources import csv_tables, files
+from servicepulse.sources import csv_tables, feature_json, files
 from servicepulse.sources.csv_tables import load_csv
 
 
@@ -109,3 +110,49 @@ def test_csv_without_any_header(spark):
         load_csv(spark, _csv_folder(spark, "csv-none", {"a.csv": "", "b.csv": "\n"}))
     only = load_csv(spark, _csv_folder(spark, "csv-head", {"a.csv": "x,y\n"}))
     assert only.rows.count() == 0 and only.types == {"x": "string", "y": "string"}
+
+
+NASTY = ['{"attributes": "fake"}', '}}]]', '"features": [{', 'back\\slash', 'q"uote', "line\nbreak", "é漢😀", "\\", '\\"}', ""]
+
+
+def _nasty_document(n, seed=0):
+    """A document with other arrays of objects before and after, nested values, and strings that look like structure."""
+    import random
+
+    rng = random.Random(seed)
+    feature = lambda i: {
+        "attributes": {"SR_ID": i, "note": rng.choice(NASTY), "tags": {"a": [{"b": rng.choice(NASTY)}, [1, 2]]}},
+        "geometry": {"x": i / 8, "y": -i / 8}}
+    return {"fields": [{"attributes": {"SR_ID": -1}}, [{"features": [{"attributes": {"SR_ID": -2}}]}]], "features}": [{"attributes": {"SR_ID": -3}}], "name": "x}y",
+            "features": [feature(i) for i in range(n)], "more": {"features": [{"attributes": {"SR_ID": -4}}]}, "last": [{"attributes": {"SR_ID": -5}}]}
+
+
+@pytest.mark.parametrize("layout", ["compact", "pretty", "lines", "pages"])
+@pytest.mark.parametrize("size", [97, 1500, 10_000_000])
+def test_features_of_one_document_are_read_by_ranges(spark, layout, size):
+    docs = [_nasty_document(n, n) for n in ([60] if layout in ("compact", "pretty") else [20, 0, 15, 1])]
+    want = sorted(((f["attributes"]["SR_ID"], f["attributes"]["note"], f["attributes"]["tags"]["a"][0]["b"], f["geometry"]["x"]) for d in docs for f in d["features"]), key=str)
+    if layout == "pages":
+        parts = {f"p{i}.json": json.dumps(d, indent=1, ensure_ascii=bool(i % 2)) for i, d in enumerate(docs)}
+    else:
+        parts = {"all.json": "\n".join(json.dumps(d, indent=2 if layout == "pretty" else None, ensure_ascii=False) for d in docs) + "\n"}
+    base = _csv_folder(spark, "feature-ranges", parts)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        texts = [json.loads(r.value) for r in feature_json.feature_texts(spark, base).collect()]
+        if size < 1000:
+            assert spark.read.option("lineSep", "}").text(base).rdd.getNumPartitions() > 20  # ranges smaller than an element
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(((t["attributes"]["SR_ID"], t["attributes"]["note"], t["attributes"]["tags"]["a"][0]["b"], t["geometry"]["x"]) for t in texts), key=str) == want
+
+
+def test_features_without_any_need_a_schema(spark):
+    base = _csv_folder(spark, "feature-none", {"a.json": '{"features": [], "fields": [{"a": 1}]}'})
+    with pytest.raises(ValueError):
+        files.read_features(spark, base)
+    schema = T.StructType.fromDDL("features array<struct<attributes: struct<SR_ID: long>>>")
+    assert files.read_features(spark, base, schema).collect() == []
+    base = _csv_folder(spark, "feature-some", {"a.json": '{"features": [null, {"attributes": {"SR_ID": 7, "z": 1}}, 5]}'})
+    assert [tuple(r) for r in files.read_features(spark, base, schema).collect()] == [(7,)]
