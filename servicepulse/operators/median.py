@@ -132,6 +132,62 @@ def _state_join(data: DataFrame, state: DataFrame, keys: Sequence[str], n_groups
     return salted_data.join(salted_state, on=list(keys) + ["__salt"], how="inner").drop("__salt")
 
 
+def _done(finish_at: int) -> Column:
+    """Whether a state's group needs no more narrowing."""
+    return F.col("v1").isNotNull() | (F.col("cand") <= finish_at)
+
+
+def _resolve(long: DataFrame, state: DataFrame, G: Sequence[str], n_groups: int, n_open: int, bins: int, finish_at: int) -> DataFrame:
+    """Narrow the open groups of ``state`` on the values of ``long`` (G, value, w), then rank: G and the median."""
+    known, done = F.col("v1").isNotNull(), _done(finish_at)
+    round_no = 0
+    while n_open:
+        open_groups = state.where(~done)
+        # First round on a log scale (heavy tails land in fewer, finer
+        # buckets around the bulk), later rounds equal width.
+        binned = (
+            _state_join(long, open_groups.drop("v1", "v2"), G, n_groups)
+            .where(F.col(_V).between(F.col("lo"), F.col("hi")))
+            .withColumn("bin", _bin(F.col(_V), F.col("lo"), F.col("hi"), bins, log_scale=round_no == 0))
+        )
+        round_no += 1
+        hist = binned.groupBy(*G, "bin", "k1", "k2", "below").agg(
+            F.sum("w").alias("c"), F.min(_V).alias("bmin"), F.max(_V).alias("bmax")
+        )
+        w = Window.partitionBy(*G).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("before", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
+        picked = hist.where((F.col("before") <= F.col("k2")) & (F.col("before") + F.col("c") > F.col("k1")))
+        narrowed = picked.groupBy(*G, "k1", "k2").agg(
+            F.min("bmin").alias("lo"),
+            F.max("bmax").alias("hi"),
+            F.min("before").alias("below"),
+            F.sum("c").alias("cand"),
+            F.count(F.lit(1)).alias("nbins"),
+            F.min_by("bmax", "bin").alias("a_max"),
+            F.max_by("bmin", "bin").alias("b_min"),
+        )
+        # Two bins picked: k1 is the last rank of the lower bin and k2 the
+        # first rank of the upper one, so the middle values are known.
+        narrowed = narrowed.select(
+            *G, "k1", "k2", "lo", "hi", "below", "cand",
+            F.when(F.col("nbins") == 2, F.col("a_max")).when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v1"),
+            F.when(F.col("nbins") == 2, F.col("b_min")).when(F.col("lo") == F.col("hi"), F.col("hi")).alias("v2"),
+        )
+        state = materialize(state.where(done).unionByName(narrowed), "median-state")
+        n_open = state.where(~done).count()
+
+    todo = state.where(~known).drop("v1", "v2")
+    cand = _state_join(long, todo, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
+    counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.sum("w").alias("c"))
+    w = Window.partitionBy(*G).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
+    lo_v = F.max(F.when((F.col("start") <= F.col("k1")) & (F.col("k1") < F.col("end")), F.col(_V)))
+    hi_v = F.max(F.when((F.col("start") <= F.col("k2")) & (F.col("k2") < F.col("end")), F.col(_V)))
+    finished = ranked.groupBy(*G).agg(lo_v.alias("v1"), hi_v.alias("v2"))
+    both = state.where(known).select(*G, "v1", "v2").unionByName(finished)
+    return both.select(*G, (F.col("v1") + (F.col("v2") - F.col("v1")) * F.lit(0.5)).alias("__median"))
+
+
 def grouped_medians(
     df: DataFrame,
     keys: Sequence[str],
@@ -178,60 +234,13 @@ def grouped_medians(
         F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v1"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi")).alias("v2"),
     )
-    known = F.col("v1").isNotNull()
-    done = known | (F.col("cand") <= finish_at)
-    n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~done)).first()
+    n_groups, n_open = state.agg(F.count(F.lit(1)), F.count_if(~_done(finish_at))).first()
 
     long = long.withColumn("w", F.lit(1).cast("long"))
     if n_open or n_groups > BROADCAST_MAX_GROUPS:
         long = materialize(long.groupBy(*G, _V).agg(F.count(F.lit(1)).alias("w")), "median-values")
 
-    round_no = 0
-    while n_open:
-        open_groups = state.where(~done)
-        # First round on a log scale (heavy tails land in fewer, finer
-        # buckets around the bulk), later rounds equal width.
-        binned = (
-            _state_join(long, open_groups.drop("v1", "v2"), G, n_groups)
-            .where(F.col(_V).between(F.col("lo"), F.col("hi")))
-            .withColumn("bin", _bin(F.col(_V), F.col("lo"), F.col("hi"), bins, log_scale=round_no == 0))
-        )
-        round_no += 1
-        hist = binned.groupBy(*G, "bin", "k1", "k2", "below").agg(
-            F.sum("w").alias("c"), F.min(_V).alias("bmin"), F.max(_V).alias("bmax")
-        )
-        w = Window.partitionBy(*G).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-        picked = hist.where((F.col("before") <= F.col("k2")) & (F.col("before") + F.col("c") > F.col("k1")))
-        narrowed = picked.groupBy(*G, "k1", "k2").agg(
-            F.min("bmin").alias("lo"),
-            F.max("bmax").alias("hi"),
-            F.min("before").alias("below"),
-            F.sum("c").alias("cand"),
-            F.count(F.lit(1)).alias("nbins"),
-            F.min_by("bmax", "bin").alias("a_max"),
-            F.max_by("bmin", "bin").alias("b_min"),
-        )
-        # Two bins picked: k1 is the last rank of the lower bin and k2 the
-        # first rank of the upper one, so the middle values are known.
-        narrowed = narrowed.select(
-            *G, "k1", "k2", "lo", "hi", "below", "cand",
-            F.when(F.col("nbins") == 2, F.col("a_max")).when(F.col("lo") == F.col("hi"), F.col("lo")).alias("v1"),
-            F.when(F.col("nbins") == 2, F.col("b_min")).when(F.col("lo") == F.col("hi"), F.col("hi")).alias("v2"),
-        )
-        state = materialize(state.where(done).unionByName(narrowed), "median-state")
-        n_open = state.where(~done).count()
-
-    todo = state.where(~known).drop("v1", "v2")
-    cand = _state_join(long, todo, G, n_groups).where(F.col(_V).between(F.col("lo"), F.col("hi")))
-    counted = cand.groupBy(*G, _V, "k1", "k2", "below").agg(F.sum("w").alias("c"))
-    w = Window.partitionBy(*G).orderBy(_V).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    lo_v = F.max(F.when((F.col("start") <= F.col("k1")) & (F.col("k1") < F.col("end")), F.col(_V)))
-    hi_v = F.max(F.when((F.col("start") <= F.col("k2")) & (F.col("k2") < F.col("end")), F.col(_V)))
-    finished = ranked.groupBy(*G).agg(lo_v.alias("v1"), hi_v.alias("v2"))
-    both = state.where(known).select(*G, "v1", "v2").unionByName(finished)
-    med = both.select(*G, (F.col("v1") + (F.col("v2") - F.col("v1")) * F.lit(0.5)).alias("__median"))
+    med = _resolve(long, state, G, n_groups, n_open, bins, finish_at)
     out = med.groupBy(*gkeys).agg(*[F.max(F.when(F.col(_M) == F.lit(n), F.col("__median"))).alias(n) for n in names])
     return out.drop(_G) if not keys else out
 
@@ -239,3 +248,62 @@ def grouped_medians(
 def median_of(df: DataFrame, value: Union[str, Column], name: str = "median", **kw) -> DataFrame:
     """One-row frame holding the exact median of ``value`` over all rows."""
     return grouped_medians(df, [], {name: value}, **kw)
+
+
+# Rank error of the brackets' sketch: one part in so many of the rows.
+BRACKET_ACCURACY = 10_000
+
+
+def bracket_stats(values: Mapping[str, Union[str, Column]]) -> list[Column]:
+    """Aggregate columns to add to a keyless report: per measure its count and
+    two values that enclose the middle ranks (a mergeable quantile sketch,
+    asked two errors below and above the middle)."""
+    off = 2 / BRACKET_ACCURACY
+    out = []
+    for i, v in enumerate(values.values()):
+        x = _clean(_col(v))
+        out += [F.count(x).alias(f"__bn{i}"), F.percentile_approx(x, [0.5 - off, 0.5 + off], BRACKET_ACCURACY).alias(f"__br{i}")]
+    return out
+
+
+def bracketed_medians(
+    df: DataFrame, values: Mapping[str, Union[str, Column]], stats, *, bins: int = DEFAULT_BINS, finish_at: int = DEFAULT_FINISH_AT
+) -> dict[str, float]:
+    """Exact median of each measure over all rows, None without a value.
+
+    ``stats``: the row of ``bracket_stats`` over the same rows.  One pass keeps the values inside the
+    brackets (about one row in ``BRACKET_ACCURACY / 4``, collapsed to distinct values before the shuffle)
+    and counts those below.  Ranks are checked: a measure whose bracket misses the middle is done
+    by ``grouped_medians`` over all of its values.
+    """
+    spark = df.sparkSession
+    cols = {n: _clean(_col(v)) for n, v in values.items()}
+    size = {n: stats[f"__bn{i}"] for i, n in enumerate(cols)}
+    ends = {n: stats[f"__br{i}"] for i, n in enumerate(cols) if size[n]}
+    out: dict[str, float] = dict.fromkeys(cols)
+    if not ends:
+        return out
+    entry = lambda n, v: F.struct(F.lit(n).alias(_M), v.alias(_V))
+    low = F.lit(None).cast("double")
+    kept = [F.when(cols[n] < F.lit(lo), entry(n, low)).when(cols[n] <= F.lit(hi), entry(n, cols[n])) for n, (lo, hi) in ends.items()]
+    rows = df.select(F.explode(F.array_compact(F.array(*kept))).alias("e")).select(F.lit(0).alias(_G), "e.*")
+    long = materialize(rows.groupBy(_G, _M, _V).agg(F.count(F.lit(1)).alias("w")), "median-brackets")
+    found = {r[_M]: r for r in long.groupBy(_M).agg(F.sum(F.when(F.col(_V).isNull(), F.col("w"))).alias("below"), F.sum(F.when(F.col(_V).isNotNull(), F.col("w"))).alias("cand")).collect()}
+    state, missed = [], []
+    for n, (lo, hi) in ends.items():
+        below, cand = (found[n]["below"] or 0, found[n]["cand"] or 0) if n in found else (0, 0)
+        k1, k2 = (size[n] - 1) // 2, size[n] // 2
+        if below <= k1 and k2 < below + cand:
+            same = lo if lo == hi else None
+            state.append((0, n, k1, k2, lo, hi, below, cand, same, same))
+        else:
+            missed.append(n)
+    if state:
+        schema = f"{_G} int, {_M} string, k1 bigint, k2 bigint, lo double, hi double, below bigint, cand bigint, v1 double, v2 double"
+        frame = spark.createDataFrame(state, schema)
+        n_open = sum(s[8] is None and s[7] > finish_at for s in state)
+        med = _resolve(long.where(F.col(_V).isNotNull()), frame, [_G, _M], len(state), n_open, bins, finish_at)
+        out.update({r[_M]: r["__median"] for r in med.collect()})
+    if missed:
+        out.update(grouped_medians(df, [], {n: cols[n] for n in missed}, bins=bins, finish_at=finish_at).first().asDict())
+    return out

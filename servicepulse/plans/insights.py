@@ -18,7 +18,8 @@ from .. import constants as K
 from ..functions import aggs as A
 from ..functions import columns as C
 from ..operators import topk as TK
-from ..operators.median import median_stats
+from ..operators.heavy_hitters import top_values
+from ..operators.median import bracket_stats, bracketed_medians, median_stats
 from .common import attach_medians, created_ts, hours, ratio, report_base, resolved, share_of_total, type_col, zip_col
 from .metrics import _summary, performance_metrics
 from ..session import materialize
@@ -221,29 +222,26 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 def numeric_profile(df: DataFrame, max_columns: int = K.PROFILE_NUMERIC_COLUMNS) -> DataFrame:
     """Mean, median, min, max of the first numeric columns (booleans are not
     numeric), one row per column.  One wide aggregate holds the statistics of
-    all columns; rows are stacked into (column_name, value) for the median only."""
+    all columns and a bracket of each median; the second pass over the rows
+    keeps the values inside the brackets only (``median.bracketed_medians``)."""
     cols = numeric_columns(df)[:max_columns]
     if not cols:
         raise ValueError("no numeric column")
-    stacked = df.select(*[C.qcol(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
-    meds = {"median": "value"}
-    wide = []
-    for c in cols:
-        value = C.qcol(c).cast("double")
-        own = [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *median_stats({"median": value})]
-        wide.append(F.struct(F.lit(c).alias("column_name"), *own).alias(f"s{len(wide)}"))
-    stats = df.agg(*wide).select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("s.*")
-    return attach_medians(stats, stacked, ["column_name"], meds).select("column_name", "mean", "median", "min", "max")
+    values = {c: C.qcol(c).cast("double") for c in cols}
+    own = [f(v).alias(f"{n}{i}") for i, v in enumerate(values.values()) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    row = df.agg(*own, *bracket_stats(values)).first()
+    meds = bracketed_medians(df, values, row)
+    rows = [(c, row[f"mean{i}"], meds.get(c), row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, mean double, median double, min double, max double")
 
 
 def categorical_profile(df: DataFrame, max_columns: int = K.PROFILE_CATEGORICAL_COLUMNS, k: int = K.PROFILE_TOP_VALUES) -> DataFrame:
-    """Top-k values (with counts) of each of the first string columns."""
+    """Top-k values (with counts) of each of the first string columns, by a
+    sketch of each and exact counts of its candidates (``heavy_hitters``)."""
     cols = string_columns(df)[:max_columns]
     if not cols:
         raise ValueError("no string column")
-    stacked = df.select(*[C.qcol(c).alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
-    pairs = TK.counts(stacked, ["column_name", "value"])
-    return TK.top_k_per_group(pairs, "column_name", "value", k)
+    return top_values(df, cols, k)
 
 
 def preview_rows(df: DataFrame, n: int = K.PREVIEW_ROWS, order_by: Optional[list[str]] = None) -> DataFrame:
