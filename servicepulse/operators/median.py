@@ -33,9 +33,10 @@ value columns are handled in one pass by stacking them under a measure key.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Optional, Sequence, Union
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -273,37 +274,41 @@ def bracketed_medians(
 
     ``stats``: the row of ``bracket_stats`` over the same rows.  One pass keeps the values inside the
     brackets (about one row in ``BRACKET_ACCURACY / 4``, collapsed to distinct values before the shuffle)
-    and counts those below.  Ranks are checked: a measure whose bracket misses the middle is done
-    by ``grouped_medians`` over all of its values.
+    and counts those below and above on the way.  Ranks are checked, and that every value was counted once
+    (a task that ran twice may count twice): a measure that fails is done by ``grouped_medians`` over all of its values.
     """
     spark = df.sparkSession
-    cols = {n: _clean(_col(v)) for n, v in values.items()}
-    size = {n: stats[f"__bn{i}"] for i, n in enumerate(cols)}
-    ends = {n: stats[f"__br{i}"] for i, n in enumerate(cols) if size[n]}
-    out: dict[str, float] = dict.fromkeys(cols)
+    size = {n: stats[f"__bn{i}"] for i, n in enumerate(values)}
+    ends = {n: stats[f"__br{i}"] for i, n in enumerate(values) if size[n]}
+    out: dict[str, float] = dict.fromkeys(values)
     if not ends:
         return out
-    entry = lambda n, v: F.struct(F.lit(n).alias(_M), v.alias(_V))
-    low = F.lit(None).cast("double")
-    kept = [F.when(cols[n] < F.lit(lo), entry(n, low)).when(cols[n] <= F.lit(hi), entry(n, cols[n])) for n, (lo, hi) in ends.items()]
-    rows = df.select(F.explode(F.array_compact(F.array(*kept))).alias("e")).select(F.lit(0).alias(_G), "e.*")
+    names = list(ends)
+    cols = [F.col(f"x{i}") for i in range(len(names))]
+    wide = df.select(*[_clean(_col(values[n])).alias(f"x{i}") for i, n in enumerate(names)])
+    seen = Observation()
+    below = [F.count_if(x < F.lit(ends[n][0])).alias(f"b{i}") for i, (x, n) in enumerate(zip(cols, names))]
+    above = [F.count_if(x > F.lit(ends[n][1])).alias(f"a{i}") for i, (x, n) in enumerate(zip(cols, names))]
+    inside = [x.between(F.lit(ends[n][0]), F.lit(ends[n][1])) for x, n in zip(cols, names)]
+    kept = F.array_compact(F.array(*[F.when(i, F.struct(F.lit(n).alias(_M), x.alias(_V))) for i, x, n in zip(inside, cols, names)]))
+    rows = wide.observe(seen, *below, *above).where(reduce(Column.__or__, inside)).select(F.explode(kept).alias("e")).select(F.lit(0).alias(_G), "e.*")
     long = materialize(rows.groupBy(_G, _M, _V).agg(F.count(F.lit(1)).alias("w")), "median-brackets")
-    found = {r[_M]: r for r in long.groupBy(_M).agg(F.sum(F.when(F.col(_V).isNull(), F.col("w"))).alias("below"), F.sum(F.when(F.col(_V).isNotNull(), F.col("w"))).alias("cand")).collect()}
+    found = {r[_M]: r["cand"] for r in long.groupBy(_M).agg(F.sum("w").alias("cand")).collect()}
     state, missed = [], []
-    for n, (lo, hi) in ends.items():
-        below, cand = (found[n]["below"] or 0, found[n]["cand"] or 0) if n in found else (0, 0)
+    for i, n in enumerate(names):
+        lo, hi = ends[n]
+        under, cand = seen.get[f"b{i}"], found.get(n, 0)
         k1, k2 = (size[n] - 1) // 2, size[n] // 2
-        if below <= k1 and k2 < below + cand:
+        if under + cand + seen.get[f"a{i}"] == size[n] and under <= k1 and k2 < under + cand:
             same = lo if lo == hi else None
-            state.append((0, n, k1, k2, lo, hi, below, cand, same, same))
+            state.append((0, n, k1, k2, lo, hi, under, cand, same, same))
         else:
             missed.append(n)
     if state:
         schema = f"{_G} int, {_M} string, k1 bigint, k2 bigint, lo double, hi double, below bigint, cand bigint, v1 double, v2 double"
-        frame = spark.createDataFrame(state, schema)
         n_open = sum(s[8] is None and s[7] > finish_at for s in state)
-        med = _resolve(long.where(F.col(_V).isNotNull()), frame, [_G, _M], len(state), n_open, bins, finish_at)
+        med = _resolve(long, spark.createDataFrame(state, schema), [_G, _M], len(state), n_open, bins, finish_at)
         out.update({r[_M]: r["__median"] for r in med.collect()})
     if missed:
-        out.update(grouped_medians(df, [], {n: cols[n] for n in missed}, bins=bins, finish_at=finish_at).first().asDict())
+        out.update(grouped_medians(df, [], {n: values[n] for n in missed}, bins=bins, finish_at=finish_at).first().asDict())
     return out
