@@ -193,6 +193,72 @@ def q_coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coerce_dates(text).select("SR_ID", "CREATED_DATE", "CLOSED_DATE")
 
 
+def q_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text dates with an offset or zone letter (dropped, the wall clock stays), in ISO and three other forms, and junk."""
+    raw = _raw(spark, sf_dir)
+
+    def written(c: str) -> Column:
+        ts = F.col(c)
+        iso, kind = ts.cast("string"), F.col("SR_ID") % 7
+        day, clock = F.substring(iso, 1, 10), F.substring(iso, 12, 8)
+        return (
+            F.when(kind == 0, F.concat(day, F.lit("T"), clock, F.lit("+05:00"))).when(kind == 1, F.concat(day, F.lit(" "), clock, F.lit("-03:30")))
+            .when(kind == 2, F.concat(day, F.lit("T"), clock, F.lit("Z"))).when(kind == 3, F.concat(F.translate(day, "-", "/"), F.lit(" "), clock))
+            .when(kind == 4, F.concat(F.date_format(ts.cast("date"), "d-MMM-yyyy "), clock)).when(kind == 5, F.lit("soon")).otherwise(_us_text(ts)))
+
+    text = raw.withColumns({c: written(c) for c in ("CREATED_DATE", "CLOSED_DATE")})
+    return S.coerce_dates(text).select("SR_ID", "CREATED_DATE", "CLOSED_DATE")
+
+
+def q_no_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets without date columns: no hours, nothing resolved, no age column."""
+    e = enrich(_raw(spark, sf_dir).drop("CREATED_DATE", "CLOSED_DATE"), as_of=AS_OF)
+    return e.groupBy(K.CATEGORY_COL, K.RESOLVED_COL).agg(
+        F.count(F.lit(1)).alias("count"), F.count(K.HOURS_COL).alias("with_hours"), F.lit(K.AGE_COL in e.columns).alias("has_age"))
+
+
+def q_no_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets without a type column: one constant type and the default target."""
+    e = enrich(_raw(spark, sf_dir).drop("SR_TYPE"), as_of=AS_OF)
+    return e.groupBy("SR_TYPE", K.TARGET_COL, K.CATEGORY_COL).agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every priority value, canonical or as written, in the ordinal order."""
+    seen = _std(spark, sf_dir).select(F.explode(F.array(K.PRIORITY_COL, F.upper("SR_PRIORITY"))).alias("value")).where("value is not null").distinct()
+    return seen.select("value", C.priority_rank(F.col("value")).alias("place"))
+
+
+def q_insight_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tables each kind of insight gives, in order of precedence, and the tickets that the volume tables hold."""
+    e = _enriched(spark, sf_dir)
+    picks = [("geographic", {"kind": "geographic"}), ("seasonal", {"kind": "seasonal"}), ("method", {"kind": "comparative_method"}), ("priority", {"kind": "comparative_priority"}),
+             ("kind over type", {"kind": "comparative_geographic", "request_type": DETAIL_TYPE}), ("type", {"request_type": DETAIL_TYPE})]
+    out = None
+    for name, args in picks:
+        for table, df in I.insight_tables(e, **args).items():
+            held = F.sum("count") if "count" in df.columns else F.lit(None)
+            row = df.agg(F.count(F.lit(1)).alias("rows"), held.cast("long").alias("tickets")).select(F.lit(name).alias("pick"), F.lit(table).alias("table_name"), "rows", "tickets")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q_reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV folder loaded twice, then with one more file: the second load reads the first one's table, the third does not."""
+    path = _scratch(spark, "csv-reuse")
+    raw = _raw(spark, sf_dir)
+    raw.write.option("header", "true").csv(path)
+    loads = [load_csv(spark, path, "*.csv"), load_csv(spark, path, "*.csv")]
+    raw.write.mode("append").option("header", "true").csv(path)
+    loads.append(load_csv(spark, path, "*.csv"))
+    first = set(loads[0].rows.inputFiles())
+    out = None
+    for i, t in enumerate(loads, 1):
+        row = _grouped(t.rows, "STATUS").withColumns({"load": F.lit(i), "same_table": F.lit(set(t.rows.inputFiles()) == first)})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_infer_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priority inferred from an emergency flag column (no priority column)."""
     return _grouped(S.standardise(requests_from_tables(spark, sf_dir, emergency_flag=True)), K.PRIORITY_COL)
@@ -266,6 +332,12 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "payload_json": q_payload_json,
         # standardise
         "coerce_dates": q_coerce_dates,
+        "text_dates": q_text_dates,
+        "no_dates": q_no_dates,
+        "no_type": q_no_type,
+        "priority_order": q_priority_order,
+        "insight_selector": q_insight_selector,
+        "reuse_table": q_reuse_table,
         "infer_priority": q_infer_priority,
         "canon_priority": _std_q(lambda d: _grouped(d, "SR_PRIORITY", K.PRIORITY_COL)),
         "canon_method": _std_q(lambda d: _grouped(d, "METHOD_RAW", K.METHOD_COL)),
@@ -494,6 +566,43 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
+def _table_row(pick: str, table: str, groups: str, tickets: bool = True) -> str:
+    """One row of the selector's oracle: how many groups (c: their tickets) a table has."""
+    return f"SELECT '{pick}' AS pick, '{table}' AS table_name, count(*) AS rows, CAST({'sum(c)' if tickets else 'NULL'} AS BIGINT) AS tickets FROM ({groups})"
+
+
+def _groups(key: str, where: str = "true", limit: int | None = None) -> str:
+    cut = f" ORDER BY count(*) DESC, {key} LIMIT {limit}" if limit else ""
+    return f"SELECT {key} AS k, count(*) AS c FROM enr WHERE {key} IS NOT NULL AND {where} GROUP BY {key}{cut}"
+
+
+def _tops_in(group: str, within: str, k: int) -> str:
+    """Groups of the ``k`` most frequent types in each of ``group``."""
+    return (f"SELECT * FROM (SELECT g, SR_TYPE, count(*) AS c, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, SR_TYPE) AS r "
+            f"FROM (SELECT {group} AS g, SR_TYPE FROM enr) WHERE SR_TYPE IS NOT NULL AND {within} GROUP BY g, SR_TYPE) WHERE r <= {k}")
+
+
+_TOP_ZIPS = f"g IN (SELECT ZIP_CODE FROM enr WHERE ZIP_CODE IS NOT NULL GROUP BY ZIP_CODE ORDER BY count(*) DESC, ZIP_CODE LIMIT {K.TOP_ZIPS})"
+_DETAIL = f"SR_TYPE = '{DETAIL_TYPE}'"
+_SELECTOR_SQL = " UNION ALL ".join((
+    _table_row("geographic", "top_zipcodes_by_volume", _groups("ZIP_CODE", limit=K.TOP_ZIPS)),
+    _table_row("geographic", "zipcode_performance", f"SELECT DISTINCT g FROM (SELECT ZIP_CODE AS g, is_resolved FROM enr) WHERE is_resolved AND {_TOP_ZIPS}", False),
+    _table_row("geographic", "top_request_types_by_zipcode", _tops_in("ZIP_CODE", _TOP_ZIPS, 5)),
+    _table_row("seasonal", "monthly_volumes", _groups("month(CREATED_DATE)")),
+    "SELECT 'seasonal' AS pick, 'seasonal_volumes' AS table_name, 4 AS rows, count(CREATED_DATE) AS tickets FROM enr",
+    _table_row("seasonal", "top_request_types_by_season", _tops_in(_SEASON, "g IS NOT NULL", 5)),
+    _table_row("seasonal", "seasonal_performance", _groups(_SEASON, "is_resolved"), False),
+    _table_row("method", "categories", _groups("METHOD_RECEIVED")),
+    _table_row("priority", "categories", _groups("PRIORITY")),
+    _table_row("kind over type", "categories", _groups("ZIP_CODE", limit=10)),
+    _table_row("kind over type", "top_request_types", _tops_in("ZIP_CODE", _TOP_ZIPS, 3)),
+    _table_row("type", "request_type", f"SELECT count(*) AS c FROM enr WHERE {_DETAIL}"),
+    _table_row("type", "performance_categories", _groups("performance_category", _DETAIL)),
+    _table_row("type", "top_zipcodes", _groups("ZIP_CODE", _DETAIL, 5)),
+    _table_row("type", "monthly_counts", _groups("strftime(CREATED_DATE, '%Y-%m')", _DETAIL)),
+))
+
+
 def _request_oracles() -> dict[str, str]:
     d = DETAIL_TYPE
     sel = f"SR_TYPE = '{d}'"
@@ -520,6 +629,16 @@ FROM raw GROUP BY ALL"""),
         "preview_rows": _sql(f"SELECT * FROM enr ORDER BY {_order_all(_ENR_COLS)} LIMIT {K.PREVIEW_ROWS}", _ENR_DOUBLES),
         # standardise
         "coerce_dates": _sql("SELECT SR_ID, CREATED_DATE, CLOSED_DATE FROM raw"),
+        "text_dates": _sql("SELECT SR_ID, CASE WHEN SR_ID % 7 <> 5 THEN CREATED_DATE END AS CREATED_DATE, CASE WHEN SR_ID % 7 <> 5 THEN CLOSED_DATE END AS CLOSED_DATE FROM raw"),
+        "no_dates": _sql("SELECT 'Unknown' AS performance_category, false AS is_resolved, count(*) AS count, CAST(0 AS BIGINT) AS with_hours, false AS has_age FROM raw"),
+        "no_type": _sql("""SELECT 'UNKNOWN' AS SR_TYPE, 120 AS target_hours, CASE WHEN h IS NULL THEN 'Unknown' WHEN NOT is_resolved AND h <= 108 THEN 'In Progress (Within Target)'
+  WHEN NOT is_resolved THEN 'In Progress (Exceeding Target)' WHEN h <= 60 THEN 'Excellent' WHEN h <= 108 THEN 'Good' WHEN h <= 132 THEN 'On Target' WHEN h <= 240 THEN 'Delayed'
+  ELSE 'Severely Delayed' END AS performance_category, count(*) AS count FROM (SELECT resolution_hours AS h, is_resolved FROM enr) GROUP BY ALL"""),
+        "priority_order": _sql("""SELECT value, CAST(CASE value WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'NORMAL' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS INTEGER) AS place
+FROM (SELECT PRIORITY AS value FROM std UNION SELECT upper(SR_PRIORITY) FROM std) WHERE value IS NOT NULL"""),
+        "insight_selector": _sql(_SELECTOR_SQL),
+        "reuse_table": _sql(" UNION ALL ".join(
+            f"SELECT STATUS, {n} * count(*) AS count, {i} AS load, {same} AS same_table FROM raw GROUP BY STATUS" for i, n, same in ((1, 1, "true"), (2, 1, "true"), (3, 2, "false")))),
         "infer_priority": _sql(_counts_sql("PRIORITY", src="std"), emergency_flag=True),
         "canon_priority": _sql(_counts_sql("SR_PRIORITY, PRIORITY", src="std")),
         "canon_method": _sql(_counts_sql("METHOD_RAW, METHOD_RECEIVED", src="std")),

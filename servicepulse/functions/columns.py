@@ -6,6 +6,7 @@ inside whole-stage code generation.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Optional, Sequence
 
@@ -178,6 +179,31 @@ def parse_ntz(text: Column, fmt: str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
+def format_shape(fmt: str) -> str:
+    """Regular expression that every text of a datetime pattern matches: which
+    fields are digits or letters, and what stands between them."""
+    out = []
+    for part in re.finditer(r"'(?:[^']|'')*'|([A-Za-z])\1*|.", fmt):
+        text, letter = part.group(0), part.group(1)
+        if text[0] == "'":
+            out.append(re.escape(text[1:-1].replace("''", "'") or "'"))
+        elif letter is None:
+            out.append({"[": "(?:", "]": ")?"}.get(text) or re.escape(text))
+        elif letter in "XxZzVO":
+            out.append(".+")
+        elif letter in "aBGE" or letter in "MLQq" and len(text) >= 3:
+            out.append(r"[\p{L}. ]+")
+        else:
+            out.append(r"[+-]?\d+")
+    return "(?iu)^" + "".join(out) + "$"
+
+
+def parse_by_shape(text: Column, formats: Sequence[str]) -> list[Column]:
+    """``parse_ntz`` of each format, in order, tried only on texts of its shape
+    (a try that fails costs an exception; a shape that fails does not)."""
+    return [F.when(text.rlike(format_shape(fmt)), parse_ntz(text, fmt)) for fmt in formats]
+
+
 def ntz_to_epoch_millis(ts: Column) -> Column:
     """Inverse of ``epoch_millis_to_ntz`` (zone-independent)."""
     micros = micros_between(F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)

@@ -75,7 +75,7 @@ def coerce_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] = DEFA
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
         parsed = [c.try_cast("timestamp_ntz")]
-        parsed += [C.parse_ntz(c, fmt) for fmt in formats]
+        parsed += C.parse_by_shape(c, formats)
         return F.coalesce(*parsed)
     if isinstance(dtype, (T.LongType, T.IntegerType)) and epoch_millis:
         return C.epoch_millis_to_ntz(c)

@@ -173,3 +173,28 @@ def test_dst_gap_wall_clock_kept(spark):
         assert r.a == dt.datetime(1999, 10, 3, 0, 0) and r.h == 24.0 and r.ms == 938908800000
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_shapes_keep_every_text_that_a_format_parses(spark):
+    """The guarded parse of each format equals the plain one, on texts of all formats and their mutations."""
+    import random
+
+    from servicepulse.operators.standardise import DEFAULT_DATE_FORMATS
+
+    rng = random.Random(3)
+    texts = ["1/5/2024 3:07:09 pm", "12/31/1999 23:59", "1-5-2024 3:07 AM", "2024/1/5 15:07:00", "2024-1-5 3:07 PM", "Jan 5, 2024 3:07 pm", "JAN 5, 2024", "january 5, 2024",
+             "5 Jan 2024", "05-jan-2024 15:07:09", "5-Jan-2024", "2024-01-05T15:07:00.123", "20240105", "soon", "", " 1/5/2024", "1/5/2024 ", "１/5/2024", "+1/5/2024", "0001/0005/2024", "1/5/+12024"]
+    for t in list(texts):
+        for _ in range(12):
+            i = rng.randrange(len(t) + 1)
+            texts.append(t[:i] + rng.choice(["", " ", "/", "-", "0", "9", "a", "M", ",", "."]) + t[i + rng.randrange(2):])
+    formats = [*DEFAULT_DATE_FORMATS, "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "d 'o''clock' MMMM yyyy"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    col = F.col("t")
+    got = df.select(*[c.cast("string").alias(f"g{i}") for i, c in enumerate(C.parse_by_shape(col, formats))], *[C.parse_ntz(col, f).cast("string").alias(f"w{i}") for i, f in enumerate(formats)]).collect()
+    hits = 0
+    for r in got:
+        for i in range(len(formats)):
+            assert r[f"g{i}"] == r[f"w{i}"]
+            hits += r[f"g{i}"] is not None
+    assert hits > 30
