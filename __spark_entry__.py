@@ -20,7 +20,7 @@ from servicepulse.functions import columns as C
 from servicepulse.operators import resolution, standardise as S
 from servicepulse.operators.classify import classify, enrich
 from servicepulse.operators.median import grouped_medians
-from servicepulse.plans import goals, insights as I, metrics as M, payload, reports as R
+from servicepulse.plans import goals, insights as I, metrics as M, monthly_state, payload, reports as R
 from servicepulse.session import map_arrow, scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.csv_tables import load_csv
@@ -259,6 +259,16 @@ def q_reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def q_monthly_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly report of a state that got the tickets in three batches, one of them twice: first half, then whole."""
+    folder, e = _scratch(spark, "monthly-state"), _enriched(spark, sf_dir)
+    batch = F.pmod("SR_ID", F.lit(3))
+    monthly_state.add_batch(e.where((batch == 1) & (F.col("SR_ID") % 2 == 0)), folder, "b1")
+    for i in range(3):
+        monthly_state.add_batch(e.where(batch == i), folder, f"b{i}")
+    return _round(monthly_state.monthly_report(spark, folder))
+
+
 def q_infer_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priority inferred from an emergency flag column (no priority column)."""
     return _grouped(S.standardise(requests_from_tables(spark, sf_dir, emergency_flag=True)), K.PRIORITY_COL)
@@ -338,6 +348,7 @@ def _request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "priority_order": q_priority_order,
         "insight_selector": q_insight_selector,
         "reuse_table": q_reuse_table,
+        "monthly_state": q_monthly_state,
         "infer_priority": q_infer_priority,
         "canon_priority": _std_q(lambda d: _grouped(d, "SR_PRIORITY", K.PRIORITY_COL)),
         "canon_method": _std_q(lambda d: _grouped(d, "METHOD_RAW", K.METHOD_COL)),
@@ -684,6 +695,10 @@ FROM (SELECT PRIORITY AS value FROM std UNION SELECT upper(SR_PRIORITY) FROM std
         "monthly_counts": _sql("SELECT strftime(CREATED_DATE, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS count FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY ALL"),
         "monthly_performance": _sql("SELECT strftime(CREATED_DATE, '%Y-%m') AS month, avg(performance_ratio) AS avg_performance_ratio FROM enr "
                                     "WHERE is_resolved AND CREATED_DATE IS NOT NULL GROUP BY ALL", ("avg_performance_ratio",)),
+        "monthly_state": _sql(f"""SELECT strftime(CREATED_DATE, '%Y-%m') AS month, count(*) AS count, CAST(count_if(is_resolved) AS BIGINT) AS resolved, avg(resolution_hours) AS avg_resolution_hours,
+  {_pct(f"count_if({MEETS})", "count(*)")} AS target_met_pct, {_pct("count_if(PRIORITY = 'HIGH')", "count(*)")} AS high_priority_pct,
+  avg(CASE WHEN is_resolved THEN performance_ratio END) AS avg_performance_ratio FROM enr WHERE CREATED_DATE IS NOT NULL GROUP BY ALL""",
+            ("avg_resolution_hours", "target_met_pct", "high_priority_pct", "avg_performance_ratio")),
         # goal reports
         "priority_goals": _sql(_goal_sql("PRIORITY"), _GOAL_DOUBLES),
         "method_goals": _sql(_goal_sql("METHOD_RECEIVED"), _GOAL_DOUBLES),
