@@ -6,6 +6,10 @@ order.  Pass 2 takes one bucket at a time, shuffles it with a seeded
 Fisher-Yates shuffle, and writes its records to the shards that its place
 covers.  The law is ``rows``: shard ``s`` of ``S`` holds the positions from
 ``floor(s N / S)`` up to ``floor((s + 1) N / S)``, so counts are at most one apart.
+
+Rows equal in every column have one hash.  Where those of one hash are more than a
+part of a bucket, they are counted instead of scattered, and written out as that many copies, each with a
+bucket of its own by the hash of its number.
 """
 
 from __future__ import annotations
@@ -24,7 +28,10 @@ from servicepulse.session import materialize, scratch_path
 #: Text bytes of a bucket on average, and buckets whose places may be broadcast.
 BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 1_000_000
-_OWN = ("size", "shard", "slot", "bucket", "place", "order_key")
+#: Rows of one hash that hold more than this part of a bucket's bytes are counted; tasks of the second pass at most.
+HOT_PART, TASKS = 8, 20_000
+_OWN = ("size", "shard", "slot")
+_BUCKET, _PLACE, _KEY = "__bucket", "__place", "__order_key"
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -40,10 +47,10 @@ def _shuffled(batches: Iterator[pa.RecordBatch], seed: int, total: int, shards:
     def emit(parts: list[pa.RecordBatch], bucket: int):
         table = pa.Table.from_batches(parts)
         order = fisher_yates(table.num_rows, seed, bucket)
-        pos = table["place"][0].as_py() + np.arange(len(order), dtype=np.int64)
+        pos = table[_PLACE][0].as_py() + np.arange(len(order), dtype=np.int64)
         shard = ((pos + 1) * shards - 1) // total
         slot = pos - shard * total // shards
-        kept = table.drop_columns(["bucket", "place", "order_key"])
+        kept = table.drop_columns([_BUCKET, _PLACE, _KEY])
         for i in range(0, len(order), 1000):
             at = slice(i, i + 1000)
             rows = kept.take(pa.array(order[at])).combine_chunks()
@@ -53,7 +60,7 @@ def _shuffled(batches: Iterator[pa.RecordBatch], seed: int, total: int, shards:
     held: list[pa.RecordBatch] = []
     current = None
     for batch in batches:
-        buckets = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
+        buckets = batch.column(batch.schema.get_field_index(_BUCKET)).to_numpy()
         cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1), len(buckets)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
@@ -66,6 +73,21 @@ def _shuffled(batches: Iterator[pa.RecordBatch], seed: int, total: int, shards:
         yield from emit(held, current)
 
 
+def _spread_equal(rows: DataFrame, buckets: int, bucket_bytes: int) -> DataFrame:
+    """``rows`` with their bucket: the hash's, or for copies of a hot hash that of the hash and the copy's number."""
+    columns = rows.columns
+    hot = rows.groupBy(_KEY).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") * HOT_PART > bucket_bytes))
+    hot = materialize(hot.select(_KEY), "shard-hot")
+    own = F.pmod(_KEY, F.lit(buckets))
+    if not hot.limit(1).count():
+        return rows.withColumn(_BUCKET, own)
+    hot = broadcast_rows(hot, BROADCAST_BUCKETS)
+    copies = rows.join(hot, _KEY, "left_semi").groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    copies = materialize(copies, "shard-copies").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    spread = copies.select(*columns, F.pmod(F.xxhash64(_KEY, "__copy"), F.lit(buckets)).alias(_BUCKET))
+    return rows.join(hot, _KEY, "left_anti").select(*columns, own.alias(_BUCKET)).unionByName(spread)
+
+
 def write_shards(docs: DataFrame, shards: int, seed: int, path: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write all rows of ``docs`` (doc_id, text, ...) to ``path`` (a fresh folder of
     the shared folder if None) as Parquet in one folder per shard, each file in
@@ -89,13 +111,15 @@ def write_shards(docs: DataFrame, shards: int, seed: int, path: str | None = Non
         return spark.createDataFrame([], schema)
     hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hashable])
-    rows = docs.withColumn("size", size).withColumn("order_key", key).withColumn("bucket", F.pmod("order_key", F.lit(buckets)))
-    counts = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shard-buckets")
+    rows = docs.withColumn("size", size).withColumn(_KEY, key)
+    rows = _spread_equal(rows, buckets, bucket_bytes) if len(hashable) == len(docs.columns) else rows.withColumn(_BUCKET, F.pmod(_KEY, F.lit(buckets)))
+    counts = materialize(rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n")), "shard-buckets")
     # One row per bucket, whatever the rows: a running sum over it is small.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"))
-    placed = rows.join(broadcast_rows(places, BROADCAST_BUCKETS), "bucket").select(*docs.columns, "size", "bucket", "place", "order_key")
-    out = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "order_key", "doc_id")
+    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(_BUCKET, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_PLACE))
+    placed = rows.join(broadcast_rows(places, BROADCAST_BUCKETS), _BUCKET).select(*docs.columns, "size", _BUCKET, _PLACE, _KEY)
+    # A task holds one bucket at a time, however many are its own.
+    out = placed.repartition(min(buckets, TASKS), _BUCKET).sortWithinPartitions(_BUCKET, _KEY, "doc_id")
     arranged = T.StructType([*[f for f in schema.fields if f.name not in ("slot", "shard")], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     out = map_arrow(out, lambda batches: _shuffled(batches, seed, n, shards), arranged)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -294,3 +294,46 @@ def test_members_of_one_group_that_differ_after_the_prefix(spark):
         rows += [((n := n + 1), " ".join(tail)) for _ in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert _components(df) == brute_components(rows)
+
+
+# ---------------------------------------------------------------- op5, rows that are equal
+
+
+def test_equal_rows_do_not_share_one_bucket(spark, monkeypatch):
+    """Nine rows in ten are equal; columns have the names that a bucket, a place and a key had."""
+    from servicepulse.llm import sharding
+
+    rows = [(7, "same text " * 5, "b", 1, "k")] * 1800 + [(i, f"text {i}", "b", i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string, place long, order_key string")
+    sizes = []
+    monkeypatch.setattr(sharding, "materialize", lambda d, name, m=sharding.materialize: sizes.append((name, t := m(d, name))) or t)
+    tables = [sharding.write_shards(df.repartition(p), 7, 5, bucket_bytes=4096) for p in (2, 9)]
+    counts = [t for name, t in sizes if name == "shard-buckets"]
+    assert counts[0].agg(F.max("n")).first()[0] < 4 * counts[0].agg(F.avg("n")).first()[0]
+    got = [sorted(map(tuple, t.select("shard", "slot", "doc_id", "text", "bucket", "place", "order_key").collect())) for t in tables]
+    assert got[0] == got[1]
+    assert sorted((r[2:] for r in got[0]), key=str) == sorted(rows, key=str)
+    per = defaultdict(list)
+    for r in got[0]:
+        per[r[0]].append(r[1])
+    assert all(sorted(v) == list(range(len(v))) for v in per.values()) and {len(v) for v in per.values()} <= {2000 // 7, 2000 // 7 + 1}
+    runs = sum(a[2] == b[2] == 7 for a, b in zip(got[0], got[0][1:]))
+    assert runs < 1750  # the copies stand among the others
+
+
+def test_place_of_every_row_is_that_of_its_bucket_shuffled(spark):
+    """The order recomputed: buckets by hash, their rows by key, each shuffled by Fisher-Yates."""
+    from servicepulse.llm import sharding
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").dropDuplicates()
+    shards, seed, bucket_bytes = 7, 5, 1 << 14
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.write_shards(docs, shards, seed, bucket_bytes=bucket_bytes).collect()}
+    rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("k"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("size")).collect()
+    buckets = max(1, -(-sum(r["size"] for r in rows) // bucket_bytes))
+    order = []
+    for b in range(buckets):
+        own = sorted((r["k"], r["doc_id"]) for r in rows if r["k"] % buckets == b)
+        order += [own[i][1] for i in sharding.fisher_yates(len(own), seed, b)]
+    n = len(order)
+    starts = [s * n // shards for s in range(shards + 1)]
+    assert got == {d: (s, p - starts[s]) for p, d in enumerate(order) for s in [next(s for s in range(shards) if starts[s] <= p < starts[s + 1])]}
