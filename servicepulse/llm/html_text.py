@@ -38,7 +38,7 @@ RANGES = 20_000
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|select|object)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|object)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr2>[^>]*)>",
     re.IGNORECASE | re.DOTALL,
@@ -47,7 +47,7 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("math mi mn mo ms mtext mrow msup msub mfrac msqrt a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold main text.
 _NEVER = frozenset("nav footer aside form head button dialog menu fieldset".split())
 _ARTICLE = frozenset(("article", "main"))
@@ -59,6 +59,12 @@ _CUES = frozenset(
     "newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus "
     "share sharing social related recommended widget toolbar pagination pager search skip".split()
 )
+#: Within an article: whole names of a class that say the same, and of an id (else an id names what a section is about).
+_INNER_CLASSES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments replies disqus share sharing widget toolbar pagination pager".split()
+)
+_INNER_IDS = frozenset("comments disqus disqus_thread sidebar newsletter".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 
 
@@ -70,7 +76,10 @@ def _boilerplate(tag: str, attr: str, inside: bool) -> bool:
         return False
     for m in _ATTR.finditer(attr):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
+        if inside and name in ("class", "id"):
+            if not (_INNER_CLASSES if name == "class" else _INNER_IDS).isdisjoint(value.split()):
+                return True
+        elif name in ("class", "id"):
             if not _CUES.isdisjoint(_WORDS.findall(value)) or (not inside and "header" in _WORDS.findall(value)):
                 return True
         elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):

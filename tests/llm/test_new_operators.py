@@ -337,3 +337,30 @@ def test_place_of_every_row_is_that_of_its_bucket_shuffled(spark):
     n = len(order)
     starts = [s * n // shards for s in range(shards + 1)]
     assert got == {d: (s, p - starts[s]) for p, d in enumerate(order) for s in [next(s for s in range(shards) if starts[s] <= p < starts[s + 1])]}
+
+
+# ---------------------------------------------------------------- op7, blocks of an article
+
+
+def test_blocks_of_an_article_stay_whatever_they_are_about(spark, nothing):
+    """Ids and classes that only contain a cue word name what a block is about; whole class names of furniture do not."""
+    from servicepulse.llm import html_text
+
+    html = (
+        "<html><body><div class='menu-top'>Menu</div><div id='cookie-notice'>Cookies</div><article><h1>Title</h1><div id='related-work'>Related work</div><section id='search-methods'><p>Methods</p></section>"
+        "<p class='skip-intro'>Intro <math><mi>x</mi><mo>+</mo><mi>y</mi></math> end</p><p class='lead notice-board'>Board</p><div class='box share'>Share</div><div class='newsletter'>News</div>"
+        "<section id='comments'><p>First!</p></section><ul class='comments'><li>No</li></ul><p>Last</p></article><footer>Foot</footer></body></html>")
+    pages = spark.createDataFrame([(1, "http://a.example/x", html, "t", 0)], "page_id long, url string, html string, text string, n_chars int")
+    r = html_text.extract(pages).first()
+    assert r["text"] == "Title\nRelated work\nMethods\nIntro x+y end\nBoard\nLast" and r["n_chars"] == len(r["text"])
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    from servicepulse.llm import html_text
+
+    body = "".join(f"<p>Line {i} of {i % 13}</p>" for i in range(20_000))
+    rows = [(i, f"http://a.example/long/{i}", f"<body><nav>n</nav><article>{body}<p>own {i}</p></article></body>", "host", 3) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, lines int")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    want = "\n".join(f"Line {i} of {i % 13}" for i in range(20_000))
+    assert got == {i: f"{want}\nown {i}" for i in range(3)}
