@@ -21,6 +21,7 @@ from servicepulse.operators import resolution, standardise as S
 from servicepulse.operators.classify import classify, enrich
 from servicepulse.operators.median import grouped_medians
 from servicepulse.plans import goals, insights as I, metrics as M, monthly_state, payload, reports as R
+from servicepulse.plans.common import report_base
 from servicepulse.session import map_arrow, scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.csv_tables import load_csv
@@ -231,7 +232,7 @@ def q_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_insight_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tables each kind of insight gives, in order of precedence, and the tickets that the volume tables hold."""
-    e = _enriched(spark, sf_dir)
+    e = report_base(_enriched(spark, sf_dir))
     picks = [("geographic", {"kind": "geographic"}), ("seasonal", {"kind": "seasonal"}), ("method", {"kind": "comparative_method"}), ("priority", {"kind": "comparative_priority"}),
              ("kind over type", {"kind": "comparative_geographic", "request_type": DETAIL_TYPE}), ("type", {"request_type": DETAIL_TYPE})]
     out = None
