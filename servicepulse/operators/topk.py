@@ -127,10 +127,9 @@ def first_rows(df: DataFrame, keys: Sequence[str], n: int, one_in: int = SAMPLE_
 
 
 def _window_group_limit_threshold(df: DataFrame) -> int:
-    try:
-        return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    except Exception:
-        return 1000
+    """The optimizer's bound on pushed group limits; -1 (no push-down) and what is no number count as none."""
+    value = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    return int(value) if value.lstrip("-").isdigit() else 0
 
 
 def top_k_per_group(agg: DataFrame, group: str | Sequence[str], key: str, k: int, count_col: str = COUNT, rank_col: str = "rank") -> DataFrame:
