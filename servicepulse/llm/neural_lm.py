@@ -1,17 +1,24 @@
 """Log-bilinear language model trained with noise-contrastive estimation.
 
-Words are counted over all training documents.  The ``CLASSES`` most frequent
-words are classes of their own, every other word falls into one further class.
-The model predicts the class of the next word from the two words before it:
-``score(w) = (C1 r[w-1] + C2 r[w-2]) . t[w] + b[w]``.  It is trained in numpy
-on every training token: each partition makes one pass of noise-contrastive
-steps from a common start, and the partitions' parameters are averaged by
-token counts (local SGD).  Log-probabilities are normalised: the logarithm of
-the normaliser is tabulated by batched matrix products for all pairs of
-context words.  Within the class of other words a word has the share
+Words are counted over all training documents.  Each word seen ``LEAST`` times
+or more (up to the bound ``HEAD``) has a context vector ``r`` and a target
+vector ``t`` of its own; all others share one of either.  A token's prediction
+is ``q = r[w-1] C1 + r[w-2] C2``, and its probability a two-level softmax:
+``P(class | q) P(word | class, q)``, with about as many classes as words in
+each.  Log-probabilities are normalised exactly by batched matrix products.
+Within the class of all other words a word has the share
 ``(c + 0.5) / (sum over them of (c + 0.5) + 0.5)``, the last half for all
 words that training never saw.
 
+Training goes over all training tokens in ``ROUNDS`` rounds, each on a slice of
+the documents by hash.  A round deals its slice by hash into shards of about
+``SHARD`` tokens, in hash order; each shard takes noise-contrastive steps from the
+common start, and every row of parameters becomes the mean of the shards' rows,
+weighted by how often they touched it.  Shards depend on the data alone, so
+the model does not depend on how the input was partitioned.  The first round
+knows no classes and contrasts words with words; halving the target vectors
+along their main directions then gives classes of like contexts.
+
 Counts are keyed by 64-bit word hashes.  Words frequent enough to fit the
 bounded ``HEAD`` are broadcast with their counts; the rest of a document's
 words meets the count table in a shuffled join.
@@ -31,10 +38,13 @@ from pyspark.sql import functions as F
 from servicepulse.llm.common import id_fold, map_arrow, map_batches, text_bytes, words_of
 from servicepulse.session import materialize
 
-#: Words that may be broadcast with their counts (16 bytes each).
-HEAD = 200_000
-CLASSES, DIM, NOISE, STEP, RATE = 512, 16, 64, 4096, 0.1
-OTHER, START = CLASSES, CLASSES + 1
+#: Words that may be broadcast with their counts (16 bytes each) and have vectors, and counts these need at least.
+HEAD, LEAST = 200_000, 4
+DIM, NOISE, INNER_NOISE, STEP, RATE = 16, 64, 8, 2048, 0.1
+#: Eighths of the documents by hash where the rounds end, and tokens of a shard.
+ROUNDS, SHARD = (1, 4, 8), 2_000_000
+#: Rows of parameters that travel together, and tokens whose normalisers are computed together.
+BLOCK, CHUNK = 512, 1 << 16
 END = b""
 _END_HASH = xxhash.xxh3_64_intdigest(END)
 _LIMIT = 400_000
@@ -46,21 +56,25 @@ def _signed(h: int) -> int:
 
 
 class Lexicon(dict):
-    """Word -> position in the arrays of what is known about it, per task."""
+    """Word -> position in the arrays of what is known about it, per task.
+
+    ``head``: hash -> (count, number); the words beyond ``size`` of the head are
+    one, with the number ``size``.
+    """
 
-    def __init__(self, head: dict[int, tuple[int, int]]):
+    def __init__(self, head: dict[int, tuple[int, int]], size: int = 0):
         super().__init__()
-        self.head = head
+        self.head, self.size = head, size
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.hash, self.count, self.cls = array("q"), array("q"), array("i")
+        self.hash, self.count, self.number = array("q"), array("q"), array("i")
 
     def __missing__(self, word: bytes) -> int:
         h = _signed(xxhash.xxh3_64_intdigest(word))
-        count, cls = self.head.get(h, (-1, OTHER))
-        self.hash.append(h), self.count.append(count), self.cls.append(cls)
+        count, number = self.head.get(h, (-1, self.size))
+        self.hash.append(h), self.count.append(count), self.number.append(min(number, self.size))
         i = self[word] = len(self.hash) - 1
         return i
 
@@ -76,95 +90,216 @@ class Lexicon(dict):
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def contexts(cls: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes one and two tokens back, START before the first token."""
+def contexts(w: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words one and two tokens back, ``start`` before the first token."""
     first = np.cumsum(lengths) - lengths
-    p1 = np.roll(cls, 1)
-    p1[first] = START
+    p1 = np.roll(w, 1)
+    p1[first] = start
     p2 = np.roll(p1, 1)
-    p2[first] = START
+    p2[first] = start
     return p1, p2
 
 
-class Model:
-    """Parameters of the log-bilinear model."""
+class Classes:
+    """Classes of the words 0..size-1; the word ``size`` (all others) is the last class, alone."""
+
+    def __init__(self, of: np.ndarray, unigram: np.ndarray):
+        self.of, self.n = np.append(of, of.max(initial=-1) + 1).astype(np.int64), int(of.max(initial=-1)) + 2
+        self.members = np.argsort(self.of, kind="stable")
+        self.starts = np.searchsorted(self.of[self.members], np.arange(self.n + 1))
+        self.mass = np.bincount(self.of, unigram, minlength=self.n)
+        self.inside = np.log(unigram / self.mass[self.of])
+        self.cum = np.append(0.0, np.cumsum(unigram[self.members]))
+
+    @classmethod
+    def of_vectors(cls, t: np.ndarray, unigram: np.ndarray) -> Classes:
+        """Halves the words along the main direction of their vectors until about sqrt(words) classes are left."""
+        parts = [np.arange(len(t))]
+        for _ in range(round(np.log2(len(t)) / 2) if len(t) else 0):
+            halves = []
+            for p in parts:
+                x = t[p] - t[p].mean(axis=0)
+                side = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
+                halves += [p[np.sort(side[: len(p) // 2])], p[np.sort(side[len(p) // 2 :])]]
+            parts = [p for p in halves if len(p)]
+        of = np.zeros(len(t), np.int64)
+        for i, p in enumerate(parts):
+            of[p] = i
+        return cls(of, unigram)
+
+    def noise(self, kinds: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """INNER_NOISE words of each class, by their shares."""
+        low, high = self.starts[kinds][:, None], self.starts[kinds + 1][:, None] - 1
+        x = self.cum[low] + rng.random((len(kinds), INNER_NOISE)) * self.mass[kinds][:, None]
+        return self.members[np.clip(np.searchsorted(self.cum, x, side="right") - 1, low, high)]
+
+
+class Params:
+    """All parameters as rows of one matrix: context vectors, target vectors with bias, class vectors with bias, C1 and C2.
+
+    Each row has its sum of squared gradients (AdaGrad by rows).
+    """
+
+    def __init__(self, size: int, classes: int, rows: np.ndarray | None = None, squares: np.ndarray | None = None):
+        self.size, self.n_classes = size, classes
+        self.T = size + 2
+        self.U = self.T + size + 1
+        self.C = self.U + classes
+        n = self.C + 2 * DIM
+        self.rows = np.zeros((n, DIM + 1), np.float32) if rows is None else rows
+        self.squares = np.full(n, 1e-6, np.float32) if squares is None else squares
 
-    SHAPES = {"r": (CLASSES + 2, DIM), "c1": (DIM, DIM), "c2": (DIM, DIM), "t": (CLASSES + 1, DIM), "b": (CLASSES + 1,)}
+    r = property(lambda self: self.rows[: self.T, :DIM])
+    t = property(lambda self: self.rows[self.T : self.U])
+    u = property(lambda self: self.rows[self.U : self.C])
+    c1 = property(lambda self: self.rows[self.C : self.C + DIM, :DIM])
+    c2 = property(lambda self: self.rows[self.C + DIM :, :DIM])
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat.astype(np.float32)
-        at = 0
-        for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
-            at += n
+    def copy(self) -> Params:
+        return Params(self.size, self.n_classes, self.rows.copy(), self.squares.copy())
 
     @classmethod
-    def start(cls, unigram: np.ndarray, seed: int) -> Model:
-        m = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES.values())))
-        rng = np.random.default_rng(seed)
-        m.r[:], m.t[:] = rng.normal(0, 0.3, m.r.shape), rng.normal(0, 0.05, m.t.shape)
+    def start(cls, unigram: np.ndarray, seed: int) -> Params:
+        """Before the first round: no classes, targets that give the unigram."""
+        m = cls(len(unigram) - 1, 0)
+        m.r[:] = np.random.default_rng(seed).normal(0, 0.3, m.r.shape)
         m.c1[:], m.c2[:] = np.eye(DIM), np.eye(DIM) * 0.7
-        m.b[:] = np.log(unigram)
+        m.t[:, DIM] = np.log(unigram)
         return m
 
-    def normalisers(self) -> np.ndarray:
-        """log of the sum of exp(score) for each pair (one back, two back) of context classes."""
-        a1, a2 = self.r @ self.c1, self.r @ self.c2
-        out = np.empty((CLASSES + 2, CLASSES + 2), np.float32)
-        for two in range(CLASSES + 2):
-            s = (a1 + a2[two]) @ self.t.T + self.b
-            top = s.max(axis=1)
-            out[:, two] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
-        return out
+    def with_classes(self, classes: Classes, unigram: np.ndarray) -> Params:
+        """Class vectors are the means of their words' vectors, which become differences from them."""
+        m = Params(self.size, classes.n)
+        m.r[:], m.c1[:], m.c2[:] = self.r, self.c1, self.c2
+        m.squares[: m.U] = self.squares[: self.U]
+        m.squares[m.C :] = self.squares[self.C :]
+        vectors = np.zeros((classes.n, DIM))
+        np.add.at(vectors, classes.of, unigram[:, None] * self.t[:, :DIM])
+        m.u[:, :DIM] = vectors / classes.mass[:, None]
+        m.u[:, DIM] = np.log(classes.mass)
+        m.t[:, :DIM] = self.t[:, :DIM] - m.u[classes.of, :DIM]
+        m.t[:, DIM] = classes.inside
+        return m
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x.clip(-30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive steps with AdaGrad; the noise words of a step are shared by its tokens."""
-
-    def __init__(self, flat: np.ndarray, unigram: np.ndarray, seed: int):
-        self.m = Model(flat.copy())
-        self.squares = Model(np.full(len(flat), 1e-2))
-        self.rng, self.cum, self.log_noise = np.random.default_rng(seed), np.cumsum(unigram), np.log(NOISE * unigram).astype(np.float32)
-        self.seen = 0
-
-    def _add(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-        p, sq = getattr(self.m, name), getattr(self.squares, name)
-        if rows is not None:
-            order = np.argsort(rows, kind="stable")
-            own = rows[order]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            grad, rows = np.add.reduceat(grad[order], starts, axis=0), own[starts]
-            sq[rows] += grad * grad
-            p[rows] += RATE * grad / np.sqrt(sq[rows])
-        else:
-            sq += grad * grad
-            p += RATE * grad / np.sqrt(sq)
+    """Noise-contrastive steps; without ``classes`` words are told from words."""
+
+    def __init__(self, start: Params, classes: Classes | None, unigram: np.ndarray, seed: int):
+        self.m, self.classes, self.rng = start.copy(), classes, np.random.default_rng(seed)
+        self.touched = np.zeros(len(self.m.rows), np.float32)
+        p = unigram if classes is None else classes.mass
+        self.cum, self.log_noise = np.cumsum(p), np.log(NOISE * p).astype(np.float32)
+        if classes is not None:
+            self.log_inside = (classes.inside + np.log(INNER_NOISE)).astype(np.float32)
+
+    def _add(self, at: int, rows: np.ndarray, grad: np.ndarray, rate: float = RATE) -> None:
+        order = np.argsort(rows, kind="stable")
+        own = rows[order]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        grad, rows = np.add.reduceat(grad[order], starts, axis=0), own[starts] + at
+        self.m.squares[rows] += (grad * grad).mean(axis=1)
+        self.m.rows[rows, : grad.shape[1]] += rate * grad / np.sqrt(self.m.squares[rows])[:, None]
+        self.touched[rows] += np.diff(np.append(starts, len(own)))
+
+    def _outer(self, at: int, q1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """One step of the targets from row ``at`` on, noise shared by all tokens; returns the gradient of q."""
+        rows = self.m.rows
+        noise = np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]).clip(max=len(self.cum) - 1)
+        t, tn = rows[at + w], rows[at + noise]
+        g = 1 - _sigmoid(np.einsum("ij,ij->i", q1, t) - self.log_noise[w])
+        gn = -_sigmoid(q1 @ tn.T - self.log_noise[noise])
+        gq = g[:, None] * t + gn @ tn
+        self._add(at, np.concatenate([w, noise]), np.concatenate([g[:, None] * q1, gn.T @ q1]))
+        return gq[:, :DIM]
+
+    def _inner(self, q1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """One step of the words within their classes, noise shared by the tokens of a class; returns the gradient of q."""
+        of = self.classes.of[w]
+        order = np.argsort(of, kind="stable")
+        of, w, q1 = of[order], w[order], q1[order]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+        noise = self.classes.noise(of[first], self.rng)
+        t, tn = self.m.t[w], self.m.t[noise][which]
+        g = 1 - _sigmoid(np.einsum("ij,ij->i", q1, t) - self.log_inside[w])
+        gn = -_sigmoid((tn @ q1[:, :, None])[:, :, 0] - self.log_inside[noise][which])
+        gq = np.empty_like(q1)
+        gq[order] = g[:, None] * t + (gn[:, None, :] @ tn)[:, 0]
+        of_noise = np.add.reduceat(gn[:, :, None] * q1[:, None, :], first, axis=0)
+        self._add(self.m.T, np.concatenate([w, noise.ravel()]), np.concatenate([g[:, None] * q1, of_noise.reshape(-1, DIM + 1)]))
+        return gq[:, :DIM]
 
     def step(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(w)
+        m = self.m
         r1, r2 = m.r[p1], m.r[p2]
-        q = r1 @ m.c1 + r2 @ m.c2
-        noise = np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]).clip(max=CLASSES)
-        t, tn = m.t[w], m.t[noise]
-        d = np.einsum("ij,ij->i", q, t) + m.b[w] - self.log_noise[w]
-        dn = q @ tn.T + m.b[noise] - self.log_noise[noise]
-        g = ((1 - 1 / (1 + np.exp(-d.clip(-30, 30)))) / n).astype(np.float32)
-        gn = (-1 / (1 + np.exp(-dn.clip(-30, 30))) / n).astype(np.float32)
-        gq = g[:, None] * t + gn @ tn
-        targets = np.concatenate([w, noise])
-        self._add("t", np.concatenate([g[:, None] * q, gn.T @ q]), targets)
-        self._add("b", np.concatenate([g, gn.sum(axis=0)]), targets)
-        self._add("r", np.concatenate([gq @ m.c1.T, gq @ m.c2.T]), np.concatenate([p1, p2]))
-        self._add("c1", r1.T @ gq)
-        self._add("c2", r2.T @ gq)
-        self.seen += n
+        q1 = np.ones((len(w), DIM + 1), np.float32)
+        q1[:, :DIM] = r1 @ m.c1 + r2 @ m.c2
+        if self.classes is None:
+            gq = self._outer(m.T, q1, w)
+        else:
+            gq = self._outer(m.U, q1, self.classes.of[w])
+            own = np.flatnonzero(w < m.size)
+            if len(own):
+                gq[own] += self._inner(q1[own], w[own])
+        back = np.concatenate([gq @ m.c1.T, gq @ m.c2.T])
+        maps = np.concatenate([r1.T @ gq, r2.T @ gq])
+        self._add(0, np.concatenate([p1, p2]), back)
+        self._add(m.C, np.arange(2 * DIM), maps, RATE / 5)
 
     def feed(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> None:
         for i in range(0, len(w), STEP):
             self.step(p1[i : i + STEP], p2[i : i + STEP], w[i : i + STEP])
 
 
+class Scorer:
+    """Normalised natural log-probabilities of tokens."""
+
+    def __init__(self, m: Params, classes: Classes):
+        self.a1, self.a2, self.u, self.classes = m.r @ m.c1, m.r @ m.c2, m.u, classes
+        self.t = m.t[classes.members]
+        self.place = np.empty(len(classes.of), np.int64)
+        self.place[classes.members] = np.arange(len(classes.of))
+
+    def __call__(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = np.empty(len(w))
+        for i in range(0, len(w), CHUNK):
+            at = slice(i, i + CHUNK)
+            out[at] = self._chunk(p1[at], p2[at], w[at])
+        return out
+
+    @staticmethod
+    def _log_softmax(q: np.ndarray, t: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        s = q @ t[:, :DIM].T
+        s += t[:, DIM]
+        own = s[np.arange(len(s)), pick]
+        top = s.max(axis=1)
+        s -= top[:, None]
+        np.exp(s, out=s)
+        return own - top - np.log(s.sum(axis=1))
+
+    def _chunk(self, p1, p2, w) -> np.ndarray:
+        q, of, starts = self.a1[p1] + self.a2[p2], self.classes.of[w], self.classes.starts
+        out = np.empty(len(w))
+        for i in range(0, len(w), 4096):
+            at = slice(i, i + 4096)
+            out[at] = self._log_softmax(q[at], self.u, of[at])
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(self.classes.n + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            low, high = starts[k], starts[k + 1]
+            if high - low > 1:
+                rows = order[edges[k] : edges[k + 1]]
+                for i in range(0, len(rows), 4096):
+                    some = rows[i : i + 4096]
+                    out[some] += self._log_softmax(q[some], self.t[low:high], self.place[w[some]] - low)
+        return out
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """hash, c: how often each word (and the end) occurs in the texts of ``train`` (raw)."""
 
@@ -189,41 +324,76 @@ def count_words(train: DataFrame) -> DataFrame:
     return map_arrow(train.select("raw"), run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
-def _head(counts: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray, np.ndarray]:
-    """The words above the smallest power of two that leaves at most HEAD words: hash -> (count, class)."""
+def _head(counts: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
+    """The words above the smallest power of two that leaves at most HEAD words: hash -> (count, number), and their counts, falling."""
     powers = [1 << k for k in range(62)]
     above = counts.agg(*[F.count_if(F.col("c") >= t).alias(str(t)) for t in powers]).first()
     least = next(t for t in powers if above[str(t)] <= HEAD)
     rows = counts.where(F.col("c") >= least).select("hash", "c").toArrow()
     h, c = rows["hash"].to_numpy(), rows["c"].to_numpy()
     order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
-    return {int(x): (int(n), min(i, OTHER)) for i, (x, n) in enumerate(zip(h, c))}, h, c
+    return {int(x): (int(n), i) for i, (x, n) in enumerate(zip(h[order], c[order]))}, c[order]
 
 
-def _train(spark, train: DataFrame, head, unigram: np.ndarray, seed: int) -> Model:
-    start = Model.start(unigram, seed).flat
+def _round(rows: DataFrame, shards: int, head, start: Params, classes: Classes | None, unigram: np.ndarray, seed: int) -> Params:
+    """One round: a pass over ``rows`` (h, raw) in ``shards`` tasks from a common start, averaged by rows of parameters."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((start, classes, unigram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, trainer = Lexicon(head.value), None
+        begin, kinds, p = shared.value
+        lex, trainer = Lexicon(head.value, begin.size), None
         for whole in batches:
             for i in range(0, whole.num_rows, _ROWS):
-                trainer = trainer or Trainer(start, unigram, seed)
+                trainer = trainer or Trainer(begin, kinds, p, seed)
                 ids, lengths = lex.encode(whole.column(0).slice(i, _ROWS).to_pylist())
-                cls = np.array(lex.cls, np.int32)[ids]
-                trainer.feed(*contexts(cls, lengths), cls)
-        if trainer:
-            flat = trainer.m.flat.astype(np.float64) * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64())), pa.array([float(trainer.seen)])], names=["p", "n"])
-
-    each = map_arrow(train.select("raw"), run, "p array<double>, n double")
-    # Summed per parameter in Spark: what the driver gets has the model's size.
-    mean = each.select(F.posexplode("p").alias("i", "v"), "n").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-    if not mean.num_rows:
-        return Model(start)
-    flat = np.empty(len(start), np.float32)
-    flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
-    return Model(flat)
+                w = np.array(lex.number, np.int64)[ids]
+                trainer.feed(*contexts(w, lengths, begin.size + 1), w)
+        for i in range(0, len(begin.rows) if trainer else 0, BLOCK):
+            at = slice(i, i + BLOCK)
+            if trainer.touched[at].any():
+                moved = (trainer.m.rows[at] - begin.rows[at]).astype(np.float16)
+                more = trainer.m.squares[at] - begin.squares[at]
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([moved.tobytes()]), pa.array([np.stack([trainer.touched[at], more]).tobytes()])], names=["block", "moved", "weights"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One sum per block, whatever the number of shards.
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, moved, weights in zip(*(c.to_pylist() for c in batch.columns)):
+                n, more = np.frombuffer(weights, np.float32).reshape(2, -1).astype(float)
+                d = np.frombuffer(moved, np.float16).reshape(len(n), DIM + 1)
+                part = np.column_stack([d * n[:, None], more * n, n])
+                sums[block] = sums[block] + part if block in sums else part
+        for block, x in sums.items():
+            mean = x[:, :-1] / np.maximum(x[:, -1:], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.astype(np.float32).tobytes()])], names=["block", "mean"])
+
+    each = map_arrow(rows.repartition(shards, "h").sortWithinPartitions("h").select("raw"), run, "block int, moved binary, weights binary")
+    mean = map_arrow(each.repartition("block"), combine, "block int, mean binary").toArrow()
+    out = start.copy()
+    for block, data in zip(mean["block"].to_pylist(), mean["mean"].to_pylist()):
+        x = np.frombuffer(data, np.float32).reshape(-1, DIM + 2)
+        at = slice(block * BLOCK, block * BLOCK + len(x))
+        out.rows[at] += x[:, :-1]
+        out.squares[at] += x[:, -1]
+    shared.unpersist()
+    return out
+
+
+def _train(train: DataFrame, n: int, head, unigram: np.ndarray, seed: int) -> tuple[Params, Classes]:
+    """Parameters and classes after all rounds over ``train`` (doc_id, raw) of ``n`` tokens."""
+    rows = train.select(F.xxhash64("doc_id", "raw").alias("h"), "raw")
+    eighth = F.pmod(F.shiftrightunsigned("h", 3), F.lit(8))
+    m, classes, begin = Params.start(unigram, seed), None, 0
+    for k, end in enumerate(ROUNDS):
+        shards = max(1, -(-n * (end - begin) // (8 * SHARD)))
+        m = _round(rows.where((eighth >= begin) & (eighth < end)), shards, head, m, classes, unigram, seed + k)
+        if classes is None:
+            classes = Classes.of_vectors(m.t[:-1, :DIM], unigram)
+            m = m.with_classes(classes, unigram)
+        begin = end
+    return m, classes
 
 
 def score(docs: DataFrame, held_out, seed: int = 11) -> DataFrame:
@@ -239,29 +409,21 @@ def score(docs: DataFrame, held_out, seed: int = 11) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(F.col("text")).alias("raw"))
     train = src.where(~F.col("held_out"))
     counts = materialize(count_words(train), "lm-counts")
-    words, h, c = _head(counts)
+    words, c = _head(counts)
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    other = max(0, n - int(c[:CLASSES].sum())) + 0.5 * max(0, v - min(CLASSES, len(c))) + 0.5
-    unigram = np.full(CLASSES + 1, 0.5)
-    unigram[: min(CLASSES, len(c))] += c[:CLASSES]
-    unigram[OTHER] = other
-    unigram /= unigram.sum()
+    size = int((c >= LEAST).sum())
+    other = n - int(c[:size].sum()) + 0.5 * (v - size) + 0.5
+    unigram = np.append(c[:size] + 0.5, other)
+    unigram = unigram / unigram.sum()
     head = spark.sparkContext.broadcast(words)
-    model = _train(spark, train, head, unigram, seed)
-    shared = spark.sparkContext.broadcast((model.r @ model.c1, model.r @ model.c2, model.t, model.b, model.normalisers()))
+    shared = spark.sparkContext.broadcast(Scorer(*_train(train, n, head, unigram, seed)))
 
     def run(cols, lex):
-        a1, a2, t, b, norm = shared.value
         ids, lengths = lex.encode(cols["raw"].to_pylist())
         first = np.cumsum(lengths) - lengths
-        count, cls = np.array(lex.count, np.int64)[ids], np.array(lex.cls, np.int32)[ids]
-        p1, p2 = contexts(cls, lengths)
-        logp = np.empty(len(cls))
-        for i in range(0, len(cls), 1 << 16):
-            at = slice(i, i + (1 << 16))
-            q = a1[p1[at]] + a2[p2[at]]
-            logp[at] = np.einsum("ij,ij->i", q, t[cls[at]]) + b[cls[at]] - norm[p1[at], p2[at]]
+        count, w = np.array(lex.count, np.int64)[ids], np.array(lex.number, np.int64)[ids]
+        logp = shared.value(*contexts(w, lengths, size + 1), w)
         inside = count >= 0
         share = np.where(inside, np.log10(np.maximum(count, 0) + 0.5), 0.0)
         per = lambda x: np.add.reduceat(x, first)
@@ -272,15 +434,15 @@ def score(docs: DataFrame, held_out, seed: int = 11) -> DataFrame:
             "held_out": cols["held_out"],
             "n_tokens": pa.array(lengths, pa.int64()),
             "n_head": pa.array(per(inside.astype(np.int64))),
-            "n_other": pa.array(per((cls == OTHER).astype(np.int64))),
+            "n_other": pa.array(per((w == size).astype(np.int64))),
             "head_sum": pa.array(per(share)),
-            "head_other": pa.array(per(np.where(cls == OTHER, share, 0.0))),
+            "head_other": pa.array(per(np.where(w == size, share, 0.0))),
             "logp": pa.array(per(logp) / np.log(10)),
             "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), pa.array(np.array(lex.hash, np.int64)[ids[rest]])),
         }
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, head_sum double, head_other double, logp double, rest array<long>"
-    table = map_batches(src, run, schema, lambda: Lexicon(head.value), rows=_ROWS)
+    table = map_batches(src, run, schema, lambda: Lexicon(head.value, size), rows=_ROWS)
     table = materialize(table.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = table.select("row", F.explode("rest").alias("hash")).join(counts, "hash", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest_sum"), F.count("c").alias("n_rest"))

@@ -173,30 +173,83 @@ def test_language_model_query(spark, documents):
         assert r["score"] < 0
 
 
-def test_probabilities_are_normalised():
-    rng = np.random.default_rng(1)
-    p = rng.random(neural_lm.CLASSES + 1)
-    m = neural_lm.Model.start(p / p.sum(), 3)
-    norm = m.normalisers()
-    for one, two in ((0, 5), (neural_lm.START, neural_lm.START), (neural_lm.OTHER, 7)):
-        s = (m.r[one] @ m.c1 + m.r[two] @ m.c2) @ m.t.T + m.b
-        assert math.isclose(np.exp(s - norm[one, two]).sum(), 1, rel_tol=1e-4)
-
-
-def test_noise_contrastive_steps_learn():
-    """A sequence in which each class follows from the one before."""
-    cls = np.tile(np.arange(8), 4000).astype(np.int32)
-    p = np.full(neural_lm.CLASSES + 1, 1e-6)
-    p[:8] = 1 / 8
-    p /= p.sum()
-    start = neural_lm.Model.start(p, 3).flat
-    trainer = neural_lm.Trainer(start, p, 1)
-    p1, p2 = neural_lm.contexts(cls, np.array([len(cls)]))
-    for _ in range(6):
-        trainer.feed(p1, p2, cls)
-    m, norm = trainer.m, trainer.m.normalisers()
-    logp = np.einsum("ij,ij->i", m.r[p1] @ m.c1 + m.r[p2] @ m.c2, m.t[cls]) + m.b[cls] - norm[p1, p2]
-    assert logp[2:].mean() > math.log(0.5) > math.log(1 / 8)
+def _random_model(size, classes, seed=1):
+    rng = np.random.default_rng(seed)
+    p = rng.random(size + 1)
+    kinds = neural_lm.Classes(rng.integers(0, classes, size) if size else np.zeros(0, int), p / p.sum())
+    m = neural_lm.Params(size, kinds.n)
+    m.rows[:] = rng.normal(0, 0.7, m.rows.shape)
+    return m, kinds
+
+
+def test_probabilities_are_normalised_over_all_words():
+    for size, classes in ((90, 9), (1, 1), (0, 1)):
+        m, kinds = _random_model(size, classes)
+        scorer, every = neural_lm.Scorer(m, kinds), np.arange(size + 1)
+        for one, two in ((0, size), (size + 1, size + 1), (size, 0)):
+            assert math.isclose(np.exp(scorer(np.full(size + 1, one), np.full(size + 1, two), every)).sum(), 1, rel_tol=1e-4)
+
+
+def test_classes_split_words_into_halves_of_like_vectors():
+    rng = np.random.default_rng(0)
+    t = np.concatenate([rng.normal(3, 0.1, (32, 4)), rng.normal(-3, 0.1, (32, 4))])
+    kinds = neural_lm.Classes.of_vectors(t, np.full(65, 1 / 65))
+    assert kinds.n == 9 and np.bincount(kinds.of).tolist() == [8] * 8 + [1]
+    assert not set(kinds.of[:32]) & set(kinds.of[32:64])
+    noise = kinds.noise(np.arange(9), rng)
+    assert (kinds.of[noise] == np.arange(9)[:, None]).all()
+
+
+@pytest.mark.parametrize("with_classes", [False, True])
+def test_noise_contrastive_steps_learn(with_classes):
+    """A sequence in which each word follows from the one before."""
+    w, p = np.tile(np.arange(8), 4000), np.append(np.full(8, 1 / 8 - 1e-4), 8e-4)
+    m, kinds = neural_lm.Params.start(p, 3), neural_lm.Classes(np.arange(8) % 3, p)
+    if with_classes:
+        m = m.with_classes(kinds, p)
+    trainer = neural_lm.Trainer(m, kinds if with_classes else None, p, 1)
+    p1, p2 = neural_lm.contexts(w, np.array([len(w)]), 9)
+    for _ in range(4):
+        trainer.feed(p1, p2, w)
+    m = trainer.m if with_classes else trainer.m.with_classes(kinds, p)
+    assert neural_lm.Scorer(m, kinds)(p1, p2, w)[2:].mean() > math.log(0.5)
+
+
+def test_language_model_score_word_by_word(spark, monkeypatch):
+    """The query's score against one recomputed from the parameters, a token at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    trained, plain = [], neural_lm._train
+    monkeypatch.setattr(neural_lm, "_train", lambda *a: trained.append(plain(*a)) or trained[-1])
+    got = {r["doc_id"]: r["score"] for r in neural_lm.score_documents(docs).collect()}
+    m, kinds = trained[0]
+    texts = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b""] for r in docs.collect()}
+    c = Counter(w for i, ws in texts.items() if fold(i, 5) != 1 for w in ws)
+    order = sorted((w for w in c if c[w] >= neural_lm.LEAST), key=lambda w: (-c[w], neural_lm._signed(neural_lm.xxhash.xxh3_64_intdigest(w))))
+    number, size = {w: i for i, w in enumerate(order)}, len(order)
+    assert size == m.size > 500
+    rare = sum(n + 0.5 for w, n in c.items() if w not in number) + 0.5
+    soft = lambda s: s - np.log(np.exp(s).sum())
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:60:3]:
+        two, one, total = size + 1, size + 1, 0.0
+        for w in texts[i]:
+            k = number.get(w, size)
+            q = m.r[one].astype(float) @ m.c1 + m.r[two].astype(float) @ m.c2
+            total += soft(m.u[:, :-1] @ q + m.u[:, -1])[kinds.of[k]]
+            mates = np.flatnonzero(kinds.of == kinds.of[k])
+            total += soft(m.t[mates, :-1] @ q + m.t[mates, -1])[list(mates).index(k)]
+            total += math.log((c[w] + 0.5) / rare) if k == size else 0
+            two, one = one, k
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4)
+
+
+def test_language_model_gains_on_counts_whatever_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    runs = [{r["doc_id"]: r for r in neural_lm.score_documents(docs.repartition(p)).collect()} for p in (1, 13)]
+    for i, r in runs[0].items():
+        assert math.isclose(r["score"], runs[1][i]["score"], rel_tol=1e-3)
+    held = [r for r in runs[0].values() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.1
 
 
 # ---------------------------------------------------------------- decontamination
