@@ -113,14 +113,20 @@ class Classes:
 
     @classmethod
     def of_vectors(cls, t: np.ndarray, unigram: np.ndarray) -> Classes:
-        """Halves the words along the main direction of their vectors until about sqrt(words) classes are left."""
+        """Halves the words along the main direction of their vectors until about sqrt(words) classes are left.
+
+        Halves are equal in the sum of the roots of their counts: frequent words, which most tokens are, get small classes.
+        """
+        weight = np.sqrt(unigram)
         parts = [np.arange(len(t))]
         for _ in range(round(np.log2(len(t)) / 2) if len(t) else 0):
             halves = []
             for p in parts:
                 x = t[p] - t[p].mean(axis=0)
                 side = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
-                halves += [p[np.sort(side[: len(p) // 2])], p[np.sort(side[len(p) // 2 :])]]
+                upto = np.cumsum(weight[p[side]])
+                cut = int(np.searchsorted(upto, upto[-1] / 2, side="right"))
+                halves += [p[np.sort(side[:cut])], p[np.sort(side[cut:])]]
             parts = [p for p in halves if len(p)]
         of = np.zeros(len(t), np.int64)
         for i, p in enumerate(parts):

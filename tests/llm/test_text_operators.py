@@ -193,7 +193,7 @@ def test_probabilities_are_normalised_over_all_words():
 def test_classes_split_words_into_halves_of_like_vectors():
     rng = np.random.default_rng(0)
     t = np.concatenate([rng.normal(3, 0.1, (32, 4)), rng.normal(-3, 0.1, (32, 4))])
-    kinds = neural_lm.Classes.of_vectors(t, np.full(65, 1 / 65))
+    kinds = neural_lm.Classes.of_vectors(t, np.full(65, 0.25))
     assert kinds.n == 9 and np.bincount(kinds.of).tolist() == [8] * 8 + [1]
     assert not set(kinds.of[:32]) & set(kinds.of[32:64])
     noise = kinds.noise(np.arange(9), rng)
