@@ -3,9 +3,8 @@
 * **Headers.** The first line of every file is read on its own (a few bytes per
   file, by the session's Hadoop FileSystem); files of one header are one scan, the
   scans are united by column name.  A column that a file lacks is NULL there.
-* **Types.** The rows are read once, as text, and written as Parquet to the shared checkpoint folder.  The
-  same pass keeps, per column, which kinds of values occur (``observe``: partial
-  aggregates per task, merged by Spark).  The narrowest type that holds every value is applied when the
+* **Types.** The rows are read once, as text, and written as Parquet to the shared checkpoint folder.  One
+  aggregate over the written table finds, per column, which kinds of values occur.  The narrowest type that holds every value is applied when the
   written table is read.  So a text value that turns up late in a column of numbers is
   kept: the column is text then, and the report says how many of its values were not.
 * **Reuse.** The written table is named by a digest of the files (path, size,
@@ -22,7 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Mapping, Sequence, Union
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -61,18 +60,27 @@ class CsvTable:
 
 
 def kind_of(v: Column) -> Column:
-    """The kind of a text value (NULL has none)."""
-    whole = v.rlike(r"^[+-]?[0-9]+$")
-    number = v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") | v.isin("NaN", "Inf", "-Inf", "Infinity", "-Infinity")
-    day = v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull()
+    """The kind of a text value (NULL has none).
+
+    Cheap tests of bytes (first character, a colon, the length) come before the patterns, so that most values meet one pattern or none.
+    """
+    number = v.rlike(r"^[+-]?(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+$")
+    broken = v.contains(".") | v.contains("e") | v.contains("E")
+    # Up to two characters of a line end may follow where a pattern ends.
+    day = F.length(v).between(10, 12) & v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull()
+    # A whole number that no whole type holds is a double.
+    digits = F.when(v.try_cast("int").isNotNull(), INT).when(v.try_cast("bigint").isNotNull(), LONG).when(v.try_cast("decimal(38,0)").isNotNull(), WIDE).otherwise(DOUBLE)
+    numeric = (
+        F.when(v.contains(":"), TEXT)
+        .when(number, F.when(broken, DOUBLE).otherwise(digits))
+        .when(day, DATE).when(v.isin("-Inf", "-Infinity"), DOUBLE).otherwise(TEXT)
+    )
+    # From "+" to "9": signs, the point and the digits are among these first characters.
     return (
         F.when(v.isNull(), F.lit(None).cast("int"))
-        .when(whole & v.try_cast("int").isNotNull(), INT)
-        .when(whole & v.try_cast("bigint").isNotNull(), LONG)
-        .when(whole & v.try_cast("decimal(38,0)").isNotNull(), WIDE)
-        .when(number, DOUBLE)
-        .when(F.lower(v).isin("true", "false"), BOOL)
-        .when(day, DATE)
+        .when((v >= "+") & (v < ":"), numeric)
+        .when(v.isin("NaN", "Inf", "Infinity"), DOUBLE)
+        .when(F.octet_length(v).between(4, 5) & F.lower(v).isin("true", "false"), BOOL)
         .otherwise(TEXT)
     )
 
@@ -172,18 +180,15 @@ def _write(spark: SparkSession, folder: str, paths: Sequence[str], options: Mapp
     if not headers:
         raise ValueError(f"no CSV file with a header line in {paths[:3]}")
     text, spelt = _as_text(spark, headers, options)
-    seen = Observation()
-    aggregates = []
-    for i in range(len(spelt)):
-        kind = kind_of(F.col(f"c{i}"))
-        aggregates += [F.bit_or(kind).alias(f"k{i}"), F.count(f"c{i}").alias(f"n{i}"), F.count_if(kind != TEXT).alias(f"t{i}")]
-    text.observe(seen, *aggregates).write.mode("overwrite").parquet(f"{folder}/rows")
-    got = seen.get
+    text.write.mode("overwrite").parquet(f"{folder}/rows")
+    # One row per column; none without rows.
+    found = {r["column"]: (r["kinds"] or 0, r["filled"], r["typed"]) for r in _kinds(spark.read.schema(text.schema).parquet(f"{folder}/rows")).collect()}
+    got = [found.get(i, (0, 0, 0)) for i in range(len(spelt))]
     note = {
         "columns": spelt,
-        "types": [type_of(got[f"k{i}"] or 0) for i in range(len(spelt))],
-        "filled": [got[f"n{i}"] for i in range(len(spelt))],
-        "typed": [got[f"t{i}"] for i in range(len(spelt))],
+        "types": [type_of(k) for k, _, _ in got],
+        "filled": [n for _, n, _ in got],
+        "typed": [t for _, _, t in got],
         "headers": [[list(h), p] for h, p in headers.items()],
     }
     # Written last: a folder without it is not reused.
@@ -191,6 +196,16 @@ def _write(spark: SparkSession, folder: str, paths: Sequence[str], options: Mapp
     return note
 
 
+def _kinds(text: DataFrame) -> DataFrame:
+    """column (its place), kinds (which occur), filled (how many values), typed (how many of them are no plain text).
+
+    The values of a row are taken one after the other by the same code: written out for every column, the generated
+    method soon is too long for the JVM to compile.
+    """
+    kinds = text.select(F.posexplode(F.array(*text.columns)).alias("column", "value")).select("column", kind_of(F.col("value")).alias("kind"))
+    return kinds.groupBy("column").agg(F.bit_or("kind").alias("kinds"), F.count("kind").alias("filled"), F.count_if(F.col("kind") != TEXT).alias("typed"))
+
+
 def _read_note(spark: SparkSession, folder: str) -> dict | None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/note/_SUCCESS")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):

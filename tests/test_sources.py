@@ -89,6 +89,29 @@ def test_csv_types_of_all_values_in_one_read(spark):
     assert table.rows.agg(F.sum("whole")).first()[0] == sum(range(28)) - 5 and table.filled["empty"] == 0
 
 
+def test_csv_kinds_of_odd_values(spark):
+    """Each value by the plain meaning of its kind; text that only resembles another kind stays text."""
+    t = csv_tables
+    want = {
+        None: None, "": t.TEXT, "5": t.INT, "+5": t.INT, "-2147483648": t.INT, "2147483648": t.LONG, "9" * 25: t.WIDE, "9" * 39: t.DOUBLE, "5\n": t.INT, "5\r\n": t.INT,
+        ".5": t.DOUBLE, "5.": t.DOUBLE, "-.5e-3": t.DOUBLE, "1E+400": t.DOUBLE, "1.5.2": t.TEXT, "+": t.TEXT, ".": t.TEXT, " 5": t.TEXT, "1d": t.TEXT, "3,4": t.TEXT, "/": t.TEXT,
+        "NaN": t.DOUBLE, "nan": t.TEXT, "Inf": t.DOUBLE, "-Infinity": t.DOUBLE, "+Inf": t.TEXT, "tRUE": t.BOOL, "False": t.BOOL, "true\n": t.TEXT, "t": t.TEXT,
+        "2024-02-29": t.DATE, "2024-02-30": t.TEXT, "2024-01-01\n": t.DATE, "2024-01-01T00:00:00": t.TEXT, "10:30": t.TEXT, "-2024-01-01": t.TEXT, "\u0661\u0662": t.TEXT, "\U0001f600": t.TEXT}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    assert {r.v: r.k for r in df.select("v", t.kind_of(F.col("v")).alias("k")).collect()} == want
+
+
+def test_csv_kinds_do_not_write_their_patterns_out_for_every_column(spark):
+    """A plan as long as the columns are many makes a method that the JVM does not compile."""
+    found = {}
+    for n in (2, 40):
+        df = spark.createDataFrame([tuple(str(i) for i in range(n)), tuple("x" for _ in range(n))], ", ".join(f"c{i} string" for i in range(n)))
+        kinds = csv_tables._kinds(df)
+        found[n] = kinds._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike")
+        assert sorted(map(tuple, kinds.collect())) == [(i, csv_tables.INT | csv_tables.TEXT, 2, 1) for i in range(n)]
+    assert found[2] == found[40] > 0
+
+
 def test_csv_of_the_same_arguments_is_not_read_again(spark, monkeypatch):
     base = _csv_folder(spark, "csv-reuse", {"a.csv": "k,v\n1,x\n2,y\n"})
     first = load_csv(spark, base, "*.csv")
