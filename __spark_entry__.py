@@ -22,7 +22,7 @@ from servicepulse.operators.classify import classify, enrich
 from servicepulse.operators.median import grouped_medians
 from servicepulse.plans import goals, insights as I, metrics as M, monthly_state, payload, reports as R
 from servicepulse.plans.common import report_base
-from servicepulse.session import map_arrow, scratch_path
+from servicepulse.session import map_arrow, materialize, scratch_path
 from servicepulse.sources import files
 from servicepulse.sources.csv_tables import load_csv
 from servicepulse.sources.tables import AS_OF, adapter_sql, requests_from_tables
@@ -247,7 +247,7 @@ def q_insight_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_reuse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV folder loaded twice, then with one more file: the second load reads the first one's table, the third does not."""
     path = _scratch(spark, "csv-reuse")
-    raw = _raw(spark, sf_dir)
+    raw = materialize(_raw(spark, sf_dir), "requests")  # written twice below, joined once
     raw.write.option("header", "true").csv(path)
     loads = [load_csv(spark, path, "*.csv"), load_csv(spark, path, "*.csv")]
     raw.write.mode("append").option("header", "true").csv(path)
