@@ -8,9 +8,10 @@ both sides so that summation-order noise does not break the value hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,24 +135,38 @@ def q_src_features_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     def document(batches):
         yield pa.RecordBatch.from_pydict({"value": ['{"fields": [{"attributes": {"SR_ID": 0}}],', '"features": [']})
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"value": [v + "," for v in b.column(0).to_pylist()]})
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(b.column(0), "", ",")], names=["value"])
         yield pa.RecordBatch.from_pydict({"value": ["null]}"]})
 
     map_arrow(raw.select(F.to_json(_feature_of(raw)).alias("value")), document, "value string").write.text(path)
     return M.category_counts(enrich(files.read_features(spark, path), as_of=AS_OF))
 
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features as text to collections of 1000 consecutive ones (the last one holds the rest)."""
+    rest = pa.array([], pa.string())
+
+    def page(features: pa.Array) -> str:
+        return '{"features":[' + ",".join(features.to_pylist()) + "]}"
+
+    for b in batches:
+        rest = pa.concat_arrays([rest, b.column(0).cast(pa.string())])
+        full = len(rest) // 1000 * 1000
+        yield pa.RecordBatch.from_pydict({"value": pa.array([page(rest[i : i + 1000]) for i in range(0, full, 1000)], pa.string())})
+        rest = rest[full:]
+    if len(rest):
+        yield pa.RecordBatch.from_pydict({"value": [page(rest)]})
+
+
 def q_src_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature-collection source end to end: the request table written as
     paged feature-collection JSON (dates as epoch milliseconds, coordinates
     as geometry), flattened, enriched; category counts."""
     path = _scratch(spark, "features")
     raw = _raw(spark, sf_dir)
-    feature = _feature_of(raw)
-    # Pages of at most 1000 consecutive rows of one input partition.
-    page = F.floor(F.monotonically_increasing_id() / 1000)
-    pages = raw.select(page.alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features"))
-    pages.select(F.to_json(F.struct("features")).alias("value")).write.text(path)
+    # Pages of at most 1000 consecutive rows of one input partition, put together where the rows are.
+    pages = map_arrow(raw.select(F.to_json(_feature_of(raw)).alias("value")), _pages, "value string")
+    pages.write.option("maxRecordsPerFile", 500).option("compression", "gzip").text(path)
     df = files.read_features(spark, path, multi_line=False)
     return M.category_counts(enrich(df, as_of=AS_OF))
 
