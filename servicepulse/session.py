@@ -128,8 +128,8 @@ def map_arrow(df, fn, schema):
     return df.mapInArrow(fn, schema)
 
 
-def materialize(df, name: str = "state"):
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df, name: str = "state", **options: str):
+    """Write ``df`` once to the shared checkpoint folder and read it back; ``options`` are those of Spark's Parquet writer.
 
     Cuts the lineage like ``checkpoint()`` but computes the input only once
     (a reliable RDD checkpoint re-runs the job that produced it).  Meant for
@@ -138,5 +138,5 @@ def materialize(df, name: str = "state"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,52 +30,59 @@ from pyspark.sql import types as T
 from ..session import map_arrow, materialize, scratch_path
 
 _ESCAPED = re.compile(rb"\\.", re.S)
-_OPEN, _CLOSE, _QUOTE = (ord("{"), ord("[")), (ord("}"), ord("]")), ord('"')
+_QUOTE = 2
+# What a byte may be: a bracket that opens (1) or closes (-1), or a quote.
+_MARK = np.zeros(256, np.int8)
+_MARK[[ord("{"), ord("[")]], _MARK[[ord("}"), ord("]")]], _MARK[ord('"')] = 1, -1, _QUOTE
+_BLANKS = bytes.maketrans(b"\r\n", b"  ")
 _KEY = b'"features"'
 # Depths: 1 in the document, 2 in one of its arrays, 3 in an element.
 _IN_ARRAY, _IN_ELEMENT = 2, 3
 
 
 def _marks(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where quotes that delimit strings, brackets that open and brackets that close stand (strings not told apart)."""
+    """Of the brackets and the quotes that delimit strings, in order (strings not told apart): where they
+    stand, by how much they change the depth, and how many quotes there are up to each."""
     if b"\\" in buf:
         buf = _ESCAPED.sub(b"  ", buf)
-    a = np.frombuffer(buf, np.uint8)
-    return a == _QUOTE, (a == _OPEN[0]) | (a == _OPEN[1]), (a == _CLOSE[0]) | (a == _CLOSE[1])
+    mark = _MARK[np.frombuffer(buf, np.uint8)]
+    at = np.flatnonzero(mark)
+    mark = mark[at]
+    quote = mark == _QUOTE
+    return at, np.where(quote, 0, mark), np.cumsum(quote)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], dict, bytes]]:
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], dict, bytes]]:
     """(file, start), the batch's first row there, and the text: runs of rows of one range, in order.
 
     The separator that ended each record is put back.
     """
     for b in batches:
-        files, starts = b.column("file").to_pylist(), b.column("start").to_pylist()
-        values = b.column("raw").to_pylist()
-        lo = 0
-        for hi in range(1, len(files) + 1):
-            if hi == len(files) or (files[hi], starts[hi]) != (files[lo], starts[lo]):
-                first = {n: b.column(n)[lo].as_py() for n in b.schema.names if n not in ("raw", "file", "start")}
-                yield (files[lo], starts[lo]), first, b"}".join(values[lo:hi]) + b"}"
-                lo = hi
+        if not b.num_rows:
+            continue
+        files, starts, raw = b.column("file").to_numpy(), b.column("start").to_numpy(), b.column("raw")
+        cuts = (np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(files)]):
+            first = {n: b.column(n)[lo].as_py() for n in b.schema.names if n not in ("raw", "file", "start")}
+            run = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), raw.slice(lo, hi - lo))
+            yield (int(files[lo]), int(starts[lo])), first, pc.binary_join(run, b"}")[0].as_py() + b"}"
 
 
 def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file, start, flips (0 or 1), change of depth if the range starts outside and if it starts inside of a string."""
-    seen: dict[tuple[str, int], list[int]] = {}
+    seen: dict[tuple[int, int], list[int]] = {}
     for at, _, buf in _ranges(batches):
-        quote, opens, closes = _marks(buf)
-        odd = np.cumsum(quote) & 1 == 1
-        step = opens.astype(np.int64) - closes
-        plain, quoted = int(step[~odd].sum()), int(step[odd].sum())
+        _, step, quotes = _marks(buf)
+        odd = quotes & 1 == 1
+        plain, quoted = int(step[~odd].sum(dtype=np.int64)), int(step[odd].sum(dtype=np.int64))
         row = seen.setdefault(at, [0, 0, 0])
         if row[0]:
             plain, quoted = quoted, plain
-        row[0] ^= int(quote.sum()) & 1
+        row[0] ^= int(quotes[-1]) & 1 if len(quotes) else 0
         row[1] += plain
         row[2] += quoted
     yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))],
+        [pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.int64()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))],
         names=["file", "start", "flips", "plain", "quoted"])
 
 
@@ -94,14 +102,12 @@ class _Cutter:
         self.piece, self.started = [], True
 
     def take(self, buf: bytes) -> None:
-        quote, opens, closes = _marks(buf)
-        outside = (np.cumsum(quote) + self.inside) & 1 == 0
-        self.inside = (self.inside + int(quote.sum())) & 1
-        opens &= outside
-        closes &= outside
-        at = np.flatnonzero(opens | closes)
-        up = opens[at]
-        after = self.depth + np.cumsum(np.where(up, 1, -1))
+        at, step, quotes = _marks(buf)
+        bracket = (step != 0) & ((quotes + self.inside) & 1 == 0)
+        self.inside = (self.inside + int(quotes[-1])) & 1 if len(quotes) else self.inside
+        at, step = at[bracket], step[bracket]
+        up = step > 0
+        after = self.depth + np.cumsum(step, dtype=np.int64)
         # Only borders of elements and of the document's arrays matter.
         border = np.flatnonzero(np.where(up, (after == _IN_ELEMENT) | (after == _IN_ARRAY), (after == _IN_ARRAY) | (after == _IN_ARRAY - 1)))
         lo = 0 if self.depth >= _IN_ELEMENT else None
@@ -133,8 +139,10 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file, start, kind, wanted (in a features array; null: as at the start of the range), raw."""
 
     def rows(at, found):
+        # Strings hold no line breaks, so blanks may stand for them.
+        found = [(k, w, raw.translate(_BLANKS) if b"\n" in raw or b"\r" in raw else raw) for k, w, raw in found]
         return pa.RecordBatch.from_arrays(
-            [pa.array([at[0]] * len(found), pa.string()), pa.array([at[1]] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.string()),
+            [pa.array([at[0]] * len(found), pa.int64()), pa.array([at[1]] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.string()),
              pa.array([f[1] for f in found], pa.bool_()), pa.array([f[2] for f in found], pa.binary())],
             names=["file", "start", "kind", "wanted", "raw"])
 
@@ -157,16 +165,21 @@ def feature_texts(spark: SparkSession, path) -> DataFrame:
     Elements that are no objects (null, numbers) are left out.  A document whose brackets do not match gives what its
     brackets say.  UTF-8 only.
     """
-    text = spark.read.option("lineSep", "}").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("raw"))
-    effects = materialize(map_arrow(text, _effects, "file string, start long, flips long, plain long, quoted long"), "feature-ranges")
+    # Files go by numbers: a path beside every short record would be longer than the record.
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    numbers = F.broadcast(materialize(listed.withColumn("file", F.monotonically_increasing_id()), "feature-files"))
+    text = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    text = text.select("path", "start", F.col("value").cast("binary").alias("raw"))
+    numbered = text.join(numbers, "path").select("file", "start", "raw")
+    effects = materialize(map_arrow(numbered, _effects, "file long, start long, flips long, plain long, quoted long"), "feature-ranges")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     state = effects.withColumn("inside", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2)
     state = state.withColumn("step", F.when(F.col("inside") == 0, F.col("plain")).otherwise(F.col("quoted")))
     state = state.select("file", "start", "inside", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("depth"))
     # One row per byte range (128 MB by default), so the side that is broadcast is a millionth of the input.
-    ranged = text.join(F.broadcast(materialize(state, "feature-states")), ["file", "start"])
-    found = materialize(map_arrow(ranged.select("file", "start", "inside", "depth", "raw"), _elements, "file string, start long, kind string, wanted boolean, raw binary"), "feature-pieces")
+    states = materialize(state.join(numbers, "file"), "feature-states")
+    ranged = text.join(F.broadcast(states), ["path", "start"])
+    found = materialize(map_arrow(ranged.select("file", "start", "inside", "depth", "raw"), _elements, "file long, start long, kind string, wanted boolean, raw binary"), "feature-pieces", compression="zstd")
     flags = found.where("kind = 'state'").withColumn("given", F.last("wanted", ignorenulls=True).over(before)).select("file", "start", "given")
     given = found.where("kind <> 'state'").join(F.broadcast(flags), ["file", "start"]).withColumn("wanted", F.coalesce("wanted", "given", F.lit(False)))
     # A piece without an end goes with those that follow, up to the one that ends the element.
@@ -176,13 +189,13 @@ def feature_texts(spark: SparkSession, path) -> DataFrame:
     whole = pieces.groupBy("file", "number").agg(F.bool_or((F.col("kind") == "tail") & F.col("wanted")).alias("wanted"), F.sort_array(F.collect_list(F.struct("start", "order", "raw"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["raw"]))
     out = given.where("kind = 'element' and wanted").select("raw").unionByName(whole.where("wanted").select(joined.alias("raw")))
-    # Strings hold no line breaks, so blanks may stand for them.
-    return out.select(F.translate(F.decode("raw", "UTF-8"), "\r\n", "  ").alias("value"))
+    return out.select(F.col("raw").cast("string").alias("value"))
 
 
 def read_split_features(spark: SparkSession, path, element: T.StructType | None = None) -> DataFrame:
     """The elements of the documents' ``features`` arrays as rows (attributes, geometry, ...)."""
     folder = scratch_path(spark, "features")
-    feature_texts(spark, path).write.text(folder)
+    # Compressed, so in files small enough for a task each.
+    feature_texts(spark, path).write.option("maxRecordsPerFile", 500_000).option("compression", "gzip").text(folder)
     reader = spark.read if element is None else spark.read.schema(element)
     return reader.json(folder)

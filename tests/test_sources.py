@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,3 +180,24 @@ def test_features_without_any_need_a_schema(spark):
     assert files.read_features(spark, base, schema).collect() == []
     base = _csv_folder(spark, "feature-some", {"a.json": '{"features": [null, {"attributes": {"SR_ID": 7, "z": 1}}, 5]}'})
     assert [tuple(r) for r in files.read_features(spark, base, schema).collect()] == [(7,)]
+
+
+def test_feature_pages_are_put_together_where_the_rows_are(spark):
+    """Pages need no shuffle: 1000 consecutive features each, whatever the batches."""
+    from __spark_entry__ import _pages
+
+    values = [f'{{"attributes":{{"SR_ID":{i}}}}}' for i in range(2345)]
+    batches = [pa.RecordBatch.from_pydict({"value": values[lo:hi]}) for lo, hi in ((0, 700), (700, 700), (700, 2100), (2100, 2345))]
+    pages = [json.loads(v)["features"] for b in _pages(iter(batches)) for v in b.column("value").to_pylist()]
+    assert [len(p) for p in pages] == [1000, 1000, 345] and [f["attributes"]["SR_ID"] for p in pages for f in p] == list(range(2345))
+
+
+def test_feature_records_carry_no_paths(spark, monkeypatch):
+    """Records are a few bytes long, so what stands beside each is a number; texts are written compressed."""
+    base = _csv_folder(spark, "feature files ü", {f"a b{i}.json": json.dumps({"features": [{"attributes": {"SR_ID": i, "t": "x\r\ny"}}] * 3}, indent=1) for i in range(3)})
+    sent = []
+    monkeypatch.setattr(feature_json, "map_arrow", lambda df, fn, schema, m=feature_json.map_arrow: (sent.append(dict(df.dtypes)), m(df, fn, schema))[1])
+    rows = feature_json.read_split_features(spark, base)
+    assert sorted(r[0] for r in rows.select("attributes.SR_ID").collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2] and {r[0] for r in rows.select("attributes.t").collect()} == {"x\r\ny"}
+    assert len(sent) == 2 and all("string" not in s.values() for s in sent)
+    assert all(f.endswith(".gz") for f in rows.inputFiles())
