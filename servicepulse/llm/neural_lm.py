@@ -26,16 +26,16 @@ words meets the count table in a shuffled join.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servicepulse.llm.common import id_fold, map_arrow, map_batches, text_bytes, words_of
+from servicepulse.llm.common import id_fold, map_arrow, text_bytes
 from servicepulse.session import materialize
 
 #: Words that may be broadcast with their counts (16 bytes each) and have vectors, and counts these need at least.
@@ -43,51 +43,56 @@ HEAD, LEAST = 200_000, 4
 DIM, NOISE, INNER_NOISE, STEP, RATE = 16, 64, 8, 2048, 0.1
 #: Eighths of the documents by hash where the rounds end, and tokens of a shard.
 ROUNDS, SHARD = (1, 4, 8), 2_000_000
-#: Rows of parameters that travel together, and tokens whose normalisers are computed together.
-BLOCK, CHUNK = 512, 1 << 16
+#: Rows of parameters that travel together, tokens whose class sums and whose predictions are held together, classes
+#: whose factors are held together, tokens of a class in a tile.
+BLOCK, SPAN, CHUNK, WIDTH, TILE = 512, 1 << 20, 1 << 18, 64, 8
 END = b""
 _END_HASH = xxhash.xxh3_64_intdigest(END)
 _LIMIT = 400_000
-_ROWS = 400
+#: Texts of a training batch, and bytes of texts counted or scored together (a longer text alone).
+_ROWS, _BYTES = 400, 5 << 20
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class Lexicon(dict):
-    """Word -> position in the arrays of what is known about it, per task.
+def encode(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the texts (binary), ends included, as places in an array of hashes; the tokens per text; and that array.
 
-    ``head``: hash -> (count, number); the words beyond ``size`` of the head are
-    one, with the number ``size``.
+    Words are those of ``common.words_of``, cut and numbered by Arrow, so that only the distinct ones are hashed.
     """
-
-    def __init__(self, head: dict[int, tuple[int, int]], size: int = 0):
-        super().__init__()
-        self.head, self.size = head, size
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.hash, self.count, self.number = array("q"), array("q"), array("i")
-
-    def __missing__(self, word: bytes) -> int:
-        h = _signed(xxhash.xxh3_64_intdigest(word))
-        count, number = self.head.get(h, (-1, self.size))
-        self.hash.append(h), self.count.append(count), self.number.append(min(number, self.size))
-        i = self[word] = len(self.hash) - 1
-        return i
-
-    def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all tokens of the texts, ends included, and the tokens per text."""
-        if len(self) > _LIMIT:
-            self.reset()
-        parts = []
-        for b in raw:
-            w = words_of(b)
-            w.append(END)
-            parts.append(np.fromiter(map(self.__getitem__, w), dtype=np.int32, count=len(w)))
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(raw.view(pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    # White space at either end of a text leaves an empty piece, which is no word; the last place is the end's.
+    words.append(END)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    pieces = coded.indices.to_numpy()
+    kept = hashes[pieces] != hashes[-1] if END in words[:-1] else np.ones(len(pieces), bool)
+    before = np.append(0, np.cumsum(kept))
+    offsets = lists.offsets.to_numpy()
+    upto = before[offsets - offsets[0]]
+    ids = np.full(upto[-1] + len(raw), len(words) - 1, np.int32)
+    place = np.ones(len(ids), bool)
+    place[upto[1:] + np.arange(len(raw))] = False
+    ids[place] = pieces[kept]
+    return ids, np.diff(upto) + 1, hashes
+
+
+class Head:
+    """What is known of the frequent words: their hashes (rising), counts, and numbers by falling count."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, numbers: np.ndarray):
+        self.hashes, self.counts, self.numbers = hashes, counts, numbers
+
+    def find(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (-1: not in the head) and numbers of words; those beyond ``size`` are one, with the number ``size``."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1), np.full(len(hashes), size)
+        at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
+        there = self.hashes[at] == hashes
+        return np.where(there, self.counts[at], -1), np.where(there, self.numbers[at].clip(max=size), size)
 
 
 def contexts(w: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +141,8 @@ class Classes:
     def noise(self, kinds: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """INNER_NOISE words of each class, by their shares."""
         low, high = self.starts[kinds][:, None], self.starts[kinds + 1][:, None] - 1
-        x = self.cum[low] + rng.random((len(kinds), INNER_NOISE)) * self.mass[kinds][:, None]
+        # Sorted, as a search for rising values stays in the cache.
+        x = self.cum[low] + np.sort(rng.random((len(kinds), INNER_NOISE)), axis=1) * self.mass[kinds][:, None]
         return self.members[np.clip(np.searchsorted(self.cum, x, side="right") - 1, low, high)]
 
 
@@ -188,8 +194,12 @@ class Params:
         return m
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x.clip(-30, 30)))
+def _sigmoid(x: np.ndarray, times: int = 1) -> np.ndarray:
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(np.float32(times), x, out=x)
 
 
 def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,73 +211,116 @@ def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key - own * n, own, np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
 
 
+def _sums(x: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``x[order]`` from each of ``starts`` to the next."""
+    n = np.diff(np.append(starts, len(order)))
+    out = x.take(order[starts], axis=0)
+    many = n > 1
+    if many.any():
+        # Rows that stand alone, mostly the larger part, need no sum.
+        upto = np.cumsum(n[many])
+        out[many] = np.add.reduceat(x.take(order[np.repeat(many, n)], axis=0), upto - n[many], axis=0)
+    return out
+
+
 class Trainer:
-    """Noise-contrastive steps; without ``classes`` words are told from words."""
+    """Noise-contrastive steps; without ``classes`` words are told from words.
+
+    Each row of parameters lies together with its sum of squares and its number of touches, so that one access
+    reads or writes them all.  Predictions are as wide, with 1 for the bias and 0 for the rest.
+    """
+
+    SQUARES, TOUCHED, WIDE = DIM + 1, DIM + 2, DIM + 4
 
     def __init__(self, start: Params, classes: Classes | None, unigram: np.ndarray, seed: int):
-        self.m, self.classes, self.rng = start.copy(), classes, np.random.default_rng(seed)
-        self.touched = np.zeros(len(self.m.rows), np.float32)
+        self.all = np.zeros((len(start.rows), self.WIDE), np.float32)
+        self.all[:, : DIM + 1], self.all[:, self.SQUARES] = start.rows, start.squares
+        self.m = Params(start.size, start.n_classes, self.all[:, : DIM + 1], self.all[:, self.SQUARES])
+        self.touched = self.all[:, self.TOUCHED]
+        self.classes, self.rng = classes, np.random.default_rng(seed)
         p = unigram if classes is None else classes.mass
         self.cum, self.log_noise = np.cumsum(p), np.log(NOISE * p).astype(np.float32)
         if classes is not None:
             self.log_inside = (classes.inside + np.log(INNER_NOISE)).astype(np.float32)
 
-    def _add(self, at: int, rows: np.ndarray, grad: np.ndarray, rate: float = RATE) -> None:
+    def _add(self, at: int, rows: np.ndarray, grad: np.ndarray, width: int) -> None:
+        """A step along ``grad`` (of ``width`` columns, the rest 0), summed by rows."""
         order, own, starts = _grouped(rows)
-        grad, rows = np.add.reduceat(grad[order], starts, axis=0), own[starts] + at
-        self.m.squares[rows] += (grad * grad).mean(axis=1)
-        self.m.rows[rows, : grad.shape[1]] += rate * grad / np.sqrt(self.m.squares[rows])[:, None]
-        self.touched[rows] += np.diff(np.append(starts, len(own)))
+        self._move(own[starts] + at, _sums(grad, order, starts), np.diff(np.append(starts, len(own))), width, RATE)
+
+    def _move(self, rows: np.ndarray, grad: np.ndarray, times, width: int, rate: float) -> None:
+        old, more = self.all.take(rows, axis=0), np.einsum("ij,ij->i", grad, grad) / width
+        grad *= (rate / np.sqrt(old[:, self.SQUARES] + more))[:, None]
+        grad[:, self.SQUARES], grad[:, self.TOUCHED] = more, times
+        old += grad
+        self.all[rows] = old
 
     def _outer(self, at: int, q1: np.ndarray, w: np.ndarray) -> np.ndarray:
         """One step of the targets from row ``at`` on, noise shared by all tokens; returns the gradient of q."""
-        rows = self.m.rows
         noise = np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]).clip(max=len(self.cum) - 1)
-        t, tn = rows[at + w], rows[at + noise]
+        t, tn = self.all.take(at + w, axis=0), self.all.take(at + noise, axis=0)
         g = 1 - _sigmoid(np.einsum("ij,ij->i", q1, t) - self.log_noise[w])
-        gn = -_sigmoid(q1 @ tn.T - self.log_noise[noise])
-        gq = g[:, None] * t + gn @ tn
-        self._add(at, np.concatenate([w, noise]), np.concatenate([g[:, None] * q1, gn.T @ q1]))
-        return gq[:, :DIM]
-
-    def _inner(self, q1: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """One step of the words within their classes, noise shared by the tokens of a class; returns the gradient of q."""
-        order, of, first = _grouped(self.classes.of[w])
-        w, q1 = w[order], q1[order]
-        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+        tn[:, DIM] -= self.log_noise[noise]
+        gn = _sigmoid(q1 @ tn.T, -1)
+        t *= g[:, None]
+        t += gn @ tn
+        self._add(at, np.concatenate([w, noise]), np.concatenate([g[:, None] * q1, gn.T @ q1]), DIM + 1)
+        return t[:, :DIM]
+
+    def _inner(self, q1: np.ndarray, w: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """One step of the words ``w`` within their classes ``of``, in which they are sorted, each from ``first`` on.
+
+        Noise is shared by the tokens of a class.  Returns the gradient of q.
+        """
+        n = np.diff(np.append(first, len(of)))
         noise = self.classes.noise(of[first], self.rng)
-        t, tn = self.m.t[w], self.m.t[noise][which]
+        # The tokens of a class fill tiles of TILE rows, the last one with zeros, so that products are taken tile by tile.
+        tiles = -(-n // TILE)
+        begin = np.cumsum(tiles) - tiles
+        place = np.arange(len(of)) + np.repeat(begin * TILE - first, n)
+        t, tn = self.all.take(self.m.T + w, axis=0), self.all.take(self.m.T + noise, axis=0)
+        tn[:, :, DIM] -= self.log_inside[noise]
+        tn = tn.take(np.repeat(np.arange(len(first)), tiles), axis=0)
+        q = np.zeros((len(tn), TILE, self.WIDE), np.float32)
+        q.reshape(-1, self.WIDE)[place] = q1
         g = 1 - _sigmoid(np.einsum("ij,ij->i", q1, t) - self.log_inside[w])
-        gn = -_sigmoid((tn @ q1[:, :, None])[:, :, 0] - self.log_inside[noise][which])
-        gq = np.empty_like(q1)
-        gq[order] = g[:, None] * t + (gn[:, None, :] @ tn)[:, 0]
-        of_noise = np.add.reduceat(gn[:, :, None] * q1[:, None, :], first, axis=0)
-        self._add(self.m.T, np.concatenate([w, noise.ravel()]), np.concatenate([g[:, None] * q1, of_noise.reshape(-1, DIM + 1)]))
-        return gq[:, :DIM]
+        gn = _sigmoid(q @ tn.transpose(0, 2, 1), -1)
+        t *= g[:, None]
+        t += (gn @ tn).reshape(-1, self.WIDE).take(place, axis=0)
+        of_noise = _sums((gn.transpose(0, 2, 1) @ q).reshape(len(tn), -1), np.arange(len(tn)), begin)
+        self._add(self.m.T, np.concatenate([w, noise.ravel()]), np.concatenate([g[:, None] * q1, of_noise.reshape(-1, self.WIDE)]), DIM + 1)
+        return t[:, :DIM]
 
     def step(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> None:
         m = self.m
-        r1, r2 = m.r[p1], m.r[p2]
-        q1 = np.ones((len(w), DIM + 1), np.float32)
+        r1, r2 = self.all.take(p1, axis=0)[:, :DIM], self.all.take(p2, axis=0)[:, :DIM]
+        q1 = np.zeros((len(w), self.WIDE), np.float32)
         q1[:, :DIM] = r1 @ m.c1 + r2 @ m.c2
+        q1[:, DIM] = 1
         if self.classes is None:
             gq = self._outer(m.T, q1, w)
         else:
-            gq = self._outer(m.U, q1, self.classes.of[w])
-            own = np.flatnonzero(w < m.size)
-            if len(own):
-                gq[own] += self._inner(q1[own], w[own])
-        maps = np.concatenate([r1.T @ gq, r2.T @ gq])
+            order, of, first = _grouped(self.classes.of[w])
+            q1 = q1.take(order, axis=0)
+            by_class = self._outer(m.U, q1, of)
+            # The last class, alone, has one word.
+            n = int(np.searchsorted(of, self.classes.n - 1))
+            if n:
+                by_class[:n] += self._inner(q1[:n], w[order[:n]], of[:n], first[first < n])
+            gq = np.empty((len(w), DIM), np.float32)
+            gq[order] = by_class
+        maps = np.zeros((2 * DIM, self.WIDE), np.float32)
+        maps[:DIM, :DIM], maps[DIM:, :DIM] = r1.T @ gq, r2.T @ gq
         # A word is context of the two tokens after it: its two gradients are added up before they are sorted by word.
         b1, b2 = gq @ m.c1.T, gq @ m.c2.T
         off1, off2 = p1 > m.size, p2 > m.size
-        back = np.zeros((len(w) + 2, DIM), np.float32)
-        back[-1] = b1[off1].sum(axis=0) + b2[off2].sum(axis=0)
+        back = np.zeros((len(w) + 2, self.WIDE), np.float32)
+        back[-1, :DIM] = b1[off1].sum(axis=0) + b2[off2].sum(axis=0)
         b1[off1], b2[off2] = 0, 0
-        back[1:-1] = b1
-        back[:-2] += b2
-        self._add(0, np.concatenate([p2[:1], p1, [m.size + 1]]), back)
-        self._add(m.C, np.arange(2 * DIM), maps, RATE / 5)
+        back[1:-1, :DIM] = b1
+        back[:-2, :DIM] += b2
+        self._add(0, np.concatenate([p2[:1], p1, [m.size + 1]]), back, DIM)
+        self._move(np.arange(m.C, m.C + 2 * DIM), maps, 1, DIM, RATE / 5)
 
     def feed(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> None:
         for i in range(0, len(w), STEP):
@@ -278,17 +331,25 @@ class Scorer:
     """Normalised natural log-probabilities of tokens."""
 
     def __init__(self, m: Params, classes: Classes):
-        self.a1, self.a2, self.u, self.classes = m.r @ m.c1, m.r @ m.c2, m.u, classes
+        # As wide as the targets, so that a prediction is the sum of two rows: 0 and 1 for the bias.
+        self.a1, self.a2 = (np.column_stack([m.r @ c, np.full(len(m.r), one, np.float32)]) for one, c in enumerate((m.c1, m.c2)))
+        self.u, self.classes = m.u, classes
         self.t = m.t[classes.members]
         self.place = np.empty(len(classes.of), np.int64)
         self.place[classes.members] = np.arange(len(classes.of))
         self.longest = float(np.sqrt(max((x * x).sum(axis=1).max() for x in (self.u, self.t))))
+        # Bounds of a context word's part of the class scores; the biases go with the second word back.
+        steep, bias = float(np.linalg.norm(self.u[:, :DIM], axis=1).max()), float(abs(self.u[:, DIM]).max())
+        self.bound1, self.bound2 = (np.linalg.norm(a[:, :DIM], axis=1) * steep + bias * a[:, DIM] for a in (self.a1, self.a2))
 
     def __call__(self, p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> np.ndarray:
         out = np.empty(len(w))
         for i in range(0, len(w), CHUNK):
             at = slice(i, i + CHUNK)
             out[at] = self._chunk(p1[at], p2[at], w[at])
+        for i in range(0, len(w), SPAN):
+            at = slice(i, i + SPAN)
+            out[at] -= self._class_sums(p1[at], p2[at])
         return out
 
     @staticmethod
@@ -306,57 +367,118 @@ class Scorer:
             out[i : i + rows] = np.log(s @ np.ones(len(t), np.float32)) + top
         return out
 
+    def _class_sums(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """log of the sum of exp(score) over the classes, for each context.
+
+        exp((a1 + a2) u) = exp(a1 u) exp(a2 u): exponentials are taken once for each distinct word of either place, and
+        a pair of words is the product of their rows.  Pairs whose factors might leave the range of floats go the plain way.
+        """
+        order, own, first = _grouped(p1 * len(self.a1) + p2)
+        one, two = np.divmod(own[first], len(self.a1))
+        out = np.empty(len(first))
+        safe = self.bound1[one] + self.bound2[two] < 80
+        far, near = np.flatnonzero(~safe), np.flatnonzero(safe)
+        for i in range(0, len(far), STEP):
+            x, y = one[far[i : i + STEP]], two[far[i : i + STEP]]
+            out[far[i : i + STEP]] = self._log_sums(self.a1[x] + self.a2[y], self.u, False)
+        (words1, at1), (words2, at2) = (self._distinct(x[near]) for x in (one, two))
+        a1, a2 = self.a1[words1], self.a2[words2]
+        sums, rooms = np.zeros(len(near), np.float32), [np.empty(len(a) * WIDTH, np.float32) for a in (a1, a2)]
+        for k in range(0, len(self.u), WIDTH):
+            e1, e2 = (self._exps(a, self.u[k : k + WIDTH], room) for a, room in zip((a1, a2), rooms))
+            for i in range(0, len(near), STEP):
+                at = slice(i, i + STEP)
+                sums[at] += np.einsum("ij,ij->i", e1.take(at1[at], axis=0), e2.take(at2[at], axis=0))
+        out[near] = np.log(sums)
+        each = np.empty(len(p1))
+        each[order] = np.repeat(out, np.diff(np.append(first, len(own))))
+        return each
+
+    @staticmethod
+    def _exps(a: np.ndarray, u: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """exp(a u') written to ``room``, in blocks that stay in the cache."""
+        out, u = room[: len(a) * len(u)].reshape(len(a), len(u)), np.ascontiguousarray(u.T)
+        for i in range(0, len(a), 1024):
+            part = np.matmul(a[i : i + 1024], u, out=out[i : i + 1024])
+            np.exp(part, out=part)
+        return out
+
+    def _distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of ``x``, and where each of ``x`` is among them."""
+        there = np.zeros(len(self.a1), bool)
+        there[x] = True
+        return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
     def _chunk(self, p1, p2, w) -> np.ndarray:
-        q1 = np.ones((len(w), DIM + 1), np.float32)
-        q1[:, :DIM] = self.a1[p1] + self.a2[p2]
+        """The scores of the tokens' classes, not normalised, and their logs of probability within the classes."""
+        order, own, first = _grouped(self.classes.of[w])
+        # From here on in the order of the classes.
+        q1 = self.a1.take(p1[order], axis=0)
+        q1 += self.a2.take(p2[order], axis=0)
         # Bound of every score: |q| |t| by Cauchy and Schwarz.
         small = bool(np.sqrt(np.einsum("ij,ij->i", q1, q1).max()) * self.longest < 80)
-        of, place, starts = self.classes.of[w], self.place[w], self.classes.starts
-        out = np.einsum("ij,ij->i", q1, self.u[of]) - self._log_sums(q1, self.u, small)
-        order, own, first = _grouped(of)
-        last = np.append(first[1:], len(own))
-        for k, a, b in zip(own[first], first, last):
-            low, high = starts[k], starts[k + 1]
-            if high - low > 1:
-                rows = order[a:b]
-                q = q1[rows]
-                out[rows] += np.einsum("ij,ij->i", q, self.t[place[rows]]) - self._log_sums(q, self.t[low:high], small)
+        inside = np.einsum("ij,ij->i", q1, self.t.take(self.place[w[order]], axis=0)).astype(float)
+        for k, a, b in zip(own[first], first, np.append(first[1:], len(own))):
+            low, high = self.classes.starts[k], self.classes.starts[k + 1]
+            inside[a:b] -= self._log_sums(q1[a:b], self.t[low:high], small) if high - low > 1 else inside[a:b]
+        out = np.empty(len(w))
+        out[order] = np.einsum("ij,ij->i", q1, self.u.take(own, axis=0)) + inside
         return out
 
 
+def _portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts begin within the same _BYTES bytes."""
+    upto = np.cumsum(pc.binary_length(batch.column(text)).to_numpy())
+    cuts = np.flatnonzero(np.diff(np.append(0, upto[:-1]) // _BYTES)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """hash, c: how often each word (and the end) occurs in the texts of ``train`` (raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, total = Lexicon({}), np.zeros(0, np.int64)
+        hashes, counts = [], []
+
+        def merge():
+            x, c = np.concatenate(hashes), np.concatenate(counts)
+            order = np.argsort(x)
+            x = x[order]
+            starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            hashes[:], counts[:] = [x[starts]], [np.add.reduceat(c[order], starts)]
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(np.array(lex.hash, np.int64)), pa.array(total)], names=["hash", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(counts[0])], names=["hash", "c"])
+            hashes.clear(), counts.clear()
+            return out
 
         for whole in batches:
-            for i in range(0, whole.num_rows, _ROWS):
-                if len(lex) > _LIMIT:
-                    yield flush()
-                    lex.reset()
-                    total = np.zeros(0, np.int64)
-                ids, _ = lex.encode(whole.column(0).slice(i, _ROWS).to_pylist())
-                more = np.bincount(ids, minlength=len(lex.hash))
-                more[: len(total)] += total
-                total = more
-        yield flush()
+            for part in _portions(whole, "raw"):
+                ids, _, h = encode(part.column("raw"))
+                n = np.bincount(ids, minlength=len(h))
+                hashes.append(h[n > 0]), counts.append(n[n > 0])
+                if sum(map(len, hashes)) > 2 * _LIMIT:
+                    merge()
+                    if len(hashes[0]) > _LIMIT:
+                        yield flush()
+        if hashes:
+            merge()
+            yield flush()
 
     return map_arrow(train.select("raw"), run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
-def _head(counts: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
-    """The words above the smallest power of two that leaves at most HEAD words: hash -> (count, number), and their counts, falling."""
+def _head(counts: DataFrame) -> tuple[Head, np.ndarray]:
+    """The words above the smallest power of two that leaves at most HEAD words, and their counts, falling."""
     powers = [1 << k for k in range(62)]
     above = counts.agg(*[F.count_if(F.col("c") >= t).alias(str(t)) for t in powers]).first()
     least = next(t for t in powers if above[str(t)] <= HEAD)
     rows = counts.where(F.col("c") >= least).select("hash", "c").toArrow()
     h, c = rows["hash"].to_numpy(), rows["c"].to_numpy()
     order = np.lexsort((h, -c))
-    return {int(x): (int(n), i) for i, (x, n) in enumerate(zip(h[order], c[order]))}, c[order]
+    rising = np.argsort(h[order])
+    return Head(h[order][rising], c[order][rising], rising), c[order]
 
 
 def _round(rows: DataFrame, shards: int, head, start: Params, classes: Classes | None, unigram: np.ndarray, seed: int) -> Params:
@@ -366,12 +488,12 @@ def _round(rows: DataFrame, shards: int, head, start: Params, classes: Classes |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, kinds, p = shared.value
-        lex, trainer = Lexicon(head.value, begin.size), None
+        trainer = None
         for whole in batches:
             for i in range(0, whole.num_rows, _ROWS):
                 trainer = trainer or Trainer(begin, kinds, p, seed)
-                ids, lengths = lex.encode(whole.column(0).slice(i, _ROWS).to_pylist())
-                w = np.array(lex.number, np.int64)[ids]
+                ids, lengths, hashes = encode(whole.column(0).slice(i, _ROWS))
+                w = head.value.find(hashes, begin.size)[1][ids]
                 trainer.feed(*contexts(w, lengths, begin.size + 1), w)
         for i in range(0, len(begin.rows) if trainer else 0, BLOCK):
             at = slice(i, i + BLOCK)
@@ -443,13 +565,14 @@ def score(docs: DataFrame, held_out, seed: int = 11) -> DataFrame:
     head = spark.sparkContext.broadcast(words)
     shared = spark.sparkContext.broadcast(Scorer(*_train(train, n, head, unigram, seed)))
 
-    def run(cols, lex):
-        ids, lengths = lex.encode(cols["raw"].to_pylist())
+    def texts(b: pa.RecordBatch) -> dict:
+        cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        ids, lengths, hashes = encode(cols["raw"])
         first = np.cumsum(lengths) - lengths
-        count, w = np.array(lex.count, np.int64)[ids], np.array(lex.number, np.int64)[ids]
+        counts, numbers = head.value.find(hashes, size)
+        there = counts >= 0
+        w, inside, share = numbers[ids], there[ids], np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)[ids]
         logp = shared.value(*contexts(w, lengths, size + 1), w)
-        inside = count >= 0
-        share = np.where(inside, np.log10(np.maximum(count, 0) + 0.5), 0.0)
         per = lambda x: np.add.reduceat(x, first)
         rest = np.flatnonzero(~inside)
         owner = np.repeat(np.arange(len(lengths)), lengths)[rest]
@@ -462,11 +585,16 @@ def score(docs: DataFrame, held_out, seed: int = 11) -> DataFrame:
             "head_sum": pa.array(per(share)),
             "head_other": pa.array(per(np.where(w == size, share, 0.0))),
             "logp": pa.array(per(logp) / np.log(10)),
-            "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), pa.array(np.array(lex.hash, np.int64)[ids[rest]])),
+            "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), pa.array(hashes[ids[rest]])),
         }
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in _portions(whole, "raw"):
+                yield pa.RecordBatch.from_pydict(texts(part))
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, head_sum double, head_other double, logp double, rest array<long>"
-    table = map_batches(src, run, schema, lambda: Lexicon(head.value, size), rows=_ROWS)
+    table = map_arrow(src, run, schema)
     table = materialize(table.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = table.select("row", F.explode("rest").alias("hash")).join(counts, "hash", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest_sum"), F.count("c").alias("n_rest"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_paths import SF
 from hypothesis import given, settings
@@ -215,6 +216,64 @@ def test_noise_contrastive_steps_learn(with_classes):
     assert neural_lm.Scorer(m, kinds)(p1, p2, w)[2:].mean() > math.log(0.5)
 
 
+def test_class_sums_take_exponentials_by_words_and_not_by_contexts(monkeypatch):
+    """40 distinct words on either side make 1,600 contexts: 80 rows of exponentials, and the sums of the plain way."""
+    m, kinds = _random_model(300, 17)
+    scorer, rows = neural_lm.Scorer(m, kinds), []
+    plain = scorer._exps
+    monkeypatch.setattr(scorer, "_exps", lambda a, *rest: rows.append(len(a)) or plain(a, *rest))
+    p1, p2 = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(200, 240)))
+    got = scorer._class_sums(np.tile(p1, 3), np.tile(p2, 3))
+    assert sum(rows) == 80
+    q = m.r[p1].astype(float) @ m.c1 + m.r[p2].astype(float) @ m.c2
+    expected = np.log(np.exp(q @ m.u[:, :-1].T + m.u[:, -1]).sum(axis=1))
+    assert np.allclose(got, np.tile(expected, 3), rtol=1e-5, atol=1e-5)
+    # Factors out of range: no overflow, the same sums.
+    m.rows[:] *= 9
+    q = 0 * q + m.r[p1].astype(float) @ m.c1 + m.r[p2].astype(float) @ m.c2
+    s = q @ m.u[:, :-1].T + m.u[:, -1]
+    top = s.max(axis=1)
+    assert np.allclose(neural_lm.Scorer(m, kinds)._class_sums(p1, p2), top + np.log(np.exp(s - top[:, None]).sum(axis=1)), rtol=1e-4)
+
+
+def test_tokens_are_the_words_of_the_texts_in_order():
+    texts = [b"", b" ", b"\n a\x0b\x0cB  c\t", b"\x1c\x1d a\xc2\xa0b \x00x \x85\xff", b"A" * 10, b"\xe2\x80\x83 z\r\n", b"b a"]
+    for raw in (pa.array(texts, pa.binary()), pa.array([b"dropped", *texts, b"too"], pa.binary()).slice(1, len(texts)), pa.array([b"x"], pa.binary())):
+        ids, lengths, hashes = neural_lm.encode(raw)
+        words = [[*t.lower().split(), neural_lm.END] for t in raw.to_pylist()]
+        assert lengths.tolist() == [len(w) for w in words]
+        assert hashes[ids].tolist() == [neural_lm._signed(neural_lm.xxhash.xxh3_64_intdigest(w)) for ws in words for w in ws]
+
+
+def test_inner_steps_in_tiles_equal_steps_token_by_token():
+    """Classes of 1 to 40 tokens: gradients of the tiles against those of each token for itself."""
+    rng = np.random.default_rng(4)
+    p = np.full(61, 1 / 61)
+    kinds = neural_lm.Classes(np.arange(60) % 5, p)
+    start = neural_lm.Params(60, kinds.n)
+    start.rows[:] = rng.normal(0, 0.5, start.rows.shape)
+    trainer = neural_lm.Trainer(start, kinds, p, 7)
+    of = np.repeat(np.arange(5), (1, 8, 9, 40, 3))
+    w = of + 5 * rng.integers(0, 12, len(of))
+    q1 = np.zeros((len(w), trainer.WIDE), np.float32)
+    q1[:, : neural_lm.DIM], q1[:, neural_lm.DIM] = rng.normal(0, 1, (len(w), neural_lm.DIM)), 1
+    noise = kinds.noise(np.arange(5), np.random.default_rng(7))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    grads, moved = np.zeros((60, neural_lm.DIM + 1)), []
+    for i, (x, k) in enumerate(zip(w, of)):
+        q, gq = q1[i, : neural_lm.DIM + 1].astype(float), np.zeros(neural_lm.DIM + 1)
+        for word, label in ((x, 1), *((n, 0) for n in noise[k])):
+            g = label - sigmoid(start.t[word] @ q - math.log(neural_lm.INNER_NOISE / 12))
+            gq += g * start.t[word]
+            grads[word] += g * q
+        moved.append(gq[: neural_lm.DIM])
+    got = trainer._inner(q1, w, of, np.flatnonzero(np.r_[True, of[1:] != of[:-1]]))
+    assert np.allclose(got, moved, atol=1e-4)
+    squares = 1e-6 + (grads**2).mean(axis=1)
+    assert np.allclose(trainer.m.t[:60], start.t[:60] + neural_lm.RATE * grads / np.sqrt(squares)[:, None], atol=1e-4)
+    assert np.allclose(trainer.m.squares[start.T : start.T + 60], squares, rtol=1e-3)
+
+
 def test_language_model_score_word_by_word(spark, monkeypatch):
     """The query's score against one recomputed from the parameters, a token at a time."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
